@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segrec.llm import exact_dedup, simhash
+from segrec.llm import exact_dedup, packing, simhash, url_filter, warc
+from segrec.llm.common import scratch_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +20,30 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_read(spark, sf_dir, "documents"))
+    return packing.pack(pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), path)
+    rows = warc.read(spark, path)
+    # responses are digested anew from what was read; a revisit tells its payload's digest
+    digest = F.when(F.col("payload").isNull(), F.col("digest")).otherwise(F.sha1("payload"))
+    return rows.select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        digest.alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.components(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -26,6 +51,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_url_filter": op4_url_filter,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
 }
 
@@ -35,4 +63,9 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op5_warc": """
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN octet_length(encode(html)) >= 1000 AND page_id IS DISTINCT FROM max(page_id) OVER g THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN octet_length(encode(html)) >= 1000 AND page_id IS DISTINCT FROM max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
+        FROM (SELECT page_id, coalesce(html, '') AS html FROM pages) WINDOW g AS (PARTITION BY html)""",
 }
