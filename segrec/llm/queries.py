@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segrec.llm import exact_dedup, langid, packing, simhash, url_filter, warc
+from segrec.llm import exact_dedup, langid, mixing, packing, simhash, url_filter, warc
 from segrec.llm.common import scratch_path
 
 
@@ -55,6 +55,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.annotate(_read(spark, sf_dir, "documents"))
+    return rows.select("__row.doc_id", "__row.source", "__row.lang", "topic", "tokens", "probability", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op8_language_id": op8_language_id,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
