@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segrec.llm import exact_dedup, langid, mixing, packing, simhash, url_filter, warc
+from segrec.llm import exact_dedup, langid, mixing, order_minhash, packing, simhash, url_filter, warc
 from segrec.llm.common import scratch_path
 
 
@@ -49,6 +49,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_minhash.fingerprint_edits(_read(spark, sf_dir, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        order_minhash.as_text(F.col("signature")).alias("fingerprint"),
+        order_minhash.as_text(F.col("edited_signature")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     rows = langid.annotate(docs.select("doc_id", "text"), langid.train(docs))
@@ -66,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_order_minhash": op7_order_minhash,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
 }
