@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segrec.llm import exact_dedup, langid, mixing, order_minhash, packing, simhash, url_filter, warc
+from segrec.llm import exact_dedup, html_extract, langid, mixing, order_minhash, packing, simhash, url_filter, warc
 from segrec.llm.common import scratch_path
 
 
@@ -73,6 +73,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("__row.doc_id", "__row.source", "__row.lang", "topic", "tokens", "probability", "kept")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extract.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_order_minhash": op7_order_minhash,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
