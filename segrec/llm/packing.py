@@ -2,13 +2,14 @@
 
 ``token_pieces`` tokenises whole texts (public ``word_bpe_49k`` vocabulary by default; its path is a
 parameter), appends id 0 and cuts only documents longer than ``capacity``. ``pack`` deals the pieces
-to shards of bounded size at random; a shard is packed best-fit decreasing, then bins that aren't full
-exchange documents: moves, one-for-one, one-for-two, two-for-one and two-for-two swaps that raise the
-sum of squared fills, until no exchange does and bins run empty. Pieces of bins that are still not
-full meet again, over all shards, in further rounds until they fit one shard or no round gains.
+to shards of bounded size at random; a shard is packed best-fit decreasing, then the least filled bins
+exchange documents with all that aren't full: moves, one-for-one, one-for-two, two-for-one and
+two-for-two swaps that raise the sum of squared fills, until no exchange does and bins run empty.
+Pieces of bins that are still far from full meet again, over all shards, in further rounds until they
+fit one shard or no round gains.
 
 The vocabulary drops white space and never joins across it, so ids of a text are those of its
-white-space separated chunks; a task keeps the ids of chunks it has met.
+white-space separated chunks; a task keeps the ids of the pieces that it has met.
 
 Nulls: null text is the empty text (one piece: id 0). Null, repeated or tied ids are carried as they
 are; every row is packed. An empty table gives an empty result. ``pack`` carries all columns.
@@ -16,7 +17,11 @@ are; every row is packed. An empty table gives an empty result. ``pack`` carries
 
 from __future__ import annotations
 
+import json
 import math
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,11 +35,13 @@ from segrec.llm.common import materialise, packed_row
 
 CAPACITY = 2048
 END = 0
-#: Pieces of one shard, and chunks whose ids a task keeps at once.
+#: Pieces of one shard, and pieces of text whose ids a task keeps at once.
 SHARD = 2048
-KEPT_CHUNKS = 400_000
+KEPT_PIECES = 700_000
 FLUSH_BYTES = 8 << 20
-MAX_ROUNDS = 16
+MAX_ROUNDS = 8
+#: A bin with more room than capacity // ROOM meets others again.
+ROOM = 16
 
 
 def default_tokenizer() -> str:
@@ -43,51 +50,81 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkEncoder:
-    """Token ids of texts by way of their white-space separated chunks."""
+class TextIds(dict):
+    """Ids of texts; as a dict, piece of text that the vocabulary's pattern cuts -> its ids.
 
-    def __init__(self, tokenizer: str | None) -> None:
-        import os
+    Ids are little-endian unsigned 32-bit numbers. Stretches of printable Latin-1 characters and ASCII
+    white space are lower-cased and cut by the vocabulary's own pattern here, and each piece, met once
+    per task, goes to the library's model; the library does all for other white-space separated chunks.
+    """
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, tokenizer: str | None) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer or default_tokenizer())
-        self.ids: dict[bytes, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Encode the chunks of ``texts`` that aren't known yet."""
-        new = list(set().union(*texts) - self.ids.keys())
-        if len(self.ids) + len(new) > KEPT_CHUNKS:
-            self.ids.clear()
-            new = list(set().union(*texts))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
-            self.ids.update(zip(part, (np.array(x.ids, "<u4").tobytes() for x in coded), strict=True))
-
-    def encode(self, chunks: list[bytes]) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text's chunks, the end's id last."""
-        return b"".join(map(self.ids.__getitem__, chunks)) + END.to_bytes(4, "little")
+        rules = json.loads(self.tokenizer.to_str())
+        normal = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", ())]
+        split, *rest = (rules["pre_tokenizer"] or {}).get("pretokenizers", [None])
+        known = normal == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"] and [x["type"] for x in rest] == ["ByteLevel"]
+        self.cut = None
+        if known:  # the library's classes as far as Latin-1 goes
+            latin = {kind: "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == kind) for kind in "LN"}
+            pattern = split["pattern"]["Regex"].replace(r"\p{L}", latin["L"]).replace(r"\p{N}", latin["N"])
+            self.cut = re.compile(pattern).findall
+        self.plain = re.compile("[\t-\r -~\u00a1-\u00ac\u00ae-\u00ff]*").fullmatch
+        self.added = tuple(x["content"] for x in rules["added_tokens"])
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        self.chunks: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        found = array("I", [x.id for x in self.tokenizer.model.tokenize(letters)]).tobytes()
+        if len(self) >= KEPT_PIECES:
+            self.clear()
+        self[piece] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.chunks.get(chunk)
+        if found is None:
+            found = self._plain(chunk)
+            if found is None:
+                found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+            if len(self.chunks) >= KEPT_PIECES:
+                self.chunks.clear()
+            self.chunks[chunk] = found
+        return found
+
+    def _plain(self, text: str) -> bytes | None:
+        if self.cut and self.plain(text) and not any(x in text for x in self.added):
+            return b"".join(map(self.__getitem__, self.cut(text.lower())))
+        return None
+
+    def of(self, text: bytes) -> bytes:
+        """Ids of a text, the end's id last."""
+        found = self._plain(text.decode("utf-8", "replace"))
+        if found is None:
+            found = b"".join([self._chunk(x.decode("utf-8", "replace")) for x in text.split()])
+        return found + END.to_bytes(4, "little")
 
 
 def _pieces(tokenizer: str | None, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, names = ChunkEncoder(tokenizer), ["id", "piece", "start", "length", "ids"]
+        known, names = TextIds(tokenizer), ["id", "piece", "start", "length", "ids"]
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):  # bounds the chunks in memory
+            for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                texts = [x.as_py().split() for x in part.column(1)]
-                encoder.learn(texts)
                 at, start, ids, held = [], [], [], 0
-                for row, chunks in enumerate(texts):
-                    coded = encoder.encode(chunks)
+                for row, text in enumerate(part.column(1)):
+                    coded = known.of(text.as_py())
                     for s in range(0, len(coded), 4 * capacity):
                         at.append(row)
                         start.append(s // 4)
                         ids.append(coded[s : s + 4 * capacity])
                     held += len(coded)
-                    if held > FLUSH_BYTES or row == len(texts) - 1:
+                    if held > FLUSH_BYTES or row == part.num_rows - 1:
                         begin = np.array(start, np.int64)
                         length = np.array([len(x) // 4 for x in ids], np.int64)
                         columns = [part.column(0).take(pa.array(at, pa.int64())), pa.array((begin // capacity).astype(np.int32)), pa.array(begin), pa.array(length), pa.array(ids, pa.binary())]
@@ -143,29 +180,36 @@ def _picks(members: list[int], lengths: list[int]) -> dict[int, tuple[int, ...]]
 
 
 def exchange(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Raise the sum of squared fills by moves and swaps between underfull bins, until none does."""
+    """Empty the least filled bins by moves and swaps into fuller ones that aren't full.
+
+    Each exchange raises the sum of squared fills; it ends when none does, or no bin is left with more
+    room than ``capacity // ROOM``.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    open_bins = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: -fill[b])
     changed = True
-    while changed and len(open_bins) > 1:
+    while changed:
         changed = False
-        for low in list(reversed(open_bins)):
-            for high in open_bins:
-                if high == low or fill[high] < fill[low] or not bins[low]:
+        lows = sorted((b for b in range(len(bins)) if bins[b] and capacity - fill[b] > capacity // ROOM), key=fill.__getitem__)
+        highs = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: -fill[b])
+        for low in lows:
+            for high in highs:
+                if high == low or fill[high] < fill[low] or fill[high] >= capacity or not bins[low]:
                     continue
-                gap = capacity - fill[high]
                 out, back = _picks(bins[low], lengths), _picks(bins[high], lengths)
-                best = max(((y - x, x, y) for y in out for x in back if 0 < y - x <= gap), default=None)
-                if best is None:
+                gap, back_sums = capacity - fill[high], np.array(sorted(back))
+                out_sums = np.array(sorted(out))
+                # for each sum that comes back, the largest that fits in its place
+                at = np.searchsorted(out_sums, back_sums + gap, "right") - 1
+                gains = out_sums[at] - back_sums
+                best = int(gains.argmax())
+                if gains[best] <= 0:
                     continue
-                gain, x, y = best
-                give, take = out[y], back[x]
+                gain, take, give = int(gains[best]), back[int(back_sums[best])], out[int(out_sums[at[best]])]
                 bins[low] = [i for i in bins[low] if i not in give] + list(take)
                 bins[high] = [i for i in bins[high] if i not in take] + list(give)
                 fill[high] += gain
                 fill[low] -= gain
                 changed = True
-        open_bins = sorted((b for b in open_bins if bins[b] and fill[b] < capacity), key=lambda b: -fill[b])
     return [b for b in bins if b]
 
 
@@ -178,7 +222,7 @@ def _packer(capacity: int, number: int):
         sizes = lengths[order]
         before = np.cumsum(sizes) - sizes
         base = before[np.r_[True, which[1:] != which[:-1]]]
-        full = np.bincount(which, weights=sizes)[which] == capacity
+        full = capacity - np.bincount(which, weights=sizes)[which] <= capacity // ROOM
         sequence = ((int(key[0]) * MAX_ROUNDS + number) << 24) + which
         return pd.DataFrame({"uid": rows["uid"].to_numpy()[order], "length": sizes, "sequence_id": sequence, "offset": before - base[which], "full": full})
 
@@ -194,6 +238,7 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
         left = rest.count()
         shards = max(1, math.ceil(left / shard))
         dealt = rest.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(shards)).alias("shard"))
+        dealt = dealt.repartition(min(shards, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
         packed = dealt.groupBy("shard").applyInPandas(_packer(capacity, number), "uid bigint, length bigint, sequence_id bigint, offset bigint, full boolean")
         packed = materialise(packed, f"packed{number}")
         last = shards == 1 or left == before or number == MAX_ROUNDS - 1
