@@ -1,10 +1,8 @@
-"""Registry of the analytics queries: name -> (spark, sf_dir) -> DataFrame, and SQL for the same rows."""
+"""All analytics queries: name -> (spark, sf_dir) -> DataFrame, and SQL for the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from segrec.plans import audit, features, quality, ranking, segments, serving  # noqa: F401  they register their queries
+from segrec.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
