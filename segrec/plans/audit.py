@@ -1 +1,142 @@
-"""Queries."""
+"""Queries over statistical tests, nulls and resampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from segrec.operators import metrics, scoring, stats
+from segrec.operators.facts import Star
+from segrec.plans.features import ordered
+from segrec.plans.registry import query
+
+_POP = ", pop AS (SELECT item, count(*) AS n FROM interactions GROUP BY item)"
+
+
+@query("st1_chi_square_uniform", _POP + " SELECT round(sum(n * n) * count(*) / sum(n) - sum(n), 5) AS statistic, CAST(count(*) - 1 AS BIGINT) AS dof FROM pop")
+def st1(s: Star) -> DataFrame:
+    counts = s.interactions.groupBy("item").agg(F.count("*").alias("n"))
+    return stats.chi_square_uniform(counts, "n").select(F.round("statistic", 5).alias("statistic"), "dof")
+
+
+@query(
+    "st2_chi_square_independence",
+    "WITH b AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT a, sum(n) AS r FROM b GROUP BY a), c AS (SELECT b, sum(n) AS c FROM b GROUP BY b) SELECT round((SELECT sum(n) FROM b) * (sum(n * n / (r * c)) - 1), 5) AS statistic, CAST(((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM c) - 1) AS BIGINT) AS dof FROM b JOIN r USING (a) JOIN c USING (b)",
+    base=False,
+)
+def st2(s: Star) -> DataFrame:
+    return stats.chi_square_independence(s.table("orders"), "o_orderpriority", "o_orderstatus").select(F.round("statistic", 5).alias("statistic"), "dof")
+
+
+@query("st2_labels_2x2", "WITH b AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), r AS (SELECT a, sum(n) AS r FROM b GROUP BY a), c AS (SELECT b, sum(n) AS c FROM b GROUP BY b) SELECT round((SELECT sum(n) FROM b) * (sum(n * n / (r * c)) - 1), 5) AS statistic, CAST(((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM c) - 1) AS BIGINT) AS dof FROM b JOIN r USING (a) JOIN c USING (b)", base=False)
+def st2_labels(s: Star) -> DataFrame:
+    labels = s.spark.read.parquet(f"{s.sf_dir}/labels.parquet")
+    return stats.chi_square_independence(labels, "quality", "toxic").select(F.round("statistic", 5).alias("statistic"), "dof")
+
+
+@query("st2_p_values")
+def st2_p(s: Star) -> DataFrame:
+    """Statistics with p-values of the contingency tables."""
+    rows = []
+    for a, b in (("o_orderpriority", "o_orderstatus"),):
+        r = stats.chi_square_independence(s.table("orders"), a, b).first()
+        rows.append((a, b, float(r["statistic"]), int(r["dof"]), stats.chi_square_p(r["statistic"], r["dof"])))
+    return s.spark.createDataFrame(rows, "a string, b string, statistic double, dof int, p double")
+
+
+_SLOPES = ", o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, txn) AS r FROM interactions), sl AS (SELECT user_id, regr_slope(level, r) AS slope FROM o GROUP BY user_id HAVING count(*) >= 3 AND count(DISTINCT level) >= 2)"
+
+
+@query("st3_one_sample_t", _SLOPES + " SELECT CAST(count(*) AS BIGINT) AS n, round(avg(slope), 6) AS mean, round(avg(slope) / (stddev_samp(slope) / sqrt(count(*))), 5) AS t FROM sl")
+def st3(s: Star) -> DataFrame:
+    by = ordered(s).groupBy("user_id").agg(F.regr_slope("level", "r").alias("slope"), F.count("*").alias("n"), F.count_distinct("level").alias("levels"))
+    return stats.one_sample_t(by.where("n >= 3 AND levels >= 2"), "slope").select("n", F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"))
+
+
+@query("st3_p_value")
+def st3_p(s: Star) -> DataFrame:
+    r = st3(s).first()
+    return s.spark.createDataFrame([(float(r["t"]), stats.student_p(s.spark, r["t"], r["n"] - 1))], "t double, p double")
+
+
+def _sizes(s: Star) -> DataFrame:
+    return s.interactions.groupBy("user_id").agg(F.count_distinct("item").alias("n"))
+
+
+@query("st4_preference_null")
+def st4(s: Star) -> DataFrame:
+    """Distinct categories a user, against histories redrawn by popularity."""
+    weights = scoring.popularity(s.interactions).withColumnRenamed("n", "w")
+    drawn = stats.weighted_draws(_sizes(s), weights, 10).join(F.broadcast(s.items.select("item", "category")), "item")
+    null = drawn.groupBy("replicate", "user_id").agg(F.count_distinct("category").alias("d")).groupBy("replicate").agg(F.avg("d").alias("d"))
+    seen = s.interactions.groupBy("user_id").agg(F.count_distinct("category").alias("d")).agg(F.avg("d")).first()[0]
+    return stats.permutation_summary(float(seen), null, "d")
+
+
+@query("st5_provider_null")
+def st5(s: Star) -> DataFrame:
+    """Distinct providers a user, against providers dealt anew over all transactions."""
+    rows = stats.with_replicates(s.interactions.select("txn", "user_id"), 5)
+    n = s.table("supplier").count()
+    drawn = rows.withColumn("p", F.floor(stats.uniform(F.lit(5), "replicate", "txn") * n))
+    null = drawn.groupBy("replicate", "user_id").agg(F.count_distinct("p").alias("d")).groupBy("replicate").agg(F.avg("d").alias("d"))
+    seen = s.interactions.groupBy("user_id").agg(F.count_distinct("provider_id").alias("d")).agg(F.avg("d")).first()[0]
+    return stats.permutation_summary(float(seen), null, "d")
+
+
+@query("st6_provider_pool_hit")
+def st6(s: Star) -> DataFrame:
+    """Share of users whose last item comes from the pool of their earlier providers, and the pool's share of the catalogue."""
+    o = ordered(s)
+    bridge = s.interactions.select("provider_id", "item").distinct()
+    pool = o.where("r < size").select("user_id", "provider_id").distinct().join(bridge, "provider_id").select("user_id", "item").distinct()
+    last = o.where("r = size AND size > 1").select("user_id", F.col("item").alias("last"))
+    met = last.join(pool, "user_id").groupBy("user_id").agg(F.max((F.col("item") == F.col("last")).cast("int")).alias("hit"), (F.count("*") / 64).alias("chance"))
+    return met.agg(F.avg("hit").alias("hit_rate"), F.avg("chance").alias("chance")).withColumn("lift", F.col("hit_rate") / F.col("chance"))
+
+
+def _ndcg(s: Star, scores: DataFrame) -> DataFrame:
+    return metrics.per_user(scoring.ranked(scores), metrics.relevant(s), 10).select("user_id", "ndcg")
+
+
+@query("st7_j19_paired_bootstrap")
+def st7(s: Star) -> DataFrame:
+    return stats.paired_bootstrap(_ndcg(s, scoring.global_popularity(s)), _ndcg(s, scoring.random_score(s)), "user_id", "ndcg", 200)
+
+
+@query("st8_group_gap")
+def st8(s: Star) -> DataFrame:
+    rows = _ndcg(s, scoring.global_popularity(s)).join(s.users, "user_id")
+    return stats.group_gap(rows, "user_id", "stratum", "ndcg", "BUILDING", "MACHINERY", 200)
+
+
+@query("st9_simplex_weights")
+def st9(s: Star) -> DataFrame:
+    rows = [(i, n, w) for i, d in enumerate(stats.simplex_weights(["a", "b", "c"], 20)) for n, w in d.items()]
+    return s.spark.createDataFrame(rows, "draw int, name string, weight double")
+
+
+@query("st10_weight_search")
+def st10(s: Star) -> DataFrame:
+    parts = {"popularity": scoring.global_popularity(s), "rating": scoring.rating(s)}
+    return stats.search_weights(parts, metrics.relevant(s), stats.simplex_weights(list(parts), 8), 10)
+
+
+@query("st11_hash_sample")
+def st11(s: Star) -> DataFrame:
+    return stats.shuffled(s.users, "user_id", 3, 200)
+
+
+_HITS = _POP.replace("FROM interactions", "FROM train") + ", held AS (SELECT DISTINCT user_id, item FROM test WHERE user_id IN (SELECT user_id FROM seen) EXCEPT SELECT user_id, item FROM seen), fr AS (SELECT c.user_id, c.item, row_number() OVER (PARTITION BY c.user_id ORDER BY coalesce(n, 0) DESC, position) AS rank FROM candidates c LEFT JOIN pop p ON c.item = p.item), pu AS (SELECT h.user_id, count(*) AS n_rel, max(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS hit FROM held h LEFT JOIN fr ON h.user_id = fr.user_id AND h.item = fr.item GROUP BY h.user_id)"
+
+
+@query("a36_error_analysis", _HITS + " SELECT CAST(n_rel AS BIGINT) AS n_rel, CAST(count(*) AS BIGINT) AS users, round(avg(hit), 6) AS hit_rate FROM pu GROUP BY n_rel")
+def a36(s: Star) -> DataFrame:
+    rows = metrics.per_user(scoring.ranked(scoring.global_popularity(s)), metrics.relevant(s), 10)
+    return rows.groupBy("n_rel").agg(F.count("*").alias("users"), F.round(F.avg("hit"), 6).alias("hit_rate"))
+
+
+@query("a30_accumulated", _HITS + " SELECT round(avg(hit), 6) AS hit_rate, CAST(count(*) AS BIGINT) AS users, CAST(sum(n_rel) AS BIGINT) AS held_out FROM pu")
+def a30(s: Star) -> DataFrame:
+    rows = metrics.per_user(scoring.ranked(scoring.global_popularity(s)), metrics.relevant(s), 10)
+    return rows.agg(F.round(F.avg("hit"), 6).alias("hit_rate"), F.count("*").alias("users"), F.sum("n_rel").alias("held_out"))
