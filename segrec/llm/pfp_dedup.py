@@ -298,8 +298,9 @@ def in_batches(df: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> t
     slot = Bucketizer(splits=splits, inputCol="__id", outputCol="__slot", handleInvalid="keep").transform(rows.withColumn("__id", F.col("id").cast("double")))
     start, end = (F.get(F.array(*[F.lit(x) for x in bounds]), F.col("__slot").cast("int")) for bounds in ([float(low), *edges], [*edges, float(high) + 1]))
     inner = F.coalesce(F.floor((F.col("id") - start) / (end - start) * each), F.lit(0))
+    last = F.lit((len(splits) - 1) * each)  # of rows without an id
     batch = F.col("__slot").cast("bigint") * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), inner))
-    return slot.select(batch.cast("bigint").alias("batch"), "id", "text"), total
+    return slot.select(F.when(F.col("id").isNull(), last).otherwise(batch).cast("bigint").alias("batch"), "id", "text"), total
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
