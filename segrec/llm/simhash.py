@@ -130,6 +130,12 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is their component's; components without any id keep all rows."""
-    kept = components(df, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of ``df`` whose document comes first in its component: by id, null ids last, then by a hash of the text.
+
+    Rows that tie on both are one document, and all of them stay.
+    """
+    me = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
+    members = components(df.select(me.alias("me"), F.col(text_col).alias("text")), "me", "text")
+    first = members.where("me = component_id").select(F.col("me.id").alias("__id"), F.col("me.h").alias("__h")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__h"))
+    return df.join(first, same, "left_semi")
