@@ -34,9 +34,11 @@ def load_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, sha256, bytes) of the files under ``path``, read on the executors."""
+    """Rows (file, sha256, bytes) of the files under ``path``, by their place in it, read on the executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    folder = path.rstrip("/").rsplit("/", 1)[-1] + "/"
+    inside = F.when(F.contains("path", F.lit(folder)), F.substring_index("path", folder, -1)).otherwise(F.element_at(F.split("path", "/"), -1))
+    return files.select(inside.alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def save_manifest(spark: SparkSession, tables: str, path: str, version: str) -> None:
