@@ -258,6 +258,7 @@ def test_manifest_finds_tampering(spark, sf, tmp_path):
     scan.verify(spark, str(tmp_path / "t"), str(tmp_path / "m"))
     victim = next((tmp_path / "t").rglob("*.parquet"))
     victim.write_bytes(victim.read_bytes() + b"x")
+    (victim.parent / f".{victim.name}.crc").unlink()  # else the file system itself finds it
     (tmp_path / "t" / "new.bin").write_bytes(b"1")
     assert {r["problem"] for r in scan.check_integrity(spark, str(tmp_path / "t"), str(tmp_path / "m")).collect()} == {"changed", "unexpected"}
     with pytest.raises(scan.IntegrityError):
