@@ -84,7 +84,13 @@ def st5(s: Star) -> DataFrame:
     return stats.permutation_summary(float(seen), null, "d")
 
 
-@query("st6_provider_pool_hit")
+@query(
+    "st6_provider_pool_hit",
+    """, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, txn) AS r, count(*) OVER (PARTITION BY user_id) AS size FROM interactions), b AS (SELECT DISTINCT provider_id, item FROM interactions),
+    pool AS (SELECT DISTINCT user_id, b.item FROM (SELECT DISTINCT user_id, provider_id FROM o WHERE r < size) x JOIN b ON x.provider_id = b.provider_id), last AS (SELECT user_id, item AS last FROM o WHERE r = size AND size > 1),
+    m AS (SELECT l.user_id, max(CASE WHEN item = last THEN 1 ELSE 0 END) AS hit, count(*) / 64 AS chance FROM last l JOIN pool p ON l.user_id = p.user_id GROUP BY l.user_id)
+    SELECT round(avg(hit), 6) AS hit_rate, round(avg(chance), 6) AS chance, round(avg(hit) / avg(chance), 6) AS lift FROM m""",
+)
 def st6(s: Star) -> DataFrame:
     """Share of users whose last item comes from the pool of their earlier providers, and the pool's share of the catalogue."""
     o = ordered(s)
@@ -92,7 +98,7 @@ def st6(s: Star) -> DataFrame:
     pool = o.where("r < size").select("user_id", "provider_id").distinct().join(bridge, "provider_id").select("user_id", "item").distinct()
     last = o.where("r = size AND size > 1").select("user_id", F.col("item").alias("last"))
     met = last.join(pool, "user_id").groupBy("user_id").agg(F.max((F.col("item") == F.col("last")).cast("int")).alias("hit"), (F.count("*") / 64).alias("chance"))
-    return met.agg(F.avg("hit").alias("hit_rate"), F.avg("chance").alias("chance")).withColumn("lift", F.col("hit_rate") / F.col("chance"))
+    return met.agg(F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("chance"), 6).alias("chance"), F.round(F.avg("hit") / F.avg("chance"), 6).alias("lift"))
 
 
 def _ndcg(s: Star, scores: DataFrame) -> DataFrame:
@@ -116,10 +122,21 @@ def st9(s: Star) -> DataFrame:
     return s.spark.createDataFrame(rows, "draw int, name string, weight double")
 
 
-@query("st10_weight_search")
+_DRAWS = stats.simplex_weights(["popularity", "rating"], 8)
+_SEARCH = (
+    ", pop AS (SELECT item, CAST(count(*) AS DOUBLE) AS n FROM train GROUP BY item), held AS (SELECT DISTINCT user_id, item FROM test WHERE user_id IN (SELECT user_id FROM seen) EXCEPT SELECT user_id, item FROM seen)"
+    + ", raw AS (SELECT c.user_id, c.item, c.position, coalesce(n, 0) AS p, rating AS r FROM candidates c JOIN items i ON c.item = i.item LEFT JOIN pop ON pop.item = c.item)"
+    + ", sc AS (SELECT *, CASE WHEN max(p) OVER w - min(p) OVER w < 1e-12 THEN 0 ELSE (p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w) END AS sp, CASE WHEN max(r) OVER w - min(r) OVER w < 1e-12 THEN 0 ELSE (r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) END AS sr FROM raw WINDOW w AS (PARTITION BY user_id))"
+    + ", wt(draw, wp, wr) AS (VALUES " + ", ".join(f"({i}, CAST({d['popularity']!r} AS DOUBLE), CAST({d['rating']!r} AS DOUBLE))" for i, d in enumerate(_DRAWS)) + ")"
+    + ", rk AS (SELECT draw, user_id, item, row_number() OVER (PARTITION BY draw, user_id ORDER BY round(sp * wp + sr * wr, 9) DESC, position) AS k FROM sc, wt WHERE user_id IN (SELECT user_id FROM held))"
+    + " SELECT draw, CAST(count(*) AS BIGINT) AS hits FROM rk JOIN held h ON rk.user_id = h.user_id AND rk.item = h.item WHERE k <= 10 GROUP BY draw"
+)
+
+
+@query("st10_weight_search", _SEARCH)
 def st10(s: Star) -> DataFrame:
     parts = {"popularity": scoring.global_popularity(s), "rating": scoring.rating(s)}
-    return stats.search_weights(parts, metrics.relevant(s), stats.simplex_weights(list(parts), 8), 10)
+    return stats.search_weights(parts, metrics.relevant(s), _DRAWS, 10)
 
 
 @query("st11_hash_sample")

@@ -69,7 +69,7 @@ def p8(s: Star) -> DataFrame:
     return s.table("customer")
 
 
-@query("v1_v2_columns")
+@query("v1_v2_columns", "SELECT 'columns_missing' AS check_id, 'error' AS severity, 'orders' AS table_name, 'o_totalprice' AS subject, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'columns_unexpected', 'warning', 'orders', 'surprise', 1", base=False)
 def v1(s: Star) -> DataFrame:
     damaged = s.table("orders").drop("o_totalprice").withColumn("surprise", F.lit(1))
     return quality.column_findings(damaged, ORDERS)
@@ -145,7 +145,21 @@ def v17(s: Star) -> DataFrame:
     return quality.duplicate_names(s.table("part"), "p_name", "part")
 
 
-@query("v19_report")
+def _report_sql() -> str:
+    """SQL for the report over all tables."""
+    parts = [f"SELECT * FROM ({_values_sql(t)}) v(check_id, severity, table_name, subject, n)" for t in TABLES.values()]
+    for t in TABLES.values():
+        names = ", ".join(c.name for c in t.columns if not c.personal)
+        parts.append(f"SELECT 'duplicate_rows', 'error', '{t.name}', '', CAST((SELECT count(*) FROM {t.name}) - count(*) AS BIGINT) FROM (SELECT DISTINCT {names} FROM {t.name})")
+        for c in t.columns:
+            if c.refers_to and c.refers_to[0] in TABLES:
+                parent, key = c.refers_to
+                parts.append(f"SELECT 'orphan_fk', 'error', '{t.name}', '{c.name}', CAST(count(*) AS BIGINT) FROM {t.name} WHERE NOT EXISTS (SELECT 1 FROM {parent} WHERE {key} = {c.name})")
+                parts.append(f"SELECT 'unreferenced_parent', 'warning', '{parent}', '{c.name}', CAST(count(*) AS BIGINT) FROM {parent} WHERE NOT EXISTS (SELECT 1 FROM {t.name} WHERE {key} = {c.name})")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) f(check_id, severity, table_name, subject, n) WHERE n > 0"
+
+
+@query("v19_report", _report_sql(), base=False)
 def v19(s: Star) -> DataFrame:
     return quality.report({n: s.table(n) for n in TABLES}, TABLES)
 

