@@ -105,10 +105,10 @@ def a4(s: Star) -> DataFrame:
     return s.interactions.groupBy("user_id").agg(F.mode("category", True).alias("preferred_category"), F.mode("level", True).alias("preferred_level"))
 
 
-@query("a5_means", "SELECT user_id, round(avg(rating), 4) AS avg_rating, round(avg(amount), 4) AS avg_spend, round(sum(amount), 2) AS total_spend, round(avg(level), 6) AS depth_index, round(avg(is_free), 6) AS free_ratio FROM interactions GROUP BY user_id")
+@query("a5_means", "SELECT user_id, round(avg(rating), 10) AS avg_rating, round(avg(amount), 8) AS avg_spend, round(sum(amount), 2) AS total_spend, round(avg(level), 6) AS depth_index, round(avg(is_free), 6) AS free_ratio FROM interactions GROUP BY user_id")
 def a5(s: Star) -> DataFrame:
     f = features.user_features(s.interactions)
-    return f.select("user_id", F.round("avg_rating", 4).alias("avg_rating"), F.round("avg_spend", 4).alias("avg_spend"), F.round("total_spend", 2).alias("total_spend"), r6("depth_index"), r6("free_ratio"))
+    return f.select("user_id", F.round("avg_rating", 10).alias("avg_rating"), F.round("avg_spend", 8).alias("avg_spend"), F.round("total_spend", 2).alias("total_spend"), r6("depth_index"), r6("free_ratio"))
 
 
 _SHARES = ", p AS (SELECT user_id, category, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM interactions GROUP BY user_id, category)"
@@ -213,11 +213,11 @@ def a21(s: Star) -> DataFrame:
 _COHORT = ", h AS (SELECT user_id, count(*) AS n, count(DISTINCT provider_id) AS providers FROM interactions GROUP BY user_id), c AS (SELECT h.*, CASE WHEN n <= 4 THEN 'light' WHEN n >= 9 THEN 'heavy' ELSE 'middle' END AS cohort, balance FROM h LEFT JOIN users u ON h.user_id = u.user_id)"
 
 
-@query("a22_a23_cohorts", _COHORT + " SELECT cohort, CAST(count(*) AS BIGINT) AS users, CAST(sum(n) AS BIGINT) AS interactions, round(avg(balance), 4) AS mean_balance, round(avg(providers / n), 6) AS provider_ratio FROM c GROUP BY cohort")
+@query("a22_a23_cohorts", _COHORT + " SELECT cohort, CAST(count(*) AS BIGINT) AS users, CAST(sum(n) AS BIGINT) AS interactions, round(avg(balance), 8) AS mean_balance, round(avg(providers / n), 6) AS provider_ratio FROM c GROUP BY cohort")
 def a22(s: Star) -> DataFrame:
     users = s.interactions.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("provider_id").alias("providers")).join(s.users, "user_id", "left")
     cohort = F.when(F.col("n") <= 4, "light").when(F.col("n") >= 9, "heavy").otherwise("middle").alias("cohort")
-    return users.groupBy(cohort).agg(F.count("*").alias("users"), F.sum("n").alias("interactions"), F.round(F.avg("balance"), 4).alias("mean_balance"), F.round(F.avg(F.col("providers") / F.col("n")), 6).alias("provider_ratio"))
+    return users.groupBy(cohort).agg(F.count("*").alias("users"), F.sum("n").alias("interactions"), F.round(F.avg("balance"), 8).alias("mean_balance"), F.round(F.avg(F.col("providers") / F.col("n")), 6).alias("provider_ratio"))
 
 
 @query(
