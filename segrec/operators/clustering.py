@@ -7,6 +7,8 @@ beyond it.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
@@ -15,6 +17,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segrec.operators.facts import CATEGORIES
+
 MAX_PAIRWISE = 20_000
 MAX_LINKAGE = 4_000
 
@@ -42,6 +46,52 @@ def representation(features: DataFrame, blocks: dict[str, list[str]], robust: bo
     return scaled.select("user_id", F.array(*[F.col(c) * float(share[c]) for c in columns]).alias("vector"))
 
 
+@dataclass(frozen=True)
+class Arm:
+    """ML2: one way to represent users: category encoding, further blocks, scaling, block weights."""
+
+    name: str
+    category: str = "proportion"
+    level: bool = True
+    extra: bool = True
+    demographics: bool = False
+    providers: bool = False
+    drop_correlated: bool = False
+    robust: bool = False
+    weighted: bool = False
+
+
+GRID = (
+    Arm("proportion"),
+    Arm("one_hot", category="one_hot"),
+    Arm("facets", category="facets"),
+    Arm("numeric_only", category="none", level=False),
+    Arm("basic", extra=False),
+    Arm("demographic", demographics=True),
+    Arm("provider", providers=True),
+    Arm("uncorrelated", drop_correlated=True),
+    Arm("robust", robust=True),
+    Arm("weighted", weighted=True),
+)
+BASIC = ["total_courses", "avg_rating", "avg_spend", "depth_index", "diversity_score"]
+EXTRA = ["frequency", "activity_span_days", "free_ratio", "category_entropy", "recency_days"]
+CORRELATED = {"frequency", "diversity_score"}
+
+
+def arm_blocks(arm: Arm) -> dict[str, list[str]]:
+    """Column blocks of an arm; empty blocks are left out."""
+    numeric = [c for c in BASIC + (EXTRA if arm.extra else []) if not (arm.drop_correlated and c in CORRELATED)]
+    category = {"proportion": [f"share_{c}" for c in CATEGORIES], "one_hot": [f"prefers_{c}" for c in CATEGORIES], "facets": [c for c in ("category_entropy", "top_category_share") if c not in numeric], "none": []}
+    blocks = {"numeric": numeric, "category": category[arm.category], "level": [f"level_{k}" for k in range(3)] if arm.level else [], "demographic": ["balance"] if arm.demographics else [], "provider": ["n_providers", "loyalty"] if arm.providers else []}
+    return {name: members for name, members in blocks.items() if members}
+
+
+def represent(features: DataFrame, arm: Arm) -> DataFrame:
+    """Rows (user_id, vector) of an arm of the grid."""
+    wide = with_levels(features).withColumns({f"prefers_{c}": (F.col("preferred_category") == c).cast("double") for c in CATEGORIES})
+    return representation(wide, arm_blocks(arm), arm.robust, arm.weighted)
+
+
 def with_levels(features: DataFrame) -> DataFrame:
     """One-hot columns of the preferred level."""
     return features.withColumns({f"level_{k}": (F.col("preferred_level") == k).cast("double") for k in range(3)})

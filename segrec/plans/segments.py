@@ -56,6 +56,32 @@ def ml1(s: Star) -> DataFrame:
     return user_vectors(s)
 
 
+@query("ml2_representation_grid")
+def ml2(s: Star) -> DataFrame:
+    """Rows (arm, users, dims, norm) of all arms of the grid."""
+    f = features.user_features(s.train, s.users)
+    out = None
+    for arm in clustering.GRID:
+        square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+        row = clustering.represent(f, arm).agg(F.count("*").alias("users"), F.max(F.size("vector")).alias("dims"), F.avg(square).alias("norm")).select(F.lit(arm.name).alias("arm"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("j20_projection_features")
+def j20(s: Star) -> DataFrame:
+    f = features.user_features(s.train, s.users)
+    return clustering.project(user_vectors(s), "user_id", "vector").join(f.select("user_id", "total_courses", "preferred_category", "stratum"), "user_id", "left")
+
+
+@query("j21_q11_sweep_with_stability")
+def j21(s: Star) -> DataFrame:
+    """The k sweep with the stability of each k."""
+    sweep = clustering.kmeans_sweep(narrow(s), "vec_id", "embedding", [2, 3], n_init=1)
+    stable = [clustering.bootstrap_jaccard(narrow(s), "vec_id", "embedding", k, 1).agg(F.min("jaccard").alias("least_jaccard")).select(F.lit(k).alias("k"), "least_jaccard") for k in (2, 3)]
+    return sweep.join(stable[0].unionByName(stable[1]), "k", "left")
+
+
 @query("ml5_kmeans_segments")
 def ml5(s: Star) -> DataFrame:
     rows = user_vectors(s)

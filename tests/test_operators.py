@@ -148,9 +148,25 @@ def test_explanations_quote_counted_facts(star):
     assert rows and all(f"{r['segment_enrollments']} enrollments" in r["explanation"] for r in rows if r["score"] > 0)
 
 
+def test_command_line(spark, sf, star, capsys):
+    from segrec.__main__ import main
+
+    user = star.seen.select("user_id").first()[0]
+    assert main([sf, "--user", str(user), "-k", "2", "--json"], spark) == 0 and capsys.readouterr().out.count("explanation") == 2
+    assert main([sf, "--user", "-5"], spark) == 1 and main([sf, "--describe"], spark) == 0
+    assert '"users"' in capsys.readouterr().out
+
+
 # ---- clustering
 
 
+def test_grid_arms_differ(star):
+    dims = {a.name: len([c for b in clustering.arm_blocks(a).values() for c in b]) for a in clustering.GRID}
+    assert len(dims) == 10 and dims["numeric_only"] == 10 and dims["proportion"] == 21 and dims["demographic"] == 22
+    rows = clustering.represent(user_features(star.train, star.users), clustering.GRID[1]).first()
+    assert len(rows["vector"]) == dims["one_hot"]
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     rng = random.Random(42)
