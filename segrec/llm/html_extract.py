@@ -1,13 +1,14 @@
-"""Main text of web pages: markup first, then a host-wide search for repeated runs.
+"""Main text of web pages: a host-wide search for repeated runs, with markup as a further cue.
 
-Markup decides where it can: scripts, styles, menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments are told by element, role, class and id, and a page with an ``article`` or
-``main`` element has its text there. On pages without one, what is left may still hold unmarked
-boilerplate. There the token streams of a host's pages are concatenated and their suffixes sorted (to a
-depth of ``RUN`` tokens, by prefix doubling); a run of ``RUN`` or more tokens that starts in at least
-``PAGES`` distinct streams is boilerplate, and blocks covered by such runs go. Unique runs stay; a page
-that would lose all of its text keeps it. Equal streams count once, so copies of a page don't make
-each other boilerplate.
+The token streams of all of a host's pages, menus and footers included, are concatenated and their
+suffixes sorted (to a depth of ``RUN`` tokens, by prefix doubling); a run of ``RUN`` or more tokens that
+starts in at least ``PAGES`` distinct streams is boilerplate, and blocks covered by such runs go from
+every page. Equal streams count once, so copies of a page don't make each other boilerplate.
+
+Markup takes away more: scripts and styles have no text, and menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments are told by element, role, class and id. On a page with an
+``article`` or ``main`` element only the blocks there can stay. Unique runs of the blocks that markup
+leaves stay; a page that would lose all of these keeps them.
 
 A host's pages are dealt to shards of bounded size whose sorted suffixes give counts that are added up
 over shards: the counts are those of the whole host, and no task holds a large host.
@@ -88,24 +89,24 @@ def _kind(name: str, rest: str) -> str:
     return "main" if name in MAIN or role == "main" or prop == "articlebody" else ""
 
 
-def blocks_of(page: str) -> tuple[list[str], bool]:
-    """Text blocks that markup leaves, in order; True if an article or main element held them."""
-    sure: list[str] = []
-    other: list[str] = []
+def blocks_of(page: str) -> tuple[list[str], list[bool]]:
+    """All text blocks in order, and whether markup leaves each."""
+    blocks: list[str] = []
+    marks: list[int] = []  # 0: in an element that markup drops, 1: other, 2: in an article or main element
     parts: list[str] = []
     low = page.lower()
     inside: list[str] = []  # open main elements
-    skipped, depth, at, dropped_to = "", 0, 0, 0
+    skipped, depth, at = "", 0, 0
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            (sure if inside else other).append(text)
+            blocks.append(text)
+            marks.append(0 if skipped else 2 if inside else 1)
 
     while token := _TOKEN.search(page, at):
-        if not skipped and token.start() > dropped_to:
-            parts.append(page[max(at, dropped_to) : token.start()])
+        parts.append(page[at : token.start()])
         at = token.end()
         if token["raw"]:
             end = re.compile(rf"</{token['raw']}\s*>", re.I).search(page, at)
@@ -115,6 +116,10 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
             continue
         name = token["name"].lower()
         if skipped:
+            if name in BLOCKS or name == skipped:
+                flush()
+            elif name in SPACES:
+                parts.append(" ")
             if name == skipped:
                 depth += -1 if token["end"] else 0 if token["rest"].endswith("/") else 1
                 if depth == 0:
@@ -139,19 +144,19 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
             inside.append(name)
         if name in SPACES:
             parts.append(" ")
-    if not skipped:
-        parts.append(page[at:])
+    parts.append(page[at:])
     flush()
-    return (sure, True) if sure else (other, False)
+    best = max([1, *marks])
+    return blocks, [m == best for m in marks]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "host", "blocks", "sure"]
+    names = ["row", "host", "blocks", "left"]
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
             part = batch.slice(low, 256)
             found = [blocks_of(x.as_py().decode("utf-8", "replace")) for x in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found])], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([m for _, m in found], pa.list_(pa.bool_()))], names=names)
 
 
 def _token_numbers(blocks: list[str]) -> np.ndarray:
@@ -195,6 +200,8 @@ def suffix_counts(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray
 
 def _shard_counts(rows: pd.DataFrame) -> pd.DataFrame:
     keys, counts = suffix_counts([_token_numbers(list(b)) for b in rows["blocks"]])
+    if rows["shards"].iloc[0] == 1:  # the whole host is here
+        keys, counts = keys[counts >= rows["least"].iloc[0]], counts[counts >= rows["least"].iloc[0]]
     return pd.DataFrame({"host": rows["host"].iloc[0], "run": keys.view(np.int64), "pages": counts})
 
 
@@ -209,7 +216,7 @@ def _page_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for blocks, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for blocks, left, starts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
             sizes = [len(b.split()) for b in blocks]
             covered = np.zeros(sum(sizes) + 1, np.int64)
             for s in starts or ():
@@ -217,8 +224,8 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 covered[min(s + RUN, len(covered) - 1)] -= 1
             hit = np.cumsum(covered)[:-1] > 0
             ends = np.cumsum(sizes)
-            kept = [b for b, e, n in zip(blocks, ends, sizes, strict=True) if not n or not hit[e - n : e].all()]
-            out.append("\n\n".join(kept or blocks))
+            kept = [b for b, m, e, n in zip(blocks, left, ends, sizes, strict=True) if m and not (n and hit[e - n : e].all())]
+            out.append("\n\n".join(kept or [b for b, m in zip(blocks, left, strict=True) if m]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "main_text"])
 
 
@@ -229,17 +236,17 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", pages:
     others = df.drop(html_col)
     host = F.coalesce(host_and_path(F.col(url_col).cast("string"))[0], F.lit(""))
     source = df.select(packed_row(others).alias("row"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
-    parsed = source.mapInArrow(_parsed, f"row {source.schema['row'].dataType.simpleString()}, host string, blocks array<string>, sure boolean")
-    decided = parsed.where("sure OR size(blocks) = 0").select("row", F.array_join("blocks", "\n\n").alias("main_text"))
-    open_pages = materialise(parsed.where("NOT sure AND size(blocks) > 0").withColumn("stream", F.xxhash64("blocks")).drop("sure"), "open_pages")
-    streams = open_pages.groupBy("host", "stream").agg(F.first("blocks").alias("blocks"))
-    sizes = streams.groupBy("host").agg(F.ceil(F.count("*") / SHARD_PAGES).cast("int").alias("shards")).withColumnRenamed("host", "of")
-    dealt = streams.join(sizes, F.col("host") == F.col("of")).withColumn("shard", F.pmod("stream", "shards"))
+    row = source.schema["row"].dataType.simpleString()
+    parsed = source.mapInArrow(_parsed, f"row {row}, host string, blocks array<string>, left array<boolean>")
+    parsed = materialise(parsed.withColumn("stream", F.xxhash64("blocks")), "parsed_pages")
+    streams = parsed.where("size(blocks) > 0").groupBy("host", "stream").agg(F.first("blocks").alias("blocks"))
+    sizes = parsed.where("size(blocks) > 0").select("host", "stream").distinct().groupBy("host").agg(F.ceil(F.count("*") / SHARD_PAGES).cast("int").alias("shards")).withColumnRenamed("host", "of")
+    dealt = streams.join(sizes, F.col("host") == F.col("of")).withColumns({"shard": F.pmod("stream", "shards"), "least": F.lit(pages)})
     counts = dealt.groupBy("host", "shard").applyInPandas(_shard_counts, "host string, run bigint, pages bigint")
     repeated = counts.groupBy("host", "run").agg(F.sum("pages").alias("n")).where(F.col("n") >= pages).select(F.col("host").alias("r_host"), F.col("run").alias("r_run"))
+    repeated = materialise(repeated, "repeated_runs")
     met = streams.select("host", "stream", "blocks").mapInArrow(_page_windows, "host string, stream bigint, at int, run bigint")
     covered = met.join(repeated, (F.col("host") == F.col("r_host")) & (F.col("run") == F.col("r_run"))).groupBy("host", "stream").agg(F.collect_list("at").alias("starts"))
     covered = covered.withColumnsRenamed({"host": "c_host", "stream": "c_stream"})
-    asked = open_pages.join(covered, (F.col("host") == F.col("c_host")) & (F.col("stream") == F.col("c_stream")), "left").select("row", "blocks", "starts")
-    cleaned = asked.mapInArrow(_unique_runs, f"row {source.schema['row'].dataType.simpleString()}, main_text string")
-    return decided.unionByName(cleaned)
+    asked = parsed.join(covered, (F.col("host") == F.col("c_host")) & (F.col("stream") == F.col("c_stream")), "left").select("row", "blocks", "left", "starts")
+    return asked.mapInArrow(_unique_runs, f"row {row}, main_text string")

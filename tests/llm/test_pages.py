@@ -177,6 +177,16 @@ def test_host_boilerplate_goes_and_copies_stay(spark):
     assert rows[11] == f"{shared}\n\n{own[1]}" and rows[12] == shared
 
 
+def test_host_boilerplate_goes_from_article_pages(spark):
+    shared = "subscribe now to get all of the latest news and offers"
+    footer = "all rights are reserved by the makers of this site"
+    own = [" ".join(f"word{i}x{k}" for k in range(20)) for i in range(5)]
+    pages = [(i, "http://h.test/", f"<article><p>{own[i]}</p><p>{shared}</p></article><footer>{footer}</footer>") for i in range(4)]
+    pages += [(4, "http://h.test/", f"<p>{own[4]}</p><p>{shared}</p><p>{footer}</p>"), (5, "http://other.test/", pages[0][2])]
+    rows = {r["row"]["page_id"]: r["main_text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert all(rows[i] == own[i] for i in range(5)) and rows[5] == f"{own[0]}\n\n{shared}"
+
+
 def test_suffix_counts_equal_brute_force():
     rng = np.random.default_rng(4)
     streams = [rng.integers(0, 3, n).astype(np.uint64) for n in (40, 3, 0, 25, 40)]
