@@ -9,6 +9,11 @@ in at most l * 3/4 bits for every l: no bit in the first, at most 1 in the first
 3 in four. Candidates share (start, first segment, second segment up to one flipped bit); the rest of
 the chain is checked on their bits before the full Hamming distance.
 
+Near copies by similarity (``keep_one_similar``): texts whose sets of word 5-shingles have a Jaccard
+similarity of 0.8 or more link. Pairs at 0.8 differ in about 15 % of a fingerprint's bits, too many for
+chains of few segments of 64 bits; so candidates share one of 256 keys of 24 bits, each a fixed choice
+from a 1024-bit SimHash, and each candidate pair's shingle sets are compared before components.
+
 Nulls: null text is the empty text, whose fingerprint is zero; it links like any other. A null id is
 kept, and counts as a member without a number: a component's id is its smallest non-null id (null if
 none has one). Repeated rows and ties give equal rows. An empty table gives an empty result. Other
@@ -23,7 +28,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segrec.llm.common import materialise
@@ -139,3 +144,84 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first = members.where("me = component_id").select(F.col("me.id").alias("__id"), F.col("me.h").alias("__h")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__h"))
     return df.join(first, same, "left_semi")
+
+
+# ---- near copies by similarity, on wide fingerprints
+
+NEAR_SHINGLE = 5
+SIMILAR = 0.8
+WIDE = 1024  # bits of a wide fingerprint
+KEYS, KEY_BITS = 256, 24  # a key is a fixed choice of bits; unrelated texts share one with chance 2**-24
+BEFORE = 16
+_CHOICE = np.random.default_rng(SEED).permuted(np.tile(np.arange(WIDE), (KEYS, 1)), axis=1)[:, :KEY_BITS]
+
+
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's word shingles; one of the whole text where it has fewer words."""
+    words = text.lower().split()
+    n = max(len(words) - shingle + 1, 1)
+    return np.unique(np.fromiter((_HASH(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint64, n))
+
+
+def near_keys(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The keys by which a text meets its near copies: chosen bits of a SimHash of ``WIDE`` bits over its distinct shingles."""
+    hashes = _shingles(text, shingle)
+    steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    votes = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 4096):
+        with np.errstate(over="ignore"):
+            h = hashes[at : at + 4096, None] + steps
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+        votes += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+    bits = votes * 2 > len(hashes)
+    return (np.arange(KEYS) << KEY_BITS) + bits[_CHOICE] @ (1 << np.arange(KEY_BITS))
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 1024):
+            part = batch.slice(low, 1024)
+            keys = [near_keys(x.as_py(), shingle) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["v", "keys"])
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hold = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            one, two = _shingles(x.as_py(), shingle), _shingles(y.as_py(), shingle)
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            hold.append(both >= similar * (len(one) + len(two) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hold, pa.bool_()))
+
+
+def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b), a < b, of the rows (v, text) whose shingle sets have at least the Jaccard similarity ``similar``.
+
+    Texts that share a key are candidates, and every candidate pair is compared exactly. Under one key a
+    text meets the first and the ``BEFORE`` texts before it, so work doesn't grow with the square of a group.
+    """
+    kept = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle), "v bigint, keys array<bigint>"), "near_keys")
+    asked = kept.select("v", F.explode("keys").alias("key"))
+    under = Window.partitionBy("key").orderBy("v")
+    met = asked.select("v", F.array_union(F.array(F.first("v").over(under)), F.collect_list("v").over(under.rowsBetween(-BEFORE, -1))).alias("others"))
+    pairs = met.select(F.explode("others").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+    one, two = texts.select(F.col("v").alias("a"), F.col("text").alias("x")), texts.select(F.col("v").alias("b"), F.col("text").alias("y"))
+    sides = materialise(pairs, "near_pairs").join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    return sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint")
+
+
+def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``df`` whose document comes first among those that similarity links: by id, null ids last, then by a hash of id and text.
+
+    Rows that tie on id and text are one document, and all of them stay.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    vertex = F.xxhash64(F.col(id_col), text)
+    docs = df.select(vertex.alias("v"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), vertex.alias("h")).alias("me"), text.cast("binary").alias("text")).dropDuplicates(["v"])
+    member = materialise(connected(similar_links(docs.select("v", "text"), shingle, similar)).distinct(), "near_members").join(docs.select("v", "me"), "v")
+    first = member.groupBy("c").agg(F.min("me").alias("first"))
+    gone = member.join(first, "c").where("me != first").select(F.col("v").alias("__gone"))
+    return df.join(gone, vertex == F.col("__gone"), "left_anti")

@@ -196,3 +196,24 @@ def test_passages_take_empty_tables_and_equal_ids(spark):
     assert pfp_dedup.remove_repeats(empty).count() == 0
     twice = spark.createDataFrame([(7, "m" * 80), (7, "m" * 80)], DOCS)
     assert {r["n_removed"] for r in pfp_dedup.remove_repeats(twice).collect()} == {0}
+
+
+def test_near_dedup_stage_finds_pairs_of_similarity_0_8(spark):
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(8)
+    docs, sets = [], {}
+    for i in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        other = list(words)
+        for at in rng.choice(300, 1 + i % 12, replace=False):
+            other[at] = "changed"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    for i, t in docs:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    near = {i for i in range(1, 300, 2) if len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1])}
+    df = spark.createDataFrame(docs + [(None, None), (None, None)], "doc_id bigint, text string")
+    rows = [r["doc_id"] for r in pipeline.drop_near_copies(spark, df, "").collect()]
+    gone = set(range(300)) - set(rows)
+    assert gone <= near and len(gone) >= 0.97 * len(near) > 50 and len(rows) == 302 - len(gone)
