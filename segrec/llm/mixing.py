@@ -8,9 +8,9 @@ cannot give is raked over the others. A document's draw is a hash of its id and
 Targets are shares by value of each margin, given or, by default, the present shares raised to a power
 below 1 (small values gain). The ``sources`` and ``languages`` with the most tokens have values of
 their own, all others are one value, and topics come from a fixed list: the number of cells, all that
-the driver sees, is bounded by these parameters. Topics are told by keywords: the topic whose keywords
-occur most, ties to the first, ``general`` without any. A document's tokens are counted as its spaces and
-line breaks and one more.
+the driver sees, is bounded by these parameters. Topics are told by keyword patterns: the topic with
+the most matches, ties to the first, ``general`` without any. A document's tokens are its runs of
+non-space characters.
 
 Nulls: a null source or language is the value ``unknown``; null text has no tokens and no topic
 keyword. Rows that tie on id and text share their draw. A target for a value that no document has is
@@ -28,12 +28,17 @@ from pyspark.sql import functions as F
 
 from segrec.llm.common import materialise, packed_row, text_or_empty
 
-#: Keywords of the topics; fixed values.
+#: Patterns of the topics; fixed values.
 TOPICS = {
-    "legal": ("icense", "opyright", "arranty"),
-    "tables": (" | ",),
-    "contact": ("@", "http"),
-    "code": ("{", " = ", "();"),
+    "legal": r"(?i)licen[cs]e|copyright|warranty|all rights reserved",
+    "tables": r" \| ",
+    "contact": r"[\w.]+@[\w.]+|https?://",
+    "numbers": r"\d{4,}",
+}
+#: Lower-case literals that are as many as a pattern's matches: they can't overlap.
+LITERALS = {
+    TOPICS["legal"]: ("license", "licence", "copyright", "warranty", "all rights reserved"),
+    TOPICS["tables"]: (" | ",),
 }
 GENERAL, UNKNOWN, OTHER = "general", "unknown", "(other)"
 SOURCES, LANGUAGES = 1000, 100
@@ -49,15 +54,29 @@ def _times(text: Column, word: str) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))) / len(word.encode())
 
 
-def topic_of(text: Column, topics: Mapping[str, tuple[str, ...]] = TOPICS) -> Column:
-    counts = F.array(*[sum((_times(text, w) for w in words[1:]), _times(text, words[0])) for words in topics.values()])
+def _matches(text: Column, pattern: str) -> Column:
+    """How often a pattern matches; by literals where these agree with it on every text."""
+    if pattern in LITERALS:
+        low = F.lower(text) if pattern.startswith("(?i)") else text
+        words = LITERALS[pattern]
+        return sum((_times(low, w) for w in words[1:]), _times(low, words[0]))
+    count = F.regexp_count(text, F.lit(pattern)).cast("double")
+    if pattern == TOPICS["contact"]:  # an address can hold the start of a link, but only where there is an @
+        return F.when(F.contains(text, F.lit("@")), count).otherwise(_times(text, "http://") + _times(text, "https://"))
+    return count
+
+
+def topic_of(text: Column, topics: Mapping[str, str] = TOPICS) -> Column:
+    counts = F.array(*[_matches(text, pattern) for pattern in topics.values()])
     most = F.array_max(counts)
     return F.when(most > 0, F.element_at(F.array(*[F.lit(t) for t in topics]), F.array_position(counts, most).cast("int"))).otherwise(GENERAL)
 
 
 def tokens_of(text: Column) -> Column:
-    """Spaces and line breaks, and one for a text that isn't empty."""
-    return F.when(text == "", 0).otherwise(_times(text, " ") + _times(text, "\n") + 1).cast("bigint")
+    r"""Runs of non-space characters, as many as ``\S+`` has matches."""
+    for space in "\t\n\v\f\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.size(F.array_remove(F.split(text, " ", -1), "")).cast("bigint")
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], keep: float, cycles: int = CYCLES) -> np.ndarray:

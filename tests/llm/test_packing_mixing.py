@@ -156,3 +156,21 @@ def test_rare_sources_share_a_cell(spark):
     df = spark.createDataFrame([(i, "t u v", f"s{i % 50}", "en", None, None) for i in range(500)], MIX)
     rows = mixing.annotate(df, sources=3).collect()
     assert len(rows) == 500 and len({r["probability"] for r in rows if r["__row"]["source"] not in ("s0", "s1", "s10")}) == 1
+
+
+def test_tokens_and_topics_equal_patterns_on_every_text(spark):
+    import re
+
+    parts = ["LICENSE", "licence", "All Rights Reserved", "copyrightwarranty", " | ", " | | ", "a.b@http://c", "https://x", "HTTP://", "@", "1234", "12345 678", "{", "\t", "\n\n", "   ", "\u00a0", "\v\f\r", "\u0130", "\u212a", "w\u00f6rd"]
+    rng = np.random.default_rng(5)
+    texts = ["", " ", "\n", *parts] + ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(400)]
+
+    def topic(text):
+        counts = [len(re.findall(p, text, re.A)) for p in (r"(?i)licen[cs]e|copyright|warranty|all rights reserved", r" \| ", r"[\w.]+@[\w.]+|https?://", r"\d{4,}")]
+        return ("legal", "tables", "contact", "numbers")[counts.index(max(counts))] if max(counts) else "general"
+
+    rows = mixing.annotate(spark.createDataFrame([(i, t, "s", "en", None, None) for i, t in enumerate(texts)], MIX)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = r["__row"]["text"]
+        assert (r["tokens"], r["topic"]) == (len(re.findall(r"\S+", text, re.A)), topic(text)), repr(text)
