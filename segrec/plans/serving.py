@@ -160,5 +160,5 @@ def r19(s: Star) -> DataFrame:
 
 @query("sk9_integrity")
 def sk9(s: Star) -> DataFrame:
-    """Checksums of the stored tables, read on the executors."""
-    return checksums(s.spark, f"{s.sf_dir}/region.parquet").select("file", "sha256", "bytes")
+    """Checksums of all stored tables, read on the executors."""
+    return checksums(s.spark, s.sf_dir).select("file", "sha256", "bytes")
