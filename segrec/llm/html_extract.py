@@ -1,21 +1,23 @@
-"""Main text of web pages: a host-wide search for repeated runs, with markup as a further cue.
-
-The token streams of all of a host's pages, menus and footers included, are concatenated and their
-suffixes sorted (to a depth of ``RUN`` tokens, by prefix doubling); a run of ``RUN`` or more tokens that
-starts in at least ``PAGES`` distinct streams is boilerplate, and blocks covered by such runs go from
-every page. Equal streams count once, so copies of a page don't make each other boilerplate.
-
-Markup takes away more: scripts and styles have no text, and menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are told by element, role, class and id. On a page with an
-``article`` or ``main`` element only the blocks there can stay. Unique runs of the blocks that markup
-leaves stay; a page that would lose all of these keeps them.
-
-A host's pages are dealt to shards of bounded size whose sorted suffixes give counts that are added up
-over shards: the counts are those of the whole host, and no task holds a large host.
+"""Main text of web pages: a host-wide suffix array of page tokens, with markup as a further cue.
+
+Markup cuts pages into blocks. Scripts and styles have no text; menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments are told by element and role, and by class and id where
+every part of a class says so (``cookie-notice``, not ``related-work``); inline elements never go by
+class. On a page with an ``article`` or ``main`` element only the blocks there can stay.
+
+A host's pages, all blocks of them, are dealt to shards of bounded size. A shard concatenates its
+pages' token streams and sorts their suffixes (prefix doubling over token ranks, to a depth of ``RUN``
+tokens: a common prefix that long is all that counts). Runs that neighbours in that order share are
+merged over the host's shards in two rounds: the least 4-gram of each run (its anchor) goes first, and
+only runs whose anchor is met often are sent themselves, with their page. A run on at least ``PAGES``
+distinct pages and a ``SHARE`` of the host's distinct pages is boilerplate, and blocks wholly covered by
+such runs go from every page. A page of which such runs cover over ``COPY`` is a copy of other pages, not
+boilerplate, and keeps its text. Copies of a page count once. A host with one shard sends nothing.
 
 Nulls: null html is empty and gives an empty text. A null url, or one without ``://``, has the empty
-host. Repeated rows and ties give equal rows. Pages of any length are read whole. An empty table gives
-an empty result. Extra columns are carried and may have any names.
+host. Repeated rows and ties give equal rows. Pages of any length are read whole; markup that never
+ends hides nothing but itself. An empty table gives an empty result. Extra columns are carried and may
+have any names.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segrec.llm.common import materialise, packed_row
 
-RUN = 8
+RUN = 10
 PAGES = 3
-SHARD_PAGES = 256
+SHARE = 0.2
+COPY = 0.75
+ANCHOR = 4
+SHARD_BYTES = 2 << 20
 
 # Elements, roles and words of class and id attributes.
 RAW = "script|style|noscript|template|iframe|svg|textarea|title|object|math|canvas|video|audio|select|option"
@@ -47,19 +51,26 @@ BLOCKS = {
 }
 SPACES = {"br", "td", "th", "img"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
+#: Parts of classes and ids that tell what isn't the article; those of PLAIN say nothing by themselves.
 WORDS = {
     "ad", "ads", "advert", "advertisement", "adverts", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "banner",
     "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "cookie", "cookies", "consent",
     "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "share",
     "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "reply", "replies", "respond", "widget", "toolbar", "pagination", "skip",
 }
-INNER = {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "advertisement", "promo", "related", "sponsored", "teaser"}
+PLAIN = {
+    "bar", "block", "body", "bottom", "box", "container", "content", "form", "group", "inner", "item", "items", "left", "links", "list", "main",
+    "module", "outer", "page", "panel", "posts", "right", "section", "site", "slot", "text", "top", "unit", "wrap", "wrapper", "js", "the",
+}
+#: Of these words alone a paragraph or an article can be told; a paragraph called "search" is text.
+INNER = {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "advertisement", "promo", "related", "sponsored", "teaser", "cookie", "cookies", "newsletter"}
+PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "td", "th", "tr", "tbody", "dd", "dt"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{RAW})\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^<>]*>"
+    r"|</?[a-zA-Z][^<>]*(?:>|\Z)"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -68,23 +79,34 @@ _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _kind(name: str, rest: str) -> str:
-    """drop, main or an empty text for a start tag."""
+def _told(names: str, words: set[str]) -> bool:
+    """Whether a name of a class or id attribute has a part in ``words`` and none that says anything else."""
+    for name in names.split():
+        parts = _PARTS.findall(name)
+        if any(x in words for x in parts) and all(x in words or x in WORDS or x in PLAIN for x in parts):
+            return True
+    return False
+
+
+def _kind(name: str, rest: str, inside: list[str]) -> str:
+    """drop, main or an empty text for a start tag within the main elements ``inside``."""
+    dropped = name in DROPPED and not (name == "header" and "article" in inside)
     if not rest.strip():
-        return "drop" if name in DROPPED else "main" if name in MAIN else ""
-    words: set[str] = set()
+        return "drop" if dropped else "main" if name in MAIN else ""
     role = prop = ""
+    called = False
     for key, *value in _ATTRIBUTE.findall(rest):
         key, text = key.lower(), next((v for v in value if v), "").lower()
         if key in ("class", "id"):
-            words |= set(_PARTS.findall(text))
+            if name in BLOCKS and name not in ("html", "body"):
+                called = called or _told(text, INNER if name in MAIN or name in PARAGRAPHS else WORDS)
         elif key == "role":
             role = text
         elif key == "itemprop":
             prop = text
         elif key == "hidden" or "display:none" in text.replace(" ", ""):
             return "drop"
-    if name in DROPPED or role in ROLES or (words & (INNER if name in MAIN else WORDS) and name not in ("html", "body")):
+    if dropped or called or role in ROLES:
         return "drop"
     return "main" if name in MAIN or role == "main" or prop == "articlebody" else ""
 
@@ -94,7 +116,7 @@ def blocks_of(page: str) -> tuple[list[str], list[bool]]:
     blocks: list[str] = []
     marks: list[int] = []  # 0: in an element that markup drops, 1: other, 2: in an article or main element
     parts: list[str] = []
-    low = page.lower()
+    closed: dict[str, int] = {}  # where an element's last end tag is
     inside: list[str] = []  # open main elements
     skipped, depth, at = "", 0, 0
 
@@ -105,11 +127,17 @@ def blocks_of(page: str) -> tuple[list[str], list[bool]]:
             blocks.append(text)
             marks.append(0 if skipped else 2 if inside else 1)
 
+    def ends(name: str) -> bool:
+        if name not in closed:
+            closed[name] = max((m.start() for m in re.finditer(rf"</{name}(?![a-z0-9:-])", page, re.I)), default=-1)
+        return closed[name] >= at
+
     while token := _TOKEN.search(page, at):
         parts.append(page[at : token.start()])
         at = token.end()
         if token["raw"]:
-            end = re.compile(rf"</{token['raw']}\s*>", re.I).search(page, at)
+            raw = token["raw"].lower()
+            end = re.compile(rf"</{raw}\s*>", re.I).search(page, at) if ends(raw) else None
             at = end.end() if end else len(page)
             continue
         if not token["name"]:
@@ -133,8 +161,8 @@ def blocks_of(page: str) -> tuple[list[str], list[bool]]:
             elif name in SPACES:
                 parts.append(" ")
             continue
-        kind = "" if name in VOID else _kind(name, token["rest"])
-        if kind == "drop" and low.find(f"</{name}", at) >= 0:  # an element that never ends hides nothing
+        kind = "" if name in VOID else _kind(name, token["rest"], inside)
+        if kind == "drop" and ends(name):  # an element that never ends hides nothing
             flush()
             skipped, depth = name, 1
             continue
@@ -151,85 +179,216 @@ def blocks_of(page: str) -> tuple[list[str], list[bool]]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "host", "blocks", "left"]
+    import xxhash
+
+    names = ["row", "host", "blocks", "kept", "page", "size"]
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
             part = batch.slice(low, 256)
             found = [blocks_of(x.as_py().decode("utf-8", "replace")) for x in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([m for _, m in found], pa.list_(pa.bool_()))], names=names)
+            texts = ["\n".join(b) for b, _ in found]  # white space within a block is single spaces
+            kept = ["".join("1" if m else "0" for m in marks) for _, marks in found]
+            pages = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(kept, pa.string()), pa.array(pages), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
 
-def _token_numbers(blocks: list[str]) -> np.ndarray:
-    import xxhash
+_NUMBERS: dict[str, int] = {}
 
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode()) for b in blocks for w in b.split()), np.uint64)
 
+def token_numbers(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each token; a task keeps those of tokens that it has met."""
+    import xxhash
 
-def windows(tokens: np.ndarray, run: int = RUN) -> np.ndarray:
-    """A number for each suffix's first ``run`` tokens (fewer than ``run`` suffixes less), by hashing in doubling steps."""
-    h, size = tokens, 1
-    with np.errstate(over="ignore"):
-        while size < run:
-            step = min(size, run - size)
-            if len(h) <= step:
-                return np.empty(0, np.uint64)
-            mixed = (h[:-step] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[step:] + np.uint64(size))
-            h = mixed ^ (mixed >> np.uint64(31))
-            h = h * np.uint64(0xD6E8FEB86659FD93)
-            size += step
-    return h
-
-
-def suffix_counts(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """(window, streams in which it starts) of the concatenated streams, from their suffixes in sorted order.
-
-    Suffixes are ordered by their first ``run`` tokens; those that stop before a stream's end don't
-    count. Neighbours that share all ``run`` tokens form a group.
-    """
-    keys = [windows(s, run) for s in streams]
-    flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    order = np.lexsort((owner, flat))  # the suffix array, cut at depth run
-    flat, owner = flat[order], owner[order]
-    if not len(flat):
-        return flat, np.empty(0, np.int64)
-    new = np.r_[True, flat[1:] != flat[:-1]]
-    fresh = new | np.r_[True, owner[1:] != owner[:-1]]
-    return flat[new], np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(new))
-
-
-def _shard_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    keys, counts = suffix_counts([_token_numbers(list(b)) for b in rows["blocks"]])
-    if rows["shards"].iloc[0] == 1:  # the whole host is here
-        keys, counts = keys[counts >= rows["least"].iloc[0]], counts[counts >= rows["least"].iloc[0]]
-    return pd.DataFrame({"host": rows["host"].iloc[0], "run": keys.view(np.int64), "pages": counts})
-
-
-def _page_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for host, stream, blocks in zip(*batch.columns, strict=True):
-            keys = windows(_token_numbers(blocks.as_py()))
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array([host.as_py()] * n, pa.string()), pa.array([stream.as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(keys.view(np.int64))], names=["host", "stream", "at", "run"])
+    if len(_NUMBERS) > 1 << 20:
+        _NUMBERS.clear()
+    for w in set(words) - _NUMBERS.keys():
+        _NUMBERS[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return np.fromiter(map(_NUMBERS.__getitem__, words), np.uint64, len(words))
 
 
-def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for blocks, left, starts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            sizes = [len(b.split()) for b in blocks]
-            covered = np.zeros(sum(sizes) + 1, np.int64)
-            for s in starts or ():
-                covered[s] += 1
-                covered[min(s + RUN, len(covered) - 1)] -= 1
-            hit = np.cumsum(covered)[:-1] > 0
-            ends = np.cumsum(sizes)
-            kept = [b for b, m, e, n in zip(blocks, left, ends, sizes, strict=True) if m and not (n and hit[e - n : e].all())]
-            out.append("\n\n".join(kept or [b for b, m in zip(blocks, left, strict=True) if m]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "main_text"])
-
-
-def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", pages: int = PAGES) -> DataFrame:
+def _grams(tokens: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` neighbouring tokens, by doubling; as long as ``tokens``, the last ones wrap around."""
+    h, have = tokens, 1
+    with np.errstate(over="ignore"):
+        while have < size:
+            step = min(have, size - have)
+            mixed = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (np.roll(h, -step) + np.uint64(have))
+            h = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            have += step
+        return h ^ (h >> np.uint64(32))
+
+
+def suffix_ranks(tokens: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Rank of each suffix in the order of its first ``run`` tokens, equal prefixes equal; the last ones wrap around."""
+    rank, size = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
+    while size < run and len(rank):
+        step = min(size, run - size)
+        rank = np.unique(rank * (rank.max() + 1) + np.roll(rank, -step), return_inverse=True)[1].astype(np.int64)
+        size += step
+    return rank
+
+
+class Shard:
+    """The suffixes of a shard's distinct pages, and what it asks the host's other shards in each round."""
+
+    def __init__(self, pages: list[int], texts: list[str], run: int = RUN) -> None:
+        self.run = run
+        self.at: dict[int, tuple[int, int]] = {}  # page -> its tokens
+        streams, size = [], 0
+        for page, text in zip(pages, texts, strict=True):
+            if page not in self.at:
+                words = text.split()
+                self.at[page] = size, size + len(words)
+                streams.append(words)
+                size += len(words)
+        tokens = token_numbers([w for s in streams for w in s])
+        sizes = np.array([len(s) for s in streams], np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(size)
+        self.names = np.array(list(self.at), np.int64)
+        starts = np.flatnonzero(left >= run)  # a run doesn't cross pages
+        rank = suffix_ranks(tokens, run)[starts]
+        order = np.argsort(rank, kind="stable")  # the suffix array; pages ascend within equals
+        self.starts, rank, self.owner = starts[order], rank[order], owner[starts[order]]
+        new = np.ones(len(rank), bool)
+        new[1:] = rank[1:] != rank[:-1]
+        self.group = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)
+        fresh = new.copy()
+        fresh[1:] |= self.owner[1:] != self.owner[:-1]
+        self.pages = np.bincount(self.group[fresh], minlength=len(self.first))
+        # a run is named by a hash, and anchored at its least 4-gram
+        self.name = _grams(tokens, run)[self.starts[self.first]] if size else np.empty(0, np.uint64)
+        anchors = _grams(tokens, ANCHOR) if size else np.empty(0, np.uint64)
+        least = anchors
+        for k in range(1, run - ANCHOR + 1):
+            least = np.minimum(least, np.roll(anchors, -k))
+        least = least[self.starts[self.first]] if size else least
+        with np.errstate(over="ignore"):
+            least = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        self.anchors, self.anchor = np.unique(least, return_inverse=True)
+        self.fresh = fresh
+
+    def anchor_pages(self) -> np.ndarray:
+        """Pages with each anchor, at most 255 (a page with several runs of one anchor counts again: that only asks more)."""
+        return np.minimum(np.bincount(self.anchor, weights=self.pages, minlength=len(self.anchors)), 255).astype(np.uint8)
+
+    def asked(self, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, name, page) for each run whose anchor is met often and each of its pages, by name."""
+        at = np.flatnonzero(self.fresh & often[self.anchor][self.group])
+        at = at[np.argsort(self.name[self.group[at]], kind="stable")]
+        return self.group[at], self.name[self.group[at]], self.names[self.owner[at]]
+
+    def covered(self, groups: np.ndarray) -> np.ndarray:
+        """How many of the runs ``groups`` cover each token."""
+        change = np.zeros(sum(b - a for a, b in self.at.values()) + 1, np.int64)
+        marked = np.zeros(len(self.first), bool)
+        marked[groups] = True
+        starts = self.starts[marked[self.group]]
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + self.run, -1)
+        return np.cumsum(change)[:-1]
+
+
+_ASKED = "host string, shard int, shards int, buckets int, least bigint, bucket int, n int, keys binary, pages binary"
+_TOLD = "host string, shard int, round int, bucket int, n int, bits binary"
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among ascending keys: a bucket is a range of keys."""
+    bits = buckets.bit_length() - 1
+    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange(buckets + 1)) if bits else np.array([0, len(keys)])
+
+
+def _bits(told: pa.Table | None, number: int) -> np.ndarray:
+    """A shard's answers of a round in the order of its questions."""
+    rows = sorted((r["bucket"], r["n"], r["bits"]) for r in (told.to_pylist() if told else ()) if r["round"] == number)
+    return np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for _, n, b in rows]) if rows else np.empty(0, bool)
+
+
+def _asker(number: int):
+    def ask(rows: pa.Table, told: pa.Table | None = None) -> pa.Table:
+        empty = _arrow(_ASKED).empty_table()
+        if not rows.num_rows or rows["shards"][0].as_py() == 1:
+            return empty
+        host, number_of, shards, buckets, least = (rows[c][0].as_py() for c in ("host", "shard", "shards", "buckets", "least"))
+        shard = Shard(rows["page"].to_pylist(), rows["blocks"].to_pylist())
+        if number == 1:
+            keys, pages = shard.anchors, shard.anchor_pages()
+            small = keys.astype(np.uint32)  # a false match only asks more
+        else:
+            _, keys, pages = shard.asked(_bits(told, 1))
+            small = keys
+        cuts = _cuts(keys, buckets)
+        used = np.flatnonzero(np.diff(cuts)).tolist()
+        columns = [[host] * len(used), [number_of] * len(used), [shards] * len(used), [buckets] * len(used), [least] * len(used), used, np.diff(cuts)[used].tolist(), [small[cuts[k] : cuts[k + 1]].tobytes() for k in used], [pages[cuts[k] : cuts[k + 1]].tobytes() for k in used]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, empty.schema, strict=True)], schema=empty.schema)
+
+    def first(rows: pa.Table) -> pa.Table:
+        return ask(rows)
+
+    return first if number == 1 else ask
+
+
+def _answerer(number: int, pages: int):
+    def answer(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("shard")
+        sizes, least = rows["n"].to_numpy(), rows["least"][0].as_py()
+        keys = np.concatenate([np.frombuffer(x, np.uint32 if number == 1 else np.uint64) for x in rows["keys"].to_pylist()])
+        met = np.concatenate([np.frombuffer(x, np.uint8 if number == 1 else np.int64) for x in rows["pages"].to_pylist()])
+        _, group = np.unique(keys, return_inverse=True)
+        if number == 1:
+            bits = (np.bincount(group, weights=met) >= pages)[group]
+        else:  # a page with copies in several shards counts once
+            order = np.lexsort((met, group))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (group[order][1:] != group[order][:-1]) | (met[order][1:] != met[order][:-1])
+            bits = (np.bincount(group[order][fresh]) >= least)[group]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        parts = [np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        n = rows.num_rows
+        return pa.Table.from_arrays([rows["host"], rows["shard"], pa.array([number] * n, pa.int32()), rows["bucket"], rows["n"], pa.array(parts, pa.binary())], schema=_arrow(_TOLD))
+
+    return answer
+
+
+def unique_text(blocks: list[str], kept: list[bool], hit: np.ndarray) -> str:
+    """The blocks that markup keeps but those wholly covered; all of them if over ``COPY`` of their tokens are."""
+    sizes = np.array([b.count(" ") + 1 for b in blocks], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    within = np.concatenate([[0], np.cumsum(hit)])
+    covered = within[ends] - within[begins]
+    mine = np.array(kept, bool)
+    copy = covered[mine].sum() > COPY * sizes[mine].sum()
+    return "\n\n".join(b for b, k, c, n in zip(blocks, kept, covered, sizes, strict=True) if k and (copy or c < n))
+
+
+def _finish(rows: pa.Table, told: pa.Table) -> pa.Table:
+    texts, pages = rows["blocks"].to_pylist(), rows["page"].to_pylist()
+    out: dict[tuple[int, str], str] = {}
+    if rows.num_rows:
+        shard = Shard(pages, texts)
+        if rows["shards"][0].as_py() == 1:
+            groups = np.flatnonzero(shard.pages >= rows["least"][0].as_py())
+        else:
+            asked, _, _ = shard.asked(_bits(told, 1))
+            groups = asked[_bits(told, 2)]
+        hits = shard.covered(groups) > 0
+        for page, text, kept in zip(pages, texts, rows["kept"].to_pylist(), strict=True):
+            if (page, kept) not in out:
+                begin, end = shard.at[page]
+                out[page, kept] = unique_text(text.split("\n"), [k == "1" for k in kept], hits[begin:end]) if text else ""
+    found = [out[p, k] for p, k in zip(pages, rows["kept"].to_pylist(), strict=True)]
+    return pa.Table.from_arrays([rows["row"], pa.array(found, pa.string())], names=["row", "main_text"])
+
+
+def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", pages: int = PAGES, share: float = SHARE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Rows (row, main_text): the columns of ``df`` other than its html in the struct ``row``, and the main text, empty if there is none."""
     from segrec.llm.url_filter import host_and_path
 
@@ -237,16 +396,17 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", pages:
     host = F.coalesce(host_and_path(F.col(url_col).cast("string"))[0], F.lit(""))
     source = df.select(packed_row(others).alias("row"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
     row = source.schema["row"].dataType.simpleString()
-    parsed = source.mapInArrow(_parsed, f"row {row}, host string, blocks array<string>, left array<boolean>")
-    parsed = materialise(parsed.withColumn("stream", F.xxhash64("blocks")), "parsed_pages")
-    streams = parsed.where("size(blocks) > 0").groupBy("host", "stream").agg(F.first("blocks").alias("blocks"))
-    sizes = parsed.where("size(blocks) > 0").select("host", "stream").distinct().groupBy("host").agg(F.ceil(F.count("*") / SHARD_PAGES).cast("int").alias("shards")).withColumnRenamed("host", "of")
-    dealt = streams.join(sizes, F.col("host") == F.col("of")).withColumns({"shard": F.pmod("stream", "shards"), "least": F.lit(pages)})
-    counts = dealt.groupBy("host", "shard").applyInPandas(_shard_counts, "host string, run bigint, pages bigint")
-    repeated = counts.groupBy("host", "run").agg(F.sum("pages").alias("n")).where(F.col("n") >= pages).select(F.col("host").alias("r_host"), F.col("run").alias("r_run"))
-    repeated = materialise(repeated, "repeated_runs")
-    met = streams.select("host", "stream", "blocks").mapInArrow(_page_windows, "host string, stream bigint, at int, run bigint")
-    covered = met.join(repeated, (F.col("host") == F.col("r_host")) & (F.col("run") == F.col("r_run"))).groupBy("host", "stream").agg(F.collect_list("at").alias("starts"))
-    covered = covered.withColumnsRenamed({"host": "c_host", "stream": "c_stream"})
-    asked = parsed.join(covered, (F.col("host") == F.col("c_host")) & (F.col("stream") == F.col("c_stream")), "left").select("row", "blocks", "left", "starts")
-    return asked.mapInArrow(_unique_runs, f"row {row}, main_text string")
+    parsed = source.mapInArrow(_parsed, f"row {row}, host string, blocks string, kept string, page bigint, size bigint")
+    parsed = materialise(parsed.withColumn("uid", F.monotonically_increasing_id()), "parsed_pages")
+    distinct = parsed.groupBy("host", "page").agg(F.sum("size").alias("size")).groupBy("host").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    shards = F.ceil(F.greatest(F.col("size"), F.lit(1)) / shard_bytes).cast("int")
+    buckets = F.pow(F.lit(2.0), F.ceil(F.log2(shards.cast("double")))).cast("int")
+    hosts = distinct.select(F.col("host").alias("of"), shards.alias("shards"), buckets.alias("buckets"), F.greatest(F.lit(pages), F.ceil(F.col("n") * share)).cast("bigint").alias("least"))
+    # copies of a page are dealt apart, so that no shard holds all of them
+    dealt = parsed.join(hosts, F.col("host") == F.col("of")).withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("shards")).cast("int")).drop("of", "size", "uid")
+    dealt = dealt.repartition("host", "shard")
+    here = dealt.groupBy("host", "shard")
+    told = here.applyInArrow(_asker(1), _ASKED).groupBy("host", "bucket").applyInArrow(_answerer(1, pages), _TOLD)
+    asked = here.cogroup(told.groupBy("host", "shard")).applyInArrow(_asker(2), _ASKED)
+    told = told.unionByName(asked.groupBy("host", "bucket").applyInArrow(_answerer(2, pages), _TOLD))
+    return here.cogroup(told.groupBy("host", "shard")).applyInArrow(_finish, f"row {row}, main_text string")

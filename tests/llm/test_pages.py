@@ -157,7 +157,7 @@ PAGES = [
     (None, ""),
     ("plain   text\n here", "plain text here"),
     ("<article><p title='a>b'>q</p><form>f<input></form>r</article>", "q\n\nr"),
-    ("<p>unfinished <a href='x", "unfinished <a href='x"),
+    ("<p>unfinished <a href='x", "unfinished"),
 ]
 
 
@@ -187,15 +187,72 @@ def test_host_boilerplate_goes_from_article_pages(spark):
     assert all(rows[i] == own[i] for i in range(5)) and rows[5] == f"{own[0]}\n\n{shared}"
 
 
-def test_suffix_counts_equal_brute_force():
+def test_suffix_order_and_counts_equal_brute_force():
     rng = np.random.default_rng(4)
-    streams = [rng.integers(0, 3, n).astype(np.uint64) for n in (40, 3, 0, 25, 40)]
-    keys, counts = html_extract.suffix_counts(streams, 5)
+    tokens = rng.integers(0, 3, 200).astype(np.uint64)
+    ranks, run = html_extract.suffix_ranks(tokens, 5), 5
+    prefixes = [tuple(tokens[i : i + run]) for i in range(len(tokens) - run + 1)]
+    assert ranks[: len(prefixes)].argsort(kind="stable").tolist() == sorted(range(len(prefixes)), key=lambda i: prefixes[i])
+    assert all((ranks[i] == ranks[j]) == (prefixes[i] == prefixes[j]) for i in range(0, 196, 7) for j in range(196))
+    texts = [" ".join(map(str, rng.integers(0, 3, n))) for n in (40, 3, 0, 25, 40)]
+    shard = html_extract.Shard(list(range(5)), texts, 5)
     seen = {}
-    for k, s in enumerate(streams):
-        for i in range(len(s) - 4):
-            seen.setdefault(tuple(s[i : i + 5]), set()).add(k)
-    assert sorted(counts.tolist()) == sorted(len(v) for v in seen.values()) and len(keys) == len(seen)
+    for k, text in enumerate(texts):
+        words = text.split()
+        for i in range(len(words) - 4):
+            seen.setdefault(tuple(words[i : i + 5]), set()).add(k)
+    assert sorted(shard.pages.tolist()) == sorted(len(v) for v in seen.values()) and len(set(shard.name.tolist())) == len(seen)
+
+
+def brute_extract(pages, share):
+    """Main text of (host, html) pages by counting every run of every page."""
+    parsed = [(host, *html_extract.blocks_of(page)) for host, page in pages]
+    runs, distinct = {}, {}
+    for host, blocks, _ in parsed:
+        words = " ".join(blocks).split()
+        distinct.setdefault(host, set()).add(tuple(blocks))
+        for i in range(len(words) - html_extract.RUN + 1):
+            runs.setdefault((host, tuple(words[i : i + html_extract.RUN])), set()).add(tuple(blocks))
+    for host, blocks, kept in parsed:
+        words = " ".join(blocks).split()
+        least = max(html_extract.PAGES, int(np.ceil(len(distinct[host]) * share)))
+        hit = np.zeros(len(words), bool)
+        for i in range(len(words) - html_extract.RUN + 1):
+            if len(runs[host, tuple(words[i : i + html_extract.RUN])]) >= least:
+                hit[i : i + html_extract.RUN] = True
+        yield html_extract.unique_text(blocks, kept, hit) if blocks else ""
+
+
+@pytest.mark.parametrize("shard_bytes", [300, 1 << 20])
+def test_extraction_equals_brute_force(spark, shard_bytes):
+    rng = np.random.default_rng(9)
+    notes = [" ".join(f"n{k}w{i}" for i in range(int(rng.integers(6, 16)))) for k in range(4)]
+    pages = []
+    for i in range(60):
+        own = [f"<p>{' '.join(f'o{rng.integers(0, 300)}' for _ in range(12))}</p>" for _ in range(4)]
+        for k in rng.choice(4, 2, replace=False):
+            own.insert(int(rng.integers(0, 5)), f"<p>{notes[k]}</p>")
+        pages.append((f"h{rng.choice(3, p=[0.7, 0.2, 0.1])}", "<article>" + "".join(own) + "</article>" if i % 2 else "".join(own)))
+    pages += pages[:5] + [("h0", "")] * 3
+    df = spark.createDataFrame([(i, f"http://{h}/x", p) for i, (h, p) in enumerate(pages)], "page_id bigint, url string, html string")
+    rows = {r["row"]["page_id"]: r["main_text"] for r in html_extract.extract(df, share=0.25, shard_bytes=shard_bytes).collect()}
+    want = list(brute_extract(pages, 0.25))
+    assert [rows[i] for i in range(len(pages))] == want
+    assert sum(n in t for n in notes for t in want) < 60  # runs do go
+
+
+def test_words_of_attributes_take_no_text_of_an_article(spark):
+    pages = [
+        ("<article><section class='related-work'><p>prior art</p></section><p>b</p></article>", "prior art\n\nb"),
+        ("<main><p id='search'>how search works</p><p class='notice-period'>three months</p></main>", "how search works\n\nthree months"),
+        ("<main><p>see <a class='social'>social</a> networks</p></main>", "see social networks"),
+        ("<article><header><h1>Headline</h1></header><p>a</p></article>", "Headline\n\na"),
+        ("<main><p>a</p><div class='cookie-notice-box'>c</div><p class='ad'>buy</p><ul id='comments-list'><li>x</ul></main>", "a"),
+        ("\u0130" * 50 + "<nav>x</nav><p>t", "\u0130" * 50 + "\n\nt"),
+    ]
+    df = spark.createDataFrame([(i, None, p) for i, (p, _) in enumerate(pages)], "page_id bigint, url string, html string")
+    rows = {r["row"]["page_id"]: r["main_text"] for r in html_extract.extract(df).collect()}
+    assert rows == {i: want for i, (_, want) in enumerate(pages)}
 
 
 def test_extraction_takes_empty_tables_and_long_pages(spark):
