@@ -10,7 +10,7 @@ pages' token streams and sorts their suffixes (prefix doubling over token ranks,
 tokens: a common prefix that long is all that counts). Runs that neighbours in that order share are
 merged over the host's shards in two rounds: the least 4-gram of each run (its anchor) goes first, and
 only runs whose anchor is met often are sent themselves, with their page. A run on at least ``PAGES``
-distinct pages and a ``SHARE`` of the host's distinct pages is boilerplate, and blocks wholly covered by
+distinct pages, as many as a ``SHARE`` of all of the host's, is boilerplate, and blocks wholly covered by
 such runs go from every page. A page of which such runs cover over ``COPY`` is a copy of other pages, not
 boilerplate, and keeps its text. Copies of a page count once. A host with one shard sends nothing.
 
@@ -23,6 +23,7 @@ have any names.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -178,18 +179,21 @@ def blocks_of(page: str) -> tuple[list[str], list[bool]]:
     return blocks, [m == best for m in marks]
 
 
+_DEALT = ["row", "host", "shard", "shards", "buckets", "least"]
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    names = ["row", "host", "blocks", "kept", "page", "size"]
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
             part = batch.slice(low, 256)
-            found = [blocks_of(x.as_py().decode("utf-8", "replace")) for x in part.column(2)]
+            found = [blocks_of(x.as_py().decode("utf-8", "replace")) for x in part["html"]]
             texts = ["\n".join(b) for b, _ in found]  # white space within a block is single spaces
             kept = ["".join("1" if m else "0" for m in marks) for _, marks in found]
             pages = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(kept, pa.string()), pa.array(pages), pa.array([len(t) for t in texts], pa.int64())], names=names)
+            told = {"blocks": pa.array(texts, pa.string()), "kept": pa.array(kept, pa.string()), "page": pa.array(pages)}
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in _DEALT), *told.values()], names=[*_DEALT, *told])
 
 
 _NUMBERS: dict[str, int] = {}
@@ -369,23 +373,25 @@ def unique_text(blocks: list[str], kept: list[bool], hit: np.ndarray) -> str:
     return "\n\n".join(b for b, k, c, n in zip(blocks, kept, covered, sizes, strict=True) if k and (copy or c < n))
 
 
-def _finish(rows: pa.Table, told: pa.Table) -> pa.Table:
-    texts, pages = rows["blocks"].to_pylist(), rows["page"].to_pylist()
-    out: dict[tuple[int, str], str] = {}
-    if rows.num_rows:
-        shard = Shard(pages, texts)
-        if rows["shards"][0].as_py() == 1:
-            groups = np.flatnonzero(shard.pages >= rows["least"][0].as_py())
-        else:
-            asked, _, _ = shard.asked(_bits(told, 1))
-            groups = asked[_bits(told, 2)]
-        hits = shard.covered(groups) > 0
-        for page, text, kept in zip(pages, texts, rows["kept"].to_pylist(), strict=True):
-            if (page, kept) not in out:
-                begin, end = shard.at[page]
-                out[page, kept] = unique_text(text.split("\n"), [k == "1" for k in kept], hits[begin:end]) if text else ""
-    found = [out[p, k] for p, k in zip(pages, rows["kept"].to_pylist(), strict=True)]
-    return pa.Table.from_arrays([rows["row"], pa.array(found, pa.string())], names=["row", "main_text"])
+def _finisher(least: int, share: float):
+    def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
+        texts, pages, marks = (rows[c].to_pylist() for c in ("blocks", "page", "kept"))
+        out: dict[tuple[int, str], str] = {}
+        if rows.num_rows:
+            shard = Shard(pages, texts)
+            if rows["shards"][0].as_py() == 1:
+                groups = np.flatnonzero(shard.pages >= max(least, math.ceil(rows.num_rows * share)))
+            else:
+                asked, _, _ = shard.asked(_bits(told, 1))
+                groups = asked[_bits(told, 2)]
+            hits = shard.covered(groups) > 0
+            for page, text, kept in zip(pages, texts, marks, strict=True):
+                if (page, kept) not in out:
+                    begin, end = shard.at[page]
+                    out[page, kept] = unique_text(text.split("\n"), [k == "1" for k in kept], hits[begin:end]) if text else ""
+        return pa.Table.from_arrays([rows["row"], pa.array([out[x] for x in zip(pages, marks, strict=True)], pa.string())], names=["row", "main_text"])
+
+    return finish
 
 
 def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", pages: int = PAGES, share: float = SHARE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -396,17 +402,25 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", pages:
     host = F.coalesce(host_and_path(F.col(url_col).cast("string"))[0], F.lit(""))
     source = df.select(packed_row(others).alias("row"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
     row = source.schema["row"].dataType.simpleString()
-    parsed = source.mapInArrow(_parsed, f"row {row}, host string, blocks string, kept string, page bigint, size bigint")
-    parsed = materialise(parsed.withColumn("uid", F.monotonically_increasing_id()), "parsed_pages")
-    distinct = parsed.groupBy("host", "page").agg(F.sum("size").alias("size")).groupBy("host").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    shards = F.ceil(F.greatest(F.col("size"), F.lit(1)) / shard_bytes).cast("int")
-    buckets = F.pow(F.lit(2.0), F.ceil(F.log2(shards.cast("double")))).cast("int")
-    hosts = distinct.select(F.col("host").alias("of"), shards.alias("shards"), buckets.alias("buckets"), F.greatest(F.lit(pages), F.ceil(F.col("n") * share)).cast("bigint").alias("least"))
-    # copies of a page are dealt apart, so that no shard holds all of them
-    dealt = parsed.join(hosts, F.col("host") == F.col("of")).withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("shards")).cast("int")).drop("of", "size", "uid")
-    dealt = dealt.repartition("host", "shard")
+    source = source.withColumn("uid", F.monotonically_increasing_id())
+    # the hosts with more than one shard are few: at most one for each ``shard_bytes`` of the input
+    sizes = source.groupBy("host").agg(F.sum(F.octet_length("html") + 64).alias("size"), F.count("*").alias("n")).where(F.col("size") > shard_bytes)
+    many = F.ceil(F.col("size") / shard_bytes).cast("int")
+    buckets = F.pow(F.lit(2.0), F.ceil(F.log2(many.cast("double")))).cast("int")
+    large = sizes.select(F.col("host").alias("of"), many.alias("many"), buckets.alias("many_buckets"), F.greatest(F.lit(pages), F.ceil(F.col("n") * share)).cast("bigint").alias("enough"))
+    dealt = source.join(large, F.col("host") == F.col("of"), "left").select(
+        "row",
+        "host",
+        # copies of a page are dealt apart, so that no shard holds all of them
+        F.coalesce(F.pmod(F.xxhash64("uid"), F.col("many")), F.lit(0)).cast("int").alias("shard"),
+        F.coalesce("many", F.lit(1)).alias("shards"),
+        F.coalesce("many_buckets", F.lit(1)).alias("buckets"),
+        F.coalesce("enough", F.lit(0)).cast("bigint").alias("least"),
+        "html",
+    )
+    dealt = dealt.mapInArrow(_parsed, f"row {row}, host string, shard int, shards int, buckets int, least bigint, blocks string, kept string, page bigint")
     here = dealt.groupBy("host", "shard")
     told = here.applyInArrow(_asker(1), _ASKED).groupBy("host", "bucket").applyInArrow(_answerer(1, pages), _TOLD)
     asked = here.cogroup(told.groupBy("host", "shard")).applyInArrow(_asker(2), _ASKED)
     told = told.unionByName(asked.groupBy("host", "bucket").applyInArrow(_answerer(2, pages), _TOLD))
-    return here.cogroup(told.groupBy("host", "shard")).applyInArrow(_finish, f"row {row}, main_text string")
+    return here.cogroup(told.groupBy("host", "shard")).applyInArrow(_finisher(pages, share), f"row {row}, main_text string")

@@ -207,15 +207,14 @@ def test_suffix_order_and_counts_equal_brute_force():
 def brute_extract(pages, share):
     """Main text of (host, html) pages by counting every run of every page."""
     parsed = [(host, *html_extract.blocks_of(page)) for host, page in pages]
-    runs, distinct = {}, {}
+    runs = {}
     for host, blocks, _ in parsed:
         words = " ".join(blocks).split()
-        distinct.setdefault(host, set()).add(tuple(blocks))
         for i in range(len(words) - html_extract.RUN + 1):
             runs.setdefault((host, tuple(words[i : i + html_extract.RUN])), set()).add(tuple(blocks))
     for host, blocks, kept in parsed:
         words = " ".join(blocks).split()
-        least = max(html_extract.PAGES, int(np.ceil(len(distinct[host]) * share)))
+        least = max(html_extract.PAGES, int(np.ceil(sum(h == host for h, _ in pages) * share)))
         hit = np.zeros(len(words), bool)
         for i in range(len(words) - html_extract.RUN + 1):
             if len(runs[host, tuple(words[i : i + html_extract.RUN])]) >= least:
