@@ -9,7 +9,7 @@ A host's pages, all blocks of them, are dealt to shards of bounded size. A shard
 pages' token streams and sorts their suffixes (prefix doubling over token ranks, to a depth of ``RUN``
 tokens: a common prefix that long is all that counts). Runs that neighbours in that order share are
 merged over the host's shards in two rounds: the least 4-gram of each run (its anchor) goes first, and
-only runs whose anchor is met often are sent themselves, with their page. A run on at least ``PAGES``
+only runs whose anchor is on enough pages are sent themselves, with their page. A run on at least ``PAGES``
 distinct pages, as many as a ``SHARE`` of all of the host's, is boilerplate, and blocks wholly covered by
 such runs go from every page. A page of which such runs cover over ``COPY`` is a copy of other pages, not
 boilerplate, and keeps its text. Copies of a page count once. A host with one shard sends nothing.
@@ -40,6 +40,8 @@ SHARE = 0.2
 COPY = 0.75
 ANCHOR = 4
 SHARD_BYTES = 2 << 20
+#: Hosts with more than one shard whose sizes are broadcast; beyond as many they are joined by a shuffle.
+BROADCAST_HOSTS = 200_000
 
 # Elements, roles and words of class and id attributes.
 RAW = "script|style|noscript|template|iframe|svg|textarea|title|object|math|canvas|video|audio|select|option"
@@ -274,8 +276,9 @@ class Shard:
         self.fresh = fresh
 
     def anchor_pages(self) -> np.ndarray:
-        """Pages with each anchor, at most 255 (a page with several runs of one anchor counts again: that only asks more)."""
-        return np.minimum(np.bincount(self.anchor, weights=self.pages, minlength=len(self.anchors)), 255).astype(np.uint8)
+        """Distinct pages with each anchor."""
+        met = np.unique(self.anchor[self.group[self.fresh]] * len(self.names) + self.owner[self.fresh])
+        return np.bincount(met // max(1, len(self.names)), minlength=len(self.anchors)).astype(np.uint32)
 
     def asked(self, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(group, name, page) for each run whose anchor is met often and each of its pages, by name."""
@@ -339,15 +342,15 @@ def _asker(number: int):
     return first if number == 1 else ask
 
 
-def _answerer(number: int, pages: int):
+def _answerer(number: int):
     def answer(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("shard")
         sizes, least = rows["n"].to_numpy(), rows["least"][0].as_py()
         keys = np.concatenate([np.frombuffer(x, np.uint32 if number == 1 else np.uint64) for x in rows["keys"].to_pylist()])
-        met = np.concatenate([np.frombuffer(x, np.uint8 if number == 1 else np.int64) for x in rows["pages"].to_pylist()])
+        met = np.concatenate([np.frombuffer(x, np.uint32 if number == 1 else np.int64) for x in rows["pages"].to_pylist()])
         _, group = np.unique(keys, return_inverse=True)
         if number == 1:
-            bits = (np.bincount(group, weights=met) >= pages)[group]
+            bits = (np.bincount(group, weights=met) >= least)[group]
         else:  # a page with copies in several shards counts once
             order = np.lexsort((met, group))
             fresh = np.ones(len(order), bool)
@@ -408,6 +411,8 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", pages:
     many = F.ceil(F.col("size") / shard_bytes).cast("int")
     buckets = F.pow(F.lit(2.0), F.ceil(F.log2(many.cast("double")))).cast("int")
     large = sizes.select(F.col("host").alias("of"), many.alias("many"), buckets.alias("many_buckets"), F.greatest(F.lit(pages), F.ceil(F.col("n") * share)).cast("bigint").alias("enough"))
+    large = materialise(large, "large_hosts")
+    large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
     dealt = source.join(large, F.col("host") == F.col("of"), "left").select(
         "row",
         "host",
@@ -420,7 +425,7 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", pages:
     )
     dealt = dealt.mapInArrow(_parsed, f"row {row}, host string, shard int, shards int, buckets int, least bigint, blocks string, kept string, page bigint")
     here = dealt.groupBy("host", "shard")
-    told = here.applyInArrow(_asker(1), _ASKED).groupBy("host", "bucket").applyInArrow(_answerer(1, pages), _TOLD)
+    told = here.applyInArrow(_asker(1), _ASKED).groupBy("host", "bucket").applyInArrow(_answerer(1), _TOLD)
     asked = here.cogroup(told.groupBy("host", "shard")).applyInArrow(_asker(2), _ASKED)
-    told = told.unionByName(asked.groupBy("host", "bucket").applyInArrow(_answerer(2, pages), _TOLD))
+    told = told.unionByName(asked.groupBy("host", "bucket").applyInArrow(_answerer(2), _TOLD))
     return here.cogroup(told.groupBy("host", "shard")).applyInArrow(_finisher(pages, share), f"row {row}, main_text string")
