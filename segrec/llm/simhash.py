@@ -10,9 +10,14 @@ in at most l * 3/4 bits for every l: no bit in the first, at most 1 in the first
 the chain is checked on their bits before the full Hamming distance.
 
 Near copies by similarity (``keep_one_similar``): texts whose sets of word 5-shingles have a Jaccard
-similarity of 0.8 or more link. Pairs at 0.8 differ in about 15 % of a fingerprint's bits, too many for
-chains of few segments of 64 bits; so candidates share one of 256 keys of 24 bits, each a fixed choice
-from a 1024-bit SimHash, and each candidate pair's shingle sets are compared before components.
+similarity of 0.8 or more link. Such pairs differ in about 15 % of a fingerprint's bits, too many for
+any segment to be equal; so candidates share one of 256 keys of 24 bits, each a fixed choice from a
+1024-bit SimHash. A candidate must have, on the first 512 bits, a chain of segments whose cumulative
+differences stay within the proportional budgets of ``WIDE_BITS`` differing bits, then at most
+``WIDE_BITS`` in all; what is left is compared exactly by shingles. Under one key a text meets the first
+text and the ``BEFORE`` before it, in an order of the key's own. Where a key has more texts, those that
+stay after linking meet again, in another order, round after round until no key has more or a round
+finds no link: what stays has then been compared under every key that it shares.
 
 Nulls: null text is the empty text, whose fingerprint is zero; it links like any other. A null id is
 kept, and counts as a member without a number: a component's id is its smallest non-null id (null if
@@ -83,6 +88,12 @@ def _keys(start: int, flips: list[int]) -> list[F.Column]:
     return [head + _segment(start, 1).bitwiseXOR(F.lit(flip)) for flip in flips]
 
 
+def spread(rows: DataFrame, each: int = 50_000) -> DataFrame:
+    """``rows`` in parts of about ``each`` rows, before every row becomes many."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // each)
+    return rows.repartition(parts)
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints in column ``fp`` that differ in 1 to 3 bits; each pair once or more."""
     flips = [0] + [1 << b for b in range(WIDTH)]
@@ -126,8 +137,8 @@ def connected(edges: DataFrame) -> DataFrame:
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id_col, fp, component_id) for each row of ``df``: the smallest id that links lead to, its own included."""
     prints = materialise(fingerprints(df, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected(links(prints.select("fp").distinct())).withColumnsRenamed({"v": "fp", "c": "root"})
+    classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    roots = connected(links(spread(classes.select("fp")))).withColumnsRenamed({"v": "fp", "c": "root"})
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     member = rooted.join(named, "root").select("fp", "component_id")
@@ -152,6 +163,9 @@ NEAR_SHINGLE = 5
 SIMILAR = 0.8
 WIDE = 1024  # bits of a wide fingerprint
 KEYS, KEY_BITS = 256, 24  # a key is a fixed choice of bits; unrelated texts share one with chance 2**-24
+TOLD, WIDE_SEGMENTS = 512, 32  # bits that candidates are compared by, and their segments
+#: At a similarity of 0.8 about 78 of the 512 bits differ, with a deviation of 8.
+WIDE_BITS = 116
 BEFORE = 16
 _CHOICE = np.random.default_rng(SEED).permuted(np.tile(np.arange(WIDE), (KEYS, 1)), axis=1)[:, :KEY_BITS]
 
@@ -160,11 +174,16 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
     """Distinct hashes of a text's word shingles; one of the whole text where it has fewer words."""
     words = text.lower().split()
     n = max(len(words) - shingle + 1, 1)
-    return np.unique(np.fromiter((_HASH(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint64, n))
+    parts = []
+    for at in range(0, n, 1 << 16):  # bounded memory for very long texts
+        part = words[at : min(at + (1 << 16), n) + shingle - 1]
+        rows = map(b" ".join, zip(*[part[i:] for i in range(shingle)])) if len(part) >= shingle else [b" ".join(part)]
+        parts.append(np.unique(np.fromiter(map(_HASH, rows), np.uint64)))
+    return np.unique(np.concatenate(parts))
 
 
-def near_keys(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """The keys by which a text meets its near copies: chosen bits of a SimHash of ``WIDE`` bits over its distinct shingles."""
+def wide_fingerprint(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The bits of a SimHash of ``WIDE`` bits over a text's distinct shingles."""
     hashes = _shingles(text, shingle)
     steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     votes = np.zeros(WIDE, np.int64)
@@ -175,16 +194,52 @@ def near_keys(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(31)
         votes += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
-    bits = votes * 2 > len(hashes)
+    return votes * 2 > len(hashes)
+
+
+def near_keys(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The keys by which a text meets its near copies: chosen bits of its wide fingerprint."""
+    return _keys_of(wide_fingerprint(text, shingle))
+
+
+def _keys_of(bits: np.ndarray) -> np.ndarray:
     return (np.arange(KEYS) << KEY_BITS) + bits[_CHOICE] @ (1 << np.arange(KEY_BITS))
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
         for low in range(0, batch.num_rows, 1024):
             part = batch.slice(low, 1024)
-            keys = [near_keys(x.as_py(), shingle) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["v", "keys"])
+            fresh = []
+            for k, v in enumerate(part.column(0).to_pylist()):  # a task tells repeated rows once
+                if v not in seen:
+                    seen.add(v)
+                    fresh.append(k)
+            part = part.take(pa.array(fresh, pa.int64()))
+            bits = [wide_fingerprint(x.as_py(), shingle) for x in part.column(1)]
+            keys = [_keys_of(b).astype(np.uint32).view(np.int32) for b in bits]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array([np.packbits(b[:TOLD]).tobytes() for b in bits], pa.binary())], names=["v", "keys", "wide"])
+
+
+def chained(differs: np.ndarray, most: int) -> np.ndarray:
+    """Whether some chain of segments (columns: bits that differ in each) stays within its budgets at every length."""
+    m = differs.shape[1]
+    ring = np.concatenate([differs, differs], axis=1)
+    alive, total = np.ones(differs.shape, bool), np.zeros(differs.shape, np.int64)
+    for length in range(1, m + 1):
+        total += ring[:, length - 1 : length - 1 + m]
+        alive &= total * m <= length * most
+    return alive.any(axis=1)
+
+
+def _near_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, TOLD // 8) for k in (2, 3))
+        differs = np.bitwise_count(one ^ two).reshape(len(one), WIDE_SEGMENTS, -1).sum(axis=2, dtype=np.int64)
+        at = np.flatnonzero(chained(differs, most)) if len(differs) else np.empty(0, np.int64)
+        at = at[differs[at].sum(axis=1) <= most]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(at))
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: float) -> Iterator[pa.RecordBatch]:
@@ -197,20 +252,41 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: f
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
 
+def _round(texts: DataFrame, kept: DataFrame, number: int, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), texts (v) with a key that has more of them than meet) of one round over ``kept`` (v, keys, wide)."""
+    asked = spread(kept.select("v", "keys"), 5_000).select("v", F.explode("keys").alias("key"))
+    every = Window.partitionBy("key")
+    under = every.orderBy(F.xxhash64("v", "key", F.lit(number)), "v")
+    met = asked.select("v", F.array_union(F.array(F.first("v").over(under)), F.collect_list("v").over(under.rowsBetween(-BEFORE, -1))).alias("others"), (F.count("*").over(every) > BEFORE + 1).alias("more"))
+    met = materialise(met.where("more OR size(others) > 1 OR others[0] != v"), "near_met")
+    pairs = met.select(F.explode("others").alias("o"), "v").where("o != v").select(F.least("o", "v").alias("a"), F.greatest("o", "v").alias("b")).distinct()
+    wide = kept.select("v", "wide")
+    sides = pairs.join(wide.select(F.col("v").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("v").alias("b"), F.col("wide").alias("y")), "b").select("a", "b", "x", "y")
+    near = materialise(sides.mapInArrow(partial(_near_batches, most=WIDE_BITS), "a bigint, b bigint"), "near_pairs")
+    needed = near.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    read = materialise(texts.join(needed, "v", "left_semi").dropDuplicates(["v"]), "near_texts")
+    one, two = read.select(F.col("v").alias("a"), F.col("text").alias("x")), read.select(F.col("v").alias("b"), F.col("text").alias("y"))
+    sides = near.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    return materialise(sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint"), "near_links"), met.where("more").select("v").distinct()
+
+
 def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """Pairs (a, b), a < b, of the rows (v, text) whose shingle sets have at least the Jaccard similarity ``similar``.
 
-    Texts that share a key are candidates, and every candidate pair is compared exactly. Under one key a
-    text meets the first and the ``BEFORE`` texts before it, so work doesn't grow with the square of a group.
+    They connect all texts that similarity connects, without all pairs of a group: every candidate pair
+    is compared exactly, and of texts that are linked already one goes on to further rounds.
     """
-    kept = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle), "v bigint, keys array<bigint>"), "near_keys")
-    asked = kept.select("v", F.explode("keys").alias("key"))
-    under = Window.partitionBy("key").orderBy("v")
-    met = asked.select("v", F.array_union(F.array(F.first("v").over(under)), F.collect_list("v").over(under.rowsBetween(-BEFORE, -1))).alias("others"))
-    pairs = met.select(F.explode("others").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-    one, two = texts.select(F.col("v").alias("a"), F.col("text").alias("x")), texts.select(F.col("v").alias("b"), F.col("text").alias("y"))
-    sides = materialise(pairs, "near_pairs").join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint")
+    live = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle), "v bigint, keys array<int>, wide binary"), "near_keys")
+    links, number = None, 0
+    while True:
+        found, more = _round(texts, live, number, shingle, similar)
+        links = found if links is None else links.unionByName(found)
+        more = materialise(more, "near_more")
+        if more.isEmpty() or found.isEmpty():
+            return links
+        gone = connected(found).where("v != c").select("v")
+        live = materialise(live.join(more, "v", "left_semi").join(gone, "v", "left_anti"), "near_keys")
+        number += 1
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similar: float = SIMILAR) -> DataFrame:
@@ -220,8 +296,8 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     vertex = F.xxhash64(F.col(id_col), text)
-    docs = df.select(vertex.alias("v"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), vertex.alias("h")).alias("me"), text.cast("binary").alias("text")).dropDuplicates(["v"])
-    member = materialise(connected(similar_links(docs.select("v", "text"), shingle, similar)).distinct(), "near_members").join(docs.select("v", "me"), "v")
+    docs = df.select(vertex.alias("v"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), vertex.alias("h")).alias("me"), text.cast("binary").alias("text"))
+    member = materialise(connected(similar_links(docs.select("v", "text"), shingle, similar)).distinct(), "near_members").join(docs.select("v", "me").distinct(), "v")
     first = member.groupBy("c").agg(F.min("me").alias("first"))
     gone = member.join(first, "c").where("me != first").select(F.col("v").alias("__gone"))
     return df.join(gone, vertex == F.col("__gone"), "left_anti")

@@ -217,3 +217,32 @@ def test_near_dedup_stage_finds_pairs_of_similarity_0_8(spark):
     rows = [r["doc_id"] for r in pipeline.drop_near_copies(spark, df, "").collect()]
     gone = set(range(300)) - set(rows)
     assert gone <= near and len(gone) >= 0.97 * len(near) > 50 and len(rows) == 302 - len(gone)
+
+
+def test_chains_keep_every_pair_within_the_budget():
+    rng = np.random.default_rng(3)
+    differs = rng.integers(0, 3, (2000, 8))
+    found = simhash.chained(differs, 7)
+    assert found[differs.sum(axis=1) <= 7].all() and not found.all()
+    for row, told in zip(differs[:300], found[:300], strict=True):
+        ring = [*row, *row]
+        assert told == any(all(sum(ring[s : s + n]) * 8 <= n * 7 for n in range(1, 9)) for s in range(8))
+
+
+def test_groups_larger_than_meet_under_a_key_become_one(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    docs = []
+    for i in range(300):  # near copies of one text, in a chain of edits: the ends are not similar to the start
+        words = list(base)
+        words[i] = f"changed{i}"
+        docs.append((i, " ".join(words)))
+    chain, words = [], [f"v{x}" for x in rng.integers(0, 5000, 400)]
+    for i in range(40):
+        words[10 * i : 10 * i + 6] = [f"x{i}"] * 6
+        chain.append((1000 + i, " ".join(words)))
+    other = [(2000 + i, " ".join(f"o{x}" for x in rng.integers(0, 5000, 100))) for i in range(20)]
+    df = spark.createDataFrame(docs + chain + other + docs[:5], "doc_id bigint, text string")
+    kept = sorted(r["doc_id"] for r in simhash.keep_one_similar(df).collect())
+    assert kept == [0, 0, 1000, *range(2000, 2020)]  # the first row came twice
+    assert simhash.keep_one_similar(df.limit(0)).count() == 0
