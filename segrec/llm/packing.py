@@ -2,11 +2,13 @@
 
 ``token_pieces`` tokenises whole texts (public ``word_bpe_49k`` vocabulary by default; its path is a
 parameter), appends id 0 and cuts only documents longer than ``capacity``. ``pack`` deals the pieces
-to shards of bounded size at random; a shard is packed best-fit decreasing, then the least filled bins
-exchange documents with all that aren't full: moves, one-for-one, one-for-two, two-for-one and
-two-for-two swaps that raise the sum of squared fills, until no exchange does and bins run empty.
-Pieces of bins that are still far from full meet again, over all shards, in further rounds until they
-fit one shard or no round gains.
+to shards of bounded size at random; a shard is packed best-fit decreasing, then bins that aren't full
+exchange documents: moves, one-for-one, one-for-two, two-for-one and two-for-two swaps out of a less
+filled bin into a fuller one, each of which raises the sum of squared fills, until no exchange does or
+as many bins have run empty as can (the rest hold no more than they must). Then the pieces of bins that
+have room meet again, over all shards and dealt anew: by turns those of bins far from full and of all
+that aren't full, until the sequences are as few as their tokens allow or ``IDLE_ROUNDS`` rounds on end
+save none. A round counts only if it saves a sequence.
 
 The vocabulary drops white space and never joins across it, so ids of a text are those of its
 white-space separated chunks; a task keeps the ids of the pieces that it has met.
@@ -39,9 +41,7 @@ END = 0
 SHARD = 2048
 KEPT_PIECES = 700_000
 FLUSH_BYTES = 8 << 20
-MAX_ROUNDS = 8
-#: A bin with more room than capacity // ROOM meets others again.
-ROOM = 16
+IDLE_ROUNDS = 4
 
 
 def default_tokenizer() -> str:
@@ -179,37 +179,63 @@ def _picks(members: list[int], lengths: list[int]) -> dict[int, tuple[int, ...]]
     return found
 
 
+class _Bins:
+    """Bins with their fills and the sums of members that they can give."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int) -> None:
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.picks: dict[int, dict[int, tuple[int, ...]]] = {}
+        self.sums: dict[int, np.ndarray] = {}
+
+    def of(self, b: int) -> np.ndarray:
+        if b not in self.sums:
+            self.picks[b] = _picks(self.bins[b], self.lengths)
+            self.sums[b] = np.array(sorted(self.picks[b]))
+        return self.sums[b]
+
+    def give(self, low: int) -> bool:
+        """The exchange out of ``low`` that fills a fuller bin most, if there is one."""
+        highs = [b for b in range(len(self.bins)) if b != low and self.fill[low] <= self.fill[b] < self.capacity and self.bins[b]]
+        if not highs:
+            return False
+        out, backs = self.of(low), [self.of(b) for b in highs]
+        sizes = [len(x) for x in backs]
+        back = np.concatenate(backs)
+        # for each sum that comes back, the largest that fits in its place
+        gains = out[np.searchsorted(out, back + np.repeat([self.capacity - self.fill[b] for b in highs], sizes), "right") - 1] - back
+        best = int(gains.argmax())
+        gain = int(gains[best])
+        if gain <= 0:
+            return False
+        high = highs[int(np.searchsorted(np.cumsum(sizes), best, "right"))]
+        take, give = self.picks[high][int(back[best])], self.picks[low][int(back[best]) + gain]
+        self.bins[low] = [i for i in self.bins[low] if i not in give] + list(take)
+        self.bins[high] = [i for i in self.bins[high] if i not in take] + list(give)
+        self.fill[high] += gain
+        self.fill[low] -= gain
+        for b in (low, high):
+            self.sums.pop(b, None)
+        return True
+
+
 def exchange(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empty the least filled bins by moves and swaps into fuller ones that aren't full.
 
-    Each exchange raises the sum of squared fills; it ends when none does, or no bin is left with more
-    room than ``capacity // ROOM``.
+    Each exchange raises the sum of squared fills; it ends when none does, or the bins are as few as
+    their contents allow.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    changed = True
-    while changed:
+    state = _Bins(bins, lengths, capacity)
+    fewest = -(-sum(state.fill) // capacity)
+    left, changed = sum(1 for b in bins if b), True
+    while changed and left > fewest:
         changed = False
-        lows = sorted((b for b in range(len(bins)) if bins[b] and capacity - fill[b] > capacity // ROOM), key=fill.__getitem__)
-        highs = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: -fill[b])
-        for low in lows:
-            for high in highs:
-                if high == low or fill[high] < fill[low] or fill[high] >= capacity or not bins[low]:
-                    continue
-                out, back = _picks(bins[low], lengths), _picks(bins[high], lengths)
-                gap, back_sums = capacity - fill[high], np.array(sorted(back))
-                out_sums = np.array(sorted(out))
-                # for each sum that comes back, the largest that fits in its place
-                at = np.searchsorted(out_sums, back_sums + gap, "right") - 1
-                gains = out_sums[at] - back_sums
-                best = int(gains.argmax())
-                if gains[best] <= 0:
-                    continue
-                gain, take, give = int(gains[best]), back[int(back_sums[best])], out[int(out_sums[at[best]])]
-                bins[low] = [i for i in bins[low] if i not in give] + list(take)
-                bins[high] = [i for i in bins[high] if i not in take] + list(give)
-                fill[high] += gain
-                fill[low] -= gain
+        for low in sorted((b for b in range(len(bins)) if bins[b] and state.fill[b] < capacity), key=state.fill.__getitem__):
+            while bins[low] and state.give(low):
                 changed = True
+            if changed and not bins[low]:
+                left -= 1
+                break  # the emptiest of those that are left is next
     return [b for b in bins if b]
 
 
@@ -222,9 +248,9 @@ def _packer(capacity: int, number: int):
         sizes = lengths[order]
         before = np.cumsum(sizes) - sizes
         base = before[np.r_[True, which[1:] != which[:-1]]]
-        full = capacity - np.bincount(which, weights=sizes)[which] <= capacity // ROOM
-        sequence = ((int(key[0]) * MAX_ROUNDS + number) << 24) + which
-        return pd.DataFrame({"uid": rows["uid"].to_numpy()[order], "length": sizes, "sequence_id": sequence, "offset": before - base[which], "full": full})
+        room = capacity - np.bincount(which, weights=sizes)[which].astype(np.int64)
+        sequence = (number << 56) + (int(key[0]) << 16) + which  # a shard has no more bins than pieces
+        return pd.DataFrame({"uid": rows["uid"].to_numpy()[order], "length": sizes, "sequence_id": sequence, "offset": before - base[which], "room": room})
 
     return pack_shard
 
@@ -233,21 +259,30 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     """The rows of ``pieces`` with sequence_id and offset; no sequence is longer than ``capacity``."""
     rows = pieces.select(packed_row(pieces).alias("row"), F.col(length_col).cast("bigint").alias("length"), F.monotonically_increasing_id().alias("uid"))
     rows = materialise(rows, "pieces")
-    rest, done, before = rows.select("uid", "length"), None, None
-    for number in range(MAX_ROUNDS):
-        left = rest.count()
-        shards = max(1, math.ceil(left / shard))
-        dealt = rest.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(shards)).alias("shard"))
-        dealt = dealt.repartition(min(shards, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
-        packed = dealt.groupBy("shard").applyInPandas(_packer(capacity, number), "uid bigint, length bigint, sequence_id bigint, offset bigint, full boolean")
-        packed = materialise(packed, f"packed{number}")
-        last = shards == 1 or left == before or number == MAX_ROUNDS - 1
-        final = packed if last else packed.where("full")
-        done = final if done is None else done.unionByName(final)
-        if last:
+    now, placed, number, idle = None, rows.select("uid", "length"), 0, 0
+    while True:
+        # by turns: bins far from full, which few exchanges may empty, and all that aren't full
+        open_bins = placed if now is None else placed.where(F.col("room") > (0 if number % 2 == 0 else capacity // 16))
+        left, tokens, used = open_bins.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.lit(0) if now is None else F.count(F.when(F.col("offset") == 0, 1))).first()
+        if now is not None and used <= -(-tokens // capacity):  # no packing of these has fewer
+            idle += 1
+        else:
+            shards = max(1, math.ceil(left / shard))
+            dealt = open_bins.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(shards)).alias("shard"))
+            dealt = dealt.repartition(min(shards, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
+            packed = dealt.groupBy("shard").applyInPandas(_packer(capacity, number), "uid bigint, length bigint, sequence_id bigint, offset bigint, room bigint")
+            packed = materialise(packed, f"packed{number}")
+            after = packed.agg(F.count(F.when(F.col("offset") == 0, 1))).first()[0]
+            if now is None or after < used:
+                closed = None if now is None else placed.where(F.col("room") <= (0 if number % 2 == 0 else capacity // 16))
+                placed = packed if closed is None else closed.unionByName(packed)
+                now, idle = True, 0
+            else:
+                idle += 1
+        number += 1
+        if idle == IDLE_ROUNDS:
             break
-        before, rest = left, packed.where("NOT full").select("uid", "length")
-    return rows.join(done.select("uid", "sequence_id", "offset"), "uid").select("row.*", "sequence_id", "offset")
+    return rows.join(placed.select("uid", "sequence_id", "offset"), "uid").select("row.*", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -89,6 +89,54 @@ def test_exchange_empties_bins():
         assert all(n[b].sum() <= 64 for b in end)
 
 
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying every way."""
+    best, order = len(sizes), sorted(sizes, reverse=True)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(order):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= order[i]}:
+            put(i + 1, [*[r for k, r in enumerate(rooms) if k != rooms.index(room)], room - order[i]])
+        put(i + 1, [*rooms, capacity - order[i]])
+
+    put(0, [])
+    return best
+
+
+def test_exchange_comes_within_one_bin_of_the_optimum():
+    rng, equal = np.random.default_rng(2), 0
+    for _ in range(30):
+        n = rng.integers(5, 40, 11)
+        found = len(packing.exchange(packing.best_fit(n, 60), n.tolist(), 60))
+        least = fewest_bins(n.tolist(), 60)
+        assert least <= found <= least + 1
+        equal += found == least
+    assert equal >= 27
+
+
+def test_query_uses_as_few_sequences_as_tokens_allow(spark):
+    from segrec.llm.queries import op3_best_fit_packing
+
+    rows = op3_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
+    fill = {}
+    for r in rows:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert max(fill.values()) <= 2048 and len(fill) == -(-sum(fill.values()) // 2048)
+
+
+def test_columns_may_clash(spark):
+    df = spark.createDataFrame([(k, 30 + k, "a", "b", "c", "d") for k in range(9)], "uid int, length int, row string, shard string, full string, key string")
+    packed = packing.pack(df, capacity=100, shard=4)
+    assert packed.columns == [*df.columns, "sequence_id", "offset"] and packed.count() == 9
+    pieces = packing.token_pieces(df, "uid", "row")
+    assert pieces.count() == 9
+
+
 def test_packing_takes_empty_tables(spark):
     pieces = packing.token_pieces(spark.createDataFrame([], DOCS))
     assert packing.pack(pieces).count() == 0
