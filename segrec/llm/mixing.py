@@ -6,11 +6,13 @@ probability with which each of its documents is kept; no probability passes 1, a
 cannot give is raked over the others. A document's draw is a hash of its id and text.
 
 Targets are shares by value of each margin, given or, by default, the present shares raised to a power
-below 1 (small values gain). The ``sources`` and ``languages`` with the most tokens have values of
-their own, all others are one value, and topics come from a fixed list: the number of cells, all that
-the driver sees, is bounded by these parameters. Topics are told by keyword patterns: the topic with
-the most matches, ties to the first, ``general`` without any. A document's tokens are its runs of
-non-space characters.
+below 1 (small values gain). Every source, language and topic has cells of its own, unless ``sources`` or
+``languages`` ask to fold all but the values with the most tokens into one. Up to ``CELLS`` cells are
+raked on the driver, more as a table, by the same steps. Raking ends when every margin is met to 1e-9 or
+after ``CYCLES`` cycles; ``residual`` tells by how much the worst margin is then missed.
+
+Topics are those of a given column, or told by keyword patterns: the topic with the most matches, ties
+to the first, ``general`` without any. A document's tokens are its runs of non-space characters.
 
 Nulls: a null source or language is the value ``unknown``; null text has no tokens and no topic
 keyword. Rows that tie on id and text share their draw. A target for a value that no document has is
@@ -41,7 +43,8 @@ LITERALS = {
     TOPICS["tables"]: (" | ",),
 }
 GENERAL, UNKNOWN, OTHER = "general", "unknown", "(other)"
-SOURCES, LANGUAGES = 1000, 100
+#: Cells that the driver rakes; more are raked as a table.
+CELLS = 100_000
 #: Powers of the present shares that are the default targets.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 KEEP = 0.6
@@ -79,85 +82,150 @@ def tokens_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, " ", -1), "")).cast("bigint")
 
 
-def rake(tokens: np.ndarray, targets: list[np.ndarray], keep: float, cycles: int = CYCLES) -> np.ndarray:
-    """Probability of each cell of ``tokens`` so that kept tokens have the target shares along each axis."""
+def rake_cells(tokens: np.ndarray, at: list[np.ndarray], targets: list[np.ndarray], keep: float, cycles: int = CYCLES) -> tuple[np.ndarray, float]:
+    """(probability of each cell, worst miss of a margin) so that kept tokens have the target shares along each axis.
+
+    ``at`` holds, for each axis, the number of each cell's value.
+    """
     total = tokens.sum() * keep
     chance = np.where(tokens > 0, keep, 0.0)
+    goals = []
+    for k, target in zip(at, targets, strict=True):
+        goal = np.where(np.bincount(k, tokens, len(target)) > 0, target, 0.0)
+        goals.append(goal / goal.sum() * total if goal.sum() else np.bincount(k, tokens * chance, len(target)).astype(float))
+
+    def missed(k: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        now = np.bincount(k, tokens * chance, len(goal))
+        return np.divide(goal, now, out=np.ones_like(goal), where=now > 0)
+
+    worst = 0.0
     for _ in range(cycles):
         worst = 0.0
-        for axis, target in enumerate(targets):
-            others = tuple(a for a in range(tokens.ndim) if a != axis)
-            now = (tokens * chance).sum(axis=others)
-            goal = np.where(tokens.sum(axis=others) > 0, target, 0.0)
-            goal = goal / goal.sum() * total if goal.sum() else now
-            scale = np.divide(goal, now, out=np.ones_like(goal), where=now > 0)
+        for k, goal in zip(at, goals, strict=True):
+            scale = missed(k, goal)
             worst = max(worst, np.abs(scale - 1).max(initial=0.0))
-            chance = chance * np.expand_dims(scale, others)
+            chance = chance * scale[k]
         chance = np.minimum(chance, 1.0)
         if worst < 1e-9:
             break
-    return chance
+    return chance, max([np.abs(missed(k, goal) - 1).max(initial=0.0) for k, goal in zip(at, goals, strict=True)], default=0.0)
+
+
+def rake(tokens: np.ndarray, targets: list[np.ndarray], keep: float, cycles: int = CYCLES) -> np.ndarray:
+    """``rake_cells`` for an array with one axis for each margin."""
+    at = [k.ravel() for k in np.indices(tokens.shape)]
+    return rake_cells(tokens.ravel(), at, targets, keep, cycles)[0].reshape(tokens.shape)
+
 
+MARGINS = ("source", "lang", "topic")
 
-def _frame(df: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+
+def _goal(margin: str, value: Column, present: Column, targets: Mapping[str, Mapping[str, float]] | None) -> Column:
+    if not targets or margin not in targets:
+        return present ** POWERS[margin]
+    goal = F.lit(0.0)
+    for name, share in targets[margin].items():
+        goal = F.when(value == name, float(share)).otherwise(goal)
+    return F.when(present > 0, goal).otherwise(0.0)
+
+
+def rake_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, keep: float, cycles: int = CYCLES) -> tuple[DataFrame, float]:
+    """``rake_cells`` for a table (source, lang, topic, n) of any size: (the cells with their probability, worst miss)."""
+    total = (cells.agg(F.sum("n")).first()[0] or 0) * keep
+    goals = {}
+    for m in MARGINS:
+        shares = materialise(cells.groupBy(m).agg(F.sum("n").cast("double").alias("n")).select(m, _goal(m, F.col(m), F.col("n"), targets).alias("goal")), f"goals_{m}")
+        whole = shares.agg(F.sum("goal")).first()[0]
+        goals[m] = shares.withColumn("goal", F.col("goal") / whole * total) if whole else None
+    cells = cells.withColumn("probability", F.when(F.col("n") > 0, F.lit(keep)).otherwise(0.0))
+
+    def scales(m: str) -> DataFrame:
+        return cells.groupBy(m).agg(F.sum(F.col("n") * F.col("probability")).alias("now")).join(goals[m], m).select(m, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(1.0).alias("scale"))
+
+    for _ in range(cycles):
+        worst = 0.0
+        for m in MARGINS:
+            if goals[m] is not None:
+                step = materialise(scales(m), f"scales_{m}")
+                worst = max(worst, step.agg(F.max(F.abs(F.col("scale") - 1))).first()[0] or 0.0)
+                cells = materialise(cells.join(step, m).withColumn("probability", F.col("probability") * F.col("scale")).drop("scale"), "raked")
+        cells = cells.withColumn("probability", F.least(F.lit(1.0), "probability"))
+        if worst < 1e-9:
+            break
+    left = [scales(m).agg(F.max(F.abs(F.col("scale") - 1))).first()[0] or 0.0 for m in MARGINS if goals[m] is not None]
+    return cells.select(*MARGINS, "probability"), max(left, default=0.0)
+
+
+def _raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, keep: float, cycles: int) -> tuple[DataFrame, float]:
+    rows = cells.limit(CELLS + 1).collect()
+    if len(rows) > CELLS:
+        return rake_table(cells, targets, keep, cycles)
+    at, goals = [], []
+    tokens = np.array([r["n"] for r in rows], float)
+    for m in MARGINS:
+        values = sorted({r[m] for r in rows})
+        number = {v: i for i, v in enumerate(values)}
+        at.append(np.array([number[r[m]] for r in rows], np.int64))
+        given = targets.get(m) if targets else None
+        goals.append(np.array([given.get(v, 0.0) for v in values], float) if given is not None else np.bincount(at[-1], tokens, len(values)) ** POWERS[m])
+    chance, residual = rake_cells(tokens, at, goals, keep, cycles)
+    table = [(*(r[m] for m in MARGINS), float(p)) for r, p in zip(rows, chance, strict=True)]
+    return cells.sparkSession.createDataFrame(table, "source string, lang string, topic string, probability double"), float(residual)
+
+
+def _frame(df: DataFrame, carried: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None) -> DataFrame:
     text = text_or_empty(text_col)
     return df.select(
-        packed_row(df).alias("__row"),
+        packed_row(carried).alias("__row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit(UNKNOWN)).alias("__source"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("__lang"),
-        topic_of(text).alias("__topic"),
+        (F.coalesce(F.col(topic_col).cast("string"), F.lit(UNKNOWN)) if topic_col else topic_of(text)).alias("__topic"),
         tokens_of(text).alias("__tokens"),
         ((F.xxhash64(F.col(id_col), text, F.lit(SEED)).bitwiseAND(F.lit((1 << 52) - 1))) / float(1 << 52)).alias("__draw"),
     )
 
 
-def _named(rows: DataFrame, column: str, most: int) -> list[str]:
+def _named(rows: DataFrame, column: str, most: int | None) -> list[str] | None:
+    if most is None:
+        return None
     top = rows.groupBy(column).agg(F.sum("__tokens").alias("n")).orderBy(F.desc("n"), column).limit(most).collect()
     return [r[0] for r in top]
 
 
-def _folded(column: str, values: list[str]) -> Column:
-    return F.when(F.col(column).isin(values), F.col(column)).otherwise(OTHER)
+def _folded(column: str, values: list[str] | None) -> Column:
+    return F.col(column) if values is None else F.when(F.col(column).isin(values), F.col(column)).otherwise(OTHER)
 
 
 def annotate(
     df: DataFrame,
     targets: Mapping[str, Mapping[str, float]] | None = None,
     keep: float = KEEP,
-    sources: int = SOURCES,
-    languages: int = LANGUAGES,
+    sources: int | None = None,
+    languages: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
     lang_col: str = "lang",
+    topic_col: str | None = None,
+    carry_text: bool = True,
+    cycles: int = CYCLES,
 ) -> DataFrame:
-    """Rows (__row, topic, tokens, probability, kept): ``df``'s columns in the struct __row, and the decision.
+    """Rows (__row, topic, tokens, probability, residual, kept): ``df``'s columns in the struct __row, and the decision.
 
-    ``targets`` maps ``source``, ``lang`` and ``topic`` to shares by value.
+    ``targets`` maps ``source``, ``lang`` and ``topic`` to shares by value. Without ``carry_text`` the
+    struct leaves the text out, and texts are read once: what is told of them is kept in a table.
     """
-    rows = _frame(df, id_col, text_col, source_col, lang_col)
+    rows = _frame(df, df if carry_text else df.drop(text_col), id_col, text_col, source_col, lang_col, topic_col)
+    if not carry_text:
+        rows = materialise(rows, "told")
     fine = materialise(rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("__tokens")), "cells")
-    own = {"__source": _named(fine, "__source", sources), "__lang": _named(fine, "__lang", languages)}
-    fold = {c: _folded(c, v) for c, v in own.items()}
-    cells = fine.groupBy(fold["__source"].alias("source"), fold["__lang"].alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("n")).collect()
-    axes = {m: sorted({c[m] for c in cells}) for m in ("source", "lang", "topic")}
-    tokens = np.zeros([len(v) for v in axes.values()])
-    at = {m: {v: i for i, v in enumerate(values)} for m, values in axes.items()}
-    for c in cells:
-        tokens[tuple(at[m][c[m]] for m in axes)] += c["n"]
-    goals = []
-    for axis, (margin, values) in enumerate(axes.items()):
-        if targets and margin in targets:
-            goals.append(np.array([targets[margin].get(v, 0.0) for v in values], float))
-        else:
-            share = tokens.sum(axis=tuple(a for a in range(3) if a != axis))
-            goals.append(share ** POWERS[margin])
-    chance = rake(tokens, goals, keep)
-    table = [(c["source"], c["lang"], c["topic"], float(chance[tuple(at[m][c[m]] for m in axes)])) for c in cells]
-    chances = df.sparkSession.createDataFrame(table, "c_source string, c_lang string, c_topic string, probability double")
+    fold = {"__source": _folded("__source", _named(fine, "__source", sources)), "__lang": _folded("__lang", _named(fine, "__lang", languages))}
+    cells = fine.groupBy(fold["__source"].alias("source"), fold["__lang"].alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("n"))
+    chances, residual = _raked(cells, targets, keep, cycles)
+    chances = chances.withColumnsRenamed({m: f"c_{m}" for m in MARGINS})
     met = (fold["__source"] == F.col("c_source")) & (fold["__lang"] == F.col("c_lang")) & (F.col("__topic") == F.col("c_topic"))
-    told = rows.join(F.broadcast(chances), met, "left")
-    return told.select("__row", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), "probability", (F.col("__draw") < F.col("probability")).alias("kept"))
+    told = rows.join(chances, met, "left")
+    return told.select("__row", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), "probability", F.lit(residual).alias("residual"), (F.col("__draw") < F.col("probability")).alias("kept"))
 
 
 def sample(df: DataFrame, **parameters) -> DataFrame:

@@ -74,8 +74,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.annotate(_read(spark, sf_dir, "documents"))
-    return rows.select("__row.doc_id", "__row.source", "__row.lang", "topic", "tokens", "probability", "kept")
+    rows = mixing.annotate(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), carry_text=False)
+    return rows.select("__row.doc_id", "__row.source", "__row.lang", "topic", "tokens", "probability", "residual", "kept")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

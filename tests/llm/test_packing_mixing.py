@@ -200,6 +200,43 @@ def test_mixing_takes_nulls_and_empty_tables(spark):
     assert mixing.annotate(df.limit(0)).count() == 0
 
 
+def test_cells_raked_as_a_table_equal_those_of_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = [(i, "w " * int(rng.integers(1, 40)), f"s{rng.integers(0, 6)}", str(rng.choice(["en", "de", "fr"])), "t", None) for i in range(300)]
+    df = spark.createDataFrame(docs, MIX)
+    targets = {"source": {"s0": 0.5, "s1": 0.25, "gone": 0.25}}
+    one = {r["__row"]["doc_id"]: r for r in mixing.annotate(df, targets, cycles=4, carry_text=False).collect()}
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    two = {r["__row"]["doc_id"]: r for r in mixing.annotate(df, targets, cycles=4).collect()}
+    assert one.keys() == two.keys()
+    for i, r in one.items():
+        assert r["probability"] == pytest.approx(two[i]["probability"]) and r["residual"] == pytest.approx(two[i]["residual"], rel=1e-3, abs=1e-9)
+
+
+def test_query_meets_its_margins(spark):
+    from segrec.llm.queries import op9_mixing
+
+    rows = op9_mixing(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    total = sum(r["tokens"] for r in rows) * mixing.KEEP
+    present = {m: {} for m in mixing.MARGINS}
+    for r in rows:
+        for m in mixing.MARGINS:
+            held = present[m].setdefault(r[m], [0.0, 0.0])
+            held[0] += r["tokens"]
+            held[1] += r["tokens"] * r["probability"]
+    for m, values in present.items():
+        goals = {v: n ** mixing.POWERS[m] for v, (n, _) in values.items() if n}
+        for v, g in goals.items():
+            assert values[v][1] == pytest.approx(g / sum(goals.values()) * total, rel=rows[0]["residual"] + 1e-6)
+
+
+def test_given_topics_are_raked(spark):
+    df = spark.createDataFrame([(i, "a b", "s", "en", "x" if i % 4 else None, None) for i in range(400)], MIX)
+    rows = mixing.annotate(df, {"topic": {"x": 0.5, "unknown": 0.5}}, keep=0.4, topic_col="topic").collect()
+    assert {(r["topic"], round(r["probability"], 6)) for r in rows} == {("x", round(0.2 / 0.75, 6)), ("unknown", 0.8)}
+
+
 def test_rare_sources_share_a_cell(spark):
     df = spark.createDataFrame([(i, "t u v", f"s{i % 50}", "en", None, None) for i in range(500)], MIX)
     rows = mixing.annotate(df, sources=3).collect()
