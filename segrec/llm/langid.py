@@ -7,9 +7,10 @@ the transitions see code-switched text, and maximises the penalised likelihood.
 forward-backward over all words of a whole text: the text's language has the largest sum of the words'
 marginals, its score is that language's mean marginal.
 
-The training sample is bounded: about ``per_language`` texts of each of at most ``languages``
-languages and ``window`` characters of each text, at a place that a hash gives. Prediction reads
-whole texts.
+Every language that a row to train on has is learned. The training sample is bounded: about
+``per_language`` texts of each language and ``window`` characters of each text, at a place that a hash
+gives. Features are hashed into a table of at most ``WEIGHTS`` weights, whatever the number of languages.
+Prediction reads whole texts.
 
 Nulls: a text that is null or has no letter gets ``und`` with score 0. Rows without a language are
 never trained on. If no row can be trained on, all texts get ``und``. Repeated rows and ties give equal
@@ -31,9 +32,10 @@ from segrec.llm.common import packed_row
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 250
-LANGUAGES = 100
 WINDOW = 3000
+#: Rows of the feature table with few languages, and its weights with many: rows are halved beyond.
 FEATURES = 1 << 17
+WEIGHTS = 1 << 24
 STEPS = 32
 EPOCHS = 4
 #: Words labelled at once, and words whose emissions a task keeps.
@@ -55,7 +57,15 @@ def _mix(*parts: np.ndarray | int) -> np.ndarray:
     return h
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def feature_rows(languages: int) -> int:
+    """Rows of the feature table for a number of languages."""
+    rows = FEATURES
+    while rows * languages > WEIGHTS and rows > 1024:
+        rows //= 2
+    return rows
+
+
+def features(words: list[str], rows: int = FEATURES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature numbers of all words, index where each word's begin, hash of each word)."""
     sizes = np.array([len(w) for w in words], np.int64) + 2
     chars = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -78,7 +88,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = (np.arange(n) - np.repeat(starts, sizes)).astype(np.uint64)
     whole = np.add.reduceat(_mix(30, chars, place), starts) if n else np.empty(0, np.uint64)
     order = np.argsort(np.concatenate(owners), kind="stable")
-    numbers = (np.concatenate(found)[order] % np.uint64(FEATURES)).astype(np.int64)
+    numbers = (np.concatenate(found)[order] % np.uint64(rows)).astype(np.int64)
     counts = np.bincount(np.concatenate(owners), minlength=len(words))
     return numbers, np.cumsum(counts) - counts, whole
 
@@ -86,7 +96,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     names: list[str]
-    weights: np.ndarray  # FEATURES x languages
+    weights: np.ndarray  # feature rows x languages
     lexicon: np.ndarray  # sorted hashes of words
     known: np.ndarray  # lexicon x languages: 1 if the word was met in the language
     lexical: np.ndarray  # languages x languages: weight of membership
@@ -99,7 +109,7 @@ class Model:
         return self.known[at] * (self.lexicon[at] == whole)[:, None]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        numbers, begin, whole = features(words)
+        numbers, begin, whole = features(words, len(self.weights))
         return np.add.reduceat(self.weights[numbers], begin, axis=0) + self.members(whole) @ self.lexical
 
 
@@ -147,13 +157,13 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model:
         stream, labels = (stream * STEPS)[:STEPS], (labels * STEPS)[:STEPS]
         usable = len(stream) // STEPS * STEPS
     x, y = np.array(stream[:usable]).reshape(-1, STEPS), np.array(labels[:usable]).reshape(-1, STEPS)
-    numbers, begin, whole = features(vocabulary)
+    numbers, begin, whole = features(vocabulary, feature_rows(k))
     spans = np.append(begin, len(numbers))
     met = np.zeros((len(vocabulary), k), np.float32)
     np.add.at(met, (x.ravel(), y.ravel()), 1)
     order = np.argsort(whole)
     twice = met.sum(axis=1)[order] >= 2  # words met once say nothing about new texts
-    model = Model(names, np.zeros((FEATURES, k), np.float32), whole[order][twice], (met[order][twice] > 0).astype(np.float32), np.zeros((k, k), np.float32), np.zeros((k, k), np.float32))
+    model = Model(names, np.zeros((feature_rows(k), k), np.float32), whole[order][twice], (met[order][twice] > 0).astype(np.float32), np.zeros((k, k), np.float32), np.zeros((k, k), np.float32))
     seen = [np.full_like(p, 1e-3) for p in (model.weights, model.lexical, model.transitions)]
     members = model.members(whole)
     for _ in range(EPOCHS):
@@ -250,17 +260,15 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, window: int = WINDOW) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, window: int = WINDOW) -> Model:
     """Fit on a bounded sample of the rows that aren't held out."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
+    shares = df.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "of string, share double")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - window + 1)) + 1
-    sample = rows.where(draw < share * (1 << 30)).select("lang", F.substring("text", start.cast("int"), F.lit(window)).alias("text"))
+    sample = rows.join(shares, F.col("lang") == F.col("of")).where(draw < F.col("share") * (1 << 30)).select("lang", F.substring("text", start.cast("int"), F.lit(window)).alias("text"))
     texts = [(r["lang"], r["text"]) for r in sample.limit(4 * per_language * max(1, len(counts))).collect()]
     texts.sort()
     texts = [t for t in texts if words_of(t[1])]

@@ -81,6 +81,21 @@ def test_language_takes_nulls_clashing_columns_and_empty_tables(spark, model):
     assert langid.annotate(df.limit(0), model, pred_col="pred").count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = []
+    for k in range(110):  # each language writes with six letters of its own choice
+        own = rng.choice(list(letters), 6, replace=False)
+        docs += [(1000 * k + i, " ".join("".join(rng.choice(own, 5)) for _ in range(30)), f"l{k:03}") for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    learned = langid.train(df)
+    assert learned.names == sorted({lang for _, _, lang in docs}) and learned.weights.size <= langid.WEIGHTS
+    rows = langid.annotate(df, learned).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) > 0.8 * len(rows)
+    assert langid.feature_rows(4) == langid.FEATURES and langid.feature_rows(1000) * 1000 <= langid.WEIGHTS
+
+
 def test_training_never_sees_held_out_rows(spark):
     rows = [(i, "only held out words" if zlib.crc32(str(i).encode()) % 4 == 2 else "alpha beta gamma", "hh" if zlib.crc32(str(i).encode()) % 4 == 2 else "tt") for i in range(60)]
     assert langid.train(spark.createDataFrame(rows, DOCS)).names == ["tt"]
