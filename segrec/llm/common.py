@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) is a
-    temporary folder made and recorded in the session.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and all runs on one machine
+    (local tests) is a temporary folder made and recorded in the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="segrec-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -40,6 +42,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, each: int = 50_000) -> DataFrame:
+    """``rows`` in parts of about ``each`` rows, before every row becomes many."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // each)
+    return rows.repartition(parts)
+
+
 def text_or_empty(name: str) -> Column:
     """The column as text, null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

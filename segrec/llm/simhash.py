@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segrec.llm.common import materialise
+from segrec.llm.common import materialise, spread
 
 SEED = 42
 SHINGLE = 3
@@ -88,12 +88,6 @@ def _keys(start: int, flips: list[int]) -> list[F.Column]:
     return [head + _segment(start, 1).bitwiseXOR(F.lit(flip)) for flip in flips]
 
 
-def spread(rows: DataFrame, each: int = 50_000) -> DataFrame:
-    """``rows`` in parts of about ``each`` rows, before every row becomes many."""
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // each)
-    return rows.repartition(parts)
-
-
 def links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints in column ``fp`` that differ in 1 to 3 bits; each pair once or more."""
     flips = [0] + [1 << b for b in range(WIDTH)]

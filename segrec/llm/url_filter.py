@@ -6,8 +6,9 @@ sets the threshold. An n-gram's conditional probability is interpolated with tha
 weight is how much it moves the log ratio away from its suffix's, so a URL's log-likelihood difference
 is the sum of the weights of all its n-grams in the tree: each position counts with the longest
 context that the tree holds. Divided by the URL's length, the sum is compared with the threshold of
-best balanced accuracy on the held-out fold. The tree keeps the ``nodes`` most frequent n-grams over a
-folded alphabet, which bounds what is broadcast.
+best balanced accuracy on the held-out fold. The tree holds every n-gram of up to ``ORDER`` characters
+that the learned URLs have, so it grows with them; up to ``BROADCAST_GRAMS`` weights are broadcast, more
+are met by a shuffle on the n-gram.
 
 Nulls: a null url, or one without ``://``, has an empty host and path and fits no rule. Very long
 urls are read whole. Repeated rows and ties give equal rows. If rules decide no URL of one of the two
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segrec.llm.common import materialise, packed_row
+from segrec.llm.common import materialise, packed_row, spread
 
 #: (verdict, host, start of path)
 RULES = (
@@ -31,8 +32,9 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-ORDER = 4
-NODES = 50_000
+ORDER = 6
+ALPHABET = 48
+BROADCAST_GRAMS = 300_000
 FOLDS = 5
 #: Weight of the suffix's estimate, in observations.
 PRIOR = 4.0
@@ -62,9 +64,9 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _characters(url: Column) -> Column:
-    """Letters lower-cased, digits as 0, rare characters as ~, between two starts and an end."""
+    """Letters lower-cased, digits as 0, rare characters as ~, between starts and an end."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(after_scheme(url)), "[0-9]", "0"), r"[^a-z0./?=&#_%:\-]", "~")
-    return F.split(F.concat(F.lit("<<<"), plain, F.lit(">")), "")
+    return F.split(F.concat(F.lit("<" * (ORDER - 1)), plain, F.lit(">")), "")
 
 
 def _grams(urls: DataFrame, *keep: str) -> DataFrame:
@@ -77,34 +79,33 @@ def _grams(urls: DataFrame, *keep: str) -> DataFrame:
     return chars.select(*keep, F.size("chars").alias("size"), F.explode(own).alias("gram"))
 
 
-def _weights(labelled: DataFrame, nodes: int) -> DataFrame:
-    """(gram, weight) of the tree's n-grams."""
-    counts = _grams(labelled, "verdict").groupBy("gram").agg(*[F.count(F.when(F.col("verdict") == kind, 1)).cast("double").alias(kind) for kind in ("allow", "block")])
-    # a suffix is never rarer than its n-gram, and comes first in this order: the tree is closed under suffixes
-    tree = counts.orderBy(F.desc(F.col("allow") + F.col("block")), F.length("gram"), "gram").limit(nodes)
-    tree = materialise(tree, "grams")
-    every = tree.where(F.length("gram") == 1).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
+def _weights(labelled: DataFrame) -> DataFrame:
+    """(gram, weight) of all n-grams of the labelled URLs."""
+    counts = _grams(spread(labelled.select("verdict", "url")), "verdict").groupBy("gram").agg(*[F.count(F.when(F.col("verdict") == kind, 1)).cast("double").alias(kind) for kind in ("allow", "block")])
+    tree = materialise(counts, "grams")
     level = tree.where(F.length("gram") == 1)
-    size = F.lit(float(ORDER * 12))
-    chance = {kind: (F.col(kind) + PRIOR) / (F.lit(every[kind] or 0.0) + PRIOR * size) for kind in ("allow", "block")}
-    level = level.select("gram", *[c.alias(f"p_{k}") for k, c in chance.items()])
-    level = level.withColumn("ratio", F.ln("p_allow") - F.ln("p_block"))
-    weights = level.select("gram", F.col("ratio").alias("weight"))
-    for n in range(2, ORDER + 1):
-        context = tree.where(F.length("gram") == n - 1).select(F.col("gram").alias("context"), F.col("allow").alias("c_allow"), F.col("block").alias("c_block"))
-        lower = level.withColumnsRenamed({"gram": "suffix", "p_allow": "s_allow", "p_block": "s_block", "ratio": "s_ratio"})
-        grams = tree.where(F.length("gram") == n).withColumns({"context": F.substring("gram", 1, n - 1), "suffix": F.substring("gram", 2, n - 1)})
-        joined = grams.join(F.broadcast(context), "context").join(F.broadcast(lower), "suffix")
-        chance = {kind: (F.col(kind) + PRIOR * F.col(f"s_{kind}")) / (F.col(f"c_{kind}") + PRIOR) for kind in ("allow", "block")}
-        level = joined.select("gram", "s_ratio", *[c.alias(f"p_{k}") for k, c in chance.items()]).withColumn("ratio", F.ln("p_allow") - F.ln("p_block"))
-        weights = weights.union(level.select("gram", (F.col("ratio") - F.col("s_ratio")).alias("weight")))
-        level = level.drop("s_ratio")
-    return materialise(weights, "weights")
+    every = level.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
+    chance = {kind: (F.col(kind) + PRIOR) / (F.lit(every[kind] or 0.0) + PRIOR * ALPHABET) for kind in ("allow", "block")}
+    level = level.select("gram", "allow", "block", *[c.alias(f"p_{k}") for k, c in chance.items()], F.lit(0.0).alias("s_ratio"))
+    weights = None
+    for n in range(1, ORDER + 1):
+        if n > 1:
+            context = level.select(F.col("gram").alias("context"), F.col("allow").alias("c_allow"), F.col("block").alias("c_block"))
+            lower = level.select(F.col("gram").alias("suffix"), F.col("p_allow").alias("s_allow"), F.col("p_block").alias("s_block"), F.col("ratio").alias("s_ratio"))
+            grams = tree.where(F.length("gram") == n).withColumns({"context": F.substring("gram", 1, n - 1), "suffix": F.substring("gram", 2, n - 1)})
+            joined = grams.join(context, "context").join(lower, "suffix")
+            chance = {kind: (F.col(kind) + PRIOR * F.col(f"s_{kind}")) / (F.col(f"c_{kind}") + PRIOR) for kind in ("allow", "block")}
+            level = joined.select("gram", "allow", "block", "s_ratio", *[c.alias(f"p_{k}") for k, c in chance.items()])
+        level = materialise(level.withColumn("ratio", F.ln("p_allow") - F.ln("p_block")), f"level{n}")
+        own = level.select("gram", (F.col("ratio") - F.col("s_ratio")).alias("weight"))
+        weights = own if weights is None else weights.unionByName(own)
+    return weights
 
 
 def _scores(urls: DataFrame, weights: DataFrame) -> DataFrame:
     """(url, score): length-normalised log-likelihood difference."""
-    met = _grams(urls, "url").join(F.broadcast(weights), "gram", "left")
+    small = weights.count() <= BROADCAST_GRAMS
+    met = _grams(spread(urls.select("url")), "url").join(F.broadcast(weights) if small else weights, "gram", "left")
     return met.groupBy("url").agg((F.coalesce(F.sum("weight"), F.lit(0.0)) / F.max("size")).alias("score"))
 
 
@@ -122,7 +123,7 @@ def _threshold(scored: DataFrame) -> float:
     return (below + rows[at]["slot"]) / 2 * BIN  # the middle of the gap under the lowest accepted slot
 
 
-def judge(df: DataFrame, url_col: str = "url", rules=RULES, nodes: int = NODES) -> DataFrame:
+def judge(df: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     """The rows of ``df`` with host, path, rule, verdict and score (null where a rule decides)."""
     host, path = host_and_path(F.col("url"))
     urls = df.select(F.col(url_col).cast("string").alias("url")).distinct().select("url", host.alias("host"), path.alias("path"))
@@ -133,7 +134,7 @@ def judge(df: DataFrame, url_col: str = "url", rules=RULES, nodes: int = NODES)
     held_out = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
     kinds = {r[0] for r in decided.select("verdict").distinct().collect()}
     if kinds == {"allow", "block"}:
-        weights = _weights(decided.where(~held_out), nodes)
+        weights = _weights(decided.where(~held_out))
         proof = decided.where(held_out)
         limit = _threshold(_scores(proof, weights).join(proof.select("url", "verdict"), "url"))
         scored = _scores(open_urls, weights)

@@ -50,7 +50,7 @@ def brute_score(tree, url):
     """Interpolated ratio of the longest n-grams in the tree, by recursion."""
     import re
 
-    text = "<<<" + re.sub(r"[^a-z0./?=&#_%:\-]", "~", re.sub("[0-9]", "0", url.split("://", 1)[1].lower())) + ">"
+    text = "<" * (url_filter.ORDER - 1) + re.sub(r"[^a-z0./?=&#_%:\-]", "~", re.sub("[0-9]", "0", url.split("://", 1)[1].lower())) + ">"
     every = {k: sum(c[k] for g, c in tree.items() if len(g) == 1) for k in (0, 1)}
 
     def chance(gram, k):
@@ -60,7 +60,7 @@ def brute_score(tree, url):
 
     total = 0.0
     for i in range(len(text)):
-        gram = next((text[i - n + 1 : i + 1] for n in (4, 3, 2, 1) if i - n + 1 >= 0 and text[i - n + 1 : i + 1] in tree), None)
+        gram = next((text[i - n + 1 : i + 1] for n in range(url_filter.ORDER, 0, -1) if i - n + 1 >= 0 and text[i - n + 1 : i + 1] in tree), None)
         if gram:
             total += np.log(chance(gram, 0)) - np.log(chance(gram, 1))
     return total / len(text)
@@ -69,19 +69,40 @@ def brute_score(tree, url):
 def test_scores_equal_brute_force(spark):
     labelled = [(f"http://a.test/{w}/{i}", "allow") for i, w in enumerate(["en", "fr", "news"] * 5)] + [(f"http://b.test/x{w}?{i}", "block") for i, w in enumerate(["shop", "en"] * 6)]
     train = spark.createDataFrame(labelled, "url string, verdict string")
-    weights = url_filter._weights(train, 500)
+    weights = url_filter._weights(train)
     counts = {}
     import re
 
     for url, verdict in labelled:
-        text = "<<<" + re.sub(r"[^a-z0./?=&#_%:\-]", "~", re.sub("[0-9]", "0", url.split("://", 1)[1].lower())) + ">"
-        for n in (1, 2, 3, 4):
+        text = "<" * (url_filter.ORDER - 1) + re.sub(r"[^a-z0./?=&#_%:\-]", "~", re.sub("[0-9]", "0", url.split("://", 1)[1].lower())) + ">"
+        for n in range(1, url_filter.ORDER + 1):
             for i in range(len(text) - n + 1):
                 counts.setdefault(text[i : i + n], [0, 0])[verdict == "block"] += 1
-    kept = sorted(counts.items(), key=lambda x: (-sum(x[1]), len(x[0]), x[0]))[:500]
+    assert weights.count() == len(counts)
     asked = spark.createDataFrame([("http://c.test/en/7",), ("http://a.test/zz?y",)], "url string")
     for r in url_filter._scores(asked, weights).collect():
-        assert r["score"] == pytest.approx(brute_score(dict(kept), r["url"]))
+        assert r["score"] == pytest.approx(brute_score(counts, r["url"]))
+
+
+def test_weights_beyond_a_broadcast_are_met_by_a_shuffle(spark, monkeypatch):
+    labelled = [(f"http://a.test/{i}/en", "allow") for i in range(9)] + [(f"http://b.test/x{i}", "block") for i in range(9)]
+    weights = url_filter._weights(spark.createDataFrame(labelled, "url string, verdict string"))
+    asked = spark.createDataFrame([("http://c.test/en/7",), ("u" * 5000 + "://" + "v/" * 20000,)], "url string")
+    one = {r["url"]: r["score"] for r in url_filter._scores(asked, weights).collect()}
+    monkeypatch.setattr(url_filter, "BROADCAST_GRAMS", 0)
+    two = {r["url"]: r["score"] for r in url_filter._scores(asked, weights).collect()}
+    assert one == pytest.approx(two) and len(one) == 2
+
+
+def test_threshold_has_the_best_balanced_accuracy(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(rng.normal(0.4, 0.5)), "allow") for _ in range(200)] + [(float(rng.normal(-0.4, 0.5)), "block") for _ in range(120)]
+    limit = url_filter._threshold(spark.createDataFrame(rows, "score double, verdict string"))
+
+    def accuracy(t):
+        return sum(x >= t for x, v in rows if v == "allow") / 200 + sum(x < t for x, v in rows if v == "block") / 120
+
+    assert accuracy(limit) >= max(accuracy(k * url_filter.BIN) for k in range(-300, 300)) - 1e-9
 
 
 def test_urls_without_labels_and_empty_tables(spark):
