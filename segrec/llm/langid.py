@@ -39,8 +39,10 @@ WEIGHTS = 1 << 24
 STEPS = 32
 EPOCHS = 4
 #: Words labelled at once, and words whose emissions a task keeps.
-BATCH_WORDS = 300_000
-KEPT_WORDS = 600_000
+BATCH_WORDS = 100_000
+KEPT_WORDS = 250_000
+#: Languages whose shares of the sample are broadcast; more are joined.
+BROADCAST_LANGUAGES = 10_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -266,6 +268,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = rows.groupBy("lang").count().orderBy("lang").collect()
     shares = df.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "of string, share double")
+    shares = F.broadcast(shares) if len(counts) <= BROADCAST_LANGUAGES else shares
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - window + 1)) + 1
     sample = rows.join(shares, F.col("lang") == F.col("of")).where(draw < F.col("share") * (1 << 30)).select("lang", F.substring("text", start.cast("int"), F.lit(window)).alias("text"))

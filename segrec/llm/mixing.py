@@ -170,7 +170,8 @@ def _raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None,
         goals.append(np.array([given.get(v, 0.0) for v in values], float) if given is not None else np.bincount(at[-1], tokens, len(values)) ** POWERS[m])
     chance, residual = rake_cells(tokens, at, goals, keep, cycles)
     table = [(*(r[m] for m in MARGINS), float(p)) for r, p in zip(rows, chance, strict=True)]
-    return cells.sparkSession.createDataFrame(table, "source string, lang string, topic string, probability double"), float(residual)
+    # at most CELLS rows, so they can be broadcast
+    return F.broadcast(cells.sparkSession.createDataFrame(table, "source string, lang string, topic string, probability double")), float(residual)
 
 
 def _frame(df: DataFrame, carried: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None) -> DataFrame:

@@ -39,7 +39,7 @@ CAPACITY = 2048
 END = 0
 #: Pieces of one shard, and pieces of text whose ids a task keeps at once.
 SHARD = 2048
-KEPT_PIECES = 700_000
+KEPT_PIECES = 250_000
 FLUSH_BYTES = 8 << 20
 IDLE_ROUNDS = 4
 

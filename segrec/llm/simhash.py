@@ -11,13 +11,14 @@ the chain is checked on their bits before the full Hamming distance.
 
 Near copies by similarity (``keep_one_similar``): texts whose sets of word 5-shingles have a Jaccard
 similarity of 0.8 or more link. Such pairs differ in about 15 % of a fingerprint's bits, too many for
-any segment to be equal; so candidates share one of 256 keys of 24 bits, each a fixed choice from a
-1024-bit SimHash. A candidate must have, on the first 512 bits, a chain of segments whose cumulative
-differences stay within the proportional budgets of ``WIDE_BITS`` differing bits, then at most
-``WIDE_BITS`` in all; what is left is compared exactly by shingles. Under one key a text meets the first
-text and the ``BEFORE`` before it, in an order of the key's own. Where a key has more texts, those that
-stay after linking meet again, in another order, round after round until no key has more or a round
-finds no link: what stays has then been compared under every key that it shares.
+any segment of it to be equal. So candidates share a shingle among the fifth of each text's shingles
+with the least hashes (two sets that similar must); a candidate must then have, on a SimHash of 512
+bits, a chain of segments whose cumulative differences stay within the proportional budgets of
+``WIDE_BITS`` differing bits, then at most ``WIDE_BITS`` in all; what is left is compared exactly. Under
+one shingle a text meets the first text and the ``BEFORE`` before it, in an order of the shingle's own.
+Where a shingle has more texts, those that stay after linking meet again, in another order, round after
+round until no shingle has more or a round finds no link. A similar pair shares most of these shingles,
+so it is only missed if texts that are not similar crowd all of them.
 
 Nulls: null text is the empty text, whose fingerprint is zero; it links like any other. A null id is
 kept, and counts as a member without a number: a component's id is its smallest non-null id (null if
@@ -27,6 +28,7 @@ columns of the input are ignored by ``components`` and carried by ``keep_one``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -155,13 +157,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 NEAR_SHINGLE = 5
 SIMILAR = 0.8
-WIDE = 1024  # bits of a wide fingerprint
-KEYS, KEY_BITS = 256, 24  # a key is a fixed choice of bits; unrelated texts share one with chance 2**-24
-TOLD, WIDE_SEGMENTS = 512, 32  # bits that candidates are compared by, and their segments
-#: At a similarity of 0.8 about 78 of the 512 bits differ, with a deviation of 8.
-WIDE_BITS = 116
+WIDE, WIDE_SEGMENTS = 512, 32  # bits of a wide fingerprint, and its segments
+#: At a similarity of 0.8 about 78 of the 512 bits differ, 96 for texts of four shingles, with a deviation of 9; 256 for others.
+WIDE_BITS = 140
 BEFORE = 16
-_CHOICE = np.random.default_rng(SEED).permuted(np.tile(np.arange(WIDE), (KEYS, 1)), axis=1)[:, :KEY_BITS]
 
 
 def _shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -176,9 +175,8 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def wide_fingerprint(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """The bits of a SimHash of ``WIDE`` bits over a text's distinct shingles."""
-    hashes = _shingles(text, shingle)
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """A SimHash of ``WIDE`` bits over a text's distinct shingles."""
     steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     votes = np.zeros(WIDE, np.int64)
     for at in range(0, len(hashes), 4096):
@@ -188,32 +186,28 @@ def wide_fingerprint(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(31)
         votes += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
-    return votes * 2 > len(hashes)
+    return np.packbits(votes * 2 > len(hashes)).tobytes()
 
 
-def near_keys(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """The keys by which a text meets its near copies: chosen bits of its wide fingerprint."""
-    return _keys_of(wide_fingerprint(text, shingle))
+def near_keys(hashes: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+    """The least of a text's distinct shingles, in order: two sets of the similarity ``similar`` share one of them."""
+    return hashes[: len(hashes) - math.ceil(similar * len(hashes) - 1e-9) + 1]
 
 
-def _keys_of(bits: np.ndarray) -> np.ndarray:
-    return (np.arange(KEYS) << KEY_BITS) + bits[_CHOICE] @ (1 << np.arange(KEY_BITS))
-
-
-def _key_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _key_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: float) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
         for low in range(0, batch.num_rows, 1024):
             part = batch.slice(low, 1024)
-            fresh = []
+            fresh, keys, wide = [], [], []
             for k, v in enumerate(part.column(0).to_pylist()):  # a task tells repeated rows once
                 if v not in seen:
                     seen.add(v)
                     fresh.append(k)
-            part = part.take(pa.array(fresh, pa.int64()))
-            bits = [wide_fingerprint(x.as_py(), shingle) for x in part.column(1)]
-            keys = [_keys_of(b).astype(np.uint32).view(np.int32) for b in bits]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array([np.packbits(b[:TOLD]).tobytes() for b in bits], pa.binary())], names=["v", "keys", "wide"])
+                    hashes = _shingles(part.column(1)[k].as_py(), shingle)
+                    keys.append(near_keys(hashes, similar).view(np.int64))
+                    wide.append(wide_fingerprint(hashes))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(fresh, pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["v", "keys", "wide"])
 
 
 def chained(differs: np.ndarray, most: int) -> np.ndarray:
@@ -229,7 +223,7 @@ def chained(differs: np.ndarray, most: int) -> np.ndarray:
 
 def _near_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, TOLD // 8) for k in (2, 3))
+        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, WIDE // 8) for k in (2, 3))
         differs = np.bitwise_count(one ^ two).reshape(len(one), WIDE_SEGMENTS, -1).sum(axis=2, dtype=np.int64)
         at = np.flatnonzero(chained(differs, most)) if len(differs) else np.empty(0, np.int64)
         at = at[differs[at].sum(axis=1) <= most]
@@ -270,7 +264,7 @@ def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float
     They connect all texts that similarity connects, without all pairs of a group: every candidate pair
     is compared exactly, and of texts that are linked already one goes on to further rounds.
     """
-    live = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle), "v bigint, keys array<int>, wide binary"), "near_keys")
+    live = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle, similar=similar), "v bigint, keys array<bigint>, wide binary"), "near_keys")
     links, number = None, 0
     while True:
         found, more = _round(texts, live, number, shingle, similar)

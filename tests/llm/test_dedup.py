@@ -229,6 +229,16 @@ def test_chains_keep_every_pair_within_the_budget():
         assert told == any(all(sum(ring[s : s + n]) * 8 <= n * 7 for n in range(1, 9)) for s in range(8))
 
 
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(11)
+    for n in [1, 2, 3, 4, 5, 9, 10, 50, 300] * 20:
+        one = set(rng.integers(0, 1 << 60, n).tolist())
+        two = set(list(one)[int(rng.integers(0, n // 4 + 1)) :]) | set(rng.integers(0, 1 << 60, int(rng.integers(0, n // 4 + 1))).tolist())
+        keys = [set(simhash.near_keys(np.array(sorted(s), np.uint64)).tolist()) for s in (one, two)]
+        if len(one & two) >= 0.8 * len(one | two):
+            assert keys[0] & keys[1]
+
+
 def test_groups_larger_than_meet_under_a_key_become_one(spark):
     rng = np.random.default_rng(5)
     base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
