@@ -17,7 +17,7 @@ phrases whose word occurs earlier are solid: all their windows repeat; (3) where
 words, the words' suffixes are compared, once for each word. A copy of a word in the same batch sends
 nothing, whatever its number.
 
-Nulls: null text is empty. Ids are numbers; a null id is larger than any other. Rows that tie on the id
+Nulls: null text is empty. Ids are whole numbers, texts or dates; a null id is larger than any other. Rows that tie on the id
 (repeated rows too) don't cover each other. Texts shorter than ``LENGTH`` bytes stay whole. An empty
 table gives an empty result. Other columns are ignored and may have any names.
 """
@@ -30,16 +30,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegralType, StringType
+
+from segrec.llm.common import materialise
 
 LENGTH = 50
 TRIGGER = 24
 BATCH_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
-#: Boundaries between ids that the driver holds; finer batches divide the ranges between them evenly.
-RANGES = 512
+#: First ids of batches that tasks look batches up in; with more batches, rows are joined to theirs.
+EDGES = 100_000
 CHUNK = 1 << 20
 _PLACE = (1 << 21) - 1
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -83,9 +85,10 @@ class Batch:
     """The phrases of a batch of texts."""
 
     def __init__(self, rows: pd.DataFrame) -> None:
-        self.ids, self.texts = rows["id"], rows["text"].tolist()
-        ids = rows["id"].to_numpy(dtype=float, na_value=np.inf) if len(rows) else np.empty(0)
-        self.rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+        self.texts = rows["text"].tolist()
+        known = rows["id"].notna().to_numpy() if len(rows) else np.empty(0, bool)
+        self.rank = np.full(len(rows), len(rows), np.int64)  # no id is larger than any
+        self.rank[known] = np.unique(rows["id"].to_numpy(object)[known].astype(str), return_inverse=True)[1]
         parts: list[tuple] = []
         self.windows: list[np.ndarray] = []
         at, chunk, held = 0, [], 0
@@ -283,31 +286,52 @@ def _finish(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def sortable(df: DataFrame, id_col: str) -> tuple[Column, Column]:
+    """(the id as text in the ids' own order, the id again from a column ``id`` of such texts)."""
+    kind = df.schema[id_col].dataType
+    if isinstance(kind, IntegralType):
+        shift = F.lit(str(1 << 63)).cast("decimal(20,0)")
+        return F.lpad((F.col(id_col).cast("decimal(20,0)") + shift).cast("string"), 20, "0"), (F.col("id").cast("decimal(20,0)") - shift).cast(kind)
+    if isinstance(kind, StringType | DateType):  # years have four digits
+        return F.col(id_col).cast("string"), F.col("id").cast(kind)
+    raise TypeError(f"ids must be whole numbers, texts or dates, not {kind.simpleString()}")
+
+
 def in_batches(df: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> tuple[DataFrame, int]:
-    """Rows (batch, id, text as bytes), batches of about ``batch_bytes`` in ascending order of ids; bytes of all texts."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    total, low, high = rows.agg(F.sum(F.octet_length("text")), F.min("id"), F.max("id")).first()
-    wanted = max(1, math.ceil((total or 0) / batch_bytes))
-    ranges = min(RANGES, wanted)
-    cuts = rows.agg(F.percentile_approx(F.col("id").cast("double"), [k / ranges for k in range(1, ranges)] or [0.5], 20 * RANGES)).first()[0] if low is not None else None
-    edges = sorted({float(x) for x in cuts or () if low < x <= high})
-    if not edges:
-        return rows.select(F.lit(0).cast("bigint").alias("batch"), "id", "text"), total or 0
-    splits = [-math.inf, *edges, math.inf]
-    each = math.ceil(wanted / (len(edges) + 1))
-    slot = Bucketizer(splits=splits, inputCol="__id", outputCol="__slot", handleInvalid="keep").transform(rows.withColumn("__id", F.col("id").cast("double")))
-    start, end = (F.get(F.array(*[F.lit(x) for x in bounds]), F.col("__slot").cast("int")) for bounds in ([float(low), *edges], [*edges, float(high) + 1]))
-    inner = F.coalesce(F.floor((F.col("id") - start) / (end - start) * each), F.lit(0))
-    last = F.lit((len(splits) - 1) * each)  # of rows without an id
-    batch = F.col("__slot").cast("bigint") * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), inner))
-    return slot.select(F.when(F.col("id").isNull(), last).otherwise(batch).cast("bigint").alias("batch"), "id", "text"), total
+    """Rows (batch, id as sortable text, text as bytes), batches of about ``batch_bytes`` in ascending order of ids; bytes of all texts.
+
+    Batches are cut by running sums of bytes in the order of ids, however the ids lie.
+    """
+    rows = df.select(sortable(df, id_col)[0].alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    sizes = rows.groupBy("id").agg(F.sum(F.octet_length("text") + 1).cast("bigint").alias("bytes"), F.sum(F.octet_length("text")).cast("bigint").alias("own"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = materialise(sizes.repartitionByRange(parts, F.col("id").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sizes")
+    total = sizes.agg(F.sum("own")).first()[0] or 0
+    before = F.sum("bytes").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    cut = sizes.where("id IS NOT NULL").select("id", "part", F.floor(F.coalesce(before, F.lit(0)) / batch_bytes).alias("slot"))
+    number = F.shiftleft(F.col("part").cast("bigint"), 40) + F.col("slot")
+    last = F.lit((1 << 62) - 1)  # of rows without an id
+    edges = materialise(cut.groupBy(number.alias("batch")).agg(F.min("id").alias("edge")), "edges")
+    if edges.count() <= EDGES:
+        held = sorted((r["edge"], r["batch"]) for r in edges.collect())
+        starts, numbers = np.array([e for e, _ in held], object), np.array([n for _, n in held], np.int64)
+
+        @F.pandas_udf("bigint")
+        def batch_of(ids: pd.Series) -> pd.Series:
+            known = ids.notna().to_numpy()
+            found = np.full(len(ids), (1 << 62) - 1, np.int64)
+            found[known] = numbers[np.searchsorted(starts, ids.to_numpy(object)[known], "right") - 1]
+            return pd.Series(found)
+
+        return rows.select(batch_of("id").alias("batch"), "id", "text"), total
+    told = cut.select(F.col("id").alias("of"), number.alias("batch"))
+    return rows.join(told, F.col("id") == F.col("of"), "left").select(F.coalesce("batch", last).alias("batch"), "id", "text"), total
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept, kept_sha256): ``kept`` holds a text's remaining bytes."""
     docs, total = in_batches(df, id_col, text_col, batch_bytes)
     buckets = 1 << max(0, math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
-    kind = docs.schema["id"].dataType.simpleString()
     told = None
     for number in (1, 2, 3):
         ask = _asker(number, buckets)
@@ -317,5 +341,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             asked = docs.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(ask, _ASKED)
         answers = asked.groupBy("bucket").applyInPandas(_answerer(number), _TOLD)
         told = answers if told is None else told.unionByName(answers)
-    schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
-    return docs.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(_finish, schema)
+    schema = "id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
+    return docs.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(_finish, schema).withColumn("id", sortable(df, id_col)[1])

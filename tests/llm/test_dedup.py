@@ -256,3 +256,18 @@ def test_groups_larger_than_meet_under_a_key_become_one(spark):
     kept = sorted(r["doc_id"] for r in simhash.keep_one_similar(df).collect())
     assert kept == [0, 0, 1000, *range(2000, 2020)]  # the first row came twice
     assert simhash.keep_one_similar(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("edges", [0, 1000])
+def test_passages_by_large_and_by_text_ids(spark, monkeypatch, edges):
+    monkeypatch.setattr(pfp_dedup, "EDGES", edges)
+    shared = "a passage that three documents share, of more than fifty bytes, to the end of it"
+    ids = [2**53, 2**53 + 1, 2**53 + 2, -5, None]
+    df = spark.createDataFrame([(i, f"{k} {shared} {k}" if i != -5 else "other", "x") for k, i in enumerate(ids)], "doc_id bigint, text string, batch string")
+    rows = {r["id"]: r["n_removed"] for r in pfp_dedup.remove_repeats(df, batch_bytes=100).collect()}
+    n = len(shared.encode()) + 2
+    assert rows == {2**53: 0, 2**53 + 1: n, 2**53 + 2: n, -5: 0, None: n}
+    rows = {r["id"]: r["n_removed"] for r in pfp_dedup.remove_repeats(df.selectExpr("'d' || doc_id AS doc_id", "text"), batch_bytes=100).collect()}
+    assert rows == {f"d{2**53}": 0, f"d{2**53 + 1}": n, f"d{2**53 + 2}": n, "d-5": 0, None: n}
+    with pytest.raises(TypeError):
+        pfp_dedup.remove_repeats(df.selectExpr("array(doc_id) AS doc_id", "text"))
