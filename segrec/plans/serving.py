@@ -62,16 +62,16 @@ _MINE = ", mine AS (SELECT user_id, category, count(*) AS n FROM train GROUP BY
 
 @query(
     "ex1_ex2_ex5_facts",
-    _MINE + " SELECT c.user_id, c.item, CAST(coalesce(n, 0) AS BIGINT) AS shared_category_count, i.level = lv.level AS level_match, round(coalesce(n, 0) / total, 6) AS category_share FROM (SELECT * FROM candidates WHERE position % 8 = 0) c JOIN items i ON c.item = i.item LEFT JOIN mine m ON m.user_id = c.user_id AND m.category = i.category JOIN tot ON tot.user_id = c.user_id JOIN lv ON lv.user_id = c.user_id",
+    _MINE + " SELECT c.user_id, c.item, CAST(coalesce(n, 0) AS BIGINT) AS shared_category_count, i.level = lv.level AS level_match, round(coalesce(n, 0) / total, 6) AS category_share FROM candidates c JOIN items i ON c.item = i.item LEFT JOIN mine m ON m.user_id = c.user_id AND m.category = i.category JOIN tot ON tot.user_id = c.user_id JOIN lv ON lv.user_id = c.user_id",
 )
 def ex1(s: Star) -> DataFrame:
-    rows = explain.facts(s, s.candidates.where("position % 8 = 0").select("user_id", "item"), strata(s))
+    rows = explain.facts(s, s.candidates.select("user_id", "item"), strata(s))
     return rows.select("user_id", "item", "shared_category_count", "level_match", F.round("category_share", 6).alias("category_share"))
 
 
-@query("ex3_segment_enrollments", ", per AS (SELECT stratum, item, count(*) AS n FROM train t JOIN users u ON t.user_id = u.user_id GROUP BY ALL) SELECT c.user_id, c.item, CAST(coalesce(n, 0) AS BIGINT) AS segment_enrollments FROM (SELECT * FROM candidates WHERE position % 8 = 1) c JOIN users u ON c.user_id = u.user_id LEFT JOIN per p ON p.stratum = u.stratum AND p.item = c.item")
+@query("ex3_segment_enrollments", ", per AS (SELECT stratum, item, count(*) AS n FROM train t JOIN users u ON t.user_id = u.user_id GROUP BY ALL) SELECT c.user_id, c.item, CAST(coalesce(n, 0) AS BIGINT) AS segment_enrollments FROM candidates c JOIN users u ON c.user_id = u.user_id LEFT JOIN per p ON p.stratum = u.stratum AND p.item = c.item")
 def ex3(s: Star) -> DataFrame:
-    rows = explain.facts(s, s.candidates.where("position % 8 = 1").select("user_id", "item"), strata(s))
+    rows = explain.facts(s, s.candidates.select("user_id", "item"), strata(s))
     return rows.select("user_id", "item", "segment_enrollments")
 
 
