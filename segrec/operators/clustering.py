@@ -7,20 +7,27 @@ beyond it.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segrec.operators.facts import CATEGORIES
 
 MAX_PAIRWISE = 20_000
 MAX_LINKAGE = 4_000
+#: Fits that are submitted at once.
+AT_ONCE = 8
 
 
 def long_form(df: DataFrame, key: str, vector: str, label: str | None = None) -> DataFrame:
@@ -172,11 +179,18 @@ def _vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
 
 
+def together(work: Callable, arguments: Iterable) -> list:
+    """``work`` on each argument, several at a time: Spark runs their jobs side by side."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), arguments))
+
+
 def fit_kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, n_init: int = 10) -> KMeansModel:
     """ML5: the model of least cost of ``n_init`` seeds."""
     rows = _vectors(df, vector).select("__v").persist()
     try:
-        models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(rows) for i in range(n_init)]
+        fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(rows)
+        models = together(fit, range(n_init)) if n_init > 1 else [fit(0)]
         return min(models, key=lambda m: m.summary.trainingCost)
     finally:
         rows.unpersist()
@@ -186,22 +200,34 @@ def predict(model: KMeansModel, df: DataFrame, vector: str) -> DataFrame:
     return model.transform(_vectors(df, vector)).drop("__v")
 
 
-def kmeans_sweep(df: DataFrame, key: str, vector: str, ks: list[int], n_init: int = 3) -> DataFrame:
-    """ML7: rows (k, inertia, smallest_share, calinski_harabasz)."""
-    rows = []
-    for k in ks:
-        model = fit_kmeans(df, vector, k, n_init=n_init)
-        labelled = predict(model, df, vector)
+def kmeans_sweep(df: DataFrame, key: str, vector: str, ks: list[int], n_init: int = 10) -> DataFrame:
+    """ML7: rows (k, inertia, smallest_share, calinski_harabasz, davies_bouldin, silhouette, intra_similarity).
+
+    The silhouette is that of squared Euclidean distances, which takes one pass.
+    """
+    rows = df.select(key, vector).persist()
+
+    def at(k: int) -> tuple:
+        model = fit_kmeans(rows, vector, k, n_init=n_init)
         sizes = model.summary.clusterSizes
-        ch = calinski_harabasz(long_form(labelled, key, vector, "cluster")).first()[0] if k > 1 else None
-        rows.append((k, float(model.summary.trainingCost), min(sizes) / sum(sizes), ch))
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, smallest_share double, calinski_harabasz double")
+        labelled = predict(model, rows, vector).select(key, vector, F.col("cluster"))
+        points = long_form(labelled, key, vector, "cluster")
+        quality = ClusteringEvaluator(featuresCol="__v", predictionCol="cluster").evaluate(_vectors(labelled, vector))
+        similar = intra_similarity(points).agg(F.sum(F.col("n") * F.col("similarity")) / F.sum("n")).first()[0]
+        return (k, float(model.summary.trainingCost), min(sizes) / sum(sizes), calinski_harabasz(points).first()[0], davies_bouldin(points).first()[0], float(quality), similar)
+
+    try:
+        found = together(at, ks)
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame(found, "k int, inertia double, smallest_share double, calinski_harabasz double, davies_bouldin double, silhouette double, intra_similarity double")
 
 
 def seed_stability(df: DataFrame, key: str, vector: str, k: int, seeds: list[int]) -> float:
     """ML8: mean adjusted Rand index of the labelings of all pairs of seeds."""
-    named = [predict(fit_kmeans(df, vector, k, s, 1), df, vector).select(key, F.col("cluster").alias(f"c{s}")) for s in seeds]
-    found = [adjusted_rand(named[i].join(named[j], key), f"c{seeds[i]}", f"c{seeds[j]}").first()[0] for i in range(len(seeds)) for j in range(i)]
+    named = together(lambda s: predict(fit_kmeans(df, vector, k, s, 1), df, vector).select(key, F.col("cluster").alias(f"c{s}")), seeds)
+    pairs = [(i, j) for i in range(len(seeds)) for j in range(i)]
+    found = together(lambda p: adjusted_rand(named[p[0]].join(named[p[1]], key), f"c{seeds[p[0]]}", f"c{seeds[p[1]]}").first()[0], pairs)
     return sum(found) / len(found)
 
 
@@ -213,26 +239,45 @@ def matched_jaccard(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return sizes.groupBy("a").agg(F.max(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).alias("jaccard"))
 
 
-def bootstrap_jaccard(df: DataFrame, key: str, vector: str, k: int, rounds: int, seed: int = 42) -> DataFrame:
-    """ML16: rows (a, jaccard), averaged over ``rounds`` refits on rows drawn with replacement."""
-    base = predict(fit_kmeans(df, vector, k, seed, 1), df, vector).select(key, F.col("cluster").alias("a"))
-    parts = []
-    for r in range(rounds):
-        drawn = df.sample(True, 1.0, seed + r).dropDuplicates([key])
-        again = predict(fit_kmeans(drawn, vector, k, seed, 1), drawn, vector).select(key, F.col("cluster").alias("b"))
-        parts.append(matched_jaccard(base, again, key))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("a").agg(F.avg("jaccard").alias("jaccard"))
+def drawn(df: DataFrame, share: float, *by: Column | str | int) -> DataFrame:
+    """The rows whose hash of ``by`` falls within ``share``: the same rows in any partitioning."""
+    parts = [F.lit(x) if isinstance(x, int) else x for x in by]
+    return df.where(F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
+def bootstrap_jaccard(df: DataFrame, key: str, vector: str, k: int, rounds: int = 100, seed: int = 42) -> DataFrame:
+    """ML16: rows (a, jaccard), averaged over ``rounds`` refits on the distinct rows of draws with replacement.
 
+    A draw of as many rows as there are holds each with chance 1 - 1/e.
+    """
+    df = df.select(key, vector).persist()
+    try:
+        base = predict(fit_kmeans(df, vector, k, seed, 1), df, vector).select(key, F.col("cluster").alias("a"))
 
-def subsample_consensus(df: DataFrame, key: str, vector: str, k: int, pairs: int, seed: int = 42) -> float:
+        def once(r: int) -> list:
+            rows = drawn(df, 1 - math.exp(-1), key, seed, r)
+            again = predict(fit_kmeans(rows, vector, k, seed, 1), rows, vector).select(key, F.col("cluster").alias("b"))
+            return [(x["a"], x["jaccard"]) for x in matched_jaccard(base, again, key).collect()]  # k rows
+
+        found = [x for part in together(once, range(rounds)) for x in part]
+    finally:
+        df.unpersist()
+    return df.sparkSession.createDataFrame(found, "a int, jaccard double").groupBy("a").agg(F.avg("jaccard").alias("jaccard"))
+
+
+def subsample_consensus(df: DataFrame, key: str, vector: str, k: int, pairs: int = 30, seed: int = 42) -> float:
     """ML17: mean adjusted Rand index of labelings of pairs of 80 % samples, on the rows they share."""
-    found = []
-    for p in range(pairs):
-        named = [predict(fit_kmeans(d, vector, k, seed, 1), d, vector).select(key, F.col("cluster").alias(f"c{i}")) for i, d in enumerate(df.sample(False, 0.8, seed + 2 * p + i) for i in (0, 1))]
-        found.append(adjusted_rand(named[0].join(named[1], key), "c0", "c1").first()[0])
+    df = df.select(key, vector).persist()
+
+    def once(p: int) -> float:
+        samples = [drawn(df, 0.8, key, seed, p, i) for i in (0, 1)]
+        named = [predict(fit_kmeans(d, vector, k, seed, 1), d, vector).select(key, F.col("cluster").alias(f"c{i}")) for i, d in enumerate(samples)]
+        return adjusted_rand(named[0].join(named[1], key), "c0", "c1").first()[0]
+
+    try:
+        found = together(once, range(pairs))
+    finally:
+        df.unpersist()
     return sum(found) / len(found)
 
 
@@ -241,13 +286,18 @@ def stability(jaccard: DataFrame, low: float = 0.6, high: float = 0.75) -> DataF
     return jaccard.withColumn("verdict", F.when(F.col("jaccard") < low, "unstable").when(F.col("jaccard") < high, "doubtful").otherwise("stable"))
 
 
-def gaussian_mixture(df: DataFrame, vector: str, ks: list[int], seed: int = 42) -> DataFrame:
-    """ML10: rows (k, log_likelihood, bic, aic) of full-covariance mixtures."""
-    rows_v = _vectors(df, vector)
+def gaussian_mixture(df: DataFrame, vector: str, ks: list[int], seed: int = 42, n_init: int = 3) -> DataFrame:
+    """ML10: rows (k, log_likelihood, bic, aic) of full-covariance mixtures, the best of ``n_init`` starts each."""
+    rows_v = _vectors(df, vector).select("__v").persist()
     n, d = df.count(), len(df.select(vector).first()[0])
+    try:
+        starts = [(k, i) for k in ks for i in range(n_init)]
+        likely = together(lambda s: (s[0], GaussianMixture(k=s[0], seed=seed + s[1], featuresCol="__v").fit(rows_v).summary.logLikelihood), starts)
+    finally:
+        rows_v.unpersist()
     rows = []
     for k in ks:
-        ll = GaussianMixture(k=k, seed=seed, featuresCol="__v").fit(rows_v).summary.logLikelihood
+        ll = max(x for j, x in likely if j == k)
         free = k - 1 + k * d + k * d * (d + 1) / 2
         rows.append((k, float(ll), float(free * np.log(n) - 2 * ll), float(2 * free - 2 * ll)))
     return df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double, aic double")
@@ -300,22 +350,43 @@ def _cost(df: DataFrame, vector: str, k: int, seed: int) -> float:
     return float(long.groupBy("dim").agg((F.var_pop("x") * F.count("*")).alias("v")).agg(F.sum("v")).first()[0])
 
 
-def gap_statistic(df: DataFrame, vector: str, ks: list[int], references: int, seed: int = 42) -> DataFrame:
-    """ML15: rows (k, gap, error) against uniform draws over each dimension's range."""
-    d = len(df.select(vector).first()[0])
+def gap_statistic(df: DataFrame, vector: str, ks: list[int], references: int = 50, seed: int = 42) -> DataFrame:
+    """ML15: rows (k, gap, error) against uniform draws over each dimension's range; a draw is a hash of the row's vector."""
+    df = df.select(vector).persist()
+    d = len(df.first()[0])
     value = lambda i: F.get(F.col(vector), F.lit(i)).cast("double")
     ends = df.agg(*[F.min(value(i)).alias(f"l{i}") for i in range(d)], *[F.max(value(i)).alias(f"h{i}") for i in range(d)]).first()
+    low, wide = F.array(*[F.lit(float(ends[f"l{i}"])) for i in range(d)]), F.array(*[F.lit(float(ends[f"h{i}"] - ends[f"l{i}"])) for i in range(d)])
+
+    def cost(job: tuple[int, int]) -> float:
+        k, r = job
+        if r < 0:
+            return float(np.log(_cost(df, vector, k, seed)))
+        chance = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.pmod(F.xxhash64(F.col(vector), F.lit(r), i), F.lit(1 << 40)) / float(1 << 40))
+        return float(np.log(_cost(df.select(F.zip_with(F.zip_with(chance, wide, lambda u, w: u * w), low, lambda x, lo: x + lo).alias(vector)), vector, k, seed)))
+
+    try:
+        jobs = [(k, r) for k in ks for r in range(-1, references)]
+        costs = dict(zip(jobs, together(cost, jobs), strict=True))
+    finally:
+        df.unpersist()
     rows = []
     for k in ks:
-        own = np.log(_cost(df, vector, k, seed))
-        drawn = []
-        for r in range(references):
-            uniform = df.select(F.array(*[F.rand(seed + 1000 * r + i) * (ends[f"h{i}"] - ends[f"l{i}"]) + ends[f"l{i}"] for i in range(d)]).alias(vector))
-            drawn.append(np.log(_cost(uniform, vector, k, seed)))
-        rows.append((k, float(np.mean(drawn) - own), float(np.std(drawn) * np.sqrt(1 + 1 / references))))
+        reference = [costs[k, r] for r in range(references)]
+        rows.append((k, float(np.mean(reference) - costs[k, -1]), float(np.std(reference) * np.sqrt(1 + 1 / references))))
     return df.sparkSession.createDataFrame(rows, "k int, gap double, error double")
 
 
+def sweep_with_stability(df: DataFrame, key: str, vector: str, ks: list[int], n_init: int = 10, rounds: int = 100) -> DataFrame:
+    """ML7, ML16, ML18: the sweep with each k's least bootstrap Jaccard index and its number of unstable clusters."""
+    sweep = kmeans_sweep(df, key, vector, ks, n_init)
+    rows = []
+    for k in ks:
+        told = stability(bootstrap_jaccard(df, key, vector, k, rounds)).agg(F.min("jaccard"), F.count(F.when(F.col("verdict") == "unstable", 1))).first()
+        rows.append((k, float(told[0]), int(told[1])))
+    return sweep.join(df.sparkSession.createDataFrame(rows, "k int, least_jaccard double, unstable long"), "k")
+
+
 def choose_k(sweep: DataFrame) -> DataFrame:
     """ML19: the k of best quality among those with all shares of 5 % or more and all clusters stable; else the fewest unstable.
 

@@ -19,6 +19,8 @@ VOCABULARY = {
     "recency_days": ("lapsed", "recent"),
     "loyalty": ("loyal", "exploring"),
 }
+#: Numbers of clusters of a sweep.
+KS = [2, 3, 4, 5, 6, 7, 8, 9, 10]
 _LONG = "WITH e AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)"
 
 
@@ -77,15 +79,13 @@ def j20(s: Star) -> DataFrame:
 @query("j21_q11_sweep_with_stability")
 def j21(s: Star) -> DataFrame:
     """The k sweep with the stability of each k."""
-    sweep = clustering.kmeans_sweep(narrow(s), "vec_id", "embedding", [2, 3], n_init=1)
-    stable = [clustering.bootstrap_jaccard(narrow(s), "vec_id", "embedding", k, 1).agg(F.min("jaccard").alias("least_jaccard")).select(F.lit(k).alias("k"), "least_jaccard") for k in (2, 3)]
-    return sweep.join(stable[0].unionByName(stable[1]), "k", "left")
+    return clustering.sweep_with_stability(embeddings(s), "vec_id", "embedding", KS, n_init=3, rounds=10)
 
 
 @query("ml5_kmeans_segments")
 def ml5(s: Star) -> DataFrame:
     rows = user_vectors(s)
-    return clustering.predict(clustering.fit_kmeans(rows, "vector", 4, n_init=3), rows, "vector").select("user_id", "cluster")
+    return clustering.predict(clustering.fit_kmeans(rows, "vector", 4), rows, "vector").select("user_id", "cluster")
 
 
 _CENT = ", cent AS (SELECT label AS cluster, dim, avg(x) AS c FROM e GROUP BY ALL)"
@@ -98,38 +98,32 @@ def ml6(s: Star) -> DataFrame:
 
 @query("ml7_k_sweep")
 def ml7(s: Star) -> DataFrame:
-    return clustering.kmeans_sweep(embeddings(s), "vec_id", "embedding", [2, 4], n_init=1)
+    return clustering.kmeans_sweep(embeddings(s), "vec_id", "embedding", KS)
 
 
 @query("ml8_seed_stability")
 def ml8(s: Star) -> DataFrame:
-    return s.spark.createDataFrame([(4, clustering.seed_stability(embeddings(s), "vec_id", "embedding", 4, [1, 2]))], "k int, ari double")
+    return s.spark.createDataFrame([(4, clustering.seed_stability(embeddings(s), "vec_id", "embedding", 4, [1, 2, 3, 4, 5]))], "k int, ari double")
 
 
 @query("ml9_hierarchical")
 def ml9(s: Star) -> DataFrame:
-    few = embeddings(s).where("vec_id < 500")  # linkage is quadratic by nature
-    return clustering.hierarchical(few, "vec_id", "embedding", 4)
-
-
-def narrow(s: Star) -> DataFrame:
-    return embeddings(s).select("vec_id", F.slice("embedding", 1, 4).alias("embedding"))
+    return clustering.hierarchical(embeddings(s), "vec_id", "embedding", 4)
 
 
 @query("ml10_gaussian_mixture")
 def ml10(s: Star) -> DataFrame:
-    return clustering.gaussian_mixture(narrow(s), "embedding", [2, 3])
+    return clustering.gaussian_mixture(embeddings(s), "embedding", [2, 3, 4])
 
 
 _SIL = (
-    ", p AS (SELECT a.id, a.label, b.id AS other, b.label AS o_label, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM e a JOIN e b ON a.dim = b.dim AND a.id <> b.id WHERE a.id < 200 AND b.id < 200 GROUP BY ALL), m AS (SELECT id, label, o_label, avg(d) AS mean FROM p GROUP BY ALL), ab AS (SELECT id, label, max(CASE WHEN label = o_label THEN mean END) AS a, min(CASE WHEN label <> o_label THEN mean END) AS b FROM m GROUP BY ALL)"
+    ", p AS (SELECT a.id, a.label, b.id AS other, b.label AS o_label, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM e a JOIN e b ON a.dim = b.dim AND a.id <> b.id GROUP BY ALL), m AS (SELECT id, label, o_label, avg(d) AS mean FROM p GROUP BY ALL), ab AS (SELECT id, label, max(CASE WHEN label = o_label THEN mean END) AS a, min(CASE WHEN label <> o_label THEN mean END) AS b FROM m GROUP BY ALL)"
 )
 
 
 @query("ml11_silhouette", _LONG + _SIL + " SELECT id, label, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM ab", base=False)
 def ml11(s: Star) -> DataFrame:
-    few = embeddings(s).where("vec_id < 200")  # all pairs: the operator itself takes up to its limit
-    return clustering.silhouette(few, "vec_id", "embedding", "label").select("id", "label", F.round("silhouette", 6).alias("silhouette"))
+    return clustering.silhouette(embeddings(s), "vec_id", "embedding", "label").select("id", "label", F.round("silhouette", 6).alias("silhouette"))
 
 
 @query(
@@ -232,23 +226,23 @@ def ml21(s: Star) -> DataFrame:
 
 @query("ml15_gap_statistic")
 def ml15(s: Star) -> DataFrame:
-    return clustering.gap_statistic(narrow(s), "embedding", [1, 2], 2)
+    return clustering.gap_statistic(embeddings(s), "embedding", [1, 2, 3, 4], 50)
 
 
 @query("ml16_ml18_bootstrap_stability")
 def ml16(s: Star) -> DataFrame:
-    return clustering.stability(clustering.bootstrap_jaccard(embeddings(s), "vec_id", "embedding", 3, 2))
+    return clustering.stability(clustering.bootstrap_jaccard(embeddings(s), "vec_id", "embedding", 3, 100))
 
 
 @query("ml17_subsample_consensus")
 def ml17(s: Star) -> DataFrame:
-    return s.spark.createDataFrame([(3, clustering.subsample_consensus(embeddings(s), "vec_id", "embedding", 3, 1))], "k int, ari double")
+    return s.spark.createDataFrame([(3, clustering.subsample_consensus(embeddings(s), "vec_id", "embedding", 3, 30))], "k int, ari double")
 
 
 @query("ml19_t6_choose_k")
 def ml19(s: Star) -> DataFrame:
-    sweep = clustering.kmeans_sweep(narrow(s), "vec_id", "embedding", [2, 3], n_init=1)
-    return clustering.choose_k(sweep.select("k", F.col("calinski_harabasz").alias("quality"), "smallest_share", F.lit(0).alias("unstable")))
+    sweep = clustering.sweep_with_stability(embeddings(s), "vec_id", "embedding", KS, n_init=3, rounds=10)
+    return clustering.choose_k(sweep.select("k", F.col("silhouette").alias("quality"), "smallest_share", "unstable"))
 
 
 @query("ml20_projection")
