@@ -38,8 +38,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(_read(spark, sf_dir, "pages"), path)
     rows = warc.read(spark, path)
-    # responses are digested anew from what was read; a revisit tells its payload's digest
-    digest = F.when(F.col("payload").isNull(), F.col("digest")).otherwise(F.sha1("payload"))
+    # responses are digested anew from what was read; a revisit tells its payload's digest, a broken record none
+    digest = F.when(F.col("record_type") == "revisit", F.col("digest")).otherwise(F.sha1("payload"))
     return rows.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         "payload_bytes",

@@ -5,8 +5,8 @@ least ``least_bytes``, equals that of a row with a larger id. A record's block i
 payloads of ``chunked_from`` bytes and more are sent in chunked transfer framing, and blocks longer
 than ``segment_bytes`` are cut into a first record with ``WARC-Segment-Number: 1`` and continuation
 records that name it in ``WARC-Segment-Origin-ID``; the last one tells ``WARC-Segment-Total-Length``.
-Archives are written by Spark's text writer (record after record, each ended by two line breaks), so
-they can lie wherever Spark can write.
+Archives begin with a ``warcinfo`` record and hold at most about ``ARCHIVE_BYTES``. They are written by
+Spark's text writer (a line is an archive), so they can lie wherever Spark can write.
 
 ``read`` parses the archives, groups continuation records by origin, orders them by segment number,
 verifies that none is missing and that the lengths add up, and decodes the chunked framing. Only
@@ -33,7 +33,8 @@ LEAST_BYTES = 1000
 SEGMENT_BYTES = 16 << 10
 CHUNKED_FROM = 4 << 10
 CHUNK_BYTES = 2 << 10
-RECORDS_PER_FILE = 4000
+#: Bytes of an archive before compression; reading holds one archive at a time.
+ARCHIVE_BYTES = 16 << 20
 END = b"\r\n\r\n"
 _RECORD = "record_id string, origin_id string, segment int, total bigint, page_id string, url string, record_type string, refers_to string, digest string, block binary, error string"
 
@@ -56,31 +57,51 @@ def _line(url: str | None) -> str | None:
     return None if url is None else "".join(url.splitlines())
 
 
+def _records(row: dict, record_id: str, segment_bytes: int, chunked_from: int, chunk_bytes: int) -> Iterator[bytes]:
+    """The records of one row: a response, with its continuations, or a revisit."""
+    about = {"WARC_Target_URI": _line(row["url"]), "WARC_Payload_Digest": f"sha1:{row['digest']}", "X_Page_ID": row["id"], "Content_Type": "application/http;msgtype=response"}
+    if row["refers_to"] is not None:
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d" % row["bytes"] + END
+        yield _record("revisit", record_id, block, **about, X_Refers_To_Page_ID=row["refers_to"], WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        return
+    payload = row["payload"]
+    if len(payload) >= chunked_from:
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked" + END + _chunked(payload, chunk_bytes)
+    else:
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d" % len(payload) + END + payload
+    parts = _cut(block, segment_bytes)
+    yield _record("response", record_id, parts[0], **about, WARC_Segment_Number=1 if len(parts) > 1 else None)
+    for k, part in enumerate(parts[1:], 2):
+        own = hashlib.sha1(f"{record_id}/{k}".encode()).hexdigest()
+        yield _record("continuation", own, part, WARC_Segment_Origin_ID=f"<urn:sha1:{record_id}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=len(block) if k == len(parts) else None)
+
+
 def _writer(segment_bytes: int, chunked_from: int, chunk_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        task, n, archives = TaskContext.get().partitionId(), 0, 0
+        out: list[bytes] = []
+        held = 0
+
+        def archive() -> pa.RecordBatch:
+            nonlocal out, held, archives
+            archives += 1
+            info = _record("warcinfo", hashlib.sha1(f"{task}//{archives}".encode()).hexdigest(), b"format: WARC File Format 1.1\r\n", Content_Type="application/warc-fields")
+            data = END.join([info, *out])
+            out, held = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["record"])
+
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
-                out: list[bytes] = []
                 for row in batch.slice(low, 64).to_pylist():
                     n += 1
                     record_id = hashlib.sha1(f"{task}/{n}/{row['id']}/{row['digest']}".encode()).hexdigest()
-                    about = {"WARC_Target_URI": _line(row["url"]), "WARC_Payload_Digest": f"sha1:{row['digest']}", "X_Page_ID": row["id"]}
-                    if row["refers_to"] is not None:
-                        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d" % row["bytes"] + END
-                        out.append(_record("revisit", record_id, block, **about, WARC_Refers_To_Page=row["refers_to"], WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-                        continue
-                    payload = row["payload"]
-                    if len(payload) >= chunked_from:
-                        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked" + END + _chunked(payload, chunk_bytes)
-                    else:
-                        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d" % len(payload) + END + payload
-                    parts = _cut(block, segment_bytes)
-                    out.append(_record("response", record_id, parts[0], **about, WARC_Segment_Number=1 if len(parts) > 1 else None))
-                    for k, part in enumerate(parts[1:], 2):
-                        own = hashlib.sha1(f"{record_id}/{k}".encode()).hexdigest()
-                        out.append(_record("continuation", own, part, WARC_Segment_Origin_ID=f"<urn:sha1:{record_id}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=len(block) if k == len(parts) else None))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                    for record in _records(row, record_id, segment_bytes, chunked_from, chunk_bytes):
+                        out.append(record)
+                        held += len(record)
+                        if held >= ARCHIVE_BYTES:
+                            yield archive()
+        if out:
+            yield archive()
 
     return write
 
@@ -100,7 +121,7 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     payloads = told.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
     records = payloads.select(*columns).union(alone.select(*columns)).mapInArrow(_writer(segment_bytes, chunked_from, chunk_bytes), "record binary")
     # the cast keeps the bytes as they are
-    records.select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    records.select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -131,9 +152,11 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = archive.as_py()
             rows, held = [], 0
             for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                if h["warc-type"] == "warcinfo":
+                    continue
                 number, total = h.get("warc-segment-number"), h.get("warc-segment-total-length")
                 origin = h.get("warc-segment-origin-id") or (h["warc-record-id"] if number else None)
-                rows.append((h["warc-record-id"], origin, number and int(number), total and int(total), h.get("x-page-id"), h.get("warc-target-uri"), h["warc-type"], h.get("warc-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha1:"), block, None))
+                rows.append((h["warc-record-id"], origin, number and int(number), total and int(total), h.get("x-page-id"), h.get("warc-target-uri"), h["warc-type"], h.get("x-refers-to-page-id"), h.get("warc-payload-digest", "").removeprefix("sha1:"), block, None))
                 held += len(block)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)

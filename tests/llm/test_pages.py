@@ -138,6 +138,24 @@ def test_warc_round_trip(spark):
         assert (r["payload"] is None) if again else bytes(r["payload"]) == payload
 
 
+def test_archives_are_bounded_by_bytes_and_broken_ones_tell(spark, monkeypatch, tmp_path):
+    import gzip
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 50_000)
+    pages = [(k, "u", f"{k} " * 9000) for k in range(12)]
+    path = str(tmp_path / "archives")
+    warc.write(spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1), path)
+    files = sorted((tmp_path / "archives").glob("part-*"))
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in files]
+    assert len(files) > 3 and max(sizes) < 50_000 + 2 * warc.SEGMENT_BYTES
+    assert all(next(warc.parse(gzip.decompress(f.read_bytes())))[0]["warc-type"] == "warcinfo" for f in files)
+    files[1].unlink()  # segments are lost, some with the first of their record
+    rows = warc.read(spark, path).collect()
+    broken = [r for r in rows if r["error"]]
+    assert broken and all(r["payload"] is None and r["payload_bytes"] is None for r in broken)
+    assert all(bytes(r["payload"]).decode() == f"{r['page_id']} " * 9000 for r in rows if not r["error"])
+
+
 def test_segments_are_verified():
     pd = pytest.importorskip("pandas")
     columns = ["record_id", "origin_id", "segment", "total", "page_id", "url", "record_type", "refers_to", "digest", "block", "error"]
