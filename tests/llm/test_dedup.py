@@ -271,3 +271,38 @@ def test_passages_by_large_and_by_text_ids(spark, monkeypatch, edges):
     assert rows == {f"d{2**53}": 0, f"d{2**53 + 1}": n, f"d{2**53 + 2}": n, "d-5": 0, None: n}
     with pytest.raises(TypeError):
         pfp_dedup.remove_repeats(df.selectExpr("array(doc_id) AS doc_id", "text"))
+
+
+def test_words_of_equal_bytes_and_their_windows(monkeypatch):
+    monkeypatch.setattr(pfp_dedup, "SORTED", 64)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 3, 200, np.uint8)  # zero bytes too
+    rows = np.zeros((500, pfp_dedup.ROW), np.uint8)
+    for row in rows:
+        size, at = int(rng.integers(50, 77)), int(rng.integers(0, 120))
+        row[:size], row[-1] = base[at : at + size], size
+    owners = rng.integers(0, 40, 500)
+    first, word = pfp_dedup.distinct_words(rows)
+    assert (rows[first][word] == rows).all() and len(first) == len({r.tobytes() for r in rows})
+    triggers = np.full(500, 9, np.uint64)
+    least = {}
+    windows = [[r[k : k + 50].tobytes() for k in range(r[-1] - 49)] for r in rows]
+    for found, owner in zip(windows, owners, strict=True):
+        for w in found:
+            least[w] = min(least.get(w, 99), owner)
+    want = [sum((least[w] < owner) << k for k, w in enumerate(found)) for found, owner in zip(windows, owners, strict=True)]
+    assert pfp_dedup.repeats(triggers, rows, owners).tolist() == want
+    monkeypatch.setattr(pfp_dedup, "_ODD", np.zeros(pfp_dedup.ROW // 8, np.uint64))  # all hashes are equal
+    assert pfp_dedup.repeats(triggers, rows, owners).tolist() == want
+
+
+@pytest.mark.parametrize("edges", [0, 1000])
+def test_one_id_with_many_rows_spreads_over_batches(spark, monkeypatch, edges):
+    monkeypatch.setattr(pfp_dedup, "EDGES", edges)
+    passage = "a passage that all these rows share, of more than fifty bytes to its end"
+    rows = [(5, f"{passage} {k} " + "y" * 40) for k in range(60)] + [(None, f"{passage} n{k}") for k in range(60)] + [(4, "short"), (9, passage)]
+    df = spark.createDataFrame(rows, DOCS)
+    batches, _ = pfp_dedup.in_batches(df, "doc_id", "text", 500)
+    assert batches.select("batch", "sub").distinct().count() > 10
+    got = sorted(((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in pfp_dedup.remove_repeats(df, batch_bytes=500).collect()), key=repr)
+    assert got == brute_passages(rows)
