@@ -11,8 +11,11 @@ the chain is checked on their bits before the full Hamming distance.
 
 Near copies by similarity (``keep_one_similar``): texts whose sets of word 5-shingles have a Jaccard
 similarity of 0.8 or more link. Such pairs differ in about 15 % of a fingerprint's bits, too many for
-any segment of it to be equal. So candidates share a shingle among the fifth of each text's shingles
-with the least hashes (two sets that similar must); a candidate must then have, on a SimHash of 512
+any segment of it to be equal. So candidates share a shingle among the first fifth of each text's
+shingles in one order for all texts (two sets that similar must): by how many texts hold a shingle's
+hash slot, in powers of two over all texts, then by hash. Passages that very many texts share come last,
+so they are keys only where a text has little else. A candidate has at least 0.8 times as many shingles
+as the other, or the other than it; it must then have, on a SimHash of 512
 bits, a chain of segments whose cumulative differences stay within the proportional budgets of
 ``WIDE_BITS`` differing bits, then at most ``WIDE_BITS`` in all; what is left is compared exactly. Under
 one shingle a text meets the first text and the ``BEFORE`` before it, in an order of the shingle's own.
@@ -161,6 +164,8 @@ WIDE, WIDE_SEGMENTS = 512, 32  # bits of a wide fingerprint, and its segments
 #: At a similarity of 0.8 about 78 of the 512 bits differ, 96 for texts of four shingles, with a deviation of 9; 256 for others.
 WIDE_BITS = 140
 BEFORE = 16
+#: Slots in which the texts that hold a shingle are counted.
+SLOTS = 1 << 18
 
 
 def _shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -190,24 +195,48 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def near_keys(hashes: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
-    """The least of a text's distinct shingles, in order: two sets of the similarity ``similar`` share one of them."""
+    """The first of a text's distinct shingles, in an order for all texts: two sets of the similarity ``similar`` share one of them."""
     return hashes[: len(hashes) - math.ceil(similar * len(hashes) - 1e-9) + 1]
 
 
-def _key_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: float) -> Iterator[pa.RecordBatch]:
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _slot_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for text in batch.column(0):
+            np.add.at(counts, _slots(_shingles(text.as_py(), shingle)), 1)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["slot", "n"])
+
+
+def slot_levels(texts: DataFrame, shingle: int) -> np.ndarray:
+    """For each slot the power of two of the number of shingles that texts have in it: one row a slot for the driver."""
+    counts = texts.select("text").mapInArrow(partial(_slot_batches, shingle=shingle), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    levels = np.zeros(SLOTS, np.uint8)
+    for row in counts.select("slot", F.floor(F.log2("n")).alias("level")).collect():
+        levels[row["slot"]] = row["level"]
+    return levels
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: float, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
         for low in range(0, batch.num_rows, 1024):
             part = batch.slice(low, 1024)
-            fresh, keys, wide = [], [], []
+            fresh, keys, wide, sizes = [], [], [], []
             for k, v in enumerate(part.column(0).to_pylist()):  # a task tells repeated rows once
                 if v not in seen:
                     seen.add(v)
                     fresh.append(k)
                     hashes = _shingles(part.column(1)[k].as_py(), shingle)
-                    keys.append(near_keys(hashes, similar).view(np.int64))
+                    ordered = hashes[np.lexsort((hashes, levels[_slots(hashes)]))]
+                    keys.append(near_keys(ordered, similar).view(np.int64))
+                    sizes.append(len(hashes))
                     wide.append(wide_fingerprint(hashes))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(fresh, pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["v", "keys", "wide"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(fresh, pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(sizes, pa.int64())], names=["v", "keys", "wide", "n"])
 
 
 def chained(differs: np.ndarray, most: int) -> np.ndarray:
@@ -241,13 +270,16 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: f
 
 
 def _round(texts: DataFrame, kept: DataFrame, number: int, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), texts (v) with a key that has more of them than meet) of one round over ``kept`` (v, keys, wide)."""
-    asked = spread(kept.select("v", "keys"), 5_000).select("v", F.explode("keys").alias("key"))
+    """(links (a, b), texts (v) with a key that has more of them than meet) of one round over ``kept`` (v, keys, wide, n)."""
+    me = F.struct("v", "n")
+    asked = spread(kept.select("v", "n", "keys"), 5_000).select("v", "n", F.explode("keys").alias("key"))
     every = Window.partitionBy("key")
     under = every.orderBy(F.xxhash64("v", "key", F.lit(number)), "v")
-    met = asked.select("v", F.array_union(F.array(F.first("v").over(under)), F.collect_list("v").over(under.rowsBetween(-BEFORE, -1))).alias("others"), (F.count("*").over(every) > BEFORE + 1).alias("more"))
-    met = materialise(met.where("more OR size(others) > 1 OR others[0] != v"), "near_met")
-    pairs = met.select(F.explode("others").alias("o"), "v").where("o != v").select(F.least("o", "v").alias("a"), F.greatest("o", "v").alias("b")).distinct()
+    met = asked.select("v", "n", F.array_union(F.array(F.first(me).over(under)), F.collect_list(me).over(under.rowsBetween(-BEFORE, -1))).alias("others"), (F.count("*").over(every) > BEFORE + 1).alias("more"))
+    met = materialise(met.where("more OR size(others) > 1 OR others[0].v != v"), "near_met")
+    like = F.least("o.n", "n") >= F.greatest("o.n", "n") * similar - 1e-9
+    pairs = met.select(F.explode("others").alias("o"), "v", "n").where((F.col("o.v") != F.col("v")) & like)
+    pairs = pairs.select(F.least("o.v", "v").alias("a"), F.greatest("o.v", "v").alias("b")).distinct()
     wide = kept.select("v", "wide")
     sides = pairs.join(wide.select(F.col("v").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("v").alias("b"), F.col("wide").alias("y")), "b").select("a", "b", "x", "y")
     near = materialise(sides.mapInArrow(partial(_near_batches, most=WIDE_BITS), "a bigint, b bigint"), "near_pairs")
@@ -264,7 +296,8 @@ def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float
     They connect all texts that similarity connects, without all pairs of a group: every candidate pair
     is compared exactly, and of texts that are linked already one goes on to further rounds.
     """
-    live = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle, similar=similar), "v bigint, keys array<bigint>, wide binary"), "near_keys")
+    levels = slot_levels(texts, shingle)
+    live = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle, similar=similar, levels=levels), "v bigint, keys array<bigint>, wide binary, n bigint"), "near_keys")
     links, number = None, 0
     while True:
         found, more = _round(texts, live, number, shingle, similar)
