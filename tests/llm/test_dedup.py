@@ -306,3 +306,16 @@ def test_one_id_with_many_rows_spreads_over_batches(spark, monkeypatch, edges):
     assert batches.select("batch", "sub").distinct().count() > 10
     got = sorted(((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in pfp_dedup.remove_repeats(df, batch_bytes=500).collect()), key=repr)
     assert got == brute_passages(rows)
+
+
+def test_slot_levels_count_all_texts(spark):
+    texts = ["a b c d e f", "a b c d e f", "a b c d e", "x", ""]
+    df = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "v bigint, text binary").repartition(3)
+    counts = {}
+    for t in texts:
+        for slot in simhash._slots(simhash._shingles(t.encode(), 5)).tolist():
+            counts[slot] = counts.get(slot, 0) + 1
+    levels = simhash.slot_levels(df, 5)
+    assert {k: n.bit_length() - 1 for k, n in counts.items()} == {k: int(levels[k]) for k in counts}
+    assert levels.sum() == sum(n.bit_length() - 1 for n in counts.values())
+    assert simhash.slot_levels(df.limit(0), 5).sum() == 0
