@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from segrec.llm.common import packed_row
 
@@ -38,9 +39,10 @@ FEATURES = 1 << 17
 WEIGHTS = 1 << 24
 STEPS = 32
 EPOCHS = 4
-#: Words labelled at once, and words whose emissions a task keeps.
+#: Words labelled at once, words whose emissions a task keeps, and words whose features are held at once.
 BATCH_WORDS = 100_000
 KEPT_WORDS = 250_000
+FEATURE_WORDS = 10_000
 #: Languages whose shares of the sample are broadcast; more are joined.
 BROADCAST_LANGUAGES = 10_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -210,7 +212,8 @@ class Labeller:
             self.number, self.emissions, new = {}, self.emissions[:0], list(set().union(*texts))
         if new:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.emissions = np.concatenate([self.emissions, self.model.emissions(new)])
+            parts = [self.model.emissions(new[at : at + FEATURE_WORDS]) for at in range(0, len(new), FEATURE_WORDS)]
+            self.emissions = np.concatenate([self.emissions, *parts])
         return np.array([self.number[w] for words in texts for w in words], np.int64)
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -245,13 +248,14 @@ class Labeller:
         return names, scores
 
 
-def _labelling(model):
+def _labelling(model, field: int | None):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(Model(*model.value))
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                names, scores = labeller.label([x.decode("utf-8", "replace") for x in part.column(1).to_pylist()])
+                texts = part.column(1) if field is None else part.column(0).field(field).cast(pa.binary())
+                names, scores = labeller.label([(x or b"").decode("utf-8", "replace") for x in texts.to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(scores)], names=["__row", "__lang", "__score"])
 
     return label
@@ -280,15 +284,22 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit(texts)
 
 
+def _told(df: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """Rows (__row, __lang, __score); a text travels once, in its row, unless it must be cast first."""
+    row = packed_row(df).alias("__row")
+    if text_col in df.columns and df.schema[text_col].dataType == StringType():
+        rows, field = df.select(row), df.columns.index(text_col)
+    else:
+        rows, field = df.select(row, F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text")), None
+    label = _labelling(df.sparkSession.sparkContext.broadcast(tuple(vars(model).values())), field)
+    return rows.mapInArrow(label, f"__row {rows.schema['__row'].dataType.simpleString()}, __lang string, __score double")
+
+
 def annotate(df: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """The rows of ``df`` with the predicted language and its score."""
-    rows = df.select(packed_row(df).alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__text"))
-    kind = rows.schema["__row"].dataType.simpleString()
-    told = rows.mapInArrow(_labelling(df.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))), f"__row {kind}, __lang string, __score double")
-    return told.select("__row.*", F.col("__lang").alias(pred_col), F.col("__score").alias(score_col))
+    return _told(df, model, text_col).select("__row.*", F.col("__lang").alias(pred_col), F.col("__score").alias(score_col))
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.4) -> DataFrame:
     """The rows of ``df`` whose language is determined with a score of ``least`` or more, with its columns."""
-    rows = df.select(packed_row(df).alias("__kept"), F.col(text_col).alias("text"))
-    return annotate(rows, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("__kept.*")
+    return _told(df, model, text_col).where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select("__row.*")

@@ -54,6 +54,7 @@ def test_batches_of_any_make_up_agree(model, monkeypatch):
     whole = langid.Labeller(model).label(texts)
     monkeypatch.setattr(langid, "BATCH_WORDS", 25)
     monkeypatch.setattr(langid, "KEPT_WORDS", 30)
+    monkeypatch.setattr(langid, "FEATURE_WORDS", 7)
     parts = langid.Labeller(model).label(texts)
     assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], atol=1e-5)
 
@@ -81,6 +82,19 @@ def test_language_takes_nulls_clashing_columns_and_empty_tables(spark, model):
     assert langid.annotate(df.limit(0), model, pred_col="pred").count() == 0
 
 
+def test_texts_of_other_types_and_places_are_read(spark, model):
+    rng = random.Random(6)
+    text = [text_in(lang, rng, 60) for lang in VOWELS]
+    rows = [(i, text[i % 3] if i % 5 else None) for i in range(3000)]  # more than one slice of a batch
+    want = {i: "und" if i % 5 == 0 else list(VOWELS)[i % 3] for i in range(3000)}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    for made in (df, df.selectExpr("doc_id", "CAST(text AS binary) AS text"), df.selectExpr("text AS TEXT", "doc_id")):
+        told = langid.annotate(made, model)
+        assert told.columns == [*made.columns, "lang_pred", "score"]
+        assert {r["doc_id"]: r["lang_pred"] for r in told.collect()} == want
+        assert {r["doc_id"] for r in langid.keep_identified(made, model).collect()} == {i for i in want if i % 5}
+
+
 def test_every_language_is_learned(spark):
     rng = np.random.default_rng(4)
     letters = "abcdefghijklmnopqrstuvwxyz"
