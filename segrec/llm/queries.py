@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segrec.llm import exact_dedup, html_extract, langid, mixing, order_minhash, packing, pfp_dedup, simhash, url_filter, warc
+from segrec.llm import exact_dedup, html_extract, langid, mixing, order_minhash, packing, pfp_dedup, sentencepiece_bpe, simhash, url_filter, warc
 from segrec.llm.common import scratch_path
 
 
@@ -83,6 +83,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepiece_bpe.decode(sentencepiece_bpe.encode(_read(spark, sf_dir, "documents")))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -94,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
