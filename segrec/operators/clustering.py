@@ -1,13 +1,14 @@
 """Representations, clustering and its quality measures.
 
 Measures work on long frames (id, label, dim, x), so that any number of dimensions stays an ordinary
-aggregation. What is quadratic by definition (silhouette, linkage) takes a documented bound and raises
-beyond it.
+aggregation. The silhouette compares all pairs in blocks; linkage, which holds all pairs at once, takes a
+documented bound and raises beyond it.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -22,9 +23,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from segrec.functions.quantiles import column_quantiles
+from segrec.operators.blocks import cluster_distances
 from segrec.operators.facts import CATEGORIES
 
-MAX_PAIRWISE = 20_000
 MAX_LINKAGE = 4_000
 #: Fits that are submitted at once.
 AT_ONCE = 8
@@ -38,8 +40,11 @@ def long_form(df: DataFrame, key: str, vector: str, label: str | None = None) ->
 
 def standardised(features: DataFrame, columns: list[str], robust: bool = False) -> DataFrame:
     """ML3: columns minus mean over population deviation (or median over quartile range); a constant column is divided by 1."""
-    center = {c: F.median(c) if robust else F.avg(c) for c in columns}
-    scale = {c: F.percentile(c, 0.75) - F.percentile(c, 0.25) if robust else F.stddev_pop(c) for c in columns}
+    if robust:
+        q = column_quantiles(features, columns, [0.25, 0.5, 0.75])
+        z = {c: (F.coalesce(F.col(c), F.lit(0.0)) - q[c][1]) / ((q[c][2] - q[c][0]) or 1.0) for c in columns}
+        return features.select("user_id", *[v.alias(c) for c, v in z.items()])
+    center, scale = {c: F.avg(c) for c in columns}, {c: F.stddev_pop(c) for c in columns}
     stats = features.agg(*[v.alias(f"m_{c}") for c, v in center.items()], *[v.alias(f"s_{c}") for c, v in scale.items()])
     z = {c: (F.coalesce(F.col(c), F.lit(0.0)) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}")) for c in columns}
     return features.join(F.broadcast(stats)).select("user_id", *[v.alias(c) for c, v in z.items()])
@@ -114,16 +119,15 @@ def centroids_of(points: DataFrame) -> DataFrame:
     return points.groupBy(F.col("label").alias("cluster"), "dim").agg(F.avg("x").alias("c"))
 
 
-def silhouette(df: DataFrame, key: str, vector: str, label: str, limit: int = MAX_PAIRWISE) -> DataFrame:
-    """ML11: rows (id, label, silhouette), Euclidean; a singleton has 0. Quadratic: at most ``limit`` rows."""
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"silhouette compares all pairs: {n} rows, limit {limit}")
-    a = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    b = F.broadcast(a.select(F.col("id").alias("other"), F.col("label").alias("o_label"), F.col("v").alias("o_v")))  # at most ``limit`` rows
-    d = F.sqrt(F.aggregate(F.zip_with("v", "o_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    means = a.join(b, F.col("id") != F.col("other")).groupBy("id", "label", "o_label").agg(F.avg(d).alias("mean"))
-    by = means.groupBy("id", "label").agg(F.max(F.when(F.col("label") == F.col("o_label"), F.col("mean"))).alias("a"), F.min(F.when(F.col("label") != F.col("o_label"), F.col("mean"))).alias("b"))
+def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """ML11: rows (id, label, silhouette), Euclidean; a singleton has 0. All pairs are compared in blocks; ``key`` is unique."""
+    rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    first = rows.select(F.size("v").alias("n")).first()
+    totals = cluster_distances(rows, first["n"] if first else 1)
+    sizes = F.broadcast(rows.groupBy(F.col("label").alias("o_label")).agg(F.count("*").alias("n")))  # one row a cluster
+    own = F.col("label") == F.col("o_label")
+    means = totals.join(sizes, "o_label").withColumn("mean", F.col("total") / F.nullif(F.col("n") - own.cast("int"), F.lit(0)))
+    by = means.groupBy("id", "label").agg(F.max(F.when(own, F.col("mean"))).alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b"))
     return by.select("id", "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
@@ -187,7 +191,8 @@ def together(work: Callable, arguments: Iterable) -> list:
 
 def fit_kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, n_init: int = 10) -> KMeansModel:
     """ML5: the model of least cost of ``n_init`` seeds."""
-    rows = _vectors(df, vector).select("__v").persist()
+    # frames of equal plans share one cache entry: the literal gives each fit its own, which no other drops
+    rows = _vectors(df, vector).select("__v", F.lit(uuid.uuid4().hex).alias("__fit")).persist()
     try:
         fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(rows)
         models = together(fit, range(n_init)) if n_init > 1 else [fit(0)]

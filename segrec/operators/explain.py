@@ -18,12 +18,12 @@ NOTHING = "This fills a gap in your list."
 
 def facts(star: Star, rows: DataFrame, segments: DataFrame) -> DataFrame:
     """EX1-EX5 for rows (user_id, item, ...): shared category count, level match, segment rows, category rank, category share."""
-    items = star_small(star.items.select("item", "category", "level"))
+    items = star_small(star, star.items.select("item", "category", "level"))
     mine = star.train.groupBy("user_id", "category").agg(F.count("*").alias("shared_category_count"))
     totals = star.train.groupBy("user_id").agg(F.count("*").alias("total"), F.mode("level", True).alias("modal_level"))
     per = star.train.join(segments, "user_id").groupBy("segment", "item").agg(F.count("*").alias("segment_enrollments"))
     told = rows.join(items, "item").join(mine, ["user_id", "category"], "left").join(totals, "user_id", "left").join(segments, "user_id", "left")
-    told = told.join(star_small(per), ["segment", "item"], "left").join(star_small(fallback_items(star).select("item", F.col("rank").alias("category_rank"))), "item", "left")
+    told = told.join(per, ["segment", "item"], "left").join(star_small(star, fallback_items(star).select("item", F.col("rank").alias("category_rank"))), "item", "left")
     shared = F.coalesce("shared_category_count", F.lit(0))
     return told.select(
         *rows.columns,

@@ -7,17 +7,30 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from segrec.functions.quantiles import quantiles
 from segrec.sources.scan import load
 
 CATEGORIES = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
 LEVELS = {"cold": 0, "old": 0, "small": 0, "blue": 1, "new": 1, "red": 1, "hot": 2, "large": 2}
 FREE = ("new", "old")
+MAX_CATALOGUE = 10_000
 
 
 def micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
+def one_each(rows: DataFrame, key: str, what: str) -> DataFrame:
+    """``rows`` as the one-side of a join on ``key``: a key that several rows have raises when it is read; rows without a key are left out.
+
+    The check is part of the plan: rows are counted by the key that the join deals them by anyway.
+    """
+    others = [c for c in rows.columns if c != key]
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"), F.any_value(F.struct(*others)).alias("__row"))
+    repeated = F.raise_error(F.concat(F.lit(f"{what}: several rows have {key} "), F.col(key).cast("string")))
+    return counted.withColumn("__row", F.when(F.col("__n") == 1, F.col("__row")).otherwise(repeated)).select(key, "__row.*")
+
+
 class Star:
     """Lazy frames over one directory of tables; nothing is read until a result is asked for."""
 
@@ -56,7 +69,7 @@ class Star:
     def transactions(self) -> DataFrame:
         """First lines of orders, with a synthetic key; null keys are left out."""
         lines = self.table("lineitem").where("l_linenumber = 1 AND l_orderkey IS NOT NULL AND l_partkey IS NOT NULL")
-        orders = self.table("orders").where("o_custkey IS NOT NULL").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+        orders = one_each(self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"), "o_orderkey", "orders").where("o_custkey IS NOT NULL")
         key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"), F.round(F.col("l_extendedprice") * 100).cast("bigint"))
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("o_custkey").alias("user_id"),
@@ -71,18 +84,19 @@ class Star:
 
     @cached_property
     def interactions(self) -> DataFrame:
-        """Fact view: transactions with the item's attributes; every join is many-to-one."""
-        names = self.table("part").where("p_name IS NOT NULL").select(F.col("p_partkey").alias("part_id"), F.col("p_name").alias("item"))
+        """Fact view: transactions with the item's attributes; every join is many-to-one, and a key that isn't raises."""
+        names = one_each(self.table("part").select(F.col("p_partkey").alias("part_id"), F.col("p_name").alias("item")), "part_id", "part").where("item IS NOT NULL")
         return self.transactions.join(names, "part_id").join(self.items, "item").drop("part_id")
 
     @cached_property
-    def cuts(self) -> DataFrame:
-        """One row (cut_70, cut_80): date quantiles of the interactions, in microseconds."""
-        return self.interactions.agg(F.percentile(micros("ts"), 0.7).alias("cut_70"), F.percentile(micros("ts"), 0.8).alias("cut_80"))
+    def cuts(self) -> tuple[float, float]:
+        """Date quantiles (0.7, 0.8) of the interactions, in microseconds; 0 without any."""
+        found = quantiles(self.interactions.select(F.lit("ts").alias("name"), micros("ts").alias("x")), [0.7, 0.8])
+        return tuple(found.get("ts", (0.0, 0.0)))
 
     @cached_property
     def cut(self) -> float:
-        return float(self.cuts.first()["cut_80"] or 0.0)
+        return float(self.cuts[1])
 
     @cached_property
     def train(self) -> DataFrame:
@@ -96,11 +110,18 @@ class Star:
     def seen(self) -> DataFrame:
         return self.train.select("user_id", "item", "position").distinct()
 
+    @cached_property
+    def catalogue(self) -> list[tuple[str, int]]:
+        """All (item, position), on the driver; raises beyond ``MAX_CATALOGUE`` items, as all users' candidates are their product with it."""
+        rows = self.items.select("item", "position").limit(MAX_CATALOGUE + 1).collect()
+        if len(rows) > MAX_CATALOGUE:
+            raise ValueError(f"scoring every item for every user takes a catalogue of at most {MAX_CATALOGUE} items")
+        return sorted((r["item"], r["position"]) for r in rows)
+
     @cached_property
     def candidates(self) -> DataFrame:
         """Every item that a user of the training window hasn't met. The catalogue is a small, fixed list, exploded in each user's row."""
-        catalogue = [(r["item"], r["position"]) for r in self.items.select("item", "position").collect()]
-        pairs = F.array(*[F.struct(F.lit(i).alias("item"), F.lit(p).alias("position")) for i, p in sorted(catalogue)])
+        pairs = F.array(*[F.struct(F.lit(i).alias("item"), F.lit(p).alias("position")) for i, p in self.catalogue])
         met = self.seen.groupBy("user_id").agg(F.collect_set("position").alias("met"))
         return met.select("user_id", "met", F.explode(pairs).alias("c")).where(~F.array_contains("met", F.col("c.position"))).select("user_id", "c.item", "c.position")
 

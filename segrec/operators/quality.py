@@ -1,7 +1,8 @@
 """Data-quality checks: each gives rows (check_id, severity, table_name, subject, n) for what it finds.
 
-A table's own checks share one aggregation over the table; keys are compared by semi and anti joins, so
-null keys count as orphans. Empty tables give no findings but their row count.
+The report counts equal rows once; repeated rows and all checks of values come from one aggregation of
+these counts, so a table is read once for them. Keys are counted before they are compared with their
+parents, and null keys count as orphans. Empty tables give no findings but their row count.
 """
 
 from __future__ import annotations
@@ -30,14 +31,18 @@ def column_findings(df: DataFrame, table: Table) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, SCHEMA)
 
 
-def value_findings(df: DataFrame, table: Table) -> DataFrame:
-    """One pass over the table; rows with n = 0 are clean."""
-    aggs: dict[str, Column] = {"rows": F.count("*")}
+def value_findings(df: DataFrame, table: Table, times: str | None = None) -> DataFrame:
+    """One pass over the table; rows with n = 0 are clean.
+
+    ``times`` names a column that tells how many equal rows a row stands for; then V4 is told too.
+    """
+    weight = F.lit(1) if times is None else F.col(times)
+    aggs: dict[str, Column] = {"rows": F.coalesce(F.sum(weight), F.lit(0))}
     entries: list[tuple[str, str, str, str, Column]] = []
 
     def count(check: str, severity: str, subject: str, bad: Column) -> None:
         alias = f"x{len(aggs)}"
-        aggs[alias] = F.count(F.when(bad, 1))
+        aggs[alias] = F.coalesce(F.sum(F.when(bad, weight)), F.lit(0))
         entries.append((check, severity, table.name, subject, F.col(alias)))
 
     if table.rows is not None:
@@ -62,9 +67,17 @@ def value_findings(df: DataFrame, table: Table) -> DataFrame:
             count("range_below", "error", c.name, value < c.low)
         if c.high is not None:
             count("range_above", "error", c.name, value > c.high)
+    if times is not None:
+        aggs["repeated"] = F.coalesce(F.sum(weight - 1), F.lit(0))
+        entries.append(("duplicate_rows", "error", table.name, "", F.col("repeated")))
     return _rows(df.agg(*[a.alias(k) for k, a in aggs.items()]), entries)
 
 
+def table_findings(df: DataFrame, table: Table) -> DataFrame:
+    """V3-V9, V13, V14 from one reading of the table."""
+    return value_findings(df.groupBy(*df.columns).agg(F.count("*").alias("__times")), table, "__times")
+
+
 def duplicate_rows(df: DataFrame, table: Table) -> DataFrame:
     """V4: rows beyond the first of each group of equal rows."""
     groups = df.groupBy(*df.columns).agg(F.count("*").alias("k"))
@@ -73,10 +86,12 @@ def duplicate_rows(df: DataFrame, table: Table) -> DataFrame:
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, child_name: str, parent_name: str) -> DataFrame:
     """Child rows without a parent (null keys too), parents without a child."""
-    keys = parent.select(F.col(parent_key).alias("__k")).distinct()
-    lost = child.join(keys, F.col(key) == F.col("__k"), "left_anti").agg(F.count("*").alias("n"))
-    idle = keys.join(child.select(key).distinct(), F.col("__k") == F.col(key), "left_anti").agg(F.count("*").alias("n"))
-    return _rows(lost, [("orphan_fk", "error", child_name, key, F.col("n"))]).union(_rows(idle, [("unreferenced_parent", "warning", parent_name, key, F.col("n"))]))
+    held = parent.select(F.col(parent_key).alias("__k")).distinct()
+    used = child.groupBy(F.col(key).alias("__c")).agg(F.count("*").alias("__n"))
+    both = used.join(held, F.col("__c") == F.col("__k"), "full_outer")
+    lost, idle = F.sum(F.when(F.col("__k").isNull(), F.col("__n"))), F.count(F.when(F.col("__n").isNull(), 1))
+    told = both.agg(F.coalesce(lost, F.lit(0)).alias("lost"), idle.alias("idle"))
+    return _rows(told, [("orphan_fk", "error", child_name, key, F.col("lost")), ("unreferenced_parent", "warning", parent_name, key, F.col("idle"))])
 
 
 def repeats(df: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -103,12 +118,20 @@ def duplicate_names(df: DataFrame, column: str, name: str) -> DataFrame:
     return _rows(shared.agg(F.count("*").alias("n")), [("duplicate_names", "warning", name, column, F.col("n"))])
 
 
-def report(tables: dict[str, DataFrame], declared: dict[str, Table]) -> DataFrame:
-    """The findings (n > 0) of all tables; a check whose columns are missing is skipped and says so."""
-    parts: list[DataFrame] = []
+def fact_findings(facts: DataFrame, tolerance: float, name: str) -> DataFrame:
+    """V12 and V15 from one pass over facts (user_id, item, amount, price)."""
+    equal = F.coalesce(F.abs(F.col("amount") - F.col("price")) <= tolerance, F.lit(False))
+    groups = facts.groupBy("user_id", "item").agg(F.count("*").alias("k"), F.count(F.when(~equal, 1)).alias("bad"))
+    told = groups.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("again"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    return _rows(told, [("repeat_enrollment", "info", name, "user_id,item", F.col("again")), ("amount_vs_price", "warning", name, "amount", F.col("bad"))])
+
+
+def report(tables: dict[str, DataFrame], declared: dict[str, Table], further: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """The findings (n > 0) of all tables and ``further`` ones; a check whose columns are missing is skipped and says so."""
+    parts: list[DataFrame] = list(further)
     for name, df in tables.items():
         table = declared[name]
-        parts += [column_findings(df, table), value_findings(df, table), duplicate_rows(df, table)]
+        parts += [column_findings(df, table), table_findings(df, table)]
         for c in table.columns:
             if c.refers_to and c.refers_to[0] in tables:
                 parent, key = c.refers_to
@@ -119,8 +142,8 @@ def report(tables: dict[str, DataFrame], declared: dict[str, Table]) -> DataFram
     return reduce(DataFrame.unionByName, parts).where("n > 0")
 
 
-def require_clean(findings: DataFrame) -> None:
-    """Refuse to go on if a finding is an error."""
-    errors = findings.where("severity = 'error'").limit(20).collect()
+def require_clean(findings: DataFrame, known: tuple[str, ...] = ()) -> None:
+    """Refuse to go on if a finding is an error, except for checks that are ``known`` to fail on these tables."""
+    errors = findings.where((F.col("severity") == "error") & ~F.col("check_id").isin(*known)).limit(20).collect()
     if errors:
         raise ValueError(f"data-quality errors: {[e.asDict() for e in errors]}")

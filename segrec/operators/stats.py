@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from segrec.functions.columns import min_max
+
 
 def chi_square_p(statistic: float, dof: int) -> float:
     """Upper tail of the chi-square distribution (regularised incomplete gamma, series and continued fraction)."""
@@ -71,24 +76,63 @@ def with_replicates(df: DataFrame, replicates: int) -> DataFrame:
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
 
 
-def poisson_one(u: Column) -> Column:
-    """A Poisson(1) count from a uniform draw: the weight of a row in one bootstrap replicate."""
-    total, term, out = 0.0, math.exp(-1), F.lit(8)
-    steps = []
-    for k in range(8):
-        total += term
-        steps.append((k, total))
-        term /= k + 1
-    for k, bound in reversed(steps):
-        out = F.when(u < bound, k).otherwise(out)
-    return out
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 well-mixed bits of each unsigned number (the finaliser of splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def draws(base: np.ndarray, *sizes: int) -> np.ndarray:
+    """64 random bits for each number of ``base`` and each place of a grid of ``sizes``: a hash of both, the same in any partitioning."""
+    grid = np.arange(1, math.prod(sizes) + 1, dtype=np.uint64).reshape(sizes) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed(base.view(np.uint64).reshape(-1, *[1] * len(sizes)) + grid)
+
+
+#: Bounds between the counts 0, 1, 2, ... of a Poisson(1) draw, as shares of 2^64.
+_POISSON = np.array([min(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**64), 2**64 - 1) for k in range(18)], np.uint64)
+
+
+def poisson_counts(base: np.ndarray, replicates: int) -> np.ndarray:
+    """For each row, by its hash, its count in every bootstrap replicate: Poisson(1)."""
+    return np.searchsorted(_POISSON, draws(base, replicates), side="right")
+
+
+def _weight_batches(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[pa.RecordBatch]:
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        base, group, value = (batch.column(k) for k in range(3))
+        coded = group.dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        base, value = base.to_numpy(), value.to_numpy(zero_copy_only=False)
+        for low in range(0, len(base), 512):  # 512 rows times the replicates at a time
+            counts = poisson_counts(base[low : low + 512], replicates).astype(np.float64)
+            x, at = value[low : low + 512], code[low : low + 512]
+            for k in np.unique(at):
+                held = counts[at == k]
+                total = sums.setdefault(names[k], np.zeros((2, replicates)))
+                total += held.sum(axis=0), x[at == k] @ held
+    names = list(sums)
+    lists = [pa.array([sums[n][k] for n in names], pa.list_(pa.float64())) for k in (0, 1)]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *lists], names=["group", "w", "wx"])
+
+
+def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int, seed: int = 42, group: str | None = None) -> DataFrame:
+    """Rows (group, replicate, m): the mean of each Poisson bootstrap replicate, in one pass.
+
+    A row's counts in all replicates are an array drawn from a hash of (seed, key); a task adds up the arrays
+    of its rows element by element, so rows are never multiplied by replicates.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.lit(seed), key).alias("h"), (F.col(group).cast("string") if group else F.lit("")).alias("group"), F.col(value).cast("double").alias("x"))
+    sums = rows.mapInArrow(partial(_weight_batches, replicates=replicates), "group string, w array<double>, wx array<double>")
+    each = sums.select("group", F.posexplode(F.arrays_zip("w", "wx")).alias("replicate", "s"))
+    return each.groupBy("group", "replicate").agg((F.sum("s.wx") / F.nullif(F.sum("s.w"), F.lit(0.0))).alias("m"))
 
 
 def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int, seed: int = 42) -> DataFrame:
     """One row (mean, low, high, significant): percentile interval of the mean over Poisson bootstrap replicates."""
-    drawn = with_replicates(df.select(key, value), replicates).withColumn("w", poisson_one(uniform(F.lit(seed), "replicate", key)))
-    means = drawn.groupBy("replicate").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    interval = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    interval = bootstrap_means(df, key, value, replicates, seed).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return df.agg(F.avg(value).alias("mean")).join(interval).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
@@ -101,11 +145,9 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, key: str, value: str, replicate
 def group_gap(df: DataFrame, key: str, group: str, value: str, one: str, other: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """ST8: one row (gap, low, high) of the mean of ``one`` minus that of ``other``, unpaired."""
     rows = df.where(F.col(group).isin(one, other))
-    drawn = with_replicates(rows.select(key, group, value), replicates).withColumn("w", poisson_one(uniform(F.lit(seed), "replicate", key)))
-    mean = lambda g: F.sum(F.when(F.col(group) == g, F.col("w") * F.col(value))) / F.sum(F.when(F.col(group) == g, F.col("w")))
-    gaps = drawn.groupBy("replicate").agg((mean(one) - mean(other)).alias("g")).agg(F.percentile("g", 0.025).alias("low"), F.percentile("g", 0.975).alias("high"))
-    own = rows.agg((F.avg(F.when(F.col(group) == one, F.col(value))) - F.avg(F.when(F.col(group) == other, F.col(value)))).alias("gap"))
-    return own.join(gaps)
+    mean = lambda g, v: F.avg(F.when(F.col(g) == one, F.col(v))) - F.avg(F.when(F.col(g) == other, F.col(v)))
+    each = bootstrap_means(rows, key, value, replicates, seed, group).groupBy("replicate").agg(mean("group", "m").alias("g"))
+    return rows.agg(mean(group, value).alias("gap")).join(each.agg(F.percentile("g", 0.025).alias("low"), F.percentile("g", 0.975).alias("high")))
 
 
 def weighted_draws(sizes: DataFrame, weights: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
@@ -119,10 +161,74 @@ def weighted_draws(sizes: DataFrame, weights: DataFrame, replicates: int, seed:
     return rows.select("user_id", "replicate", F.explode(F.slice(F.sort_array(keyed), 1, F.greatest(F.col("n"), F.lit(1)).cast("int"))).alias("d")).select("user_id", "replicate", "d.item")
 
 
+PREFERENCE = ("distinct_categories", "top_category_share", "distinct_levels", "free_share")
+
+
+def preference_statistics(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """ST4's observed statistics: one row of means over users of distinct (user_id, item) rows."""
+    rows = sets.join(F.broadcast(items.select("item", "category", "level", "is_free")), "item")
+    per = rows.groupBy("user_id", "category").agg(F.count("*").alias("n"), F.collect_set("level").alias("levels"), F.sum("is_free").alias("free"))
+    users = per.groupBy("user_id").agg(
+        F.count("*").alias("distinct_categories"), (F.max("n") / F.sum("n")).alias("top_category_share"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("levels")))).alias("distinct_levels"), (F.sum("free") / F.sum("n")).alias("free_share"),
+    )
+    return users.agg(*[F.avg(c).alias(c) for c in PREFERENCE])
+
+
+def _null_batches(batches: Iterator[pa.RecordBatch], weight: np.ndarray, kinds: list[np.ndarray], free: np.ndarray, replicates: int) -> Iterator[pa.RecordBatch]:
+    totals, users = np.zeros((len(PREFERENCE), replicates)), 0
+    step = max(1, 2_000_000 // (replicates * len(weight)))
+    for batch in batches:
+        base, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        users += len(base)
+        for low in range(0, len(base), step):
+            n = size[low : low + step]
+            u = (draws(base[low : low + step], replicates, len(weight)) >> np.uint64(11)).astype(np.float64)
+            keys = -np.log((u + 0.5) / 2**53) / weight  # the n least are n draws by weight without replacement
+            bar = np.take_along_axis(np.sort(keys, axis=2), np.broadcast_to((n - 1)[:, None, None], (*keys.shape[:2], 1)), axis=2)
+            taken = (keys <= bar).astype(np.float64)
+            by_category, by_level = (taken @ k for k in kinds)
+            told = (by_category > 0).sum(axis=2), by_category.max(axis=2) / n[:, None], (by_level > 0).sum(axis=2), taken @ free / n[:, None]
+            totals += [t.sum(axis=0) for t in told]
+    yield pa.RecordBatch.from_arrays([pa.array([users]), pa.array([totals.ravel()], pa.list_(pa.float64()))], names=["users", "totals"])
+
+
+def preference_null(sets: DataFrame, items: DataFrame, weights: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
+    """ST4: rows (statistic, replicate, value): the statistics where each user's items are redrawn by popularity, as many as they have.
+
+    ``items`` and ``weights`` are a catalogue: few rows. Draws stay in their user's task, which adds its users up.
+    """
+    table = items.join(weights, "item").orderBy("item").select("item", "category", "level", "is_free", "w").collect()
+    kinds = [np.array([[r[c] == v for v in sorted({x[c] for x in table})] for r in table], np.float64) for c in ("category", "level")]
+    weight, free = np.array([float(r["w"]) for r in table]), np.array([float(r["is_free"]) for r in table])
+    known = sets.join(F.broadcast(weights.select("item")), "item", "left_semi")
+    users = known.groupBy("user_id").agg(F.count("*").alias("n")).select(F.xxhash64(F.lit(seed), "user_id").alias("h"), "n")
+    sums = users.mapInArrow(partial(_null_batches, weight=weight, kinds=kinds, free=free, replicates=replicates), "users bigint, totals array<double>")
+    each = sums.select("users", F.posexplode("totals").alias("at", "x")).groupBy("at").agg((F.sum("x") / F.sum("users")).alias("value"))
+    named = F.get(F.array(*map(F.lit, PREFERENCE)), F.floor(F.col("at") / replicates).cast("int"))
+    return each.select(named.alias("statistic"), (F.col("at") % replicates).alias("replicate"), "value")
+
+
+def provider_null(rows: DataFrame, replicates: int = 30, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """ST5: (ratio), and rows (replicate, ratio), of users with two or more rows (txn, user_id, item, provider_id): distinct providers over rows.
+
+    A replicate takes for each row one of the providers of its item at random, by number among them.
+    """
+    size = rows.groupBy("user_id").agg(F.count("*").alias("size"), F.count_distinct("provider_id").alias("providers")).where("size >= 2")
+    observed = size.agg(F.avg(F.col("providers") / F.col("size")).alias("ratio"))
+    pool = rows.select("item", "provider_id").distinct().withColumn("at", F.row_number().over(Window.partitionBy("item").orderBy("provider_id")) - 1)
+    many = pool.groupBy("item").agg(F.count("*").alias("many"))
+    drawn = with_replicates(rows.select("txn", "user_id", "item").join(size.select("user_id", "size"), "user_id").join(F.broadcast(many), "item"), replicates)  # a catalogue
+    drawn = drawn.withColumn("at", F.floor(uniform(F.lit(seed), "replicate", "txn") * F.col("many")).cast("int")).join(pool, ["item", "at"])
+    per = drawn.groupBy("replicate", "user_id").agg((F.count_distinct("provider_id") / F.first("size")).alias("x"))
+    return observed, per.groupBy("replicate").agg(F.avg("x").alias("ratio"))
+
+
 def permutation_summary(observed: float, null: DataFrame, value: str) -> DataFrame:
-    """One row (observed, null_mean, z, low, high) against the null's replicates."""
+    """One row (observed, null_mean, z, low, high, signal) against the null's replicates."""
     stats = null.agg(F.avg(value).alias("null_mean"), F.stddev_pop(value).alias("s"), F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"))
-    return stats.select(F.lit(observed).alias("observed"), "null_mean", ((observed - F.col("null_mean")) / F.nullif(F.col("s"), F.lit(0.0))).alias("z"), "low", "high")
+    z = (observed - F.col("null_mean")) / F.nullif(F.col("s"), F.lit(0.0))
+    return stats.select(F.lit(observed).alias("observed"), "null_mean", z.alias("z"), "low", "high", ((observed < F.col("low")) | (observed > F.col("high"))).alias("signal"))
 
 
 def simplex_weights(names: list[str], n: int, seed: int = 42, allow_zero: bool = True) -> list[dict[str, float]]:
@@ -139,20 +245,59 @@ def simplex_weights(names: list[str], n: int, seed: int = 42, allow_zero: bool =
     return out
 
 
+def scaled_components(components: dict[str, DataFrame]) -> DataFrame:
+    """Rows (user_id, item, position, c_<name>...): each component's scores scaled over the user's candidates, side by side."""
+    long = reduce(DataFrame.unionByName, [rows.select("user_id", "item", "position", F.lit(n).alias("component"), "score") for n, rows in components.items()])
+    each = [F.coalesce(F.max(F.when(F.col("component") == n, F.col("score"))), F.lit(0.0)).alias(f"s_{n}") for n in components]
+    wide = long.groupBy("user_id", "item", "position").agg(*each)
+    return wide.select("user_id", "item", "position", *[min_max(F.col(f"s_{n}"), "user_id").alias(f"c_{n}") for n in components])
+
+
+def _search_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, k: int, items: int) -> Iterator[pa.RecordBatch]:
+    n, dims = weights.shape
+    hits, with_hit, gain, users, shown = np.zeros(n), np.zeros(n), np.zeros(n), 0, np.zeros((n, items), bool)
+    fade = 1 / np.log2(np.arange(2, max(k, 1) + 2))
+    for batch in batches:
+        for position, held, scores in zip(*(batch.column(c) for c in range(3)), strict=True):
+            position, held = position.values.to_numpy(), held.values.to_numpy(zero_copy_only=False)
+            total = np.round(scores.values.to_numpy().reshape(-1, dims) @ weights.T, 9)
+            first = np.argsort(-total, axis=0, kind="stable")[:k]  # candidates are in order of position
+            hit = held[first]
+            shown[np.arange(n), position[first]] = True
+            hits += hit.sum(axis=0)
+            with_hit += hit.any(axis=0)
+            gain += fade[: len(first)] @ hit / fade[: min(k, int(held.sum()))].sum()
+            users += 1
+    lists = [pa.array([x], pa.list_(pa.float64())) for x in (hits, with_hit, gain)]
+    yield pa.RecordBatch.from_arrays([pa.array([users]), *lists, pa.array([shown.ravel()], pa.list_(pa.bool_()))], names=["users", "hits", "with_hit", "gain", "shown"])
+
+
 def search_weights(components: dict[str, DataFrame], held_out: DataFrame, draws: list[dict[str, float]], k: int) -> DataFrame:
-    """ST10: rows (draw, hits): every draw of weights ranked in one pass over scaled component scores."""
-    from segrec.functions.columns import min_max
-
-    wide = None
-    for name, scores in components.items():
-        rows = scores.select("user_id", "item", "position", min_max(F.col("score"), "user_id").alias(f"c_{name}"))
-        wide = rows if wide is None else wide.join(rows, ["user_id", "item", "position"])
-    wide = wide.join(held_out.select("user_id").distinct(), "user_id", "left_semi")
-    total = [F.struct(F.lit(i).alias("draw"), F.round(sum((F.col(f"c_{n}") * w for n, w in d.items()), F.lit(0.0)), 9).alias("score")) for i, d in enumerate(draws)]
-    long = wide.select("user_id", "item", "position", F.explode(F.array(*total)).alias("t")).select("user_id", "item", "position", "t.*")
-    rank = F.row_number().over(Window.partitionBy("draw", "user_id").orderBy(F.desc("score"), "position"))
-    top = long.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top.join(held_out, ["user_id", "item"]).groupBy("draw").agg(F.count("*").alias("hits"))
+    """ST10: rows (draw, hits, hit_rate, ndcg, items_shown) over users with a held-out candidate, for every draw of weights.
+
+    A user's candidates (at most the catalogue) are one row; all draws' totals are one matrix product in it, ranked there,
+    so neither candidates nor users are multiplied by draws. A task adds its users up.
+    """
+    names = list(components)
+    wide = scaled_components(components)
+    held = held_out.select("user_id", "item", F.lit(True).alias("held"))
+    wide = wide.join(held_out.select("user_id").distinct(), "user_id", "left_semi").join(held, ["user_id", "item"], "left")
+    entry = F.struct("position", F.coalesce("held", F.lit(False)).alias("held"), F.array(*[F.col(f"c_{n}") for n in names]).alias("c"))
+    rows = wide.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("e")).where("exists(e, x -> x.held)")
+    rows = rows.select(F.col("e.position").cast("array<int>").alias("position"), F.col("e.held").alias("held"), F.flatten("e.c").alias("c"))
+    items = int(wide.agg(F.max("position")).first()[0] or 0) + 1
+    weights = np.array([[d.get(n, 0.0) for n in names] for d in draws])
+    sums = rows.mapInArrow(partial(_search_batches, weights=weights, k=k, items=items), "users bigint, hits array<double>, with_hit array<double>, gain array<double>, shown array<boolean>")
+    sums = sums.select("users", F.posexplode(F.arrays_zip("hits", "with_hit", "gain", F.transform(F.sequence(F.lit(0), F.lit(len(draws) - 1)), lambda d: F.slice("shown", d * items + 1, F.lit(items))).alias("shown"))).alias("draw", "x"))
+    every = F.aggregate(F.collect_list("x.shown"), F.array_repeat(F.lit(False), items), lambda a, b: F.zip_with(a, b, lambda p, q: p | q))  # a row for each task
+    by = sums.groupBy("draw").agg(F.sum("users").alias("users"), *[F.sum(f"x.{c}").alias(c) for c in ("hits", "with_hit", "gain")], F.size(F.filter(every, lambda x: x)).alias("items_shown"))
+    return by.select("draw", F.col("hits").cast("bigint").alias("hits"), (F.col("with_hit") / F.col("users")).alias("hit_rate"), (F.col("gain") / F.col("users")).alias("ndcg"), "items_shown")
+
+
+def ablations(best: dict[str, float]) -> dict[str, dict[str, float]]:
+    """The weights without each component in turn; a set that would be empty is left out."""
+    without = {n: {m: (0.0 if m == n else w) for m, w in best.items()} for n in best}
+    return {n: d for n, d in without.items() if any(d.values())}
 
 
 def shuffled(df: DataFrame, key: str, seed: int, n: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segrec.functions.columns import adjusted_skew, random_hit_rate, tier
+from segrec.functions.quantiles import column_quantiles
 from segrec.operators import features
 from segrec.operators.facts import CATEGORIES, Star, micros
 from segrec.plans.registry import query
@@ -177,7 +178,8 @@ def a17(s: Star) -> DataFrame:
 
 @query("a18_percentiles", "SELECT round(quantile_cont(amount, 0.25), 6) AS p25, round(quantile_cont(amount, 0.5), 6) AS p50, round(quantile_cont(amount, 0.9), 6) AS p90 FROM interactions")
 def a18(s: Star) -> DataFrame:
-    return s.interactions.agg(*[F.round(F.percentile("amount", q), 6).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.9)])
+    found = column_quantiles(s.interactions.select("amount"), ["amount"], [0.25, 0.5, 0.9]).get("amount", [None] * 3)
+    return s.spark.createDataFrame([tuple(found)], "p25 double, p50 double, p90 double").select(*[r6(c) for c in ("p25", "p50", "p90")])
 
 
 def gini(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -256,7 +258,9 @@ def a33(s: Star) -> DataFrame:
 @query("a34_iqr", ", f AS (SELECT count(*) AS n, avg(level) AS depth FROM interactions GROUP BY user_id) SELECT round(quantile_cont(n, 0.75) - quantile_cont(n, 0.25), 6) AS iqr_n, round(quantile_cont(depth, 0.75) - quantile_cont(depth, 0.25), 6) AS iqr_depth FROM f")
 def a34(s: Star) -> DataFrame:
     f = s.interactions.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("level").alias("depth"))
-    return f.agg(*[F.round(F.percentile(c, 0.75) - F.percentile(c, 0.25), 6).alias(f"iqr_{c}") for c in ("n", "depth")])
+    found = column_quantiles(f, ["n", "depth"], [0.25, 0.75])
+    ranges = [found[c][1] - found[c][0] if c in found else None for c in ("n", "depth")]
+    return s.spark.createDataFrame([tuple(ranges)], "iqr_n double, iqr_depth double").select(r6("iqr_n"), r6("iqr_depth"))
 
 
 @query("a35_overdispersion", ", d AS (SELECT count(*) AS n FROM interactions GROUP BY ts) SELECT round(avg(n), 6) AS mean, round(var_samp(n), 6) AS variance FROM d")

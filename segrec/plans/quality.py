@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segrec.operators import quality
 from segrec.operators.facts import Star
-from segrec.plans.registry import query
+from segrec.plans.registry import ORACLE_SQL, query
 from segrec.sources.scan import inventory
 from segrec.sources.schema import CUSTOMER, LINEITEM, ORDERS, PART, SUPPLIER, TABLES
 
@@ -146,8 +146,10 @@ def v17(s: Star) -> DataFrame:
 
 
 def _report_sql() -> str:
-    """SQL for the report over all tables."""
-    parts = [f"SELECT * FROM ({_values_sql(t)}) v(check_id, severity, table_name, subject, n)" for t in TABLES.values()]
+    """SQL for the report over all tables and their facts."""
+    facts = [ORACLE_SQL[n] for n in ("v12_repeat_enrollment", "j8_v15_amount_vs_price", "v16_type_vs_price", "v17_duplicate_names")]
+    parts = [f"SELECT * FROM ({sql})" for sql in facts]
+    parts += [f"SELECT * FROM ({_values_sql(t)}) v(check_id, severity, table_name, subject, n)" for t in TABLES.values()]
     for t in TABLES.values():
         names = ", ".join(c.name for c in t.columns if not c.personal)
         parts.append(f"SELECT 'duplicate_rows', 'error', '{t.name}', '', CAST((SELECT count(*) FROM {t.name}) - count(*) AS BIGINT) FROM (SELECT DISTINCT {names} FROM {t.name})")
@@ -161,7 +163,13 @@ def _report_sql() -> str:
 
 @query("v19_report", _report_sql(), base=False)
 def v19(s: Star) -> DataFrame:
-    return quality.report({n: s.table(n) for n in TABLES}, TABLES)
+    return star_report(s)
+
+
+def star_report(s: Star) -> DataFrame:
+    """V1-V17 over all tables of the star and their join."""
+    further = (quality.fact_findings(s.interactions, 40000.005, "interactions"), quality.type_vs_price(s.items, "is_free", "price", "items"), quality.duplicate_names(s.table("part"), "p_name", "part"))
+    return quality.report({n: s.table(n) for n in TABLES}, TABLES, further)
 
 
 @query("u1_intersection", "SELECT o_custkey AS user_id FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'", base=False)

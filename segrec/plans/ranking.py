@@ -99,12 +99,7 @@ _NEAR = """, sz AS (SELECT user_id, count(*) AS n FROM seen GROUP BY user_id),
 
 @query("j14_t3_neighbours", _NEAR + " SELECT user_id, other, CAST(r AS INTEGER) AS r FROM near")
 def j14(s: Star) -> DataFrame:
-    sets = s.seen.select("user_id", "item")
-    sizes = sets.groupBy("user_id").agg(F.count("*").alias("n"))
-    both = sets.where("user_id % 20 = 0").join(sets.withColumnRenamed("user_id", "other"), "item").where("user_id <> other").groupBy("user_id", "other").agg(F.count("*").alias("both"))
-    both = both.join(sizes, "user_id").join(sizes.withColumnsRenamed({"user_id": "other", "n": "n_o"}), "other")
-    order = Window.partitionBy("user_id").orderBy(F.desc(F.col("both") / F.sqrt(F.col("n") * F.col("n_o"))), "other")
-    return both.select("user_id", "other", F.row_number().over(order).alias("r")).where("r <= 50")
+    return scoring.set_neighbours(s, asked=asked_users(s)).select("user_id", "other", "r")
 
 
 @query("r6_user_user_history", _NEAR + ", sums AS (SELECT n.user_id, s.item, sum(sim) AS sc FROM near n JOIN seen s ON n.other = s.user_id GROUP BY ALL)" + top_sql("coalesce(sc, 0)", "(SELECT * FROM candidates WHERE user_id % 20 = 0) c LEFT JOIN sums d ON c.user_id = d.user_id AND c.item = d.item"))

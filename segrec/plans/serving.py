@@ -31,7 +31,7 @@ def recommend(star: Star, user_id: int | None = None, k: int = 10, category: str
         raise Unservable("no item passes the filters")
     view = Star(star.spark, star.sf_dir)
     view.__dict__.update(star.__dict__)
-    candidates = star.candidates.join(scoring.star_small(allowed.select("item")), "item", "left_semi") if category is not None or level is not None else star.candidates
+    candidates = star.candidates.join(scoring.star_small(star, allowed.select("item")), "item", "left_semi") if category is not None or level is not None else star.candidates
     if user_id is not None:
         candidates = candidates.where(F.col("user_id") == user_id)
     view.__dict__["candidates"] = candidates.select("user_id", "item", "position")
@@ -153,7 +153,7 @@ def q15(s: Star) -> DataFrame:
     SELECT user_id, CAST(count(*) AS BIGINT) AS categories, max(levels) AS levels, round(max(k) / sum(k), 6) AS largest_share FROM n JOIN lv USING (user_id) GROUP BY user_id""")
 def r19(s: Star) -> DataFrame:
     """Distinct categories and levels, and the largest category's share, among each user's first ten fallback items."""
-    rows = top(scoring.diversified_fallback(s)).join(scoring.star_small(s.items.select("item", "category", "level")), "item")
+    rows = top(scoring.diversified_fallback(s)).join(scoring.star_small(s, s.items.select("item", "category", "level")), "item")
     shares = [F.count(F.when(F.col("category") == c, 1)) for c in CATEGORIES]
     return rows.groupBy("user_id").agg(F.count_distinct("category").alias("categories"), F.count_distinct("level").alias("levels"), F.round(F.greatest(*shares) / F.count("*"), 6).alias("largest_share"))
 
