@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segrec.functions.columns import min_max
+from segrec.operators.metrics import METRICS
 
 
 def chi_square_p(statistic: float, dof: int) -> float:
@@ -245,12 +246,63 @@ def simplex_weights(names: list[str], n: int, seed: int = 42, allow_zero: bool =
     return out
 
 
-def scaled_components(components: dict[str, DataFrame]) -> DataFrame:
-    """Rows (user_id, item, position, c_<name>...): each component's scores scaled over the user's candidates, side by side."""
+def packed_candidates(components: dict[str, DataFrame], held_out: DataFrame, scaled: bool) -> DataFrame:
+    """One row (user_id, position, held, c) for each user with a held-out candidate: all candidates by position, c their scores flattened.
+
+    A candidate's scores of all components are side by side, ``scaled`` over the user's candidates or not. A row
+    holds at most the catalogue.
+    """
+    names = list(components)
     long = reduce(DataFrame.unionByName, [rows.select("user_id", "item", "position", F.lit(n).alias("component"), "score") for n, rows in components.items()])
-    each = [F.coalesce(F.max(F.when(F.col("component") == n, F.col("score"))), F.lit(0.0)).alias(f"s_{n}") for n in components]
-    wide = long.groupBy("user_id", "item", "position").agg(*each)
-    return wide.select("user_id", "item", "position", *[min_max(F.col(f"s_{n}"), "user_id").alias(f"c_{n}") for n in components])
+    held = held_out.select("user_id", "item", F.lit(True).alias("held"))
+    long = long.join(held_out.select("user_id").distinct(), "user_id", "left_semi")
+    each = [F.coalesce(F.max(F.when(F.col("component") == n, F.col("score"))), F.lit(0.0)).alias(f"s_{n}") for n in names]
+    wide = long.groupBy("user_id", "item", "position").agg(*each).join(held, ["user_id", "item"], "left")
+    score = [min_max(F.col(f"s_{n}"), "user_id") if scaled else F.col(f"s_{n}") for n in names]
+    entry = F.struct("position", "held", "c")
+    rows = wide.select("user_id", "position", F.coalesce("held", F.lit(False)).alias("held"), F.array(*score).alias("c")).groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return rows.where("exists(e, x -> x.held)").select("user_id", F.col("e.position").cast("array<int>").alias("position"), F.col("e.held").alias("held"), F.flatten("e.c").alias("c"))
+
+
+def _metric_batches(batches: Iterator[pa.RecordBatch], names: list[str], k: int) -> Iterator[pa.RecordBatch]:
+    fade, dims = 1 / np.log2(np.arange(2, k + 2)), len(names)
+    for batch in batches:
+        out: list[np.ndarray] = []
+        for held, scores in zip(batch.column(2), batch.column(3), strict=True):
+            held, total = held.values.to_numpy(zero_copy_only=False), np.round(scores.values.to_numpy().reshape(-1, dims), 9)
+            hit = held[np.argsort(-total, axis=0, kind="stable")]  # candidates are in order of position
+            hits, first, n = hit[:k].sum(axis=0), hit.argmax(axis=0), held.sum()
+            gain = fade[: len(hit[:k])] @ hit[:k] / fade[: min(k, n)].sum()
+            out.append(np.stack([hits / k, np.full(dims, min(k, n) / k), hits / n, (hits > 0).astype(float), gain, 1 / (first + 1)]))
+        users = np.repeat(batch.column(0).to_numpy(), dims)
+        table = np.concatenate(out, axis=1) if out else np.empty((len(METRICS), 0))
+        yield pa.RecordBatch.from_arrays([pa.array(users), pa.array(names * batch.num_rows, pa.string()), *map(pa.array, table)], names=["user_id", "method", *METRICS])
+
+
+def method_metrics(rows: DataFrame, names: list[str], k: int) -> DataFrame:
+    """Rows (user_id, method, M1-M6 metrics) of ``packed_candidates`` that aren't scaled: all methods ranked in the user's row."""
+    return rows.mapInArrow(partial(_metric_batches, names=names, k=k), "user_id bigint, method string, " + ", ".join(f"{m} double" for m in METRICS))
+
+
+def _shown_batches(batches: Iterator[pa.RecordBatch], names: list[str], k: int) -> Iterator[pa.RecordBatch]:
+    counts: dict[tuple[str, int], int] = {}
+    for batch in batches:
+        for position, scores in zip(batch.column(1), batch.column(3), strict=True):
+            total = np.round(scores.values.to_numpy().reshape(-1, len(names)), 9)
+            first = position.values.to_numpy()[np.argsort(-total, axis=0, kind="stable")[:k]]
+            for m, name in enumerate(names):
+                for item in first[:, m].tolist():
+                    counts[name, item] = counts.get((name, item), 0) + 1
+    yield pa.RecordBatch.from_pylist([{"method": m, "position": i, "n": n} for (m, i), n in counts.items()], pa.schema([("method", pa.string()), ("position", pa.int32()), ("n", pa.int64())]))
+
+
+def method_exposure(rows: DataFrame, names: list[str], k: int, items: int) -> DataFrame:
+    """Rows (method, coverage, gini) of the first k items of each user; the ``items`` never shown count as 0."""
+    shown = rows.mapInArrow(partial(_shown_batches, names=names, k=k), "method string, position int, n bigint").groupBy("method", "position").agg(F.sum("n").alias("n"))
+    i = F.row_number().over(Window.partitionBy("method").orderBy("n")) + items - F.count("*").over(Window.partitionBy("method"))  # after the items with none
+    total = F.sum("n")
+    ranked = shown.select("method", "n", i.alias("i")).groupBy("method")
+    return ranked.agg((F.count("*") / items).alias("coverage"), ((2 * F.sum(F.col("i") * F.col("n")) - (items + 1) * total) / (items * total)).alias("gini"))
 
 
 def _search_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, k: int, items: int) -> Iterator[pa.RecordBatch]:
@@ -272,26 +324,21 @@ def _search_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, k: i
     yield pa.RecordBatch.from_arrays([pa.array([users]), *lists, pa.array([shown.ravel()], pa.list_(pa.bool_()))], names=["users", "hits", "with_hit", "gain", "shown"])
 
 
-def search_weights(components: dict[str, DataFrame], held_out: DataFrame, draws: list[dict[str, float]], k: int) -> DataFrame:
-    """ST10: rows (draw, hits, hit_rate, ndcg, items_shown) over users with a held-out candidate, for every draw of weights.
+def search_weights(rows: DataFrame, names: list[str], draws: list[dict[str, float]], k: int, items: int) -> DataFrame:
+    """ST10: rows (draw, hits, hit_rate, ndcg, items_shown) over the users of scaled ``packed_candidates``, for every draw of weights.
 
-    A user's candidates (at most the catalogue) are one row; all draws' totals are one matrix product in it, ranked there,
-    so neither candidates nor users are multiplied by draws. A task adds its users up.
+    All draws' totals of a user are one matrix product, ranked in the user's row, so neither candidates nor users
+    are multiplied by draws. A task adds its users up. ``items`` is the size of the catalogue.
     """
-    names = list(components)
-    wide = scaled_components(components)
-    held = held_out.select("user_id", "item", F.lit(True).alias("held"))
-    wide = wide.join(held_out.select("user_id").distinct(), "user_id", "left_semi").join(held, ["user_id", "item"], "left")
-    entry = F.struct("position", F.coalesce("held", F.lit(False)).alias("held"), F.array(*[F.col(f"c_{n}") for n in names]).alias("c"))
-    rows = wide.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("e")).where("exists(e, x -> x.held)")
-    rows = rows.select(F.col("e.position").cast("array<int>").alias("position"), F.col("e.held").alias("held"), F.flatten("e.c").alias("c"))
-    items = int(wide.agg(F.max("position")).first()[0] or 0) + 1
     weights = np.array([[d.get(n, 0.0) for n in names] for d in draws])
-    sums = rows.mapInArrow(partial(_search_batches, weights=weights, k=k, items=items), "users bigint, hits array<double>, with_hit array<double>, gain array<double>, shown array<boolean>")
-    sums = sums.select("users", F.posexplode(F.arrays_zip("hits", "with_hit", "gain", F.transform(F.sequence(F.lit(0), F.lit(len(draws) - 1)), lambda d: F.slice("shown", d * items + 1, F.lit(items))).alias("shown"))).alias("draw", "x"))
+    held = rows.select("position", "held", "c")
+    sums = held.mapInArrow(partial(_search_batches, weights=weights, k=k, items=items), "users bigint, hits array<double>, with_hit array<double>, gain array<double>, shown array<boolean>")
+    shown = F.transform(F.sequence(F.lit(0), F.lit(len(draws) - 1)), lambda d: F.slice("shown", d * items + 1, F.lit(items)))
+    sums = sums.select("users", F.posexplode(F.arrays_zip("hits", "with_hit", "gain", shown.alias("shown"))).alias("draw", "x"))
     every = F.aggregate(F.collect_list("x.shown"), F.array_repeat(F.lit(False), items), lambda a, b: F.zip_with(a, b, lambda p, q: p | q))  # a row for each task
     by = sums.groupBy("draw").agg(F.sum("users").alias("users"), *[F.sum(f"x.{c}").alias(c) for c in ("hits", "with_hit", "gain")], F.size(F.filter(every, lambda x: x)).alias("items_shown"))
-    return by.select("draw", F.col("hits").cast("bigint").alias("hits"), (F.col("with_hit") / F.col("users")).alias("hit_rate"), (F.col("gain") / F.col("users")).alias("ndcg"), "items_shown")
+    share = lambda c: F.col(c) / F.nullif(F.col("users"), F.lit(0))
+    return by.select("draw", F.col("hits").cast("bigint").alias("hits"), share("with_hit").alias("hit_rate"), share("gain").alias("ndcg"), "items_shown")
 
 
 def ablations(best: dict[str, float]) -> dict[str, dict[str, float]]:

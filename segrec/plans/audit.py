@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segrec.functions.columns import tier
 from segrec.operators import metrics, scoring, stats
 from segrec.operators.facts import Star
+from segrec.operators.features import NUMERIC, user_features
 from segrec.plans.features import ordered
+from segrec.plans.methods import COMPONENT_SQL, METRIC_SQL
+from segrec.plans.ranking import strata
 from segrec.plans.registry import query
+from segrec.sources.scratch import stored
 
 _POP = ", pop AS (SELECT item, count(*) AS n FROM interactions GROUP BY item)"
 
@@ -63,25 +70,38 @@ def _sizes(s: Star) -> DataFrame:
     return s.interactions.groupBy("user_id").agg(F.count_distinct("item").alias("n"))
 
 
+def _sets(s: Star) -> DataFrame:
+    return s.interactions.where("user_id IS NOT NULL").select("user_id", "item").distinct()
+
+
+_ST4 = ", g AS (SELECT DISTINCT user_id, item FROM interactions WHERE user_id IS NOT NULL), x AS (SELECT user_id, category, level, is_free FROM g JOIN items USING (item)), c AS (SELECT user_id, category, count(*) AS n FROM x GROUP BY ALL), u AS (SELECT user_id, count(*) AS d, max(n) / sum(n) AS top FROM c GROUP BY user_id), v AS (SELECT user_id, count(DISTINCT level) AS levels, avg(is_free) AS free FROM x GROUP BY user_id)"
+
+
+@query("st4_observed_statistics", _ST4 + " SELECT round(avg(d), 6) AS distinct_categories, round(avg(top), 6) AS top_category_share, round(avg(levels), 6) AS distinct_levels, round(avg(free), 6) AS free_share FROM u JOIN v USING (user_id)")
+def st4_observed(s: Star) -> DataFrame:
+    return stats.preference_statistics(_sets(s), s.items).select(*[F.round(c, 6).alias(c) for c in stats.PREFERENCE])
+
+
 @query("st4_preference_null")
 def st4(s: Star) -> DataFrame:
-    """Distinct categories a user, against histories redrawn by popularity."""
-    weights = scoring.popularity(s.interactions).withColumnRenamed("n", "w")
-    drawn = stats.weighted_draws(_sizes(s), weights, 10).join(F.broadcast(s.items.select("item", "category")), "item")
-    null = drawn.groupBy("replicate", "user_id").agg(F.count_distinct("category").alias("d")).groupBy("replicate").agg(F.avg("d").alias("d"))
-    seen = s.interactions.groupBy("user_id").agg(F.count_distinct("category").alias("d")).agg(F.avg("d")).first()[0]
-    return stats.permutation_summary(float(seen), null, "d")
+    """The four statistics of users' items against 200 redraws of their histories by popularity."""
+    sets = _sets(s)
+    seen = stats.preference_statistics(sets, s.items).first()
+    null = stored(stats.preference_null(sets, s.items, scoring.popularity(s.interactions).withColumnRenamed("n", "w")), "null")
+    rows = [stats.permutation_summary(float(seen[c] or 0.0), null.where(F.col("statistic") == c), "value").select(F.lit(c).alias("statistic"), "*") for c in stats.PREFERENCE]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("st5_observed_ratio", ", u AS (SELECT count(DISTINCT provider_id) / count(*) AS x FROM interactions WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) >= 2) SELECT round(avg(x), 6) AS ratio FROM u")
+def st5_observed(s: Star) -> DataFrame:
+    return stats.provider_null(s.interactions.where("user_id IS NOT NULL"), 1)[0].select(F.round("ratio", 6).alias("ratio"))
 
 
 @query("st5_provider_null")
 def st5(s: Star) -> DataFrame:
-    """Distinct providers a user, against providers dealt anew over all transactions."""
-    rows = stats.with_replicates(s.interactions.select("txn", "user_id"), 5)
-    n = s.table("supplier").count()
-    drawn = rows.withColumn("p", F.floor(stats.uniform(F.lit(5), "replicate", "txn") * n))
-    null = drawn.groupBy("replicate", "user_id").agg(F.count_distinct("p").alias("d")).groupBy("replicate").agg(F.avg("d").alias("d"))
-    seen = s.interactions.groupBy("user_id").agg(F.count_distinct("provider_id").alias("d")).agg(F.avg("d")).first()[0]
-    return stats.permutation_summary(float(seen), null, "d")
+    """Distinct providers over rows of a user, against 30 redraws among the providers of each row's item."""
+    observed, null = stats.provider_null(s.interactions.where("user_id IS NOT NULL"), 30)
+    return stats.permutation_summary(float(observed.first()["ratio"] or 0.0), null, "ratio")
 
 
 @query(
@@ -107,13 +127,23 @@ def _ndcg(s: Star, scores: DataFrame) -> DataFrame:
 
 @query("st7_j19_paired_bootstrap")
 def st7(s: Star) -> DataFrame:
-    return stats.paired_bootstrap(_ndcg(s, scoring.global_popularity(s)), _ndcg(s, scoring.random_score(s)), "user_id", "ndcg", 200)
+    return stats.paired_bootstrap(_ndcg(s, scoring.global_popularity(s)), _ndcg(s, scoring.random_score(s)), "user_id", "ndcg", 2000)
 
 
 @query("st8_group_gap")
 def st8(s: Star) -> DataFrame:
     rows = _ndcg(s, scoring.global_popularity(s)).join(s.users, "user_id")
-    return stats.group_gap(rows, "user_id", "stratum", "ndcg", "BUILDING", "MACHINERY", 200)
+    return stats.group_gap(rows, "user_id", "stratum", "ndcg", "BUILDING", "MACHINERY", 2000)
+
+
+@query("st7_st8_points", METRIC_SQL("pop_n", "rating") + """, d AS (SELECT user_id, max(CASE WHEN method = 'pop_n' THEN ndcg END) AS a, max(CASE WHEN method = 'rating' THEN ndcg END) AS b FROM pm GROUP BY user_id)
+    SELECT CAST(count(*) AS BIGINT) AS users, round(avg(a - b), 6) AS difference, round(avg(a) FILTER (WHERE stratum = 'BUILDING') - avg(a) FILTER (WHERE stratum = 'MACHINERY'), 6) AS gap FROM d LEFT JOIN users USING (user_id)""")
+def st7_points(s: Star) -> DataFrame:
+    """The point estimates of a paired and an unpaired difference."""
+    a, b = _ndcg(s, scoring.global_popularity(s)), _ndcg(s, scoring.rating(s)).withColumnRenamed("ndcg", "other")
+    rows = a.join(b, "user_id").join(s.users, "user_id", "left")
+    of = lambda g: F.avg(F.when(F.col("stratum") == g, F.col("ndcg")))
+    return rows.agg(F.count("*").alias("users"), F.round(F.avg(F.col("ndcg") - F.col("other")), 6).alias("difference"), F.round(of("BUILDING") - of("MACHINERY"), 6).alias("gap"))
 
 
 @query("st9_simplex_weights")
@@ -122,21 +152,68 @@ def st9(s: Star) -> DataFrame:
     return s.spark.createDataFrame(rows, "draw int, name string, weight double")
 
 
-_DRAWS = stats.simplex_weights(["popularity", "rating"], 8)
-_SEARCH = (
-    ", pop AS (SELECT item, CAST(count(*) AS DOUBLE) AS n FROM train GROUP BY item), held AS (SELECT DISTINCT user_id, item FROM test WHERE user_id IN (SELECT user_id FROM seen) EXCEPT SELECT user_id, item FROM seen)"
-    + ", raw AS (SELECT c.user_id, c.item, c.position, coalesce(n, 0) AS p, rating AS r FROM candidates c JOIN items i ON c.item = i.item LEFT JOIN pop ON pop.item = c.item)"
-    + ", sc AS (SELECT *, CASE WHEN max(p) OVER w - min(p) OVER w < 1e-12 THEN 0 ELSE (p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w) END AS sp, CASE WHEN max(r) OVER w - min(r) OVER w < 1e-12 THEN 0 ELSE (r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) END AS sr FROM raw WINDOW w AS (PARTITION BY user_id))"
-    + ", wt(draw, wp, wr) AS (VALUES " + ", ".join(f"({i}, CAST({d['popularity']!r} AS DOUBLE), CAST({d['rating']!r} AS DOUBLE))" for i, d in enumerate(_DRAWS)) + ")"
-    + ", rk AS (SELECT draw, user_id, item, row_number() OVER (PARTITION BY draw, user_id ORDER BY round(sp * wp + sr * wr, 9) DESC, position) AS k FROM sc, wt WHERE user_id IN (SELECT user_id FROM held))"
-    + " SELECT draw, CAST(count(*) AS BIGINT) AS hits FROM rk JOIN held h ON rk.user_id = h.user_id AND rk.item = h.item WHERE k <= 10 GROUP BY draw"
-)
+COMPONENTS = ["content_based", "user_user_profile", "segment_popularity", "rating", "preference_match", "item_item"]
+_DRAWS = stats.simplex_weights(COMPONENTS, 400)
+_SCALED = ", scaled AS (SELECT user_id, item, position, " + ", ".join(f"CASE WHEN max({n}) OVER w - min({n}) OVER w < 1e-12 THEN 0 ELSE ({n} - min({n}) OVER w) / (max({n}) OVER w - min({n}) OVER w) END AS {n}" for n in COMPONENTS) + " FROM comp WINDOW w AS (PARTITION BY user_id))"
+_WEIGHTS = ", wt(draw, " + ", ".join(COMPONENTS) + ") AS (VALUES " + ", ".join("(" + ", ".join([str(i), *[f"{d[n]!r}::DOUBLE" for n in COMPONENTS]]) + ")" for i, d in enumerate(_DRAWS)) + ")"
+
+
+def _search_sql(name: str, weights: str) -> str:
+    """CTE ``name`` (draw, hits, hit_rate, ndcg, items_shown) of the weights in a frame."""
+    total = " + ".join(f"scaled.{n} * w.{n}" for n in COMPONENTS)
+    return f""", {name}_rk AS (SELECT draw, user_id, item, row_number() OVER (PARTITION BY draw, user_id ORDER BY round({total}, 9) DESC, position) AS k FROM scaled, {weights} w WHERE user_id IN (SELECT user_id FROM held)),
+    {name}_u AS (SELECT r.draw, r.user_id, count(h.item) FILTER (WHERE k <= 10) AS hits, coalesce(sum(1 / log2(k + 1)) FILTER (WHERE k <= 10 AND h.item IS NOT NULL), 0) AS dcg FROM {name}_rk r LEFT JOIN held h ON h.user_id = r.user_id AND h.item = r.item GROUP BY ALL),
+    {name}_s AS (SELECT draw, count(DISTINCT item) AS items_shown FROM {name}_rk WHERE k <= 10 GROUP BY draw),
+    {name} AS (SELECT u.draw, CAST(sum(hits) AS BIGINT) AS hits, avg(CASE WHEN hits > 0 THEN 1 ELSE 0 END) AS hit_rate,
+      avg(dcg / list_sum(list_transform(range(1, CAST(least(n_rel, 10) AS BIGINT) + 1), lambda i: 1 / log2(i + 1)))) AS ndcg, CAST(max(items_shown) AS INTEGER) AS items_shown
+      FROM {name}_u u JOIN tg USING (user_id) JOIN {name}_s s ON s.draw = u.draw GROUP BY u.draw)"""
+
 
+_SEARCH = COMPONENT_SQL + _SCALED + _WEIGHTS + _search_sql("found", "wt")
 
-@query("st10_weight_search", _SEARCH)
+
+def _packed(s: Star) -> DataFrame:
+    """All components' scaled scores by user, written once for several searches."""
+    f = user_features(s.train, s.users)
+    parts = {
+        "content_based": scoring.content_based(s), "user_user_profile": scoring.user_user_profile(s, f, [*NUMERIC, "balance"]), "segment_popularity": scoring.segment_popularity(s, strata(s)),
+        "rating": scoring.rating(s), "preference_match": scoring.preference_match(s), "item_item": scoring.item_item(s),
+    }
+    return stored(stats.packed_candidates(parts, metrics.relevant(s), True), "candidates")
+
+
+def _told(rows: DataFrame) -> list:
+    return ["hits", F.round("hit_rate", 6).alias("hit_rate"), F.round("ndcg", 6).alias("ndcg"), "items_shown"]
+
+
+@query("st10_weight_search", _SEARCH + " SELECT draw, hits, round(hit_rate, 6) AS hit_rate, round(ndcg, 6) AS ndcg, items_shown FROM found")
 def st10(s: Star) -> DataFrame:
-    parts = {"popularity": scoring.global_popularity(s), "rating": scoring.rating(s)}
-    return stats.search_weights(parts, metrics.relevant(s), _DRAWS, 10)
+    """400 draws of weights over six components, measured on the test window."""
+    rows = stats.search_weights(_packed(s), COMPONENTS, _DRAWS, 10, len(s.catalogue))
+    return rows.select("draw", *_told(rows))
+
+
+@query(
+    "st10_ablation",
+    _SEARCH
+    + ", best AS (SELECT wt.* FROM wt JOIN found USING (draw) ORDER BY round(ndcg, 9) DESC, draw LIMIT 1), without AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS draw, " + ", ".join("0::DOUBLE AS " + n if n == m else n for n in COMPONENTS) + f" FROM best WHERE {' + '.join(n for n in COMPONENTS if n != m)} > 0" for i, m in enumerate(COMPONENTS))
+    + ")"
+    + _search_sql("less", "without")
+    + " SELECT removed, round(weight, 6) AS weight, hits, round(hit_rate, 6) AS hit_rate, round(ndcg, 6) AS ndcg, items_shown, round(ndcg - (SELECT max(ndcg) FROM found), 6) + 0.0 AS delta FROM less JOIN ("
+    + " UNION ALL ".join(f"SELECT {i} AS draw, '{n}' AS removed, {n} AS weight FROM best" for i, n in enumerate(COMPONENTS))
+    + ") USING (draw)",
+)
+def st10_ablation(s: Star) -> DataFrame:
+    """The best draw without each component in turn."""
+    rows = _packed(s)
+    search = stats.search_weights(rows, COMPONENTS, _DRAWS, 10, len(s.catalogue))
+    best = search.orderBy(F.desc(F.round("ndcg", 9)), "draw").first()
+    weights = _DRAWS[best["draw"] if best else 0]
+    without = stats.ablations(weights)
+    found = stats.search_weights(rows, COMPONENTS, list(without.values()), 10, len(s.catalogue))
+    told = s.spark.createDataFrame([(i, n, weights[n]) for i, n in enumerate(without)], "draw int, removed string, weight double")
+    return found.join(F.broadcast(told), "draw").select("removed", F.round("weight", 6).alias("weight"), *_told(found), (F.round(F.col("ndcg") - F.lit(best["ndcg"] if best else None), 6) + 0.0).alias("delta"))
 
 
 @query("st11_hash_sample")
@@ -157,3 +234,19 @@ def a36(s: Star) -> DataFrame:
 def a30(s: Star) -> DataFrame:
     rows = metrics.per_user(scoring.ranked(scoring.global_popularity(s)), metrics.relevant(s), 10)
     return rows.agg(F.round(F.avg("hit"), 6).alias("hit_rate"), F.count("*").alias("users"), F.sum("n_rel").alias("held_out"))
+
+
+@query(
+    "a36_by_aspect",
+    _HITS
+    + """, hs AS (SELECT user_id, count(*) AS n FROM seen GROUP BY user_id), e AS (SELECT pu.*, n, CASE WHEN n = 1 THEN 'minimal' WHEN n <= 8 THEN 'moderate' ELSE 'rich' END AS tier FROM pu JOIN hs ON hs.user_id = pu.user_id),
+    l AS (SELECT 'targets' AS aspect, n_rel::VARCHAR AS value, hit FROM e UNION ALL SELECT 'history', n::VARCHAR, hit FROM e UNION ALL SELECT 'tier', tier, hit FROM e)
+    SELECT aspect, value, CAST(count(*) AS BIGINT) AS users, round(avg(hit), 6) AS hit_rate FROM l GROUP BY aspect, value""",
+)
+def a36_aspects(s: Star) -> DataFrame:
+    """Hit rate by number of targets, by length of history and by tier, from one row a user."""
+    rows = metrics.per_user(scoring.ranked(scoring.global_popularity(s)), metrics.relevant(s), 10)
+    rows = rows.join(s.seen.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
+    aspects = {"targets": F.col("n_rel").cast("string"), "history": F.col("n").cast("string"), "tier": tier(F.col("n"))}
+    long = rows.select("hit", F.explode(F.array(*[F.struct(F.lit(a).alias("aspect"), v.alias("value")) for a, v in aspects.items()])).alias("e"))
+    return long.groupBy("e.aspect", "e.value").agg(F.count("*").alias("users"), F.round(F.avg("hit"), 6).alias("hit_rate"))

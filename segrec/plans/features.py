@@ -130,11 +130,6 @@ def a8(s: Star) -> DataFrame:
     return features.category_profile(s.interactions).select("user_id", *[r6(f"share_{c}") for c in CATEGORIES])
 
 
-@query("a9_user_features")
-def a9(s: Star) -> DataFrame:
-    return features.user_features(s.train, s.users)
-
-
 @query("a10_item_popularity", "SELECT item, CAST(count(*) AS BIGINT) AS n FROM interactions GROUP BY item")
 def a10(s: Star) -> DataFrame:
     return s.interactions.groupBy("item").agg(F.count("*").alias("n"))

@@ -107,11 +107,6 @@ def r6(s: Star) -> DataFrame:
     return top(scoring.user_user_history(s, asked=asked_users(s)))
 
 
-@query("r7_user_user_profile")
-def r7(s: Star) -> DataFrame:
-    return top(scoring.user_user_profile(s, features.user_features(s.train, s.users), [*features.NUMERIC, "balance"], asked_users(s)))
-
-
 _R8 = _POP + ", per AS (SELECT stratum, item, CAST(count(*) AS DOUBLE) AS n FROM train t JOIN users u ON t.user_id = u.user_id GROUP BY ALL)"
 
 
