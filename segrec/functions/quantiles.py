@@ -55,9 +55,9 @@ def _count(rows: DataFrame, spans: list[tuple]) -> list[list[tuple]]:
     entry = [F.struct(F.lit(k).alias("span"), F.lit(name).cast(kind).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(n <= FEW).alias("few")) for k, (name, _, n, low, high) in enumerate(spans)]
     table = rows.sparkSession.range(1).select(F.explode(F.array(*entry)).alias("s")).select("s.*")
     # halves, so that the width of a span of any two numbers is one; of a few rows each value is a bin
-    half = F.nullif(F.col("high") / 2 - F.col("low") / 2, F.lit(0.0))
-    place = F.least(F.floor((F.col("x") / 2 - F.col("low") / 2) / half * BINS), F.lit(BINS - 1)).cast("double")
-    place = F.coalesce(place, (F.col("x") > F.col("low")).cast("double"))  # the smallest numbers have no half
+    half = F.nullif(F.col("high") / 2 - F.col("low") / 2, F.lit(0.0))  # none between the two smallest numbers
+    share = F.coalesce((F.col("x") / 2 - F.col("low") / 2) / half, (F.col("x") > F.col("low")).cast("double"))
+    place = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("double")
     inside = rows.join(F.broadcast(table), "name").where("x BETWEEN low AND high")  # a few rows
     counted = inside.groupBy("span", F.when(F.col("few"), F.col("x")).otherwise(place).alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     bins: list[list[tuple]] = [[] for _ in spans]
