@@ -17,11 +17,13 @@ hash slot, in powers of two over all texts, then by hash. Passages that very man
 so they are keys only where a text has little else. A candidate has at least 0.8 times as many shingles
 as the other, or the other than it; it must then have, on a SimHash of 512
 bits, a chain of segments whose cumulative differences stay within the proportional budgets of
-``WIDE_BITS`` differing bits, then at most ``WIDE_BITS`` in all; what is left is compared exactly. Under
-one shingle a text meets the first text and the ``BEFORE`` before it, in an order of the shingle's own.
-Where a shingle has more texts, those that stay after linking meet again, in another order, round after
-round until no shingle has more or a round finds no link. A similar pair shares most of these shingles,
-so it is only missed if texts that are not similar crowd all of them.
+``WIDE_BITS`` differing bits, then at most ``WIDE_BITS`` in all; what is left is compared exactly. In the
+first round a text meets, under each shingle, the first text and the one before it, in one order for all
+shingles: that links large groups of copies by a few pairs a text. Where a shingle has more texts, those
+that stay after linking meet again, now the first and the ``BEFORE`` before them in an order of the
+shingle's own, round after round until no shingle has more or a round after the first finds no link. A
+similar pair shares most of these shingles, so it is only missed if texts that are not similar crowd all
+of them.
 
 Nulls: null text is the empty text, whose fingerprint is zero; it links like any other. A null id is
 kept, and counts as a member without a number: a component's id is its smallest non-null id (null if
@@ -270,12 +272,17 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: f
 
 
 def _round(texts: DataFrame, kept: DataFrame, number: int, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), texts (v) with a key that has more of them than meet) of one round over ``kept`` (v, keys, wide, n)."""
+    """(links (a, b), texts (v) with a key that has more of them than meet) of one round over ``kept`` (v, keys, wide, n).
+
+    In the first round one order holds under all shingles, so the copies of a large group meet the same few texts
+    under each of the shingles they share; later rounds, over what is left, have an order for each shingle.
+    """
     me = F.struct("v", "n")
+    before, order = (1, F.xxhash64("v", F.lit(number))) if number == 0 else (BEFORE, F.xxhash64("v", "key", F.lit(number)))
     asked = spread(kept.select("v", "n", "keys"), 5_000).select("v", "n", F.explode("keys").alias("key"))
     every = Window.partitionBy("key")
-    under = every.orderBy(F.xxhash64("v", "key", F.lit(number)), "v")
-    met = asked.select("v", "n", F.array_union(F.array(F.first(me).over(under)), F.collect_list(me).over(under.rowsBetween(-BEFORE, -1))).alias("others"), (F.count("*").over(every) > BEFORE + 1).alias("more"))
+    under = every.orderBy(order, "v")
+    met = asked.select("v", "n", F.array_union(F.array(F.first(me).over(under)), F.collect_list(me).over(under.rowsBetween(-before, -1))).alias("others"), (F.count("*").over(every) > before + 1).alias("more"))
     met = materialise(met.where("more OR size(others) > 1 OR others[0].v != v"), "near_met")
     like = F.least("o.n", "n") >= F.greatest("o.n", "n") * similar - 1e-9
     pairs = met.select(F.explode("others").alias("o"), "v", "n").where((F.col("o.v") != F.col("v")) & like)
@@ -303,7 +310,7 @@ def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float
         found, more = _round(texts, live, number, shingle, similar)
         links = found if links is None else links.unionByName(found)
         more = materialise(more, "near_more")
-        if more.isEmpty() or found.isEmpty():
+        if more.isEmpty() or (number and found.isEmpty()):
             return links
         gone = connected(found).where("v != c").select("v")
         live = materialise(live.join(more, "v", "left_semi").join(gone, "v", "left_anti"), "near_keys")
