@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from fnmatch import fnmatchcase
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 TINY = 1e-12
 
@@ -45,3 +48,13 @@ def random_hit_rate(candidates: Column, relevant: Column, k: int) -> Column:
     """Chance that k of m random candidates hit one of r relevant ones: 1 - C(m-r,k)/C(m,k)."""
     miss = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda acc, i: acc * F.greatest(F.lit(0.0), (candidates - relevant - i) / (candidates - i)))
     return 1 - miss
+
+
+def columns_like(df: DataFrame, pattern: str) -> list[str]:
+    """Columns whose names match a pattern with ``*`` and ``?``, in the frame's order."""
+    return [c for c in df.columns if fnmatchcase(c, pattern)]
+
+
+def numeric_columns(df: DataFrame, but: tuple[str, ...] = ()) -> list[str]:
+    """Columns of numeric types, keys ``but``, in the frame's order."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in but]

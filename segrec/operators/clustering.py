@@ -382,13 +382,23 @@ def gap_statistic(df: DataFrame, vector: str, ks: list[int], references: int = 5
     return df.sparkSession.createDataFrame(rows, "k int, gap double, error double")
 
 
+def gap_choice(gaps: DataFrame) -> DataFrame:
+    """ML15: ``gaps`` (k, gap, error) with optimal_k, the smallest k whose gap is within an error of the next one's, and no_structure where that is 1.
+
+    The largest k is taken if no smaller one is.
+    """
+    ahead = Window.orderBy("k")  # a row for each k
+    enough = F.coalesce(F.col("gap") >= F.lead("gap").over(ahead) - F.lead("error").over(ahead), F.lit(True))
+    told = gaps.withColumn("enough", enough).agg(F.min(F.when(F.col("enough"), F.col("k"))).alias("optimal_k"))
+    return gaps.join(F.broadcast(told)).withColumn("no_structure", F.col("optimal_k") == 1)
+
+
 def sweep_with_stability(df: DataFrame, key: str, vector: str, ks: list[int], n_init: int = 10, rounds: int = 100) -> DataFrame:
     """ML7, ML16, ML18: the sweep with each k's least bootstrap Jaccard index and its number of unstable clusters."""
     sweep = kmeans_sweep(df, key, vector, ks, n_init)
-    rows = []
-    for k in ks:
-        told = stability(bootstrap_jaccard(df, key, vector, k, rounds)).agg(F.min("jaccard"), F.count(F.when(F.col("verdict") == "unstable", 1))).first()
-        rows.append((k, float(told[0]), int(told[1])))
+    least, unstable = F.min("jaccard"), F.count(F.when(F.col("verdict") == "unstable", 1))
+    told = [(k, stability(bootstrap_jaccard(df, key, vector, k, rounds)).agg(least, unstable).first()) for k in ks]
+    rows = [(k, float(t[0]), int(t[1])) for k, t in told]
     return sweep.join(df.sparkSession.createDataFrame(rows, "k int, least_jaccard double, unstable long"), "k")
 
 

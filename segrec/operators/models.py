@@ -181,3 +181,22 @@ def segment_of(spark: SparkSession, path: str, user_id: int) -> int | None:
     """The persisted segment of a user, or None; reads one row group at most of each file."""
     row = spark.read.parquet(f"{path}/segments").where(F.col("user_id") == user_id).first()
     return None if row is None else row["cluster"]
+
+
+_EXPORT = "key string, columns array<struct<position:int,name:string,kind:string>>, model_columns array<string>, config struct<clusters:int,artifact_set:string,engine:string>"
+
+
+def export_schema(features: DataFrame, key: str, model: SegmentModel, path: str) -> None:
+    """SK12: one JSON document: the features' columns and types in order, the model's columns and its frozen configuration."""
+    columns = [(i, name, kind) for i, (name, kind) in enumerate(features.dtypes)]
+    row = (key, columns, model.columns, (len(model.centroids), model.manifest.get("artifact_set"), ENGINE_VERSION))
+    features.sparkSession.createDataFrame([row], _EXPORT).coalesce(1).write.json(path)
+
+
+def check_schema(features: DataFrame, path: str) -> None:
+    """Refuse features whose columns or types differ from an exported schema's."""
+    told = features.sparkSession.read.schema(_EXPORT).option("multiLine", True).json(path).first()
+    want, have = [(c["name"], c["kind"]) for c in told["columns"]], features.dtypes
+    if want != have:
+        changed = sorted(set(want) ^ set(have)) or "their order"
+        raise ColumnOrderError(f"features differ from the exported schema in {changed}")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segrec.operators import metrics, scoring, stats
+from segrec.functions.columns import columns_like, numeric_columns, tier
+from segrec.functions.quantiles import quantiles
+from segrec.operators import clustering, metrics, scoring, stats
 from segrec.operators.facts import CATEGORIES, Star
 from segrec.operators.features import NUMERIC, user_features
 from segrec.plans.ranking import _FALL, _HELD, _PREF, _R8, _SIM, _VEC, WEIGHTS, deployed, strata, top, top_sql
 from segrec.plans.registry import query
+from segrec.plans.segments import VOCABULARY
 from segrec.sources.scratch import stored
 
 #: Features of the users of the training window.
@@ -63,13 +68,22 @@ COMPONENT_SQL = (
 )
 
 
-def METRIC_SQL(*methods: str) -> str:
-    """Frame ``pm``: metrics of each user and method at 10, methods being columns of ``comp``."""
+def _ranked_sql(methods: tuple[str, ...]) -> str:
+    """Frame ``mr``: candidates ranked for each user with a held-out item and each method, methods being columns of ``comp``."""
     long = " UNION ALL ".join(f"SELECT '{m}' AS method, user_id, item, position, {m} AS score FROM comp" for m in methods)
-    return COMPONENT_SQL + f""", ml AS ({long}), mr AS (SELECT method, user_id, item, row_number() OVER (PARTITION BY method, user_id ORDER BY round(score, 9) DESC, position) AS rank FROM ml WHERE user_id IN (SELECT user_id FROM held)),
-    mg AS (SELECT method, r.user_id, count(*) FILTER (WHERE rank <= 10) AS hits, coalesce(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END), 0) AS dcg, min(rank) AS first FROM mr r JOIN held h ON h.user_id = r.user_id AND h.item = r.item GROUP BY ALL),
-    pm AS (SELECT method, user_id, hits / 10 AS "precision", least(n_rel, 10) / 10 AS ceiling, hits / n_rel AS recall, CASE WHEN hits > 0 THEN 1 ELSE 0 END AS hit,
-      dcg / list_sum(list_transform(range(1, CAST(least(n_rel, 10) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) AS ndcg, 1 / first AS reciprocal_rank FROM mg JOIN tg USING (user_id))"""
+    return COMPONENT_SQL + f", ml AS ({long}), mr AS (SELECT method, user_id, item, row_number() OVER (PARTITION BY method, user_id ORDER BY round(score, 9) DESC, position) AS rank FROM ml WHERE user_id IN (SELECT user_id FROM held))"
+
+
+def _metrics_sql(name: str, k: int) -> str:
+    """Frame ``name``: metrics of each user and method at ``k``."""
+    return f""", {name}_g AS (SELECT method, r.user_id, count(*) FILTER (WHERE rank <= {k}) AS hits, coalesce(sum(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) END), 0) AS dcg, min(rank) AS first FROM mr r JOIN held h ON h.user_id = r.user_id AND h.item = r.item GROUP BY ALL),
+    {name} AS (SELECT method, user_id, hits / {k} AS "precision", least(n_rel, {k}) / {k} AS ceiling, hits / n_rel AS recall, CASE WHEN hits > 0 THEN 1 ELSE 0 END AS hit,
+      dcg / list_sum(list_transform(range(1, CAST(least(n_rel, {k}) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) AS ndcg, 1 / first AS reciprocal_rank FROM {name}_g JOIN tg USING (user_id))"""
+
+
+def METRIC_SQL(*methods: str) -> str:
+    """Frame ``pm``: metrics of each user and method at 10."""
+    return _ranked_sql(methods) + _metrics_sql("pm", 10)
 
 
 _R7 = top_sql("CASE WHEN w > 0 THEN coalesce(s, 0) ELSE 0 END", "candidates c LEFT JOIN us7 d ON d.user_id = c.user_id AND d.item = c.item LEFT JOIN uw7 w ON w.user_id = c.user_id")
@@ -132,3 +146,81 @@ def q7_quality(s: Star) -> DataFrame:
     means = stats.method_metrics(rows, list(methods), 10).groupBy("method").agg(F.count("*").alias("users"), *[F.round(F.avg(m), 6).alias(m) for m in metrics.METRICS])
     exposure = stats.method_exposure(rows, list(methods), 10, len(s.catalogue))
     return means.join(exposure.select("method", F.round("coverage", 6).alias("coverage")), "method")
+
+
+_MEANS = [*NUMERIC, "balance"]
+
+
+@query("p9_numeric_means", FEATURE_SQL + " " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean FROM f" for c in ["preferred_level", *NUMERIC, *[f"share_{c}" for c in CATEGORIES], "balance"]))
+def p9(s: Star) -> DataFrame:
+    """Means of all columns of numeric types, whichever these are."""
+    f = user_features(s.train, s.users)
+    names = numeric_columns(f, ("user_id",))
+    wide = f.agg(*[F.round(F.avg(c), 6).alias(c) for c in names])
+    return wide.unpivot([], names, "feature", "mean")
+
+
+@query("p9_share_totals", FEATURE_SQL + " SELECT user_id, round(" + " + ".join(f"share_{c}" for c in CATEGORIES) + ", 6) AS total FROM f")
+def p9_shares(s: Star) -> DataFrame:
+    f = user_features(s.train)
+    return f.select("user_id", F.round(sum((F.col(c) for c in columns_like(f, "share_*")), F.lit(0.0)), 6).alias("total"))
+
+
+_TIER = "CASE WHEN n = 1 THEN 'minimal' WHEN n <= 8 THEN 'moderate' ELSE 'rich' END"
+
+
+def tiers(s: Star) -> DataFrame:
+    return s.seen.groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", tier(F.col("n")).alias("tier"))
+
+
+@query("p10_pool", f", h AS (SELECT user_id, count(*) AS n FROM seen GROUP BY user_id) SELECT user_id, {_TIER} AS tier, stratum AS segment FROM h JOIN users USING (user_id) WHERE stratum IN ('BUILDING', 'MACHINERY') AND n BETWEEN 2 AND 8")
+def p10(s: Star) -> DataFrame:
+    """The pool of users of two segments and one tier."""
+    return tiers(s).where("tier = 'moderate'").join(strata(s).where("segment IN ('BUILDING', 'MACHINERY')"), "user_id")
+
+
+@query(
+    "a14_full_profile",
+    FEATURE_SQL
+    + ", tc AS (SELECT stratum, category, row_number() OVER (PARTITION BY stratum ORDER BY count(*) DESC, category) AS r FROM train JOIN users USING (user_id) GROUP BY stratum, category), ts AS (SELECT stratum, string_agg(category, ', ' ORDER BY r) AS top_categories FROM tc WHERE r <= 3 GROUP BY stratum) SELECT f.stratum AS segment, CAST(count(*) AS BIGINT) AS users, "
+    + ", ".join(f"round(avg({c}), 5) AS {c}" for c in _MEANS)
+    + ", round(quantile_cont(balance, 0.5), 4) AS median_balance, any_value(top_categories) AS top_categories FROM f JOIN ts ON ts.stratum = f.stratum GROUP BY f.stratum",
+)
+def a14_full(s: Star) -> DataFrame:
+    """Every mean of a segment, its exact median balance, its first three categories."""
+    f = stored(user_features(s.train, s.users).where("stratum IS NOT NULL").withColumnRenamed("stratum", "segment"), "features")
+    means = f.groupBy("segment").agg(F.count("*").alias("users"), *[F.round(F.avg(c), 5).alias(c) for c in _MEANS])
+    medians = quantiles(f.select(F.col("segment").alias("name"), F.col("balance").alias("x")), [0.5])
+    table = s.spark.createDataFrame([(n, round(v[0], 4)) for n, v in medians.items()], "segment string, median_balance double")
+    by = s.train.join(strata(s), "user_id").groupBy("segment", "category").agg(F.count("*").alias("k"))
+    first = by.withColumn("r", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("k"), "category"))).where("r <= 3").groupBy("segment")
+    tops = first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "category"))), lambda e: e["category"]), ", ").alias("top_categories"))
+    return means.join(F.broadcast(table), "segment").join(F.broadcast(tops), "segment")  # a row a segment
+
+
+@query(
+    "ml21_segment_names",
+    FEATURE_SQL
+    + f", g AS (SELECT f.*, {_TIER} AS tier FROM f JOIN (SELECT user_id, count(*) AS n FROM seen GROUP BY user_id) USING (user_id)), dv AS ("
+    + " UNION ALL ".join(f"SELECT tier AS segment, '{c}' AS feature, (avg({c}) - (SELECT avg({c}) FROM g)) / nullif((SELECT stddev_samp({c}) FROM g), 0) AS d, '{up}' AS up, '{down}' AS down FROM g GROUP BY tier" for c, (up, down) in VOCABULARY.items())
+    + "), rk AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY round(abs(d), 9) DESC, feature) AS r FROM dv WHERE abs(d) >= 0.4), nm AS (SELECT segment, string_agg(CASE WHEN d > 0 THEN up ELSE down END, ', ' ORDER BY r) AS name FROM rk WHERE r <= 2 GROUP BY segment) SELECT segment, coalesce(name, 'balanced') AS name FROM (SELECT DISTINCT segment FROM dv) LEFT JOIN nm USING (segment)",
+)
+def ml21(s: Star) -> DataFrame:
+    """Names of the history tiers as segments, from deviations of 0.4 or more."""
+    f = user_features(s.train, s.users).join(tiers(s).withColumnRenamed("tier", "segment"), "user_id")
+    return clustering.names(clustering.deviations(f, "segment", list(VOCABULARY)), VOCABULARY)
+
+
+@query(
+    "m11_by_k",
+    _ranked_sql(("pop_n",)) + "".join(_metrics_sql(f"pm{k}", k) for k in (5, 10, 20))
+    + ", hk AS (SELECT user_id, count(*) AS n FROM seen GROUP BY user_id), al AS (" + " UNION ALL ".join(f"SELECT {k} AS k, pm{k}.*, {_TIER} AS tier FROM pm{k} JOIN hk USING (user_id)" for k in (5, 10, 20)) + ") SELECT k, coalesce(tier, 'all') AS tier, CAST(count(*) AS BIGINT) AS users, "
+    + ", ".join(f'round(avg("{m}"), 6) AS "{m}"' for m in metrics.METRICS)
+    + " FROM al GROUP BY GROUPING SETS ((k), (k, tier))",
+)
+def m11_by_k(s: Star) -> DataFrame:
+    """Metrics at 5, 10 and 20, over all users and by tier, from one ranking."""
+    rows = stored(stats.packed_candidates({"global_popularity": scoring.global_popularity(s)}, metrics.relevant(s), False), "popularity")
+    per = reduce(DataFrame.unionByName, [stats.method_metrics(rows, ["global_popularity"], k).withColumn("k", F.lit(k)) for k in (5, 10, 20)]).join(tiers(s), "user_id")
+    twice = per.select("k", F.explode(F.array(F.lit("all"), F.col("tier"))).alias("tier"), *metrics.METRICS)
+    return twice.groupBy("k", "tier").agg(F.count("*").alias("users"), *[F.round(F.avg(m), 6).alias(m) for m in metrics.METRICS])

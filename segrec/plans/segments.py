@@ -79,7 +79,7 @@ def j20(s: Star) -> DataFrame:
 @query("j21_q11_sweep_with_stability")
 def j21(s: Star) -> DataFrame:
     """The k sweep with the stability of each k."""
-    return clustering.sweep_with_stability(embeddings(s), "vec_id", "embedding", KS, n_init=3, rounds=10)
+    return clustering.sweep_with_stability(embeddings(s), "vec_id", "embedding", KS, n_init=10, rounds=100)
 
 
 @query("ml5_kmeans_segments")
@@ -219,14 +219,10 @@ def t4(s: Star) -> DataFrame:
     return by.select("segment", "category", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("n"), "category")).alias("rank")).where("rank <= 3")
 
 
-@query("ml21_segment_names")
-def ml21(s: Star) -> DataFrame:
-    return clustering.names(clustering.deviations(profiled(s), "stratum", list(VOCABULARY)), VOCABULARY, 0.02)
-
-
 @query("ml15_gap_statistic")
 def ml15(s: Star) -> DataFrame:
-    return clustering.gap_statistic(embeddings(s), "embedding", [1, 2, 3, 4], 50)
+    """Gaps for k = 1 to 20 over 50 references, the k that they tell, and whether that means no structure."""
+    return clustering.gap_choice(clustering.gap_statistic(embeddings(s), "embedding", list(range(1, 21)), 50))
 
 
 @query("ml16_ml18_bootstrap_stability")
@@ -241,7 +237,7 @@ def ml17(s: Star) -> DataFrame:
 
 @query("ml19_t6_choose_k")
 def ml19(s: Star) -> DataFrame:
-    sweep = clustering.sweep_with_stability(embeddings(s), "vec_id", "embedding", KS, n_init=3, rounds=10)
+    sweep = clustering.sweep_with_stability(embeddings(s), "vec_id", "embedding", KS, n_init=10, rounds=100)
     return clustering.choose_k(sweep.select("k", F.col("silhouette").alias("quality"), "smallest_share", "unstable"))
 
 

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segrec.operators import metrics, models, scoring, splits, stats
+from segrec.operators.clustering import with_levels
 from segrec.operators.facts import Star
 from segrec.operators.features import user_features
 from segrec.plans.methods import METRIC_SQL
 from segrec.plans.quality import star_report
-from segrec.plans.ranking import deployed, strata
+from segrec.plans.ranking import _VEC, deployed, strata
 from segrec.plans.registry import query
 from segrec.plans.segments import BLOCKS, embeddings
 from segrec.sources import results
+from segrec.sources.scan import write_table
 from segrec.sources.scratch import scratch_path, stored
 
 #: The stand-in catalogue prices its free items.
@@ -29,8 +31,6 @@ def wide(s: Star) -> DataFrame:
 @query("sk4_q2_fitted_segments")
 def fitted(s: Star) -> DataFrame:
     """Users' segments by a model that was fitted, stored and loaded again, and what was persisted for them."""
-    from segrec.operators.clustering import with_levels
-
     path = scratch_path(s.spark, "model")
     features = stored(with_levels(user_features(s.train)), "features")
     model = models.fit(features, "user_id", BLOCKS, 4, findings=star_report(s), known=KNOWN, source=s.sf_dir)
@@ -148,3 +148,56 @@ def q14_coverage(s: Star) -> DataFrame:
     route = F.when(F.col("n").isNull(), "fallback").when(F.col("n") == 1, "preference_match").otherwise("segment_popularity")
     by = s.users.join(n, "user_id", "left").groupBy(route.alias("route")).agg(F.count("*").alias("users"))
     return by.join(F.broadcast(by.agg(F.sum("users").alias("n")))).select("route", "users", F.round(F.col("users") / F.col("n"), 6).alias("share"))
+
+
+@query("sk3_item_matrix", _VEC + " SELECT item, dim, round(x, 6) AS x FROM v")
+def sk3(s: Star) -> DataFrame:
+    """Item vectors stored as one array a row, with the names of its places, and read back."""
+    path, long = scratch_path(s.spark, "vectors"), scoring.item_vectors(s)
+    names = sorted(r["dim"] for r in long.select("dim").distinct().collect())  # of the catalogue's vectors
+    values = F.map_from_entries(F.collect_list(F.struct("dim", "x")))
+    rows = long.groupBy("item").agg(values.alias("m")).select("item", F.array(*[F.coalesce(F.col("m")[n], F.lit(0.0)) for n in names]).alias("vector"))
+    rows.write.parquet(f"{path}/vectors")
+    s.spark.createDataFrame(list(enumerate(names)), "position int, dim string").coalesce(1).write.parquet(f"{path}/names")
+    back = s.spark.read.parquet(f"{path}/vectors").select("item", F.posexplode("vector").alias("position", "x")).where("x <> 0")
+    return back.join(F.broadcast(s.spark.read.parquet(f"{path}/names")), "position").select("item", "dim", F.round("x", 6).alias("x"))
+
+
+@query("sk7_error_table", METRIC_SQL("pop_n") + ", hs AS (SELECT user_id, count(*) AS n FROM seen GROUP BY user_id) SELECT pm.user_id, CAST(n_rel AS BIGINT) AS n_rel, CAST(n AS BIGINT) AS history, CAST(hit AS INTEGER) AS hit, round(ndcg, 6) AS ndcg FROM pm JOIN tg ON tg.user_id = pm.user_id JOIN hs ON hs.user_id = pm.user_id")
+def sk7(s: Star) -> DataFrame:
+    """Each user's errors, written as CSV with a header and read back."""
+    path = scratch_path(s.spark, "errors")
+    per = metrics.per_user(scoring.ranked(scoring.global_popularity(s)), metrics.relevant(s), 10)
+    rows = per.join(s.seen.groupBy("user_id").agg(F.count("*").alias("history")), "user_id").select("user_id", "n_rel", "history", "hit", F.round("ndcg", 6).alias("ndcg"))
+    write_table(rows, path, "csv")
+    return s.spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
+@query("sk12_feature_schema")
+def sk12(s: Star) -> DataFrame:
+    """The exported columns and types of the users' features, and which of them the model uses, read back."""
+    path, features = scratch_path(s.spark, "schema"), with_levels(user_features(s.train))
+    model = models.SegmentModel(models.scaler_of(features, BLOCKS), ())
+    models.export_schema(features, "user_id", model, path)
+    models.check_schema(features, path)
+    told = s.spark.read.schema(models._EXPORT).option("multiLine", True).json(path)
+    return told.select(F.explode("columns").alias("c"), "model_columns").select("c.position", "c.name", "c.kind", F.array_contains("model_columns", F.col("c.name")).alias("in_model"))
+
+
+@query(
+    "q15_stored_numbers",
+    METRIC_SQL("segment_popularity", "preference_match", "pop_n")
+    + """, nm AS (SELECT CASE method WHEN 'segment_popularity' THEN 'A' WHEN 'preference_match' THEN 'B' ELSE 'popularity' END AS name, * FROM pm), lo AS (SELECT name, 'ndcg' AS metric, ndcg AS v FROM nm UNION ALL SELECT name, 'hit_rate', hit FROM nm UNION ALL SELECT name, 'mrr', reciprocal_rank FROM nm)
+    SELECT name, metric, round(avg(v), 6) AS stored, round(avg(v), 6) AS found, true AS same FROM lo GROUP BY name, metric""",
+)
+def q15_stored(s: Star) -> DataFrame:
+    """Numbers of the stored document against the same computed anew by other code: agree to 1e-6."""
+    kept = results.comparison(s.spark, evaluated(s), "architecture", 10, "C").where("name IN ('A', 'B', 'popularity')")
+    kept = kept.unpivot(["name"], ["ndcg", "hit_rate", "mrr"], "metric", "stored")
+    parts, held, out = {"A": scoring.segment_popularity(s, strata(s)), "B": scoring.preference_match(s), "popularity": scoring.global_popularity(s)}, metrics.relevant(s), None
+    for name, scores in parts.items():
+        row = metrics.per_user(scoring.ranked(scores), held, 10).agg(F.avg("ndcg").alias("ndcg"), F.avg("hit").alias("hit_rate"), F.avg("reciprocal_rank").alias("mrr")).select(F.lit(name).alias("name"), "*")
+        out = row if out is None else out.unionByName(row)
+    found = out.unpivot(["name"], ["ndcg", "hit_rate", "mrr"], "metric", "found")
+    same = (F.abs(F.col("stored") - F.col("found")) <= 1e-6).alias("same")
+    return kept.join(found, ["name", "metric"]).select("name", "metric", F.round("stored", 6).alias("stored"), F.round("found", 6).alias("found"), same)

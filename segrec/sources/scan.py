@@ -29,7 +29,10 @@ def load(spark: SparkSession, sf_dir: str, name: str, drop_personal: bool = True
     return rows.drop(*[c.name for c in table.columns if c.personal]) if drop_personal else rows
 
 
-def load_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def load_all(spark: SparkSession, sf_dir: str, manifest: str | None = None) -> dict[str, DataFrame]:
+    """All declared tables; with a ``manifest`` only if every file is as it says."""
+    if manifest is not None:
+        verify(spark, sf_dir, manifest)
     return {name: load(spark, sf_dir, name) for name in TABLES}
 
 
