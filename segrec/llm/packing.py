@@ -42,6 +42,9 @@ SHARD = 2048
 KEPT_PIECES = 250_000
 FLUSH_BYTES = 8 << 20
 IDLE_ROUNDS = 4
+#: Bits of a shard's numbers of sequences, and tables that hold pieces before they become one.
+SHARD_BITS = 20
+TABLES = 8
 
 
 def default_tokenizer() -> str:
@@ -239,7 +242,9 @@ def exchange(bins: list[list[int]], lengths: list[int], capacity: int) -> list[l
     return [b for b in bins if b]
 
 
-def _packer(capacity: int, number: int):
+def _packer(capacity: int, base: int):
+    """Packs a shard; its sequences are numbered from ``base`` and the shard's number on."""
+
     def pack_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lengths = rows["length"].to_numpy()
         bins = exchange(best_fit(lengths, capacity), lengths.tolist(), capacity)
@@ -247,10 +252,10 @@ def _packer(capacity: int, number: int):
         which = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
         sizes = lengths[order]
         before = np.cumsum(sizes) - sizes
-        base = before[np.r_[True, which[1:] != which[:-1]]]
+        start = before[np.r_[True, which[1:] != which[:-1]]]
         room = capacity - np.bincount(which, weights=sizes)[which].astype(np.int64)
-        sequence = (number << 56) + (int(key[0]) << 16) + which  # a shard has no more bins than pieces
-        return pd.DataFrame({"uid": rows["uid"].to_numpy()[order], "length": sizes, "sequence_id": sequence, "offset": before - base[which], "room": room})
+        sequence = base + (int(key[0]) << SHARD_BITS) + which  # a shard has no more bins than pieces
+        return pd.DataFrame({"uid": rows["uid"].to_numpy()[order], "length": sizes, "sequence_id": sequence, "offset": before - start[which], "room": room})
 
     return pack_shard
 
@@ -259,7 +264,7 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     """The rows of ``pieces`` with sequence_id and offset; no sequence is longer than ``capacity``."""
     rows = pieces.select(packed_row(pieces).alias("row"), F.col(length_col).cast("bigint").alias("length"), F.monotonically_increasing_id().alias("uid"))
     rows = materialise(rows, "pieces")
-    now, placed, number, idle = None, rows.select("uid", "length"), 0, 0
+    now, placed, number, idle, base, tables = None, rows.select("uid", "length"), 0, 0, 0, 1
     while True:
         # by turns: bins far from full, which few exchanges may empty, and all that aren't full
         open_bins = placed if now is None else placed.where(F.col("room") > (0 if number % 2 == 0 else capacity // 16))
@@ -270,12 +275,15 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
             shards = max(1, math.ceil(left / shard))
             dealt = open_bins.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(shards)).alias("shard"))
             dealt = dealt.repartition(min(shards, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
-            packed = dealt.groupBy("shard").applyInPandas(_packer(capacity, number), "uid bigint, length bigint, sequence_id bigint, offset bigint, room bigint")
+            packed = dealt.groupBy("shard").applyInPandas(_packer(capacity, base), "uid bigint, length bigint, sequence_id bigint, offset bigint, room bigint")
             packed = materialise(packed, f"packed{number}")
+            base += shards << SHARD_BITS  # each round has numbers of its own
             after = packed.agg(F.count(F.when(F.col("offset") == 0, 1))).first()[0]
             if now is None or after < used:
                 closed = None if now is None else placed.where(F.col("room") <= (0 if number % 2 == 0 else capacity // 16))
-                placed = packed if closed is None else closed.unionByName(packed)
+                placed, tables = packed if closed is None else closed.unionByName(packed), tables + 1
+                if tables > TABLES:  # a plan of bounded size, however many rounds save something
+                    placed, tables = materialise(placed, "placed"), 1
                 now, idle = True, 0
             else:
                 idle += 1

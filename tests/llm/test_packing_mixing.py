@@ -1,5 +1,6 @@
 """Packing and mixing."""
 
+import random
 import zlib
 
 import numpy as np
@@ -259,3 +260,33 @@ def test_tokens_and_topics_equal_patterns_on_every_text(spark):
     for r in rows:
         text = r["__row"]["text"]
         assert (r["tokens"], r["topic"]) == (len(re.findall(r"\S+", text, re.A)), topic(text)), repr(text)
+
+
+def test_packing_over_many_rounds_has_numbers_and_plans_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(k, rng.choice([3, 4, 5, 6, 7, 50])) for k in range(900)], "k int, length bigint")
+    used = []
+    for tables in (2, 1000):
+        monkeypatch.setattr(packing, "TABLES", tables)
+        packed = packing.pack(rows, capacity=100, shard=12)
+        assert tables > 2 or packed._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 4
+        bins = {}
+        for r in packed.collect():
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert sum(map(len, bins.values())) == 900
+        for pieces in bins.values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at <= 100
+        used.append(len(bins))
+    assert used[0] == used[1]
+
+
+def test_sequence_numbers_of_late_rounds_fit(spark):
+    import pandas as pd
+
+    base = 5000 * (10**6 << packing.SHARD_BITS)  # as after 5,000 rounds of a million shards
+    told = packing._packer(10, base)((10**6 - 1,), pd.DataFrame({"uid": range(4), "length": [6, 4, 5, 3]}))
+    assert told["sequence_id"].min() >= base and told["sequence_id"].nunique() == 2
