@@ -11,7 +11,10 @@ Spark's text writer (a line is an archive), so they can lie wherever Spark can w
 ``read`` parses the archives, groups continuation records by origin, orders them by segment number,
 verifies that none is missing and that the lengths add up, and decodes the chunked framing. Only
 segmented records are shuffled. A record that doesn't verify is returned with an ``error`` and null
-payload, never dropped.
+payload, never dropped: segments that are missing, broken framing, headers without a type, an identifier or
+a length or with numbers that are none, bytes that begin no record. Reading goes on at the next record that
+begins after an empty line; an archive whose compression is cut off gives what can be read, the last record
+with an error.
 
 Nulls: a null payload is empty; a null id writes no id header and reads back as null. Rows that tie on
 payload and largest id are all responses. Repeated rows are written and read as often as they come. An
@@ -21,6 +24,7 @@ empty table gives an empty archive and an empty result. Payload bytes may be of
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -124,39 +128,87 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     records.select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive; header names in lower case."""
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers, block, error) of each record of an archive; header names in lower case."""
     at = 0
     while at < len(data):
         end = data.find(END, at)
-        if end < 0:
-            raise ValueError(f"a record's headers don't end, at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record starts at byte {at}")
+        lines = data[at : len(data) if end < 0 else end].decode("utf-8", "replace").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = end + len(END)
-        at = start + int(headers["content-length"])
-        yield headers, data[start:at]
-        at += len(END)
+        start, length, error = end + len(END), headers.get("content-length", ""), None
+        if not lines[0].startswith("WARC/"):
+            headers, error = {}, f"no record starts at byte {at}"
+        elif end < 0:
+            error = "the headers don't end"
+        elif not (length.isascii() and length.isdigit() and len(length) < 19):
+            error = "no content length"
+        elif start + int(length) > len(data):
+            error = "the block is cut off"
+        if error is None:
+            at = start + int(length)
+            block = data[start:at]
+            at += len(END) if data[at : at + len(END)] == END else 0
+        else:
+            following = data.find(END + b"WARC/", at + 1)
+            following = len(data) if following < 0 else following
+            block, at = data[start if 0 < start - len(END) < following else at : following], following + len(END)
+        yield headers, block, error
+
+
+def _unpacked(data: bytes) -> tuple[bytes, str | None]:
+    """An archive's bytes, gzip members undone, and what is wrong with their end."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error as wrong:
+            return b"".join(out), f"the archive's compression is broken: {wrong}"
+        if not member.eof:
+            return b"".join(out), "the archive is cut off"
+        data = member.unused_data
+    return b"".join([*out, data]), None
+
+
+def _number(text: str | None) -> int | None:
+    if text is None:
+        return None
+    if not (text.isascii() and text.isdigit() and len(text) < 19):
+        raise ValueError(f"{text!r} is no number")
+    return int(text)
+
+
+def _row(h: dict[str, str], block: bytes, error: str | None) -> tuple:
+    """A record as a row; one that can't take part in a reassembly has an error and no origin."""
+    try:
+        number, total = _number(h.get("warc-segment-number")), _number(h.get("warc-segment-total-length"))
+        if number is not None and number > 2**31 - 1:
+            raise ValueError("no such segment number")
+    except ValueError as wrong:
+        number, total, error = None, None, error or f"segment header: {wrong}"
+    lost = [name for name in ("warc-type", "warc-record-id") if not h.get(name)]
+    error = error or (f"no {lost[0]}" if lost else None)
+    origin = (h.get("warc-segment-origin-id") or (h["warc-record-id"] if number else None)) if error is None else None
+    if error is None and h["warc-type"] == "continuation" and not (origin and number):
+        origin, error = None, "a continuation without origin or number"
+    about = h.get("x-page-id"), h.get("warc-target-uri"), h.get("warc-type"), h.get("x-refers-to-page-id"), h.get("warc-payload-digest", "").removeprefix("sha1:")
+    return h.get("warc-record-id"), origin, number, total, *about, None if error else block, error
 
 
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import gzip
-
     fields = [f.split() for f in _RECORD.split(", ")]
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
     for batch in batches:
         for archive in batch.column(0):
-            data = archive.as_py()
+            data, broken = _unpacked(archive.as_py())
             rows, held = [], 0
-            for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                if h["warc-type"] == "warcinfo":
+            if broken and not data:
+                rows.append(_row({}, b"", broken))
+            for h, block, error in parse(data):
+                if error is None and h.get("warc-type") == "warcinfo":
                     continue
-                number, total = h.get("warc-segment-number"), h.get("warc-segment-total-length")
-                origin = h.get("warc-segment-origin-id") or (h["warc-record-id"] if number else None)
-                rows.append((h["warc-record-id"], origin, number and int(number), total and int(total), h.get("x-page-id"), h.get("warc-target-uri"), h["warc-type"], h.get("x-refers-to-page-id"), h.get("warc-payload-digest", "").removeprefix("sha1:"), block, None))
+                rows.append(_row(h, block, error and (broken or error)))
                 held += len(block)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
@@ -208,8 +260,8 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     try:
                         payload = None if kind.as_py() == "revisit" else dechunk(body) if fields.get(b"transfer-encoding") == b"chunked" else body
                         size = len(payload) if payload is not None else int(fields[b"content-length"])
-                    except ValueError as wrong:
-                        error = str(wrong)
+                    except (ValueError, KeyError) as wrong:
+                        error, size, payload = f"the block can't be read: {wrong}", None, None
                 sizes.append(size)
                 payloads.append(payload)
                 errors.append(error)

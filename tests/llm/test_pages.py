@@ -1,5 +1,6 @@
 """URL filter, WARC and HTML extraction."""
 
+import gzip
 import hashlib
 
 import numpy as np
@@ -299,3 +300,58 @@ def test_extraction_takes_empty_tables_and_long_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+# ---- broken archives
+
+
+def _told(spark, tmp_path, data):
+    (tmp_path / "part-0.gz").write_bytes(data)
+    return warc.read(spark, str(tmp_path)).collect()
+
+
+def _plain(page, text, **headers):
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: %d" % len(text) + warc.END + text
+    return warc._record("response", f"r{page}", block, X_Page_ID=page, **headers)
+
+
+def test_malformed_records_have_an_error_and_the_others_are_read(spark, tmp_path):
+    good = [_plain(k, b"text %d" % k) for k in range(3)]
+    bad = [
+        _plain(10, b"x").replace(b"Content-Length: ", b"Content-Long: ", 1),
+        _plain(11, b"x").replace(b"Content-Length: ", b"Content-Length: many", 1),
+        _plain(12, b"x").replace(b"WARC-Type: response\r\n", b""),
+        _plain(13, b"x", WARC_Segment_Number="two"),
+        _plain(14, b"x", WARC_Segment_Number=1, WARC_Segment_Total_Length="9" * 30),
+        b"some bytes that are no record",
+        _plain(16, b"x").replace(b"WARC-Record-ID: <urn:sha1:r16>\r\n", b""),
+        warc._record("continuation", "c17", b"lost", X_Page_ID=17),
+        _plain(18, b"x").replace(b"Content-Length: ", b"Content-Length: " + b"9" * 5000, 1),
+        warc._record("response", "r19", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked" + warc.END + b"zz\r\n", X_Page_ID=19),
+        warc._record("revisit", "r20", b"HTTP/1.1 200 OK" + warc.END, X_Page_ID=20),
+    ]
+    mixed = [x for pair in zip(bad, good * 4) for x in pair]
+    rows = _told(spark, tmp_path, gzip.compress(warc.END.join(mixed) + warc.END))
+    assert len(rows) == 2 * len(bad)
+    fine = [r for r in rows if r["error"] is None]
+    assert sorted(bytes(r["payload"]).decode() for r in fine) == sorted(f"text {k % 3}" for k in range(len(bad)))
+    broken = [r for r in rows if r["error"] is not None]
+    assert len(broken) == len(bad) and all(r["payload"] is None for r in broken)
+    assert {r["page_id"] for r in broken} == {"10", "11", "12", "13", "14", None, "16", "17", "18", "19", "20"}
+
+
+@pytest.mark.parametrize("cut", [0.3, 0.9])
+def test_an_archive_that_is_cut_off_gives_what_can_be_read(spark, tmp_path, cut):
+    import random
+
+    rng = random.Random(1)
+    data = gzip.compress(warc.END.join(_plain(k, bytes(rng.randrange(32, 127) for _ in range(2000))) for k in range(40)))
+    rows = _told(spark, tmp_path, data[: int(len(data) * cut)])
+    assert 40 * cut - 4 < sum(r["error"] is None for r in rows) < 40 and sum(r["error"] is not None for r in rows) <= 1
+    assert all(len(r["payload"]) == 2000 for r in rows if r["error"] is None)
+
+
+def test_members_of_their_own_and_files_that_are_no_archive(spark, tmp_path):
+    rows = _told(spark, tmp_path, b"".join(gzip.compress(_plain(k, b"t") + warc.END) for k in range(5)))
+    assert len(rows) == 5 and not any(r["error"] for r in rows)
+    rows = _told(spark, tmp_path, b"\x1f\x8bnot gzip")
+    assert len(rows) == 1 and "broken" in rows[0]["error"]
+    assert _told(spark, tmp_path, b"") == []
