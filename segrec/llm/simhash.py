@@ -17,13 +17,13 @@ hash slot, in powers of two over all texts, then by hash. Passages that very man
 so they are keys only where a text has little else. A candidate has at least 0.8 times as many shingles
 as the other, or the other than it; it must then have, on a SimHash of 512
 bits, a chain of segments whose cumulative differences stay within the proportional budgets of
-``WIDE_BITS`` differing bits, then at most ``WIDE_BITS`` in all; what is left is compared exactly. In the
-first round a text meets, under each shingle, the first text and the one before it, in one order for all
+``WIDE_BITS`` differing bits, then at most ``WIDE_BITS`` in all; what is left is compared exactly. In a
+round a text meets, under each shingle, the first text and the ``BEFORE`` before it, in one order for all
 shingles: that links large groups of copies by a few pairs a text. Where a shingle has more texts, those
-that stay after linking meet again, now the first and the ``BEFORE`` before them in an order of the
-shingle's own, round after round until no shingle has more or a round after the first finds no link. A
-similar pair shares most of these shingles, so it is only missed if texts that are not similar crowd all
-of them.
+that stay after linking meet again under it, in orders by parts of a sketch of the texts (least hashes, so
+that like texts lie close together), until no shingle has more or ``IDLE_ROUNDS`` rounds after the first
+find no link. A similar pair shares most of these shingles, so it is only missed if texts that are not
+similar crowd all of them.
 
 Nulls: null text is the empty text, whose fingerprint is zero; it links like any other. A null id is
 kept, and counts as a member without a number: a component's id is its smallest non-null id (null if
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segrec.llm.common import materialise, spread
+from segrec.llm.common import materialise, passing, spread
 
 SEED = 42
 SHINGLE = 3
@@ -165,7 +165,10 @@ SIMILAR = 0.8
 WIDE, WIDE_SEGMENTS = 512, 32  # bits of a wide fingerprint, and its segments
 #: At a similarity of 0.8 about 78 of the 512 bits differ, 96 for texts of four shingles, with a deviation of 9; 256 for others.
 WIDE_BITS = 140
-BEFORE = 16
+BEFORE = 4
+IDLE_ROUNDS = 2
+#: Parts of a text's sketch, each one round's order, and minima in a part, of a byte each.
+SKETCHES, SKETCH_BYTES = 8, 8
 #: Slots in which the texts that hold a shingle are counted.
 SLOTS = 1 << 18
 
@@ -201,6 +204,16 @@ def near_keys(hashes: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
     return hashes[: len(hashes) - math.ceil(similar * len(hashes) - 1e-9) + 1]
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte of the least hash in each of ``SKETCHES * SKETCH_BYTES`` strata of a text's distinct shingles."""
+    with np.errstate(over="ignore"):
+        h = hashes * np.uint64(0x9E3779B97F4A7C15)
+    stratum = (h >> np.uint64(58)).astype(np.int64) % (SKETCHES * SKETCH_BYTES)
+    least = np.full(SKETCHES * SKETCH_BYTES, np.iinfo(np.uint64).max)
+    np.minimum.at(least, stratum, h << np.uint64(6))
+    return (least >> np.uint64(6)).astype(np.uint8).tobytes()
+
+
 def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -228,7 +241,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: float
     for batch in batches:
         for low in range(0, batch.num_rows, 1024):
             part = batch.slice(low, 1024)
-            fresh, keys, wide, sizes = [], [], [], []
+            fresh, keys, wide, sizes, sketches = [], [], [], [], []
             for k, v in enumerate(part.column(0).to_pylist()):  # a task tells repeated rows once
                 if v not in seen:
                     seen.add(v)
@@ -238,7 +251,8 @@ def _key_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: float
                     keys.append(near_keys(ordered, similar).view(np.int64))
                     sizes.append(len(hashes))
                     wide.append(wide_fingerprint(hashes))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(fresh, pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(sizes, pa.int64())], names=["v", "keys", "wide", "n"])
+                    sketches.append(sketch(hashes))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(fresh, pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["v", "keys", "wide", "n", "sketch"])
 
 
 def chained(differs: np.ndarray, most: int) -> np.ndarray:
@@ -271,30 +285,29 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: f
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
 
-def _round(texts: DataFrame, kept: DataFrame, number: int, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), texts (v) with a key that has more of them than meet) of one round over ``kept`` (v, keys, wide, n).
+def _round(texts: DataFrame, asked: DataFrame, wide: DataFrame, number: int, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), rows (v, n, sketch, key) of keys that have more texts than meet) of one round over ``asked``, such rows.
 
-    In the first round one order holds under all shingles, so the copies of a large group meet the same few texts
-    under each of the shingles they share; later rounds, over what is left, have an order for each shingle.
+    All keys have one order in a round, so texts that share many keys meet the same few others under each. The first
+    round's is by a hash; later ones are by a part of the texts' sketches, so that under a key which many unlike texts
+    share like ones lie close together.
     """
     me = F.struct("v", "n")
-    before, order = (1, F.xxhash64("v", F.lit(number))) if number == 0 else (BEFORE, F.xxhash64("v", "key", F.lit(number)))
-    asked = spread(kept.select("v", "n", "keys"), 5_000).select("v", "n", F.explode("keys").alias("key"))
+    order = F.xxhash64("v") if number == 0 else F.substring("sketch", 1 + (number - 1) % SKETCHES * SKETCH_BYTES, SKETCH_BYTES)
     every = Window.partitionBy("key")
-    under = every.orderBy(order, "v")
-    met = asked.select("v", "n", F.array_union(F.array(F.first(me).over(under)), F.collect_list(me).over(under.rowsBetween(-before, -1))).alias("others"), (F.count("*").over(every) > before + 1).alias("more"))
+    under = every.orderBy(order, F.xxhash64("v", F.lit(number)), "v")
+    met = asked.select("v", "n", "key", *(["sketch"] if number else []), F.array_union(F.array(F.first(me).over(under)), F.collect_list(me).over(under.rowsBetween(-BEFORE, -1))).alias("others"), (F.count("*").over(every) > BEFORE + 1).alias("more"))
     met = materialise(met.where("more OR size(others) > 1 OR others[0].v != v"), "near_met")
     like = F.least("o.n", "n") >= F.greatest("o.n", "n") * similar - 1e-9
     pairs = met.select(F.explode("others").alias("o"), "v", "n").where((F.col("o.v") != F.col("v")) & like)
     pairs = pairs.select(F.least("o.v", "v").alias("a"), F.greatest("o.v", "v").alias("b")).distinct()
-    wide = kept.select("v", "wide")
     sides = pairs.join(wide.select(F.col("v").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("v").alias("b"), F.col("wide").alias("y")), "b").select("a", "b", "x", "y")
     near = materialise(sides.mapInArrow(partial(_near_batches, most=WIDE_BITS), "a bigint, b bigint"), "near_pairs")
     needed = near.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     read = materialise(texts.join(needed, "v", "left_semi").dropDuplicates(["v"]), "near_texts")
     one, two = read.select(F.col("v").alias("a"), F.col("text").alias("x")), read.select(F.col("v").alias("b"), F.col("text").alias("y"))
     sides = near.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return materialise(sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint"), "near_links"), met.where("more").select("v").distinct()
+    return materialise(sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint"), "near_links"), met.where("more").drop("others", "more")
 
 
 def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float = SIMILAR) -> DataFrame:
@@ -304,16 +317,19 @@ def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float
     is compared exactly, and of texts that are linked already one goes on to further rounds.
     """
     levels = slot_levels(texts, shingle)
-    live = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle, similar=similar, levels=levels), "v bigint, keys array<bigint>, wide binary, n bigint"), "near_keys")
-    links, number = None, 0
+    kept = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle, similar=similar, levels=levels), "v bigint, keys array<bigint>, wide binary, n bigint, sketch binary"), "near_keys")
+    wide, asked = kept.select("v", "wide"), spread(kept.select("v", "n", "keys"), 5_000).select("v", "n", F.explode("keys").alias("key"))
+    links, number, idle = None, 0, 0
     while True:
-        found, more = _round(texts, live, number, shingle, similar)
+        found, more = _round(texts, asked, wide, number, shingle, similar)
         links = found if links is None else links.unionByName(found)
-        more = materialise(more, "near_more")
-        if more.isEmpty() or (number and found.isEmpty()):
+        idle = idle + 1 if number and found.isEmpty() else 0
+        if more.isEmpty() or idle == IDLE_ROUNDS:
             return links
         gone = connected(found).where("v != c").select("v")
-        live = materialise(live.join(more, "v", "left_semi").join(gone, "v", "left_anti"), "near_keys")
+        more = more.join(gone, "v", "left_anti")
+        # keys under which all texts have met stay out of further rounds
+        asked = materialise(more if number else more.join(kept.select("v", "sketch"), "v"), "near_more")
         number += 1
 
 
@@ -325,7 +341,9 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     vertex = F.xxhash64(F.col(id_col), text)
     docs = df.select(vertex.alias("v"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), vertex.alias("h")).alias("me"), text.cast("binary").alias("text"))
-    member = materialise(connected(similar_links(docs.select("v", "text"), shingle, similar)).distinct(), "near_members").join(docs.select("v", "me").distinct(), "v")
+    with passing(df.sparkSession):
+        member = materialise(connected(similar_links(docs.select("v", "text"), shingle, similar)).distinct(), "near_members", lasting=True)
+    member = member.join(docs.select("v", "me").distinct(), "v")
     first = member.groupBy("c").agg(F.min("me").alias("first"))
     gone = member.join(first, "c").where("me != first").select(F.col("v").alias("__gone"))
     return df.join(gone, vertex == F.col("__gone"), "left_anti")
