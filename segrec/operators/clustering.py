@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -104,6 +103,24 @@ def represent(features: DataFrame, arm: Arm) -> DataFrame:
     return representation(wide, arm_blocks(arm), arm.robust, arm.weighted)
 
 
+def grid_comparison(features: DataFrame, k: int = 4, n_init: int = 3, arms: tuple[Arm, ...] = GRID) -> DataFrame:
+    """ML2: rows (arm, users, dims, norm, silhouette, smallest_share, agreement): every arm clustered, and its agreement with the first."""
+
+    def at(arm: Arm) -> tuple:
+        rows = represent(features, arm)
+        labelled = predict(fit_kmeans(rows, "vector", k, n_init=n_init), rows, "vector")
+        by = cluster_silhouettes(labelled, "vector", "cluster").agg(F.sum(F.col("n") * F.col("silhouette")) / F.sum("n"), F.min("n") / F.sum("n"), F.sum("n")).first()
+        square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+        told = rows.agg(F.max(F.size("vector")), F.avg(square)).first()
+        return arm.name, labelled.select("user_id", F.col("cluster").alias(arm.name)), (int(by[2]), int(told[0]), float(told[1]), float(by[0]), float(by[1]))
+
+    found = together(at, arms)
+    first, base, _ = found[0]
+    alike = together(lambda x: float(adjusted_rand(base.join(x[1], "user_id"), first, x[0]).first()[0]) if x[0] != first else 1.0, found)
+    rows = [(name, *told, ari) for (name, _, told), ari in zip(found, alike, strict=True)]
+    return features.sparkSession.createDataFrame(rows, "arm string, users bigint, dims int, norm double, silhouette double, smallest_share double, agreement double")
+
+
 def with_levels(features: DataFrame) -> DataFrame:
     """One-hot columns of the preferred level."""
     return features.withColumns({f"level_{k}": (F.col("preferred_level") == k).cast("double") for k in range(3)})
@@ -131,6 +148,28 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return by.select("id", "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
+def cluster_silhouettes(df: DataFrame, vector: str, label: str) -> DataFrame:
+    """Rows (label, n, silhouette): the mean silhouette of each cluster by squared distances, in linear time from the clusters' sums.
+
+    The mean squared distance from x to a cluster of n rows is |x|^2 + sum |y|^2 / n - 2 x . sum y / n. A singleton has 0.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = df.select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).withColumn("q", dot("v", "v"))
+    first = rows.select(F.size("v").alias("d")).first()
+    dims = first["d"] if first else 0
+    sums = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("q").alias("q"), *[F.sum(F.get("v", F.lit(i))).alias(f"y{i}") for i in range(dims)]).collect()  # a row a cluster
+    away = {r["label"]: F.col("q") + r["q"] / r["n"] - F.lit(2.0) * dot("v", F.array(*[F.lit(r[f"y{i}"] / r["n"]) for i in range(dims)])) for r in sums}
+    own, other = F.lit(None).cast("double"), []
+    for r in sums:
+        mine = F.col("label") == F.lit(r["label"])
+        own = F.when(mine, away[r["label"]] * (r["n"] / (r["n"] - 1)) if r["n"] > 1 else F.lit(None)).otherwise(own)
+        other.append(F.when(~mine, away[r["label"]]))
+    near = F.array_min(F.array(*other)) if other else F.lit(None).cast("double")
+    rows = rows.withColumns({"a": own, "b": near})
+    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.avg(value).alias("silhouette"))
+
+
 def calinski_harabasz(points: DataFrame) -> DataFrame:
     """ML12: one row (calinski_harabasz)."""
     per = points.groupBy("label", "dim").agg(F.avg("x").alias("m"), F.count("*").alias("n"), F.var_pop("x").alias("v"))
@@ -205,10 +244,11 @@ def predict(model: KMeansModel, df: DataFrame, vector: str) -> DataFrame:
     return model.transform(_vectors(df, vector)).drop("__v")
 
 
-def kmeans_sweep(df: DataFrame, key: str, vector: str, ks: list[int], n_init: int = 10) -> DataFrame:
-    """ML7: rows (k, inertia, smallest_share, calinski_harabasz, davies_bouldin, silhouette, intra_similarity).
+def kmeans_sweep(df: DataFrame, key: str, vector: str, ks: list[int], n_init: int = 10, seeds: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """ML7: rows (k, inertia, smallest_share, calinski_harabasz, davies_bouldin, silhouette, intra_similarity, silhouettes, seed_ari).
 
-    The silhouette is that of squared Euclidean distances, which takes one pass.
+    Silhouettes, of all rows and of each cluster in its order, are those of squared Euclidean distances, which take one
+    pass; ``seed_ari`` is the mean agreement of single fits from ``seeds``.
     """
     rows = df.select(key, vector).persist()
 
@@ -217,15 +257,16 @@ def kmeans_sweep(df: DataFrame, key: str, vector: str, ks: list[int], n_init: in
         sizes = model.summary.clusterSizes
         labelled = predict(model, rows, vector).select(key, vector, F.col("cluster"))
         points = long_form(labelled, key, vector, "cluster")
-        quality = ClusteringEvaluator(featuresCol="__v", predictionCol="cluster").evaluate(_vectors(labelled, vector))
+        own = {r["label"]: (r["n"], r["silhouette"]) for r in cluster_silhouettes(labelled, vector, "cluster").collect()}  # a row a cluster
+        quality = sum(n * x for n, x in own.values()) / sum(n for n, _ in own.values())
         similar = intra_similarity(points).agg(F.sum(F.col("n") * F.col("similarity")) / F.sum("n")).first()[0]
-        return (k, float(model.summary.trainingCost), min(sizes) / sum(sizes), calinski_harabasz(points).first()[0], davies_bouldin(points).first()[0], float(quality), similar)
+        return (k, float(model.summary.trainingCost), min(sizes) / sum(sizes), calinski_harabasz(points).first()[0], davies_bouldin(points).first()[0], float(quality), similar, [own[c][1] for c in sorted(own)], float(seed_stability(rows, key, vector, k, list(seeds))))
 
     try:
         found = together(at, ks)
     finally:
         rows.unpersist()
-    return df.sparkSession.createDataFrame(found, "k int, inertia double, smallest_share double, calinski_harabasz double, davies_bouldin double, silhouette double, intra_similarity double")
+    return df.sparkSession.createDataFrame(found, "k int, inertia double, smallest_share double, calinski_harabasz double, davies_bouldin double, silhouette double, intra_similarity double, silhouettes array<double>, seed_ari double")
 
 
 def seed_stability(df: DataFrame, key: str, vector: str, k: int, seeds: list[int]) -> float:

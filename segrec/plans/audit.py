@@ -148,7 +148,9 @@ def st7_points(s: Star) -> DataFrame:
 
 @query("st9_simplex_weights")
 def st9(s: Star) -> DataFrame:
-    rows = [(i, n, w) for i, d in enumerate(stats.simplex_weights(["a", "b", "c"], 20)) for n, w in d.items()]
+    """Draws of weights over the catalogue's categories."""
+    names = [r["category"] for r in s.items.select("category").distinct().orderBy("category").collect()]
+    rows = [(i, n, w) for i, d in enumerate(stats.simplex_weights(names, 20)) for n, w in d.items()] if names else []
     return s.spark.createDataFrame(rows, "draw int, name string, weight double")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from segrec.operators import quality
 from segrec.operators.facts import Star
 from segrec.plans.registry import ORACLE_SQL, query
 from segrec.sources.scan import inventory
-from segrec.sources.schema import CUSTOMER, LINEITEM, ORDERS, PART, SUPPLIER, TABLES
+from segrec.sources.schema import CUSTOMER, LINEITEM, ORDERS, PART, SUPPLIER, TABLES, Table
 
 
 def _count_sql(check: str, severity: str, table: str, subject: str, bad: str) -> str:
@@ -203,3 +205,13 @@ def p4(s: Star) -> DataFrame:
     conditions = {"high": F.col("o_totalprice") > 250000, "urgent": F.col("o_orderpriority").startswith("1-"), "no_user": F.col("o_custkey").isNull()}
     return s.table("orders").agg(*[F.count(F.when(c, 1)).alias(k) for k, c in conditions.items()])
 
+
+def _inventory_sql(table: Table) -> str:
+    parts = [f"SELECT '{table.name}' AS table_name, '{c.name}' AS \"column\", CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({c.name}) AS BIGINT) AS n_null, CAST(count(DISTINCT {c.name}) AS BIGINT) AS n_distinct FROM {table.name}" for c in table.columns if not c.personal]
+    return " UNION ALL ".join(parts)
+
+
+@query("sc6_inventory_all", " UNION ALL ".join(_inventory_sql(t) for t in TABLES.values()), base=False)
+def sc6_all(s: Star) -> DataFrame:
+    """Rows, nulls and distinct values of every column of every table, each table read once."""
+    return reduce(DataFrame.unionByName, [inventory(s.table(n), n) for n in TABLES]).select("table_name", "column", "n_rows", "n_null", "n_distinct")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from segrec.operators import clustering, features
 from segrec.operators.facts import CATEGORIES, Star
 from segrec.plans.registry import query
+from segrec.sources.scratch import stored
 
 NUMERIC = ["total_courses", "diversity_score", "frequency", "avg_rating", "depth_index", "free_ratio", "recency_days", "loyalty"]
 BLOCKS = {"behaviour": NUMERIC, "category": [f"share_{c}" for c in CATEGORIES], "level": ["level_0", "level_1", "level_2"]}
@@ -60,14 +61,8 @@ def ml1(s: Star) -> DataFrame:
 
 @query("ml2_representation_grid")
 def ml2(s: Star) -> DataFrame:
-    """Rows (arm, users, dims, norm) of all arms of the grid."""
-    f = features.user_features(s.train, s.users)
-    out = None
-    for arm in clustering.GRID:
-        square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-        row = clustering.represent(f, arm).agg(F.count("*").alias("users"), F.max(F.size("vector")).alias("dims"), F.avg(square).alias("norm")).select(F.lit(arm.name).alias("arm"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """All arms of the grid clustered and compared."""
+    return clustering.grid_comparison(stored(features.user_features(s.train, s.users), "features"))
 
 
 @query("j20_projection_features")

@@ -201,3 +201,44 @@ def test_weight_search_and_metrics_equal_ranking_one_by_one(star):
 def test_ablations_leave_out_one_component_each():
     assert stats.ablations({"a": 1.0, "b": 0.0}) == {"b": {"a": 1.0, "b": 0.0}}
     assert set(stats.ablations({"a": 0.5, "b": 0.5})) == {"a", "b"}
+
+
+# ---- clusterings compared
+
+
+def test_cluster_silhouettes_equal_the_evaluators_mean(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(4 * (i % 3), 1), rng.gauss(0, 1)], i % 3) for i in range(90)] + [(99, [50.0, 50.0], 7)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, c int")
+    by = {r["label"]: (r["n"], r["silhouette"]) for r in clustering.cluster_silhouettes(df, "v", "c").collect()}
+    mean = ClusteringEvaluator(featuresCol="__v", predictionCol="c").evaluate(clustering._vectors(df, "v").withColumn("c", F.col("c").cast("double")))
+    assert sum(n * x for n, x in by.values()) / 91 == pytest.approx(mean) and by[7] == (1, 0.0)
+    assert clustering.cluster_silhouettes(df.limit(0), "v", "c").count() == 0
+
+
+def test_the_gap_says_one_cluster_of_noise_and_three_of_blobs(spark):
+    """By the rule alone: the smallest k whose gap reaches the next one less its error."""
+    kinds = "k int, gap double, error double"
+    noise = clustering.gap_choice(spark.createDataFrame([(1, 0.5, 0.1), (2, 0.55, 0.1), (3, 0.9, 0.1)], kinds)).first()
+    assert (noise["optimal_k"], noise["no_structure"]) == (1, True)
+    blobs = clustering.gap_choice(spark.createDataFrame([(1, 0.1, 0.01), (2, 0.4, 0.01), (3, 0.9, 0.01), (4, 0.8, 0.01)], kinds)).first()
+    assert (blobs["optimal_k"], blobs["no_structure"]) == (3, False)
+    rising = clustering.gap_choice(spark.createDataFrame([(1, 0.1, 0.01), (2, 0.4, 0.01)], kinds)).first()
+    assert rising["optimal_k"] == 2
+
+
+def test_uniform_rows_have_no_structure(spark):
+    rng = random.Random(42)
+    uniform = spark.createDataFrame([([rng.random() for _ in range(3)],) for _ in range(200)], "v array<double>")
+    found = clustering.gap_choice(clustering.gap_statistic(uniform, "v", [1, 2, 3], 6)).first()
+    assert found["optimal_k"] == 1 and found["no_structure"]
+
+
+def test_arms_are_clustered_and_compared(star):
+    from segrec.operators.features import user_features
+
+    rows = clustering.grid_comparison(user_features(star.train, star.users), 3, 1, clustering.GRID[:2]).collect()
+    assert [r["arm"] for r in rows] == ["proportion", "one_hot"] and rows[0]["agreement"] == 1 and -1 <= rows[1]["agreement"] <= 1
+    assert all(-1 <= r["silhouette"] <= 1 and 0 < r["smallest_share"] <= 1 / 3 for r in rows)
