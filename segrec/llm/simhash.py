@@ -286,17 +286,17 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: f
 
 
 def _round(texts: DataFrame, asked: DataFrame, wide: DataFrame, number: int, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), rows (v, n, sketch, key) of keys that have more texts than meet) of one round over ``asked``, such rows.
+    """(links (a, b), rows (v, n, key) of keys that have more texts than meet) of one round over ``asked``, such rows.
 
     All keys have one order in a round, so texts that share many keys meet the same few others under each. The first
     round's is by a hash; later ones are by a part of the texts' sketches, so that under a key which many unlike texts
     share like ones lie close together.
     """
     me = F.struct("v", "n")
-    order = F.xxhash64("v") if number == 0 else F.substring("sketch", 1 + (number - 1) % SKETCHES * SKETCH_BYTES, SKETCH_BYTES)
+    order = F.xxhash64("v") if number == 0 else F.col("part")
     every = Window.partitionBy("key")
     under = every.orderBy(order, F.xxhash64("v", F.lit(number)), "v")
-    met = asked.select("v", "n", "key", *(["sketch"] if number else []), F.array_union(F.array(F.first(me).over(under)), F.collect_list(me).over(under.rowsBetween(-BEFORE, -1))).alias("others"), (F.count("*").over(every) > BEFORE + 1).alias("more"))
+    met = asked.select("v", "n", "key", F.array_union(F.array(F.first(me).over(under)), F.collect_list(me).over(under.rowsBetween(-BEFORE, -1))).alias("others"), (F.count("*").over(every) > BEFORE + 1).alias("more"))
     met = materialise(met.where("more OR size(others) > 1 OR others[0].v != v"), "near_met")
     like = F.least("o.n", "n") >= F.greatest("o.n", "n") * similar - 1e-9
     pairs = met.select(F.explode("others").alias("o"), "v", "n").where((F.col("o.v") != F.col("v")) & like)
@@ -327,9 +327,9 @@ def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float
         if more.isEmpty() or idle == IDLE_ROUNDS:
             return links
         gone = connected(found).where("v != c").select("v")
-        more = more.join(gone, "v", "left_anti")
+        part = F.substring("sketch", 1 + number % SKETCHES * SKETCH_BYTES, SKETCH_BYTES).alias("part")
         # keys under which all texts have met stay out of further rounds
-        asked = materialise(more if number else more.join(kept.select("v", "sketch"), "v"), "near_more")
+        asked = materialise(more.join(gone, "v", "left_anti").join(kept.select("v", part), "v"), "near_more")
         number += 1
 
 
