@@ -52,11 +52,14 @@ def passing(spark: SparkSession) -> Iterator[None]:
 
 
 def materialise(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    A ``lasting`` table outlives the innermost ``passing`` block and goes with the one around it, if there is one.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if _scopes and not lasting:
-        _scopes[-1].append(path)
+    if len(_scopes) > lasting:
+        _scopes[-1 - lasting].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -285,12 +285,12 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: f
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
 
-def _round(texts: DataFrame, asked: DataFrame, wide: DataFrame, number: int, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), rows (v, n, key) of keys that have more texts than meet) of one round over ``asked``, such rows.
+def _round(texts: DataFrame, asked: DataFrame, wide: DataFrame, compared: DataFrame | None, number: int, shingle: int, similar: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links (a, b), pairs compared, rows (v, n, key) of keys that have more texts than meet) of one round over ``asked``, such rows.
 
     All keys have one order in a round, so texts that share many keys meet the same few others under each. The first
     round's is by a hash; later ones are by a part of the texts' sketches, so that under a key which many unlike texts
-    share like ones lie close together.
+    share like ones lie close together. Pairs that an earlier round has ``compared`` aren't compared again.
     """
     me = F.struct("v", "n")
     order = F.xxhash64("v") if number == 0 else F.col("part")
@@ -302,12 +302,14 @@ def _round(texts: DataFrame, asked: DataFrame, wide: DataFrame, number: int, shi
     pairs = met.select(F.explode("others").alias("o"), "v", "n").where((F.col("o.v") != F.col("v")) & like)
     pairs = pairs.select(F.least("o.v", "v").alias("a"), F.greatest("o.v", "v").alias("b")).distinct()
     sides = pairs.join(wide.select(F.col("v").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("v").alias("b"), F.col("wide").alias("y")), "b").select("a", "b", "x", "y")
-    near = materialise(sides.mapInArrow(partial(_near_batches, most=WIDE_BITS), "a bigint, b bigint"), "near_pairs")
+    near = sides.mapInArrow(partial(_near_batches, most=WIDE_BITS), "a bigint, b bigint")
+    near = materialise(near if compared is None else near.join(compared, ["a", "b"], "left_anti"), "near_pairs", lasting=True)
     needed = near.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     read = materialise(texts.join(needed, "v", "left_semi").dropDuplicates(["v"]), "near_texts")
     one, two = read.select(F.col("v").alias("a"), F.col("text").alias("x")), read.select(F.col("v").alias("b"), F.col("text").alias("y"))
     sides = near.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return materialise(sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint"), "near_links"), met.where("more").drop("others", "more")
+    found = materialise(sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint"), "near_links", lasting=True)
+    return found, near, met.where("more").drop("others", "more")
 
 
 def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float = SIMILAR) -> DataFrame:
@@ -318,19 +320,21 @@ def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float
     """
     levels = slot_levels(texts, shingle)
     kept = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle, similar=similar, levels=levels), "v bigint, keys array<bigint>, wide binary, n bigint, sketch binary"), "near_keys")
-    wide, asked = kept.select("v", "wide"), spread(kept.select("v", "n", "keys"), 5_000).select("v", "n", F.explode("keys").alias("key"))
-    links, number, idle = None, 0, 0
+    wide, asked = kept.select("v", "wide"), kept.select("v", "n", F.explode("keys").alias("key"))
+    links, compared, number, idle = None, None, 0, 0
     while True:
-        found, more = _round(texts, asked, wide, number, shingle, similar)
-        links = found if links is None else links.unionByName(found)
-        idle = idle + 1 if number and found.isEmpty() else 0
-        if more.isEmpty() or idle == IDLE_ROUNDS:
-            return links
-        gone = connected(found).where("v != c").select("v")
-        part = F.substring("sketch", 1 + number % SKETCHES * SKETCH_BYTES, SKETCH_BYTES).alias("part")
-        # keys under which all texts have met stay out of further rounds
-        asked = materialise(more.join(gone, "v", "left_anti").join(kept.select("v", part), "v"), "near_more")
-        number += 1
+        with passing(texts.sparkSession):
+            found, near, more = _round(texts, asked, wide, compared, number, shingle, similar)
+            links = found if links is None else links.unionByName(found)
+            compared = near if compared is None else compared.unionByName(near)
+            idle = idle + 1 if number and found.isEmpty() else 0
+            if more.isEmpty() or idle == IDLE_ROUNDS:
+                return links
+            gone = connected(found).where("v != c").select("v")
+            part = F.substring("sketch", 1 + number % SKETCHES * SKETCH_BYTES, SKETCH_BYTES).alias("part")
+            # keys under which all texts have met stay out of further rounds
+            asked = materialise(more.join(gone, "v", "left_anti").join(kept.select("v", part), "v"), "near_more", lasting=True)
+            number += 1
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similar: float = SIMILAR) -> DataFrame:
@@ -342,8 +346,9 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     vertex = F.xxhash64(F.col(id_col), text)
     docs = df.select(vertex.alias("v"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), vertex.alias("h")).alias("me"), text.cast("binary").alias("text"))
     with passing(df.sparkSession):
-        member = materialise(connected(similar_links(docs.select("v", "text"), shingle, similar)).distinct(), "near_members", lasting=True)
-    member = member.join(docs.select("v", "me").distinct(), "v")
-    first = member.groupBy("c").agg(F.min("me").alias("first"))
-    gone = member.join(first, "c").where("me != first").select(F.col("v").alias("__gone"))
+        member = materialise(connected(similar_links(docs.select("v", "text"), shingle, similar)).distinct(), "near_members")
+        member = member.join(docs.select("v", "me").distinct(), "v")
+        first = member.groupBy("c").agg(F.min("me").alias("first"))
+        # written first, so that its size is known: while Spark finds it small, no text is shuffled
+        gone = materialise(member.join(first, "c").where("me != first").select(F.col("v").alias("__gone")), "near_gone", lasting=True)
     return df.join(gone, vertex == F.col("__gone"), "left_anti")
