@@ -169,6 +169,8 @@ BEFORE = 4
 IDLE_ROUNDS = 2
 #: Parts of a text's sketch, each one round's order, and minima in a part, of a byte each.
 SKETCHES, SKETCH_BYTES = 8, 8
+#: Most vertices that are broadcast.
+BROADCAST = 1_000_000
 #: Slots in which the texts that hold a shingle are counted.
 SLOTS = 1 << 18
 
@@ -285,6 +287,11 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], shingle: int, similar: f
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
 
+def _small(vertices: DataFrame) -> DataFrame:
+    """A written table of vertices, to be broadcast while it has at most ``BROADCAST`` rows (8 bytes each); joined by shuffle beyond."""
+    return F.broadcast(vertices) if vertices.count() <= BROADCAST else vertices
+
+
 def _round(texts: DataFrame, asked: DataFrame, wide: DataFrame, compared: DataFrame | None, number: int, shingle: int, similar: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links (a, b), pairs compared, rows (v, n, key) of keys that have more texts than meet) of one round over ``asked``, such rows.
 
@@ -304,8 +311,9 @@ def _round(texts: DataFrame, asked: DataFrame, wide: DataFrame, compared: DataFr
     sides = pairs.join(wide.select(F.col("v").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("v").alias("b"), F.col("wide").alias("y")), "b").select("a", "b", "x", "y")
     near = sides.mapInArrow(partial(_near_batches, most=WIDE_BITS), "a bigint, b bigint")
     near = materialise(near if compared is None else near.join(compared, ["a", "b"], "left_anti"), "near_pairs", lasting=True)
-    needed = near.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    read = materialise(texts.join(needed, "v", "left_semi").dropDuplicates(["v"]), "near_texts")
+    # written first, so that its size is known: while it is small, only the texts of pairs are shuffled
+    needed = materialise(near.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "near_needed")
+    read = materialise(texts.join(_small(needed), "v", "left_semi").dropDuplicates(["v"]), "near_texts")
     one, two = read.select(F.col("v").alias("a"), F.col("text").alias("x")), read.select(F.col("v").alias("b"), F.col("text").alias("y"))
     sides = near.join(one, "a").join(two, "b").select("a", "b", "x", "y")
     found = materialise(sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint"), "near_links", lasting=True)
@@ -349,6 +357,6 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         member = materialise(connected(similar_links(docs.select("v", "text"), shingle, similar)).distinct(), "near_members")
         member = member.join(docs.select("v", "me").distinct(), "v")
         first = member.groupBy("c").agg(F.min("me").alias("first"))
-        # written first, so that its size is known: while Spark finds it small, no text is shuffled
+        # written first, so that its size is known: while it is small, no text is shuffled
         gone = materialise(member.join(first, "c").where("me != first").select(F.col("v").alias("__gone")), "near_gone", lasting=True)
-    return df.join(gone, vertex == F.col("__gone"), "left_anti")
+    return df.join(_small(gone), vertex == F.col("__gone"), "left_anti")
