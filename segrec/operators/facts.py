@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from segrec.functions.quantiles import quantiles
 from segrec.sources.scan import load
+from segrec.sources.scratch import stored
 
 CATEGORIES = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
 LEVELS = {"cold": 0, "old": 0, "small": 0, "blue": 1, "new": 1, "red": 1, "hot": 2, "large": 2}
@@ -32,7 +33,11 @@ def one_each(rows: DataFrame, key: str, what: str) -> DataFrame:
 
 
 class Star:
-    """Lazy frames over one directory of tables; nothing is read until a result is asked for."""
+    """Lazy frames over one directory of tables; nothing is read until a result is asked for.
+
+    What has a cut in time takes passes over the interactions before any plan, so these are written once, joined:
+    windows, candidates and all scores then read that table, and the base tables are joined once for a star.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -88,10 +93,15 @@ class Star:
         names = one_each(self.table("part").select(F.col("p_partkey").alias("part_id"), F.col("p_name").alias("item")), "part_id", "part").where("item IS NOT NULL")
         return self.transactions.join(names, "part_id").join(self.items, "item").drop("part_id")
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The interactions as a table in the shared folder, which the cuts and all windows read."""
+        return stored(self.interactions, "interactions")
+
     @cached_property
     def cuts(self) -> tuple[float, float]:
         """Date quantiles (0.7, 0.8) of the interactions, in microseconds; 0 without any."""
-        found = quantiles(self.interactions.select(F.lit("ts").alias("name"), micros("ts").alias("x")), [0.7, 0.8])
+        found = quantiles(self.kept.select(F.lit("ts").alias("name"), micros("ts").alias("x")), [0.7, 0.8])
         return tuple(found.get("ts", (0.0, 0.0)))
 
     @cached_property
@@ -100,15 +110,16 @@ class Star:
 
     @cached_property
     def train(self) -> DataFrame:
-        return self.interactions.where(micros("ts") < self.cut)
+        return self.kept.where(micros("ts") < self.cut)
 
     @cached_property
     def test(self) -> DataFrame:
-        return self.interactions.where(micros("ts") >= self.cut)
+        return self.kept.where(micros("ts") >= self.cut)
 
     @cached_property
     def seen(self) -> DataFrame:
-        return self.train.select("user_id", "item", "position").distinct()
+        """Distinct (user_id, item, position) of the training window, written once: most scorers and the candidates read it several times."""
+        return stored(self.train.select("user_id", "item", "position").distinct(), "seen")
 
     @cached_property
     def catalogue(self) -> list[tuple[str, int]]:

@@ -29,11 +29,11 @@ def recommend(star: Star, user_id: int | None = None, k: int = 10, category: str
         allowed = allowed.where(F.col("level") == level)
     if (category is not None or level is not None) and allowed.isEmpty():
         raise Unservable("no item passes the filters")
-    view = Star(star.spark, star.sf_dir)
-    view.__dict__.update(star.__dict__)
     candidates = star.candidates.join(scoring.star_small(star, allowed.select("item")), "item", "left_semi") if category is not None or level is not None else star.candidates
     if user_id is not None:
         candidates = candidates.where(F.col("user_id") == user_id)
+    view = Star(star.spark, star.sf_dir)
+    view.__dict__.update(star.__dict__)  # after the candidates, so that it has the star's written tables
     view.__dict__["candidates"] = candidates.select("user_id", "item", "position")
     ranked = scoring.ranked(deployed(view), k)
     if user_id is not None and ranked.isEmpty():

@@ -26,8 +26,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/segrec/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read from there."""
+    """``df`` written once as Parquet and read from there, until ``clear``."""
     path = scratch_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that ``stored`` has written so far, and tells how many; call it once the results that read them are read."""
+    paths = _written[:]
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+    return len(paths)

@@ -1,18 +1,20 @@
 """What the engine stores: models, splits and result documents, read back in full and refused when they don't fit."""
 
 import json
+import os
 
 import duckdb
 import pytest
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
-from segrec.operators import clustering, models, quality, splits
+from segrec import catalog
+from segrec.operators import clustering, facts, models, quality, splits
 from segrec.operators.facts import Star
 from segrec.operators.features import user_features
 from segrec.plans import stores
 from segrec.plans.segments import BLOCKS
-from segrec.sources import results
+from segrec.sources import results, scratch
 from segrec.sources.scan import IntegrityError
 
 
@@ -162,3 +164,22 @@ def test_documents_round_trip_as_tidy_frames(spark, tmp_path):
     assert results.available(spark, path, ("architecture", "audit")) == {"architecture": True, "audit": False}
     with pytest.raises(results.MissingResults):
         results.read_documents(spark, path, "audit")
+
+
+# ---- tables written once for a star
+
+
+def test_base_tables_are_joined_once_for_a_star(spark, sf, monkeypatch):
+    names, write = [], facts.stored
+    monkeypatch.setattr(facts, "stored", lambda df, name: names.append(name) or write(df, name))
+    plan = catalog.QUERIES["q1_recommend"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(names) == ["interactions", "seen"]
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
+
+
+def test_written_tables_are_cleared(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_written", [])
+    rows = scratch.stored(spark.range(3), "three")
+    assert rows.count() == 3
+    path = scratch._written[0]
+    assert os.path.isdir(path) and scratch.clear(spark) == 1 and not os.path.exists(path) and scratch.clear(spark) == 0
