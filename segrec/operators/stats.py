@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segrec.functions.columns import min_max
 from segrec.operators.metrics import METRICS
+from segrec.operators.scoring import min_max_of, scores_of, side_by_side
 
 
 def chi_square_p(statistic: float, dof: int) -> float:
@@ -252,16 +252,12 @@ def packed_candidates(components: dict[str, DataFrame], held_out: DataFrame, sca
     A candidate's scores of all components are side by side, ``scaled`` over the user's candidates or not. A row
     holds at most the catalogue.
     """
-    names = list(components)
-    long = reduce(DataFrame.unionByName, [rows.select("user_id", "item", "position", F.lit(n).alias("component"), "score") for n, rows in components.items()])
-    held = held_out.select("user_id", "item", F.lit(True).alias("held"))
-    long = long.join(held_out.select("user_id").distinct(), "user_id", "left_semi")
-    each = [F.coalesce(F.max(F.when(F.col("component") == n, F.col("score"))), F.lit(0.0)).alias(f"s_{n}") for n in names]
-    wide = long.groupBy("user_id", "item", "position").agg(*each).join(held, ["user_id", "item"], "left")
-    score = [min_max(F.col(f"s_{n}"), "user_id") if scaled else F.col(f"s_{n}") for n in names]
-    entry = F.struct("position", "held", "c")
-    rows = wide.select("user_id", "position", F.coalesce("held", F.lit(False)).alias("held"), F.array(*score).alias("c")).groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    return rows.where("exists(e, x -> x.held)").select("user_id", F.col("e.position").cast("array<int>").alias("position"), F.col("e.held").alias("held"), F.flatten("e.c").alias("c"))
+    wanted = held_out.groupBy("user_id").agg(F.collect_set("item").alias("wanted"))
+    wide = side_by_side(components, wanted)
+    score = [scores_of(i, min_max_of if scaled else lambda x: x).alias(f"s{i}") for i in range(len(components))]
+    rows = wide.select("user_id", F.col("at.position").cast("array<int>").alias("position"), F.transform("at", lambda c: F.array_contains("wanted", c["item"])).alias("held"), *score)
+    together = F.transform("position", lambda p, k: F.array(*[F.get(F.col(f"s{i}"), k) for i in range(len(components))]))
+    return rows.where("exists(held, x -> x)").select("user_id", "position", "held", F.flatten(together).alias("c"))
 
 
 def _metric_batches(batches: Iterator[pa.RecordBatch], names: list[str], k: int) -> Iterator[pa.RecordBatch]:

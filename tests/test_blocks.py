@@ -110,6 +110,23 @@ def test_sums_of_a_list_are_those_of_each_user(star):
     assert found and all(r["score"] == pytest.approx(want.get((r["user_id"], r["item"]), 0.0)) for r in found)
 
 
+def test_candidates_stay_with_their_user(spark, star):
+    """Scorers and their combination join candidates by user or to broadcast catalogue frames, never by item."""
+    bar = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = {"popularity": scoring.global_popularity(star), "preference": scoring.preference_match(star), "rating": scoring.rating(star), "item_item": scoring.item_item(star)}
+        for df in (parts["popularity"], parts["preference"], parts["rating"]):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            joins = [line for line in plan.splitlines() if "SortMergeJoin" in line and ("[item#" in line or "[user_id#" in line and ", item#" in line)]
+            assert not joins, joins
+        del parts["item_item"]
+        mixed = scoring.hybrid(parts, dict.fromkeys(parts, 0.25))._jdf.queryExecution().executedPlan().toString()
+        assert "Union" not in mixed
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bar)
+
+
 def test_silhouette_in_blocks_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(blocks, "LEAST_ROWS", 6)
     monkeypatch.setattr(blocks, "CHUNK", 20)
