@@ -41,3 +41,12 @@ def test_fits_end_where_rows_and_centers_agree_in_any_partitioning(blobs):
 def test_tables_of_two_fits():
     assert kmeans.rand_index(np.array([[3, 0], [0, 5]])) == 1 and kmeans.rand_index(np.array([[2, 2], [2, 2]])) < 0.1
     assert kmeans.best_matches(np.array([[4, 0], [0, 0], [1, 5]])) == [(0, 0.8), (2, pytest.approx(5 / 6))]
+
+
+@pytest.mark.parametrize("k", [1, 4, 7])
+def test_ward_beyond_the_limit_equals_ward_within_it(spark, k):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(70, 3)), [[40.0, 0, 0], [46.0, 0, 0]]])  # a far pair whose merge is among the highest
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    one, two = ({r["id"]: r["cluster"] for r in rows.collect()} for rows in (clustering.hierarchical(df, "id", "v", k), clustering.ward(df, "id", "v", k, limit=20)))
+    assert len(two) == 72 and len({(one[i], two[i]) for i in one}) == len(set(one.values())) == len(set(two.values())) == k
