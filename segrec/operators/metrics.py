@@ -12,17 +12,28 @@ def relevant(star) -> DataFrame:
     return held.join(star.seen.select("user_id").distinct(), "user_id", "left_semi").join(star.seen, ["user_id", "item"], "left_anti")
 
 
+def of_user(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` that have their (user_id, item) in ``pairs``, once for each time it is there.
+
+    A user's pairs are one array, joined by user: rows made of candidates stay in the partitions that made them, and are
+    never broadcast, as their number, which no estimate of Spark's tells, is the users' times the catalogue's.
+    """
+    wanted = pairs.where("item IS NOT NULL").groupBy("user_id").agg(F.collect_list("item").alias("__wanted"))
+    met = rows.join(wanted.hint("merge"), "user_id")
+    return met.withColumn("__met", F.explode(F.filter("__wanted", lambda x: x == F.col("item")))).select(*rows.columns)
+
+
 def per_user(ranking: DataFrame, held_out: DataFrame, k: int) -> DataFrame:
     """One row for each user with a held-out item: precision, ceiling, recall, hit, ndcg and reciprocal rank (over the full list)."""
     targets = held_out.groupBy("user_id").agg(F.count("*").alias("n_rel"))
-    hits = ranking.select("user_id", "item", "rank").join(held_out, ["user_id", "item"])
+    hits = of_user(ranking.select("user_id", "item", "rank"), held_out)
     within = F.col("rank") <= k
     found = hits.groupBy("user_id").agg(
         F.count(F.when(within, 1)).alias("hits"), F.sum(F.when(within, 1 / F.log2(F.col("rank") + 1))).alias("dcg"), F.min("rank").alias("first")
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_rel", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     n = F.coalesce("hits", F.lit(0))
-    return targets.join(found, "user_id", "left").select(
+    return targets.hint("merge").join(found, "user_id", "left").select(
         "user_id",
         "n_rel",
         (n / k).alias("precision"),
