@@ -22,8 +22,10 @@ round a text meets, under each shingle, the first text and the ``BEFORE`` before
 shingles: that links large groups of copies by a few pairs a text. Where a shingle has more texts, those
 that stay after linking meet again under it, in orders by parts of a sketch of the texts (least hashes, so
 that like texts lie close together), until no shingle has more or ``IDLE_ROUNDS`` rounds after the first
-find no link. A similar pair shares most of these shingles, so it is only missed if texts that are not
-similar crowd all of them.
+find no link. Last come the pairs that no round has compared: under each shingle that more texts had in the
+first round, all its texts meet in blocks, those that links dropped as well, but for texts that links connect
+already. So no order, drop or number of rounds decides what is linked; only texts that are not similar and
+crowd a shingle cost the square of their number.
 
 Nulls: null text is the empty text, whose fingerprint is zero; it links like any other. A null id is
 kept, and counts as a member without a number: a component's id is its smallest non-null id (null if
@@ -169,6 +171,8 @@ BEFORE = 4
 IDLE_ROUNDS = 2
 #: Parts of a text's sketch, each one round's order, and minima in a part, of a byte each.
 SKETCHES, SKETCH_BYTES = 8, 8
+#: Texts of a block where all texts of a shingle meet.
+PACK = 4096
 #: Most vertices that are broadcast.
 BROADCAST = 1_000_000
 #: Slots in which the texts that hold a shingle are counted.
@@ -311,38 +315,89 @@ def _round(texts: DataFrame, asked: DataFrame, wide: DataFrame, compared: DataFr
     sides = pairs.join(wide.select(F.col("v").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("v").alias("b"), F.col("wide").alias("y")), "b").select("a", "b", "x", "y")
     near = sides.mapInArrow(partial(_near_batches, most=WIDE_BITS), "a bigint, b bigint")
     near = materialise(near if compared is None else near.join(compared, ["a", "b"], "left_anti"), "near_pairs", lasting=True)
+    return _alike(texts, near, shingle, similar), near, met.where("more").drop("others", "more")
+
+
+def _alike(texts: DataFrame, near: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """The pairs (a, b) of ``near`` whose texts are similar: compared exactly."""
     # written first, so that its size is known: while it is small, only the texts of pairs are shuffled
     needed = materialise(near.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "near_needed")
     read = materialise(texts.join(_small(needed), "v", "left_semi").dropDuplicates(["v"]), "near_texts")
     one, two = read.select(F.col("v").alias("a"), F.col("text").alias("x")), read.select(F.col("v").alias("b"), F.col("text").alias("y"))
     sides = near.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    found = materialise(sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint"), "near_links", lasting=True)
-    return found, near, met.where("more").drop("others", "more")
+    return materialise(sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint"), "near_links", lasting=True)
+
+
+def _apart(group: pa.Table, most: int, similar: float) -> pa.Table:
+    """Pairs (a, b) of one block or of two that pass the bounds on sizes and differing bits, and that no link connects yet."""
+    i, block = group["i"][0].as_py(), group["block"].to_numpy()
+    v, n, c = (group[x].to_numpy() for x in ("v", "n", "c"))
+    wide = np.frombuffer(b"".join(group["wide"].to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+    one, two = np.flatnonzero(block == i), np.flatnonzero(block == group["j"][0].as_py())
+    found = [np.empty((0, 2), np.int64)]
+    for low in range(0, len(one), 256):
+        x, y = one[low : low + 256, None], two[None]
+        near = (c[x] != c[y]) & (np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * similar - 1e-9)
+        if near.any():
+            bits = np.zeros(near.shape, np.int64)
+            for k in range(wide.shape[1]):
+                bits += np.bitwise_count(wide[x, k] ^ wide[y, k])
+            row, col = np.nonzero(near & (bits <= most))
+            found.append(np.stack([v[x[row, 0]], v[y[0, col]]], axis=1))
+    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _rest(crowd: DataFrame, wide: DataFrame, links: DataFrame, compared: DataFrame, similar: float) -> DataFrame:
+    """All pairs (a, b) under the keys of ``crowd``, rows (v, n, key), that are neither ``compared`` nor connected by ``links``, by bits.
+
+    A key is dealt to blocks of about ``PACK`` texts that meet two by two. Keys whose texts are all connected have no such
+    pair, and of keys with the same texts one is enough.
+    """
+    member = materialise(connected(links).distinct(), "near_joined")
+    rows = crowd.join(member, "v", "left").select("v", "n", "key", F.coalesce("c", "v").alias("c"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("texts"), F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
+    keys = keys.where("low < high").groupBy("texts", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("texts") / PACK).cast("int").alias("blocks"))
+    keys = materialise(keys, "near_crowded")
+    dealt = rows.join(_small(keys), "key").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    meets = dealt.join(wide, "v").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "v", "n", "c", "wide")
+    most = WIDE_BITS
+    pairs = meets.groupBy("key", "i", "j").applyInArrow(lambda group: _apart(group, most, similar), "a bigint, b bigint").distinct()
+    return pairs.join(compared, ["a", "b"], "left_anti")
 
 
 def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """Pairs (a, b), a < b, of the rows (v, text) whose shingle sets have at least the Jaccard similarity ``similar``.
 
     They connect all texts that similarity connects, without all pairs of a group: every candidate pair
-    is compared exactly, and of texts that are linked already one goes on to further rounds.
+    is compared exactly, and of texts that are linked already one goes on to further rounds. What no round
+    compared and no link connects meets at the end.
     """
     levels = slot_levels(texts, shingle)
     kept = materialise(texts.mapInArrow(partial(_key_batches, shingle=shingle, similar=similar, levels=levels), "v bigint, keys array<bigint>, wide binary, n bigint, sketch binary"), "near_keys")
     wide, asked = kept.select("v", "wide"), kept.select("v", "n", F.explode("keys").alias("key"))
-    links, compared, number, idle = None, None, 0, 0
+    links, compared, crowd, number, idle = None, None, None, 0, 0
     while True:
         with passing(texts.sparkSession):
             found, near, more = _round(texts, asked, wide, compared, number, shingle, similar)
             links = found if links is None else links.unionByName(found)
             compared = near if compared is None else compared.unionByName(near)
             idle = idle + 1 if number and found.isEmpty() else 0
+            if not number:
+                crowd = materialise(more, "near_crowd", lasting=True)
             if more.isEmpty() or idle == IDLE_ROUNDS:
-                return links
+                break
             gone = connected(found).where("v != c").select("v")
             part = F.substring("sketch", 1 + number % SKETCHES * SKETCH_BYTES, SKETCH_BYTES).alias("part")
             # keys under which all texts have met stay out of further rounds
             asked = materialise(more.join(gone, "v", "left_anti").join(kept.select("v", part), "v"), "near_more", lasting=True)
             number += 1
+    if crowd.isEmpty():
+        return links
+    with passing(texts.sparkSession):
+        near = materialise(_rest(crowd, wide, links, compared, similar), "near_rest")
+        return links.unionByName(_alike(texts, near, shingle, similar))
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similar: float = SIMILAR) -> DataFrame:
