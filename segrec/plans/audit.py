@@ -113,11 +113,20 @@ def st5(s: Star) -> DataFrame:
 )
 def st6(s: Star) -> DataFrame:
     """Share of users whose last item comes from the pool of their earlier providers, and the pool's share of the catalogue."""
-    o = ordered(s)
-    bridge = s.interactions.select("provider_id", "item").distinct()
-    pool = o.where("r < size").select("user_id", "provider_id").distinct().join(bridge, "provider_id").select("user_id", "item").distinct()
-    last = o.where("r = size AND size > 1").select("user_id", F.col("item").alias("last"))
-    met = last.join(pool, "user_id").groupBy("user_id").agg(F.max((F.col("item") == F.col("last")).cast("int")).alias("hit"), (F.count("*") / 64).alias("chance"))
+    return _pool_hits(ordered(s, s.kept), s.kept.select("provider_id", "position"), 64)
+
+
+def _pool_hits(o: DataFrame, met: DataFrame, items: int) -> DataFrame:
+    """One row (hit_rate, chance, lift) of ``ordered`` rows, against the pools of the providers of ``met`` (provider_id, position).
+
+    A provider's items, and a user's pool, are bits at the items' positions, 64 to a number: neither is a row for each item.
+    """
+    word, bit = F.floor(F.col("position") / 64), F.expr("shiftleft(1L, CAST(pmod(position, 64) AS INT))")
+    bridge = met.groupBy("provider_id", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    pool = o.where("r < size").select("user_id", "provider_id").distinct().join(bridge, "provider_id").groupBy("user_id", "word").agg(F.bit_or("bits").alias("bits"))
+    last = o.where("r = size AND size > 1").select("user_id", word.alias("last"), bit.alias("bit"))
+    found = (F.col("word") == F.col("last")) & (F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    met = last.join(pool, "user_id").groupBy("user_id").agg(F.max(found.cast("int")).alias("hit"), (F.sum(F.bit_count("bits")) / items).alias("chance"))
     return met.agg(F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("chance"), 6).alias("chance"), F.round(F.avg("hit") / F.avg("chance"), 6).alias("lift"))
 
 

@@ -266,9 +266,9 @@ def a35(s: Star) -> DataFrame:
 _ORDERED = ", o AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY user_id) AS size, lag(ts) OVER w AS before FROM interactions WINDOW w AS (PARTITION BY user_id ORDER BY ts, txn))"
 
 
-def ordered(s: Star) -> DataFrame:
+def ordered(s: Star, rows: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "txn")
-    return s.interactions.withColumns({"r": F.row_number().over(w), "size": F.count("*").over(Window.partitionBy("user_id")), "before": F.lag("ts").over(w)})
+    return (s.interactions if rows is None else rows).withColumns({"r": F.row_number().over(w), "size": F.count("*").over(Window.partitionBy("user_id")), "before": F.lag("ts").over(w)})
 
 
 @query("w1_last_flag", _ORDERED + " SELECT txn, CAST(r AS INTEGER) AS r, CAST(size AS BIGINT) AS size, r = size AS is_last FROM o")
