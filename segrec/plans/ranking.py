@@ -297,16 +297,16 @@ METHOD_SQL = (
 
 
 def method_table(s: Star) -> DataFrame:
-    """Rows (method, users, hit, ndcg): all methods ranked and measured in one plan."""
+    """Rows (method, hit_rate) of methods with a hit: each is ranked by itself, so a task sorts one method's candidates, and none is shuffled."""
     methods = {"global_popularity": scoring.global_popularity(s), "rating": scoring.rating(s), "preference_match": scoring.preference_match(s), "segment_popularity": scoring.segment_popularity(s, strata(s))}
-    long = None
+    held = metrics.relevant(s)
+    hits = None
     for name, scores in methods.items():
-        rows = scores.select(F.lit(name).alias("method"), "user_id", "item", "position", "score")
-        long = rows if long is None else long.unionByName(rows)
-    order = Window.partitionBy("method", "user_id").orderBy(F.desc(F.round("score", 9)), "position")
-    hits = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP).join(metrics.relevant(s), ["user_id", "item"])
-    users = metrics.relevant(s).select("user_id").distinct().agg(F.count("*").alias("users"))
-    return hits.groupBy("method").agg(F.count_distinct("user_id").alias("with_hit")).join(F.broadcast(users)).select("method", (F.col("with_hit") / F.col("users")).alias("hit_rate"))
+        found = metrics.of_user(scoring.ranked(scores, TOP).select("user_id", "item"), held).agg(F.count_distinct("user_id").alias("with_hit"))
+        row = found.where("with_hit > 0").select(F.lit(name).alias("method"), "with_hit")
+        hits = row if hits is None else hits.unionByName(row)
+    users = held.agg(F.count_distinct("user_id").alias("users"))
+    return hits.join(F.broadcast(users)).select("method", (F.col("with_hit") / F.col("users")).alias("hit_rate"))
 
 
 @query("m9_w10_lift_and_rank", METHOD_SQL + " SELECT method, round(hit_rate, 6) AS hit_rate, round(hit_rate / (SELECT hit_rate FROM methods WHERE method = 'global_popularity'), 6) AS lift, CAST(row_number() OVER (ORDER BY hit_rate DESC, method) AS INTEGER) AS rank FROM methods")
