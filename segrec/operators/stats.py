@@ -107,11 +107,12 @@ def _weight_batches(batches: Iterator[pa.RecordBatch], replicates: int) -> Itera
         coded = group.dictionary_encode()
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         base, value = base.to_numpy(), value.to_numpy(zero_copy_only=False)
-        for low in range(0, len(base), 512):  # 512 rows times the replicates at a time
-            counts = poisson_counts(base[low : low + 512], replicates).astype(np.float64)
-            x, at = value[low : low + 512], code[low : low + 512]
+        for low in range(0, len(base), 1024):  # 1,024 rows times the replicates at a time
+            keys, row = np.unique(base[low : low + 1024], return_inverse=True)  # a key's rows in several groups share its counts
+            counts = poisson_counts(keys, replicates).astype(np.float64)
+            x, at = value[low : low + 1024], code[low : low + 1024]
             for k in np.unique(at):
-                held = counts[at == k]
+                held = counts[row[at == k]]
                 total = sums.setdefault(names[k], np.zeros((2, replicates)))
                 total += held.sum(axis=0), x[at == k] @ held
     names = list(sums)
