@@ -211,19 +211,62 @@ def preference_null(sets: DataFrame, items: DataFrame, weights: DataFrame, repli
     return each.select(named.alias("statistic"), (F.col("at") % replicates).alias("replicate"), "value")
 
 
+#: Rows of an item that take their draws in one group.
+DRAWN_AT_ONCE = 250_000
+
+
+def _provider_batches(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[pa.RecordBatch]:
+    """The number of users with two or more rows, and for each replicate the sum of their distinct providers over rows."""
+    totals, users = np.zeros(replicates), 0
+    for batch in batches:
+        rows = batch.column(0)
+        size = np.diff(rows.offsets.to_numpy())
+        user, taken = np.repeat(np.arange(len(size)), size), rows.flatten()
+        known = np.flatnonzero(np.diff(taken.offsets.to_numpy()))
+        coded = taken.flatten().dictionary_encode()
+        code = np.full((len(user), replicates), -1)  # a row without an item draws nothing
+        code[known] = coded.indices.fill_null(-1).to_numpy().reshape(-1, replicates)
+        order = np.sort(np.where(code < 0, -1, code + user[:, None] * (len(coded.dictionary) + 1)), axis=0)
+        fresh = order >= 0
+        fresh[1:] &= order[1:] != order[:-1]
+        many = size >= 2
+        users += int(many.sum())
+        row, replicate = np.nonzero(fresh)
+        of = order[row, replicate] // (len(coded.dictionary) + 1)
+        totals += np.bincount(replicate, np.where(many[of], 1 / size[of], 0.0), replicates)
+    yield pa.RecordBatch.from_arrays([pa.array([users]), pa.array([totals], pa.list_(pa.float64()))], names=["users", "totals"])
+
+
 def provider_null(rows: DataFrame, replicates: int = 30, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """ST5: (ratio), and rows (replicate, ratio), of users with two or more rows (txn, user_id, item, provider_id): distinct providers over rows.
 
-    A replicate takes for each row one of the providers of its item at random, by number among them.
+    A replicate takes for each row one of the providers of its item at random, by number among them. A row carries its draws of all
+    replicates as one array: an item's rows meet its providers in groups of about ``DRAWN_AT_ONCE``, and a user's are counted in its row.
     """
     size = rows.groupBy("user_id").agg(F.count("*").alias("size"), F.count_distinct("provider_id").alias("providers")).where("size >= 2")
     observed = size.agg(F.avg(F.col("providers") / F.col("size")).alias("ratio"))
-    pool = rows.select("item", "provider_id").distinct().withColumn("at", F.row_number().over(Window.partitionBy("item").orderBy("provider_id")) - 1)
-    many = pool.groupBy("item").agg(F.count("*").alias("many"))
-    drawn = with_replicates(rows.select("txn", "user_id", "item").join(size.select("user_id", "size"), "user_id").join(F.broadcast(many), "item"), replicates)  # a catalogue
-    drawn = drawn.withColumn("at", F.floor(uniform(F.lit(seed), "replicate", "txn") * F.col("many")).cast("int")).join(pool, ["item", "at"])
-    per = drawn.groupBy("replicate", "user_id").agg((F.count_distinct("provider_id") / F.first("size")).alias("x"))
-    return observed, per.groupBy("replicate").agg(F.avg("x").alias("ratio"))
+    pool = rows.where("item IS NOT NULL").select("item", "provider_id").distinct()
+    sizes = rows.groupBy("item").agg(F.ceil(F.count("*") / DRAWN_AT_ONCE).cast("int").alias("groups")).join(pool.groupBy("item").agg(F.count("*").alias("many")), "item")
+    sizes = F.broadcast(sizes)  # a catalogue
+    asked = rows.where("user_id IS NOT NULL").select("txn", "user_id", "item").join(sizes, "item", "left")
+    at = F.array(*[F.floor(uniform(F.lit(seed), F.lit(r), F.col("txn")) * F.col("many")).cast("int") for r in range(1, replicates + 1)])
+    asked = asked.select("user_id", "item", F.pmod(F.xxhash64("txn", "user_id"), F.coalesce("groups", F.lit(1))).cast("int").alias("group"), F.when(F.col("many").isNotNull(), at).alias("at"))
+    held = pool.join(sizes, "item").select(F.col("item").alias("item"), F.col("provider_id").alias("provider_id"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("user_id", "provider_id")}
+
+    def take(asked: pa.Table, held: pa.Table) -> pa.Table:
+        providers = held.sort_by("provider_id")["provider_id"].combine_chunks()
+        providers = providers.take(pa.array(np.roll(np.arange(len(providers)), providers.null_count)))  # nulls come first
+        at = asked["at"].combine_chunks()
+        offsets = pa.array(np.append(0, np.cumsum(at.is_valid().to_numpy(zero_copy_only=False)) * replicates).astype(np.int32), mask=np.append(~at.is_valid().to_numpy(zero_copy_only=False), False))
+        return pa.table({"user_id": asked["user_id"], "taken": pa.ListArray.from_arrays(offsets, providers.take(at.flatten()))})
+
+    key = ("item", "group")
+    drawn = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(take, f"user_id {kind['user_id']}, taken array<{kind['provider_id']}>")
+    users = drawn.groupBy("user_id").agg(F.collect_list(F.coalesce("taken", F.array().cast(f"array<{kind['provider_id']}>"))).alias("taken")).select("taken")
+    sums = users.mapInArrow(partial(_provider_batches, replicates=replicates), "users bigint, totals array<double>")
+    each = sums.select("users", F.posexplode("totals").alias("r", "x")).groupBy("r").agg(F.sum("x").alias("x"), F.sum("users").alias("users"))
+    return observed, each.where("users > 0").select((F.col("r") + 1).alias("replicate"), (F.col("x") / F.col("users")).alias("ratio"))
 
 
 def permutation_summary(observed: float, null: DataFrame, value: str) -> DataFrame:

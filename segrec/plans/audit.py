@@ -100,7 +100,7 @@ def st5_observed(s: Star) -> DataFrame:
 @query("st5_provider_null")
 def st5(s: Star) -> DataFrame:
     """Distinct providers over rows of a user, against 30 redraws among the providers of each row's item."""
-    observed, null = stats.provider_null(s.interactions.where("user_id IS NOT NULL"), 30)
+    observed, null = stats.provider_null(s.kept.where("user_id IS NOT NULL"), 30)
     return stats.permutation_summary(float(observed.first()["ratio"] or 0.0), null, "ratio")
 
 

@@ -223,6 +223,24 @@ def test_provider_null_stays_within_the_items_pool(spark):
     assert observed.first()["ratio"] == 1.0 and null.agg(F.avg("ratio")).first()[0] == pytest.approx(0.75, abs=0.03)
 
 
+def test_provider_null_counts_draws_in_the_users_row(spark, monkeypatch):
+    monkeypatch.setattr(stats, "DRAWN_AT_ONCE", 3)  # several groups an item
+    told = [(f"t{k}", k % 7, None if k % 11 == 0 else f"i{k % 3}", None if k % 13 == 0 else k % 5) for k in range(60)] + [("only", 50, "i0", 1)]
+    rows = spark.createDataFrame(told, "txn string, user_id int, item string, provider_id int")
+    null = stats.provider_null(rows, 4)[1]
+    assert "hashpartitioning(replicate" not in null._jdf.queryExecution().toString()  # rows aren't multiplied by replicates
+    u = {(r["txn"], k): r[f"u{k}"] for r in rows.select("txn", *[stats.uniform(F.lit(42), F.lit(k), "txn").alias(f"u{k}") for k in range(1, 5)]).collect() for k in range(1, 5)}
+    pools = {i: sorted({p for _, _, j, p in told if j == i}, key=lambda p: (p is not None, p or 0)) for i in ("i0", "i1", "i2")}
+    found = {r["replicate"]: r["ratio"] for r in null.collect()}
+    for k in range(1, 5):
+        ratios = []
+        for user in range(7):
+            mine = [(t, i) for t, v, i, _ in told if v == user]
+            drawn = {pools[i][int(u[t, k] * len(pools[i]))] for t, i in mine if i is not None} - {None}
+            ratios.append(len(drawn) / len(mine))
+        assert found[k] == pytest.approx(sum(ratios) / 7)
+
+
 def test_weight_search_and_metrics_equal_ranking_one_by_one(star):
     parts = {"p": scoring.global_popularity(star), "r": scoring.rating(star), "m": scoring.preference_match(star)}
     held, items = metrics.relevant(star), len(star.catalogue)
