@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segrec.operators.metrics import METRICS
-from segrec.operators.scoring import min_max_of, scores_of, side_by_side
+from segrec.operators.scoring import side_by_side, with_scores
 
 
 def chi_square_p(statistic: float, dof: int) -> float:
@@ -297,8 +297,8 @@ def packed_candidates(components: dict[str, DataFrame], held_out: DataFrame, sca
     holds at most the catalogue.
     """
     wanted = held_out.groupBy("user_id").agg(F.collect_set("item").alias("wanted"))
-    wide = side_by_side(components, wanted)
-    score = [scores_of(i, min_max_of if scaled else lambda x: x).alias(f"s{i}") for i in range(len(components))]
+    wide = with_scores(side_by_side(components, wanted), len(components), scaled)
+    score = [f"s{i}" for i in range(len(components))]
     rows = wide.select("user_id", F.col("at.position").cast("array<int>").alias("position"), F.transform("at", lambda c: F.array_contains("wanted", c["item"])).alias("held"), *score)
     together = F.transform("position", lambda p, k: F.array(*[F.get(F.col(f"s{i}"), k) for i in range(len(components))]))
     return rows.where("exists(held, x -> x)").select("user_id", "position", "held", F.flatten(together).alias("c"))

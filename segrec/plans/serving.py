@@ -78,7 +78,7 @@ def ex3(s: Star) -> DataFrame:
 @query("ex_explanations")
 def ex(s: Star) -> DataFrame:
     parts = {"preference_match": scoring.preference_match(s), "rating": scoring.rating(s), "segment_popularity": scoring.segment_popularity(s, strata(s))}
-    rows = scoring.ranked(scoring.hybrid(parts, {"preference_match": 0.4, "rating": 0.2, "segment_popularity": 0.4}), 3)
+    rows = scoring.ranked(scoring.hybrid(parts, {"preference_match": 0.4, "rating": 0.2, "segment_popularity": 0.4}, 3), 3)
     return explain.sentences(explain.facts(s, rows, strata(s))).select("user_id", "item", "rank", "explanation")
 
 

@@ -253,6 +253,18 @@ def test_rows_that_cannot_be_first_are_left_out_before_the_sort(spark):
     assert kept.column(1).to_pylist() == [1, 3, 5, 7, 9, 11]
 
 
+def test_hybrid_chooses_the_first_rows_and_scales_once(star, monkeypatch):
+    parts = {"p": scoring.global_popularity(star), "m": scoring.preference_match(star)}
+    first, weights = {}, {"p": 0.6, "m": 0.4}
+    for k in (None, 3):
+        rows = scoring.ranked(scoring.hybrid(parts, weights, k), 3).select("user_id", "item", "rank", F.round("score", 9), "contributions")
+        first[k] = sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0], r[2]))
+    assert first[3] and first[3] == first[None]
+    # a scaled score refers to bounds found once for each user, not for each candidate
+    plan = scoring.hybrid(parts, weights)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min(") == 2
+
+
 def test_item_sums_by_matrix_equal_those_by_joins(star, monkeypatch):
     by_matrix = scoring.item_item(star)
     assert "BroadcastHashJoin" not in by_matrix._jdf.queryExecution().executedPlan().toString()  # no row for each pair of a user's item and a candidate
