@@ -8,7 +8,6 @@ documented bound and raises beyond it.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -232,15 +231,18 @@ def together(work: Callable, arguments: Iterable) -> list:
 
 
 def fit_kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, n_init: int = 10) -> KMeansModel:
-    """ML5: the model of least cost of ``n_init`` seeds."""
-    # frames of equal plans share one cache entry: the literal gives each fit its own, which no other drops
-    rows = _vectors(df, vector).select("__v", F.lit(uuid.uuid4().hex).alias("__fit")).persist()
+    """ML5: the model of least cost of ``n_init`` seeds; all fits share passes over the rows, told apart by their other columns.
+
+    Spark's own model is made of the best centers: a fit to these few points alone, each of which is its cluster's mean.
+    """
+    points = kmeans.prepared(df, vector, *([c for c in df.columns if c != vector] or [vector]), seed=seed)
     try:
-        fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(rows)
-        models = together(fit, range(n_init)) if n_init > 1 else [fit(0)]
-        return min(models, key=lambda m: m.summary.trainingCost)
+        centers, _, costs = kmeans.fit_many(points, [kmeans.Fit(k, seed + i) for i in range(n_init)])
     finally:
-        rows.unpersist()
+        points.unpersist()
+    best = np.unique(centers[int(np.argmin(costs))], axis=0)
+    few = df.sparkSession.createDataFrame([(c.tolist(),) for c in best], "c array<double>").coalesce(1)
+    return KMeans(k=max(k, 2), seed=seed, initMode="random", maxIter=1, featuresCol="__v", predictionCol="cluster").fit(_vectors(few, "c"))
 
 
 def predict(model: KMeansModel, df: DataFrame, vector: str) -> DataFrame:

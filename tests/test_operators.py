@@ -187,6 +187,15 @@ def test_clusterings_find_blobs(blobs):
         clustering.hierarchical(blobs, "id", "v", 3, limit=10)
 
 
+def test_starts_of_a_model_share_passes(blobs, monkeypatch):
+    given, fit = [], clustering.KMeans.fit
+    monkeypatch.setattr(clustering.KMeans, "fit", lambda self, df: given.append(df.count()) or fit(self, df))
+    model = clustering.fit_kmeans(blobs, "v", 3, n_init=4)
+    assert given == [3]  # the best centers alone
+    want = {r["label"]: r["c"] for r in blobs.groupBy("label").agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(4)]).alias("c")).collect()}
+    assert sorted(tuple(map(float, c)) for c in model.clusterCenters()) == [pytest.approx(tuple(c)) for c in sorted(want.values())]
+
+
 def test_quality_measures(spark, blobs):
     points = clustering.long_form(blobs, "id", "v", "label")
     assert clustering.silhouette(blobs, "id", "v", "label").agg(F.avg("silhouette")).first()[0] > 0.9
