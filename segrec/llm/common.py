@@ -64,6 +64,18 @@ def materialise(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside gives Python workers Arrow batches of at most ``rows`` rows: a worker's memory is that of so many texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spread(rows: DataFrame, each: int = 50_000) -> DataFrame:
     """``rows`` in parts of about ``each`` rows, before every row becomes many."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // each)

@@ -24,8 +24,10 @@ that stay after linking meet again under it, in orders by parts of a sketch of t
 that like texts lie close together), until no shingle has more or ``IDLE_ROUNDS`` rounds after the first
 find no link. Last come the pairs that no round has compared: under each shingle that more texts had in the
 first round, all its texts meet in blocks, those that links dropped as well, but for texts that links connect
-already. So no order, drop or number of rounds decides what is linked; only texts that are not similar and
-crowd a shingle cost the square of their number.
+already. Of two texts' first shingles so many must be equal that the rest of the one whose first shingles end
+earlier in the order can make up what is missing; only pairs that reach this bound, which loses none, have
+their texts read. So no order, drop or number of rounds decides what is linked; only texts that are not similar
+and crowd a shingle cost the square of their number, as comparisons of bits inside a block.
 
 Nulls: null text is the empty text, whose fingerprint is zero; it links like any other. A null id is
 kept, and counts as a member without a number: a component's id is its smallest non-null id (null if
@@ -45,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segrec.llm.common import materialise, passing, spread
+from segrec.llm.common import batches_of, materialise, passing, spread
 
 SEED = 42
 SHINGLE = 3
@@ -173,6 +175,8 @@ IDLE_ROUNDS = 2
 SKETCHES, SKETCH_BYTES = 8, 8
 #: Texts of a block where all texts of a shingle meet.
 PACK = 4096
+#: Rows of an Arrow batch with texts, and of one with two texts a row.
+BATCH, PAIR_BATCH = 1024, 128
 #: Most vertices that are broadcast.
 BROADCAST = 1_000_000
 #: Slots in which the texts that hold a shingle are counted.
@@ -325,7 +329,8 @@ def _alike(texts: DataFrame, near: DataFrame, shingle: int, similar: float) -> D
     read = materialise(texts.join(_small(needed), "v", "left_semi").dropDuplicates(["v"]), "near_texts")
     one, two = read.select(F.col("v").alias("a"), F.col("text").alias("x")), read.select(F.col("v").alias("b"), F.col("text").alias("y"))
     sides = near.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return materialise(sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint"), "near_links", lasting=True)
+    with batches_of(texts.sparkSession, PAIR_BATCH):
+        return materialise(sides.mapInArrow(partial(_similar_batches, shingle=shingle, similar=similar), "a bigint, b bigint"), "near_links", lasting=True)
 
 
 def _apart(group: pa.Table, most: int, similar: float) -> pa.Table:
@@ -367,6 +372,34 @@ def _rest(crowd: DataFrame, wide: DataFrame, links: DataFrame, compared: DataFra
     return pairs.join(compared, ["a", "b"], "left_anti")
 
 
+def may_be_similar(one: np.ndarray, n_one: int, two: np.ndarray, n_two: int, similar: float, levels: np.ndarray) -> bool:
+    """Whether texts of ``n_one`` and ``n_two`` shingles with these ``near_keys`` can be similar.
+
+    Of the one whose keys end first in the order, every shingle up to there that the other has is a key of both.
+    """
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    ends = [(levels[_slots(keys[-1:])[0]], keys[-1]) for keys in (one, two)]
+    most = both + (n_one - len(one) if ends[0] <= ends[1] else n_two - len(two))
+    return most >= similar * (n_one + n_two - most) - 1e-9
+
+
+def _bound_batches(batches: Iterator[pa.RecordBatch], similar: float, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = ([v.values.to_numpy().view(np.uint64) for v in batch.column(k)] for k in (2, 4))
+        hold = [may_be_similar(a, n, b, m, similar, levels) for a, n, b, m in zip(x, batch.column(3).to_pylist(), y, batch.column(5).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hold, pa.bool_()))
+
+
+def _bounded(pairs: DataFrame, kept: DataFrame, similar: float, levels: np.ndarray) -> DataFrame:
+    """The pairs (a, b) that can be similar by their keys, of ``kept`` (v, keys, n)."""
+    pairs = materialise(pairs, "near_rest")
+    needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "near_needed")
+    held = materialise(kept.select("v", "keys", "n").join(_small(needed), "v", "left_semi").dropDuplicates(["v"]), "near_bounds")
+    one, two = (held.select(F.col("v").alias(v), F.col("keys").alias(k), F.col("n").alias(n)) for v, k, n in (("a", "x", "n"), ("b", "y", "m")))
+    sides = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "n", "y", "m")
+    return materialise(sides.mapInArrow(partial(_bound_batches, similar=similar, levels=levels), "a bigint, b bigint"), "near_bounded")
+
+
 def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """Pairs (a, b), a < b, of the rows (v, text) whose shingle sets have at least the Jaccard similarity ``similar``.
 
@@ -396,7 +429,7 @@ def similar_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, similar: float
     if crowd.isEmpty():
         return links
     with passing(texts.sparkSession):
-        near = materialise(_rest(crowd, wide, links, compared, similar), "near_rest")
+        near = _bounded(_rest(crowd, wide, links, compared, similar), kept, similar, levels)
         return links.unionByName(_alike(texts, near, shingle, similar))
 
 
@@ -408,7 +441,7 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     vertex = F.xxhash64(F.col(id_col), text)
     docs = df.select(vertex.alias("v"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), vertex.alias("h")).alias("me"), text.cast("binary").alias("text"))
-    with passing(df.sparkSession):
+    with passing(df.sparkSession), batches_of(df.sparkSession, BATCH):
         member = materialise(connected(similar_links(docs.select("v", "text"), shingle, similar)).distinct(), "near_members")
         member = member.join(docs.select("v", "me").distinct(), "v")
         first = member.groupBy("c").agg(F.min("me").alias("first"))

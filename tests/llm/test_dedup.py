@@ -351,3 +351,35 @@ def test_no_similar_pair_is_lost_in_a_crowd(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     kept = sorted(r["doc_id"] for r in simhash.keep_one_similar(df).collect())
     assert kept == sorted(i for i in sets if find(i) == i) and len(kept) < len(sets) - 10
+
+
+def test_keys_bound_what_can_be_similar_and_lose_no_pair():
+    rng = np.random.default_rng(21)
+    levels, dropped = rng.integers(0, 4, simhash.SLOTS).astype(np.uint8), 0
+    for k in range(3000):
+        n = int(rng.integers(1, 60))
+        pool = rng.integers(0, 1 << 62, 2 * n + 2, np.uint64)
+        other = int(rng.integers(0, n // 2 + 1))
+        one, two = np.unique(pool[:n]), np.unique(pool[other : other + n + k % 3])
+        ordered = [x[np.lexsort((x, levels[simhash._slots(x)]))] for x in (one, two)]
+        keys = [simhash.near_keys(x) for x in ordered]
+        both = len(np.intersect1d(one, two))
+        told = simhash.may_be_similar(keys[0], len(one), keys[1], len(two), 0.8, levels)
+        assert told or both < 0.8 * (len(one) + len(two) - both)
+        dropped += not told
+    assert dropped > 500
+
+
+def test_texts_that_crowd_a_passage_are_read_in_batches_and_only_if_they_can_be_similar(spark, monkeypatch):
+    """pipeline: pairs that share a crowded passage of two thirds of their words had all their texts read, 10,000 pairs a batch."""
+    monkeypatch.setattr(simhash, "IDLE_ROUNDS", 0)
+    rng = np.random.default_rng(4)
+    passage, seen, real = [f"p{x}" for x in range(160)], [], simhash._alike
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(simhash, "_alike", lambda texts, near, *a: seen.append((near.count(), int(spark.conf.get(key)))) or real(texts, near, *a))
+    docs = [(i, " ".join([f"o{x}" for x in rng.integers(0, 10**6, 6)] + passage[:150] + [f"o{x}" for x in rng.integers(0, 10**6, 40)])) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert simhash.keep_one_similar(df).count() == 120
+    assert len(seen) == 1 or seen[-1][0] < 500, seen  # of 7,140 pairs
+    assert all(n <= 1024 for _, n in seen) and spark.conf.get(key) == before
