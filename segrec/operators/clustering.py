@@ -16,14 +16,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segrec.functions.quantiles import column_quantiles
-from segrec.operators import kmeans
+from segrec.operators import kmeans, mixtures
 from segrec.operators.blocks import cluster_distances, ward_distances, ward_nearest
 from segrec.operators.facts import CATEGORIES
 from segrec.sources.scratch import stored
@@ -359,14 +359,10 @@ def stability(jaccard: DataFrame, low: float = 0.6, high: float = 0.75) -> DataF
 
 
 def gaussian_mixture(df: DataFrame, vector: str, ks: list[int], seed: int = 42, n_init: int = 3) -> DataFrame:
-    """ML10: rows (k, log_likelihood, bic, aic) of full-covariance mixtures, the best of ``n_init`` starts each."""
-    rows_v = _vectors(df, vector).select("__v").persist()
+    """ML10: rows (k, log_likelihood, bic, aic) of full-covariance mixtures, the best of ``n_init`` starts each; all fits share passes over the rows."""
     n, d = df.count(), len(df.select(vector).first()[0])
-    try:
-        starts = [(k, i) for k in ks for i in range(n_init)]
-        likely = together(lambda s: (s[0], GaussianMixture(k=s[0], seed=seed + s[1], featuresCol="__v").fit(rows_v).summary.logLikelihood), starts)
-    finally:
-        rows_v.unpersist()
+    starts = [(k, seed + i) for k in ks for i in range(n_init)]
+    likely = [(k, ll) for (k, _), ll in zip(starts, mixtures.log_likelihoods(df, vector, starts), strict=True)]
     rows = []
     for k in ks:
         ll = max(x for j, x in likely if j == k)
