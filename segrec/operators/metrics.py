@@ -12,6 +12,11 @@ def relevant(star) -> DataFrame:
     return held.join(star.seen.select("user_id").distinct(), "user_id", "left_semi").join(star.seen, ["user_id", "item"], "left_anti")
 
 
+def placed(star) -> DataFrame:
+    """``relevant`` with the items' positions, from the catalogue."""
+    return relevant(star).join(F.broadcast(star.items.select("item", "position")), "item")
+
+
 def of_user(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """``rows`` that have their (user_id, item) in ``pairs``, once for each time it is there.
 

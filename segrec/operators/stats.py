@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from segrec.functions.columns import TINY
 from segrec.operators.metrics import METRICS
-from segrec.operators.scoring import side_by_side, with_scores
+from segrec.sources.scratch import stored, stored_in_small_batches
 
 
 def chi_square_p(statistic: float, dof: int) -> float:
@@ -290,55 +291,139 @@ def simplex_weights(names: list[str], n: int, seed: int = 42, allow_zero: bool =
     return out
 
 
+#: Scores that a task puts side by side at once.
+TOGETHER = 250_000
+
+
+def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows (user_id, position, score) of one user as one row of arrays."""
+    for batch in batches:
+        user = batch.column(0).to_numpy()
+        start = np.flatnonzero(np.append(True, user[1:] != user[:-1])) if len(user) else np.empty(0, np.int64)
+        offsets = pa.array(np.append(start, len(user)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(user[start]), *[pa.ListArray.from_arrays(offsets, batch.column(c)) for c in (1, 2)]], names=["user_id", "position", "score"])
+
+
+def _side_by_side(rows: pa.Table, dims: int, scaled: bool) -> pa.Table:
+    """A group of ``packed_candidates``, of rows (i, user_id, position, score): runs of component i, and with i = -1 what is held out."""
+    i, user, lists = rows["i"].to_numpy(), rows["user_id"].to_numpy(), rows["position"].combine_chunks()
+    users, size = np.unique(user[i < 0]), lists.value_lengths().to_numpy()
+    position, of = lists.flatten().to_numpy(), np.repeat(i, size)
+    at = np.repeat(np.searchsorted(users, user), size)
+    known = np.repeat(np.isin(user, users), size)
+    many = int(position.max(initial=-1)) + 1
+    told, score = known & (of >= 0), rows["score"].combine_chunks().flatten().to_numpy()  # what is held out has no scores
+    table, there, held = np.zeros((len(users), many, dims)), np.zeros((len(users), many), bool), np.zeros((len(users), many), bool)
+    table[at[told], position[told], of[told]] = score[told[of >= 0]]
+    there[at[told], position[told]] = True
+    held[at[of < 0], position[of < 0]] = True
+    held &= there
+    keep = held.any(axis=1)
+    users, table, there, held = users[keep], table[keep], there[keep], held[keep]
+    if scaled and len(users):
+        low, high = (f(np.where(there[:, :, None], table, sign * np.inf), axis=1)[:, None] for f, sign in ((np.min, 1), (np.max, -1)))
+        table = np.where(high - low < TINY, 0.0, (table - low) / np.where(high - low < TINY, 1.0, high - low))
+    offsets = np.append(0, np.cumsum(there.sum(axis=1))).astype(np.int32)
+    lists = [pa.array(np.nonzero(there)[1].astype(np.int32)), pa.array(held[there])]
+    return pa.table([users, *[pa.ListArray.from_arrays(pa.array(offsets), x) for x in lists], pa.ListArray.from_arrays(pa.array(offsets * dims), pa.array(table[there].ravel()))], names=["user_id", "position", "held", "c"])
+
+
 def packed_candidates(components: dict[str, DataFrame], held_out: DataFrame, scaled: bool) -> DataFrame:
     """One row (user_id, position, held, c) for each user with a held-out candidate: all candidates by position, c their scores flattened.
 
-    A candidate's scores of all components are side by side, ``scaled`` over the user's candidates or not. A row
-    holds at most the catalogue.
+    A candidate's scores of all components are side by side, ``scaled`` over the user's candidates or not, 0 where a component has none. A row
+    holds at most the catalogue. Each component's rows are packed by user where they are made, and all components are shuffled once, to
+    groups of users: a task holds about ``TOGETHER`` scores however many components there are.
     """
-    wanted = held_out.groupBy("user_id").agg(F.collect_set("item").alias("wanted"))
-    wide = with_scores(side_by_side(components, wanted), len(components), scaled)
-    score = [f"s{i}" for i in range(len(components))]
-    rows = wide.select("user_id", F.col("at.position").cast("array<int>").alias("position"), F.transform("at", lambda c: F.array_contains("wanted", c["item"])).alias("held"), *score)
-    together = F.transform("position", lambda p, k: F.array(*[F.get(F.col(f"s{i}"), k) for i in range(len(components))]))
-    return rows.where("exists(held, x -> x)").select("user_id", "position", "held", F.flatten(together).alias("c"))
+    if "position" not in held_out.columns:
+        held_out = held_out.join(reduce(DataFrame.unionByName, [c.select("item", "position") for c in components.values()]).distinct(), "item")
+    wanted = stored(held_out.groupBy("user_id").agg(F.collect_set(F.col("position").cast("int")).alias("position")), "wanted")
+    size = wanted.agg(F.count("*").alias("users"), F.max(F.array_max("position")).alias("most")).first()
+    rows = wanted.select(F.lit(-1).alias("i"), "user_id", "position", F.lit(None).cast("array<double>").alias("score"))
+    for i, scores in enumerate(components.values()):
+        plain = scores.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("position").cast("int").alias("position"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+        rows = rows.unionByName(plain.mapInArrow(_run_batches, "user_id bigint, position array<int>, score array<double>").withColumn("i", F.lit(i)))
+    groups = max(16, size["users"] * ((size["most"] or 0) + 1) * len(components) // TOGETHER)
+    dealt = rows.select(F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("group"), "i", "user_id", "position", "score").groupBy("group")
+    dims = len(components)
+    return dealt.applyInArrow(lambda group: _side_by_side(group, dims, scaled), "user_id bigint, position array<int>, held array<boolean>, c array<double>")
+
+
+def _blocks_of(position: pa.Array, held: pa.Array, scores: pa.Array, dims: int, each: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``packed_candidates`` in blocks of about ``TOGETHER`` numbers, ``each`` for a candidate: first, last, then by user and place its position,
+    -1 behind the last, whether it is held out, its scores, and how many are held out."""
+    size = position.value_lengths().to_numpy()
+    starts, flat = np.append(0, np.cumsum(size)), [position.flatten().to_numpy(), held.flatten().to_numpy(zero_copy_only=False), scores.flatten().to_numpy().reshape(-1, dims)]
+    step = max(1, TOGETHER // (each * max(int(size.max(initial=0)), 1)))
+    for low in range(0, len(size), step):
+        high = min(low + step, len(size))
+        at = slice(starts[low], starts[high])
+        user = np.repeat(np.arange(high - low), size[low:high])
+        place = np.arange(len(user)) - np.repeat(starts[low:high] - starts[low], size[low:high])
+        shape = (high - low, int(size[low:high].max(initial=0)))
+        where, mine, table = np.full(shape, -1, np.int32), np.zeros(shape, bool), np.zeros((*shape, dims))
+        where[user, place], mine[user, place], table[user, place] = (x[at] for x in flat)
+        yield low, high, where, mine, table, mine.sum(axis=1)
+
+
+def _held_ranks(total: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Users of held-out candidates in order, and their ranks from 0 by each column of ``total`` (user, place, column): those ahead are counted, nothing is sorted."""
+    user, place = np.nonzero(held)
+    ranks = np.empty((len(user), total.shape[2]), np.int64)
+    for low in range(0, len(user), 32):
+        rows, at = total[user[low : low + 32]], place[low : low + 32]
+        own = np.take_along_axis(rows, at[:, None, None], axis=1)
+        ahead = rows > own
+        ahead |= (rows == own) & (np.arange(rows.shape[1]) < at[:, None])[:, :, None]
+        ranks[low : low + 32] = ahead.sum(axis=1)
+    return user, ranks
+
+
+def _firsts(total: np.ndarray, k: int) -> np.ndarray:
+    """The places of the first k of each user by each column, ties in order of place: (user, column, k)."""
+    return np.argsort(-np.ascontiguousarray(total.transpose(0, 2, 1)), axis=2, kind="stable")[:, :, :k]
 
 
 def _metric_batches(batches: Iterator[pa.RecordBatch], names: list[str], k: int) -> Iterator[pa.RecordBatch]:
     fade, dims = 1 / np.log2(np.arange(2, k + 2)), len(names)
+    ideal = np.append(0, np.cumsum(fade))
     for batch in batches:
-        out: list[np.ndarray] = []
-        for held, scores in zip(batch.column(2), batch.column(3), strict=True):
-            held, total = held.values.to_numpy(zero_copy_only=False), np.round(scores.values.to_numpy().reshape(-1, dims), 9)
-            hit = held[np.argsort(-total, axis=0, kind="stable")]  # candidates are in order of position
-            hits, first, n = hit[:k].sum(axis=0), hit.argmax(axis=0), held.sum()
-            gain = fade[: len(hit[:k])] @ hit[:k] / fade[: min(k, n)].sum()
-            out.append(np.stack([hits / k, np.full(dims, min(k, n) / k), hits / n, (hits > 0).astype(float), gain, 1 / (first + 1)]))
+        out = [np.empty((len(METRICS), 0))]
+        for _, _, where, held, table, n in _blocks_of(*(batch.column(c) for c in (1, 2, 3)), dims, dims):
+            total = np.where(where[:, :, None] < 0, -np.inf, np.round(table, 9))
+            user, ranks = _held_ranks(total, held)
+            start = np.searchsorted(user, np.arange(len(n)))  # each user has one at least
+            hits = np.add.reduceat(ranks < k, start, axis=0, dtype=np.int64)
+            gain = np.add.reduceat(np.where(ranks < k, fade[np.minimum(ranks, k - 1)], 0.0), start, axis=0) / ideal[np.minimum(n, k)][:, None]
+            first, many = np.minimum.reduceat(ranks, start, axis=0), np.broadcast_to(n[:, None], hits.shape)
+            out.append(np.stack([x.ravel() for x in (hits / k, np.minimum(many, k) / k, hits / many, (hits > 0).astype(float), gain, 1 / (first + 1))]))
         users = np.repeat(batch.column(0).to_numpy(), dims)
-        table = np.concatenate(out, axis=1) if out else np.empty((len(METRICS), 0))
+        table = np.concatenate(out, axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(users), pa.array(names * batch.num_rows, pa.string()), *map(pa.array, table)], names=["user_id", "method", *METRICS])
 
 
 def method_metrics(rows: DataFrame, names: list[str], k: int) -> DataFrame:
     """Rows (user_id, method, M1-M6 metrics) of ``packed_candidates`` that aren't scaled: all methods ranked in the user's row."""
-    return rows.mapInArrow(partial(_metric_batches, names=names, k=k), "user_id bigint, method string, " + ", ".join(f"{m} double" for m in METRICS))
+    told = rows.mapInArrow(partial(_metric_batches, names=names, k=k), "user_id bigint, method string, " + ", ".join(f"{m} double" for m in METRICS))
+    return stored_in_small_batches(told, "metrics")
 
 
-def _shown_batches(batches: Iterator[pa.RecordBatch], names: list[str], k: int) -> Iterator[pa.RecordBatch]:
-    counts: dict[tuple[str, int], int] = {}
+def _shown_batches(batches: Iterator[pa.RecordBatch], names: list[str], k: int, items: int) -> Iterator[pa.RecordBatch]:
+    counts, dims = np.zeros((len(names), items), np.int64), len(names)
     for batch in batches:
-        for position, scores in zip(batch.column(1), batch.column(3), strict=True):
-            total = np.round(scores.values.to_numpy().reshape(-1, len(names)), 9)
-            first = position.values.to_numpy()[np.argsort(-total, axis=0, kind="stable")[:k]]
-            for m, name in enumerate(names):
-                for item in first[:, m].tolist():
-                    counts[name, item] = counts.get((name, item), 0) + 1
-    yield pa.RecordBatch.from_pylist([{"method": m, "position": i, "n": n} for (m, i), n in counts.items()], pa.schema([("method", pa.string()), ("position", pa.int32()), ("n", pa.int64())]))
+        for _, _, where, _, table, _ in _blocks_of(*(batch.column(c) for c in (1, 2, 3)), dims, dims):
+            first = _firsts(np.where(where[:, :, None] < 0, -np.inf, np.round(table, 9)), k)
+            position = where[np.arange(len(where))[:, None, None], first]
+            method = np.broadcast_to(np.arange(dims)[:, None], position.shape)
+            np.add.at(counts, (method[position >= 0], position[position >= 0]), 1)
+    method, position = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(np.array(names, object)[method], pa.string()), pa.array(position.astype(np.int32)), pa.array(counts[method, position])], names=["method", "position", "n"])
 
 
 def method_exposure(rows: DataFrame, names: list[str], k: int, items: int) -> DataFrame:
     """Rows (method, coverage, gini) of the first k items of each user; the ``items`` never shown count as 0."""
-    shown = rows.mapInArrow(partial(_shown_batches, names=names, k=k), "method string, position int, n bigint").groupBy("method", "position").agg(F.sum("n").alias("n"))
+    shown = stored_in_small_batches(rows.mapInArrow(partial(_shown_batches, names=names, k=k, items=items), "method string, position int, n bigint"), "shown")
+    shown = shown.groupBy("method", "position").agg(F.sum("n").alias("n"))
     i = F.row_number().over(Window.partitionBy("method").orderBy("n")) + items - F.count("*").over(Window.partitionBy("method"))  # after the items with none
     total = F.sum("n")
     ranked = shown.select("method", "n", i.alias("i")).groupBy("method")
@@ -349,17 +434,24 @@ def _search_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, k: i
     n, dims = weights.shape
     hits, with_hit, gain, users, shown = np.zeros(n), np.zeros(n), np.zeros(n), 0, np.zeros((n, items), bool)
     fade = 1 / np.log2(np.arange(2, max(k, 1) + 2))
+    ideal = np.append(0, np.cumsum(fade[:k]))
     for batch in batches:
-        for position, held, scores in zip(*(batch.column(c) for c in range(3)), strict=True):
-            position, held = position.values.to_numpy(), held.values.to_numpy(zero_copy_only=False)
-            total = np.round(scores.values.to_numpy().reshape(-1, dims) @ weights.T, 9)
-            first = np.argsort(-total, axis=0, kind="stable")[:k]  # candidates are in order of position
-            hit = held[first]
-            shown[np.arange(n), position[first]] = True
-            hits += hit.sum(axis=0)
-            with_hit += hit.any(axis=0)
-            gain += fade[: len(first)] @ hit / fade[: min(k, int(held.sum()))].sum()
-            users += 1
+        for _, _, where, held, table, many in _blocks_of(*(batch.column(c) for c in range(3)), dims, n):
+            total = np.round(table @ weights.T, 9)
+            total[where < 0] = -np.inf
+            user, ranks = _held_ranks(total, held)
+            start = np.searchsorted(user, np.arange(len(many)))  # each user has one at least
+            within = ranks < k
+            hits += within.sum(axis=0)
+            with_hit += np.logical_or.reduceat(within, start, axis=0).sum(axis=0)
+            gain += (np.where(within, fade[np.minimum(ranks, max(k, 1) - 1)], 0.0) / ideal[np.minimum(many, k)][user][:, None]).sum(axis=0)
+            users += len(many)
+            open_ = np.flatnonzero(~shown.all(axis=1))  # all items of the others have been shown already
+            if len(open_):
+                first = _firsts(total[:, :, open_], k)
+                position = where[np.arange(len(where))[:, None, None], first]
+                draw = np.broadcast_to(open_[:, None], position.shape)
+                shown[draw[position >= 0], position[position >= 0]] = True
     lists = [pa.array([x], pa.list_(pa.float64())) for x in (hits, with_hit, gain)]
     yield pa.RecordBatch.from_arrays([pa.array([users]), *lists, pa.array([shown.ravel()], pa.list_(pa.bool_()))], names=["users", "hits", "with_hit", "gain", "shown"])
 
@@ -373,6 +465,7 @@ def search_weights(rows: DataFrame, names: list[str], draws: list[dict[str, floa
     weights = np.array([[d.get(n, 0.0) for n in names] for d in draws])
     held = rows.select("position", "held", "c")
     sums = held.mapInArrow(partial(_search_batches, weights=weights, k=k, items=items), "users bigint, hits array<double>, with_hit array<double>, gain array<double>, shown array<boolean>")
+    sums = stored_in_small_batches(sums, "search")  # a row for each task
     shown = F.transform(F.sequence(F.lit(0), F.lit(len(draws) - 1)), lambda d: F.slice("shown", d * items + 1, F.lit(items)))
     sums = sums.select("users", F.posexplode(F.arrays_zip("hits", "with_hit", "gain", shown.alias("shown"))).alias("draw", "x"))
     every = F.aggregate(F.collect_list("x.shown"), F.array_repeat(F.lit(False), items), lambda a, b: F.zip_with(a, b, lambda p, q: p | q))  # a row for each task

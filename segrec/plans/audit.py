@@ -190,7 +190,7 @@ def _packed(s: Star) -> DataFrame:
         "content_based": scoring.content_based(s), "user_user_profile": scoring.user_user_profile(s, f, [*NUMERIC, "balance"]), "segment_popularity": scoring.segment_popularity(s, strata(s)),
         "rating": scoring.rating(s), "preference_match": scoring.preference_match(s), "item_item": scoring.item_item(s),
     }
-    return stored(stats.packed_candidates(parts, metrics.relevant(s), True), "candidates")
+    return stored(stats.packed_candidates(parts, metrics.placed(s), True), "candidates")
 
 
 def _told(rows: DataFrame) -> list:

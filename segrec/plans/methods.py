@@ -109,9 +109,9 @@ def all_methods(s: Star) -> dict[str, DataFrame]:
 def comparison(s: Star, k: int = 10, replicates: int = 2000, reference: str = "random") -> DataFrame:
     """Q7: a row for every method: mean metrics, exposure, and the bootstrapped difference in NDCG from random."""
     methods = {n: rows.select("user_id", "item", "position", F.col("score").cast("double").alias("score")) for n, rows in all_methods(s).items()}
-    rows = stored(stats.packed_candidates(methods, metrics.relevant(s), False), "methods")
+    rows = stored(stats.packed_candidates(methods, metrics.placed(s), False), "methods")
     names = list(methods)
-    per = stored(stats.method_metrics(rows, names, k), "per_user")
+    per = stats.method_metrics(rows, names, k)
     means = per.groupBy("method").agg(F.count("*").alias("users"), *[F.avg(m).alias(m) for m in metrics.METRICS])
     base = per.where(F.col("method") == reference).select("user_id", F.col("ndcg").alias("base"))
     diffs = per.join(base, "user_id").select("user_id", "method", (F.col("ndcg") - F.col("base")).alias("d"))
@@ -142,7 +142,7 @@ _TOLD = ["global_popularity", "rating", "content_based", "item_item", "user_user
 def q7_quality(s: Star) -> DataFrame:
     """The comparison's figures that don't depend on draws."""
     methods = {n: rows.select("user_id", "item", "position", F.col("score").cast("double").alias("score")) for n, rows in all_methods(s).items() if n in _TOLD}
-    rows = stored(stats.packed_candidates(methods, metrics.relevant(s), False), "methods")
+    rows = stored(stats.packed_candidates(methods, metrics.placed(s), False), "methods")
     means = stats.method_metrics(rows, list(methods), 10).groupBy("method").agg(F.count("*").alias("users"), *[F.round(F.avg(m), 6).alias(m) for m in metrics.METRICS])
     exposure = stats.method_exposure(rows, list(methods), 10, len(s.catalogue))
     return means.join(exposure.select("method", F.round("coverage", 6).alias("coverage")), "method")
@@ -220,7 +220,7 @@ def ml21(s: Star) -> DataFrame:
 )
 def m11_by_k(s: Star) -> DataFrame:
     """Metrics at 5, 10 and 20, over all users and by tier, from one ranking."""
-    rows = stored(stats.packed_candidates({"global_popularity": scoring.global_popularity(s)}, metrics.relevant(s), False), "popularity")
+    rows = stored(stats.packed_candidates({"global_popularity": scoring.global_popularity(s)}, metrics.placed(s), False), "popularity")
     per = reduce(DataFrame.unionByName, [stats.method_metrics(rows, ["global_popularity"], k).withColumn("k", F.lit(k)) for k in (5, 10, 20)]).join(tiers(s), "user_id")
     twice = per.select("k", F.explode(F.array(F.lit("all"), F.col("tier"))).alias("tier"), *metrics.METRICS)
     return twice.groupBy("k", "tier").agg(F.count("*").alias("users"), *[F.round(F.avg(m), 6).alias(m) for m in metrics.METRICS])

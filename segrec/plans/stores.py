@@ -79,7 +79,7 @@ def architectures(s: Star, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """Tidy rows (name, k, users, metrics..., difference from random) of the assembled architectures and of random."""
     parts = {"A": scoring.segment_popularity(s, strata(s)), "B": scoring.preference_match(s), "C": deployed(s), "random": scoring.random_score(s), "popularity": scoring.global_popularity(s)}
     parts = {n: d.select("user_id", "item", "position", F.col("score").cast("double").alias("score")) for n, d in parts.items()}
-    rows, names = stored(stats.packed_candidates(parts, metrics.relevant(s), False), "architectures"), list(parts)
+    rows, names = stored(stats.packed_candidates(parts, metrics.placed(s), False), "architectures"), list(parts)
     out = None
     for k in ks:
         per = stats.method_metrics(rows, names, k)
