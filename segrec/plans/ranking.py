@@ -88,7 +88,7 @@ def r5(s: Star) -> DataFrame:
 
 
 def asked_users(s: Star) -> DataFrame:
-    """The stated query set of the user-to-user searches; all users are searched."""
+    """The stated query set of ``j14_t3_neighbours``; all users are searched."""
     return s.seen.select("user_id").distinct().where("user_id % 20 = 0")
 
 
@@ -102,9 +102,10 @@ def j14(s: Star) -> DataFrame:
     return scoring.set_neighbours(s, asked=asked_users(s)).select("user_id", "other", "r")
 
 
-@query("r6_user_user_history", _NEAR + ", sums AS (SELECT n.user_id, s.item, sum(sim) AS sc FROM near n JOIN seen s ON n.other = s.user_id GROUP BY ALL)" + top_sql("coalesce(sc, 0)", "(SELECT * FROM candidates WHERE user_id % 20 = 0) c LEFT JOIN sums d ON c.user_id = d.user_id AND c.item = d.item"))
+@query("r6_user_user_history", _NEAR.replace(" WHERE l.user_id % 20 = 0", "") + ", sums AS (SELECT n.user_id, s.item, sum(sim) AS sc FROM near n JOIN seen s ON n.other = s.user_id GROUP BY ALL)" + top_sql("coalesce(sc, 0)", "candidates c LEFT JOIN sums d ON c.user_id = d.user_id AND c.item = d.item"))
 def r6(s: Star) -> DataFrame:
-    return top(scoring.user_user_history(s, asked=asked_users(s)))
+    """All users against all users."""
+    return top(scoring.user_user_history(s))
 
 
 _R8 = _POP + ", per AS (SELECT stratum, item, CAST(count(*) AS DOUBLE) AS n FROM train t JOIN users u ON t.user_id = u.user_id GROUP BY ALL)"
